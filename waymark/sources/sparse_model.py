@@ -15,11 +15,10 @@ def read_model_text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _lines(docs: DataFrame, keep_blank: bool = False) -> DataFrame:
-    """source, line number, line, without comments."""
-    lines = F.filter(F.transform(F.split("body", "\r?\n"), F.trim), lambda s: ~s.startswith("#"))
-    if not keep_blank:
-        lines = F.filter(lines, lambda s: s != "")
+def _lines(docs: DataFrame) -> DataFrame:
+    """source, line number, line, without comments and blank lines."""
+    lines = F.filter(F.transform(F.split("body", "\r?\n"), lambda s: F.trim(s)), lambda s: ~s.startswith("#"))
+    lines = F.filter(lines, lambda s: s != "")
     return docs.select("source", F.posexplode(lines).alias("n", "line"))
 
 
@@ -36,29 +35,21 @@ def parse_cameras(docs: DataFrame) -> DataFrame:
 
 def parse_images(docs: DataFrame) -> DataFrame:
     """Two lines per image: pose line, then X Y POINT3D_ID triples (the second may be blank)."""
-    body = F.filter(F.transform(F.split("body", "\r?\n"), F.trim), lambda s: ~s.startswith("#"))
-    pairs = docs.select("source", body.alias("l")).select(
-        "source",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), (F.size("l") / 2).cast("int") - 1),
-                lambda i: F.struct(F.col("l")[i * 2].alias("head"), F.col("l")[i * 2 + 1].alias("obs")),
-            )
-        ).alias("p"),
-    ).filter(F.col("p.head") != "")
-    t = F.split("p.head", r"\s+")
-    o = F.filter(F.split("p.obs", r"\s+"), lambda s: s != "")
-    rows = pairs.select("source", t.alias("t"), o.alias("o"))
-    t, o = F.col("t"), F.col("o")
-    count = (F.size("o") / 3).cast("int")
-    triples = F.when(
-        count > 0,
-        F.transform(
-            F.sequence(F.lit(0), count - 1),
-            lambda i: F.struct(
-                i.try_cast("long").alias("kp_idx"), o[i * 3].try_cast("double").alias("x"),
-                o[i * 3 + 1].try_cast("double").alias("y"), o[i * 3 + 2].try_cast("long").alias("point_id"),
-            ),
+    plain = F.regexp_replace(F.regexp_replace("body", "\r", ""), r"(?m)^\s*#[^\n]*\n?", "")
+    # Each match is one head line with the line after it.
+    pairs = docs.select(
+        "source", F.explode(F.regexp_extract_all(plain, F.lit(r"([^\n]+)\n([^\n]*)"), F.lit(0))).alias("p")
+    )
+    head, obs = F.split_part("p", F.lit("\n"), F.lit(1)), F.split_part("p", F.lit("\n"), F.lit(2))
+    t = F.split(F.trim(head), r"\s+")
+    rows = pairs.select("source", t.alias("t"), obs.alias("o"))
+    t = F.col("t")
+    # Triples are cut as substrings first, so no step indexes into the full token list.
+    triples = F.transform(
+        F.regexp_extract_all("o", F.lit(r"(\S+)\s+(\S+)\s+(\S+)"), F.lit(0)),
+        lambda s, i: F.struct(
+            i.cast("long").alias("kp_idx"), F.split(s, r"\s+")[0].try_cast("double").alias("x"),
+            F.split(s, r"\s+")[1].try_cast("double").alias("y"), F.split(s, r"\s+")[2].try_cast("long").alias("point_id"),
         ),
     )
     names = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
@@ -71,16 +62,14 @@ def parse_images(docs: DataFrame) -> DataFrame:
 
 def parse_points(docs: DataFrame) -> DataFrame:
     tok = F.split("line", r"\s+")
-    rows = _lines(docs).select("source", tok.alias("t")).filter(F.size("t") >= 8)
+    rows = _lines(docs).select("source", "line", tok.alias("t")).filter(F.size("t") >= 8)
     t = F.col("t")
-    count = ((F.size("t") - 8) / 2).cast("int")
-    track = F.when(
-        count > 0,
-        F.transform(
-            F.sequence(F.lit(0), count - 1),
-            lambda i: F.struct(
-                t[i * 2 + 8].try_cast("long").alias("image_id"), t[i * 2 + 9].try_cast("long").alias("kp_idx")
-            ),
+    # Track entries follow the eight fixed fields as (image, keypoint) pairs.
+    track = F.transform(
+        F.regexp_extract_all(F.regexp_replace("line", r"^(\S+\s+){7}\S+", ""), F.lit(r"(\S+)\s+(\S+)"), F.lit(0)),
+        lambda s: F.struct(
+            F.split(s, r"\s+")[0].try_cast("long").alias("image_id"),
+            F.split(s, r"\s+")[1].try_cast("long").alias("kp_idx"),
         ),
     )
     return rows.select(

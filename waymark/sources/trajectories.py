@@ -22,7 +22,7 @@ def read_trajectories(spark: SparkSession, root: str, pattern: str = "*.txt") ->
 
 def parse_trajectories(docs: DataFrame, source: str = "source", body: str = "body") -> DataFrame:
     """Number the non-blank lines, then drop those without eight tokens (their index stays used)."""
-    lines = F.filter(F.transform(F.split(F.col(body), "\r?\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(F.col(body), "\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
     numbered = docs.select(F.col(source).alias("source"), F.posexplode(lines).alias("frame_seq", "line"))
     return parse_lines(numbered)
 
