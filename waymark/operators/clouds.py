@@ -32,3 +32,282 @@ def unit_square(points: DataFrame, frame: DataFrame, x: str = "x", z: str = "z")
         return F.when(hi > lo, (F.col(axis) - lo) / (hi - lo)).otherwise(F.lit(0.5))
 
     return attach(points, frame).withColumns({"u": scaled(x), "v": scaled(z)})
+
+
+def height_band(points: DataFrame, value: str = "y", keys: Sequence[str] = (), width: float = 2.0) -> DataFrame:
+    """Points strictly within median +/- ``width`` population deviations, per group."""
+    mid = quantiles(points, keys, value, {"_mid": 0.5})
+    dev = points.groupBy(*keys).agg(F.stddev_pop(value).alias("_dev"))
+    banded = attach(attach(points, mid, keys), dev, keys)
+    gap = F.col("_dev") * width
+    return banded.filter((F.col(value) > F.col("_mid") - gap) & (F.col(value) < F.col("_mid") + gap)).drop("_mid", "_dev")
+
+
+def percentile_band(points: DataFrame, value: str, lo: float, hi: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Points between two exact percentiles, ends included."""
+    band = quantiles(points, keys, value, {"_lo": lo, "_hi": hi})
+    return attach(points, band, keys).filter(F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+
+
+def trim_axes(points: DataFrame, axes: Sequence[str], share: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Points inside the central share of every axis; all bounds come from the untrimmed cloud."""
+    # All axes at once: one row per point and axis, quantiled by axis.
+    long = points.select(
+        *keys, F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("v")) for a in axes])).alias("s")
+    ).select(*keys, "s.axis", "s.v")
+    band = quantiles(long, [*keys, "axis"], "v", {"lo": share, "hi": 1 - share}).groupBy(*keys).agg(*[
+        F.max(F.when(F.col("axis") == a, F.col(side))).alias(f"_{a}{i}") for a in axes for i, side in enumerate(("lo", "hi"))
+    ])
+    banded = attach(points, band, keys)
+    keep = F.lit(True)
+    for a in axes:
+        keep = keep & F.col(a).between(F.col(f"_{a}0"), F.col(f"_{a}1"))
+    return banded.filter(keep).select(*points.columns)
+
+
+def centroid_outliers(points: DataFrame, k: float, keys: Sequence[str] = (), axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """Points closer to the centroid than ``k`` population deviations of that distance."""
+    mean = points.groupBy(*keys).agg(*[F.avg(a).alias(f"_{a}") for a in axes])
+    dist = F.sqrt(sum(((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in axes[1:]), (F.col(axes[0]) - F.col(f"_{axes[0]}")) * (F.col(axes[0]) - F.col(f"_{axes[0]}"))))
+    measured = attach(points, mean, keys).withColumn("dist", dist)
+    dev = measured.groupBy(*keys).agg(F.stddev_pop("dist").alias("_dev"))
+    return attach(measured, dev, keys).filter(F.col("dist") < F.col("_dev") * k).select(*points.columns, "dist")
+
+
+def cell(value: Column, origin: Column, res: float) -> Column:
+    """Grid index, truncated towards zero."""
+    return ((value - origin) / res).cast("long")
+
+
+def grid_frame(points: DataFrame, res: float, pad: float = 0.5, axes: Sequence[str] = ("x", "z"), keys: Sequence[str] = ()) -> DataFrame:
+    """Padded bounds with the grid's width and height in cells."""
+    a, b = axes
+    return bounds(points, axes, keys, pad).withColumns({
+        "grid_w": ((F.col(f"{a}_max") - F.col(f"{a}_min")) / res).cast("long"),
+        "grid_h": ((F.col(f"{b}_max") - F.col(f"{b}_min")) / res).cast("long"),
+    })
+
+
+def occupancy(points: DataFrame, frame: DataFrame, res: float, keys: Sequence[str] = (), axes: Sequence[str] = ("x", "z"), colours: Sequence[str] = ("r", "g", "b"), clip: bool = False) -> DataFrame:
+    """Occupied cells: point count and mean colour truncated to whole numbers.
+
+    Points outside the grid are dropped, or moved to its rim with ``clip``.
+    """
+    a, b = axes
+    placed = attach(points, frame, keys).withColumns({
+        "gx": cell(F.col(a), F.col(f"{a}_min"), res), "gz": cell(F.col(b), F.col(f"{b}_min"), res),
+    })
+    if clip:
+        placed = placed.withColumns({
+            "gx": F.greatest(F.lit(0), F.least(F.col("grid_w") - 1, F.col("gx"))),
+            "gz": F.greatest(F.lit(0), F.least(F.col("grid_h") - 1, F.col("gz"))),
+        })
+    else:
+        placed = placed.filter(F.col("gx").between(0, F.col("grid_w") - 1) & F.col("gz").between(0, F.col("grid_h") - 1))
+    return placed.groupBy(*keys, "gx", "gz").agg(
+        F.count("*").alias("n"), *[F.avg(x).cast("long").alias(x) for x in colours]
+    )
+
+
+def topdown_frame(points: DataFrame, size: int, pad: float = 0.1, keys: Sequence[str] = ()) -> DataFrame:
+    """Square frame around the padded bounds: x0, z1 (top) and cell size."""
+    f = bounds(points, ["x", "z"], keys)
+    rx = F.greatest(F.col("x_max") - F.col("x_min"), F.lit(0.1))
+    rz = F.greatest(F.col("z_max") - F.col("z_min"), F.lit(0.1))
+    f = f.withColumns({
+        "_x0": F.col("x_min") - rx * pad, "_x1": F.col("x_max") + rx * pad,
+        "_z0": F.col("z_min") - rz * pad, "_z1": F.col("z_max") + rz * pad,
+    })
+    side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_z1") - F.col("_z0"))
+    return f.select(
+        *keys, ((F.col("_x0") + F.col("_x1")) / 2 - side / 2).alias("x0"),
+        ((F.col("_z0") + F.col("_z1")) / 2 + side / 2).alias("z1"), (side / size).alias("res"),
+    )
+
+
+def topdown_raster(points: DataFrame, size: int, order: Sequence[str], colours: Sequence[str] = ("r", "g", "b"), pad: float = 0.1, keys: Sequence[str] = ()) -> DataFrame:
+    """Fixed square canvas; the last point in ``order`` colours its pixel."""
+    f = attach(points, topdown_frame(points, size, pad, keys), keys)
+
+    def clipped(value: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(size - 1), value.cast("long")))
+
+    placed = f.withColumns({
+        "px": clipped((F.col("x") - F.col("x0")) / F.col("res")), "pz": clipped((F.col("z1") - F.col("z")) / F.col("res")),
+    })
+    last = F.max_by(F.struct(*colours), F.struct(*order))
+    return placed.groupBy(*keys, "px", "pz").agg(last.alias("_c")).select(*keys, "px", "pz", "_c.*")
+
+
+def range_metadata(points: DataFrame, keys: Sequence[str], axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """count, min, max and mean per axis for every group and, as null keys, the totals."""
+    aggs = [F.count("*").alias("n")]
+    for a in axes:
+        aggs += [F.min(a).alias(f"{a}_min"), F.max(a).alias(f"{a}_max"), F.avg(a).alias(f"{a}_mean")]
+    return points.rollup(*keys).agg(*aggs)
+
+
+def covariance(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Sample covariance of x, y, z per group as six columns."""
+    pairs = ("xx", "xy", "xz", "yy", "yz", "zz")
+    return points.groupBy(*keys).agg(F.count("*").alias("n"), *[F.covar_samp(p[0], p[1]).alias(p) for p in pairs])
+
+
+def smallest_axis(batches):
+    """Unit eigenvector of the smallest eigenvalue, y >= 0, for rows of six covariances."""
+    import numpy as np
+
+    for pdf in batches:
+        m = pdf[["xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz"]].to_numpy(float).reshape(-1, 3, 3)
+        _, vec = np.linalg.eigh(m)
+        normal = vec[:, :, 0]
+        normal = np.where(normal[:, 1:2] < 0, -normal, normal)
+        yield pdf.assign(nx=normal[:, 0], ny=normal[:, 1], nz=normal[:, 2])
+
+
+def plane_normal(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Floor normal per group, with the rotation that turns it onto +Y (nine columns).
+
+    Rows reach Python only after aggregation: one per group.
+    """
+    cov = covariance(points, keys).filter(F.col("n") >= 3)
+    types = {f.name: f.dataType.simpleString() for f in cov.schema.fields}
+    schema = ", ".join(f"{n} {v}" for n, v in types.items()) + ", nx double, ny double, nz double"
+    out = cov.mapInPandas(smallest_axis, schema).select(*keys, "n", "nx", "ny", "nz")
+    nx, ny, nz = F.col("nx"), F.col("ny"), F.col("nz")
+    # v = n x Y = (-nz, 0, nx); R = I + [v] + [v]^2 (1 - c) / s^2, the identity when nearly aligned.
+    k = (1 - ny) / (nz * nz + nx * nx + 1e-12)
+    r = [
+        1 - nx * nx * k, -nx, -nx * nz * k,
+        nx, 1 - (nx * nx + nz * nz) * k, nz,
+        -nx * nz * k, -nz, 1 - nz * nz * k,
+    ]
+    return out.select("*", *[
+        F.when(ny > 0.9999, F.lit(1.0 if i % 4 == 0 else 0.0)).otherwise(v).alias(f"r{i}") for i, v in enumerate(r)
+    ])
+
+
+def track_lengths(observations: DataFrame, least: int = 3) -> DataFrame:
+    """Landmarks seen at least ``least`` times, with how often and in how many images."""
+    seen = observations.filter(F.col("point_id") >= 0)
+    return seen.groupBy("point_id", "image").agg(F.count("*").alias("_c")).groupBy("point_id").agg(
+        F.sum("_c").alias("track"), F.count("*").alias("images")
+    ).filter(F.col("track") >= least)
+
+
+def distinct_landmarks(observations: DataFrame, landmarks: DataFrame) -> DataFrame:
+    """Distinct positions (single precision) of all observed landmarks."""
+    seen = observations.select("point_id").distinct()
+    return landmarks.join(seen, "point_id", "left_semi").select(
+        *[F.col(a).cast("float").alias(a) for a in ("px", "py", "pz")]
+    ).distinct()
+
+
+def outcome_shares(rows: DataFrame, status: str) -> DataFrame:
+    """Count per outcome and its share of all rows in percent."""
+    counts = rows.groupBy(status).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("_all"))
+    return attach(counts, total).select(status, "n", (F.col("n") * 100.0 / F.col("_all")).alias("share"))
+
+
+def coverage(cells: DataFrame, frame: DataFrame, approximate: bool = False) -> DataFrame:
+    """Occupied cells and their share of the grid."""
+    if approximate:
+        used = cells.agg(F.approx_count_distinct(F.struct("gx", "gz")).alias("occupied"))
+    else:
+        used = cells.select("gx", "gz").distinct().agg(F.count("*").alias("occupied"))
+    area = F.col("grid_w") * F.col("grid_h")
+    return used.join(F.broadcast(frame), F.lit(True)).select(
+        "occupied", "grid_w", "grid_h", (F.col("occupied") * 100.0 / area).alias("percent")
+    )
+
+
+def grid_overlay(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cells of either grid with where they are set."""
+    left = a.select("gx", "gz").distinct().withColumn("_a", F.lit(1))
+    right = b.select("gx", "gz").distinct().withColumn("_b", F.lit(1))
+    where = F.when(F.col("_b").isNull(), "a only").when(F.col("_a").isNull(), "b only").otherwise("both")
+    return left.join(right, ["gx", "gz"], "full_outer").select("gx", "gz", where.alias("where_set"))
+
+
+def trajectory_normalize(frames: DataFrame, keys: Sequence[str], extent: float, x: str = "x", z: str = "z") -> DataFrame:
+    """Centre on the mean position and scale the farthest frame to ``extent``."""
+    mean = frames.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(z).alias("_mz"))
+    centred = attach(frames, mean, keys).withColumns({"cx": F.col(x) - F.col("_mx"), "cz": F.col(z) - F.col("_mz")})
+    reach = centred.groupBy(*keys).agg(F.max(F.sqrt(F.col("cx") * F.col("cx") + F.col("cz") * F.col("cz"))).alias("_far"))
+    factor = F.when(F.col("_far") > 0, F.lit(float(extent)) / F.col("_far")).otherwise(F.lit(1.0))
+    return attach(centred, reach, keys).withColumns({"nx": F.col("cx") * factor, "nz": F.col("cz") * factor}).drop(
+        "_mx", "_mz", "_far", "cx", "cz"
+    )
+
+
+def masked_points(points: DataFrame, keyframes: DataFrame, masks: DataFrame, mask_size: tuple[int, int]) -> DataFrame:
+    """Project each point into its keyframe's floor mask and classify it.
+
+    ``keyframes``: kf, r0..r8, tx, ty, tz. ``masks``: kf, u, v of set pixels. Statuses:
+    no_keyframe, no_mask, outside_mask, floor.
+    """
+    from waymark.functions import geometry as g
+
+    w, h = mask_size
+    posed = points.join(keyframes, "kf", "left")
+    has = masks.select("kf").distinct().withColumn("_mask", F.lit(1))
+    posed = posed.join(has, "kf", "left")
+    p = [F.col(a) for a in ("x", "y", "z")]
+    cam = [v + F.col(t) for v, t in zip(g.apply([F.col(f"r{i}") for i in range(9)], p), ("tx", "ty", "tz"))]
+    posed = posed.select("*", *[v.alias(f"_c{i}") for i, v in enumerate(cam)])
+    u, v = g.to_equirect([F.col(f"_c{i}") for i in range(3)], w, h)
+    placed = posed.withColumns({"u": F.bround(u, 0).cast("long"), "v": F.bround(v, 0).cast("long")})
+    hit = masks.select("kf", "u", "v").distinct().withColumn("_set", F.lit(1))
+    status = (
+        F.when(F.col("r0").isNull(), "no_keyframe").when(F.col("_mask").isNull(), "no_mask")
+        .when(F.col("_set").isNull(), "outside_mask").otherwise("floor")
+    )
+    return placed.join(hit, ["kf", "u", "v"], "left").withColumn("status", status).select(*points.columns, "u", "v", "status")
+
+
+def running_band(points: DataFrame, frame: str, value: str, width: float = 2.0, pieces: int = 64) -> DataFrame:
+    """For every frame: count, median, deviation and band share of all points up to it.
+
+    Counts, sums and squares accumulate over per-frame aggregates. The running median
+    needs ranks: values are cut into ``pieces`` ranges, cumulative range counts tell in
+    which range each frame's middle values lie, and only the points of that range are
+    ranked against the frame.
+    """
+    from waymark.operators.ranks import _spread_keys, range_of
+
+    cuts = _spread_keys(points, value, pieces)
+    counts = points.groupBy(frame, F.col(value).alias("_v")).agg(F.count("*").alias("_c")).withColumn(
+        "_p", range_of(F.col("_v"), cuts)
+    )
+    upto = Window.orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
+    # One row per frame: a single small window.
+    totals = counts.groupBy(frame).agg(
+        F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.col("_v")).alias("_s"), F.sum(F.col("_c") * F.col("_v") * F.col("_v")).alias("_q")
+    ).select(
+        frame, F.sum("_n").over(upto).alias("n"), F.sum("_s").over(upto).alias("_s"), F.sum("_q").over(upto).alias("_q")
+    )
+    parts = counts.select("_p").distinct()
+    per = counts.groupBy(frame, "_p").agg(F.sum("_c").alias("_m"))
+    # At most frames x pieces rows.
+    full = totals.select(frame, "n").join(F.broadcast(parts), F.lit(True)).join(per, [frame, "_p"], "left")
+    wp = Window.partitionBy("_p").orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
+    wf = Window.partitionBy(frame).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    full = full.withColumn("_cum", F.sum(F.coalesce("_m", F.lit(0))).over(wp)).withColumn("_to", F.sum("_cum").over(wf))
+    ranks = F.array(*[
+        F.struct(F.lit(i).alias("side"), f((F.col("n") - 1) / 2).cast("long").alias("rank")) for i, f in enumerate((F.floor, F.ceil))
+    ])
+    want = full.select(frame, "n", "_p", "_cum", "_to", F.explode(ranks).alias("_r")).filter(
+        (F.col("_r.rank") < F.col("_to")) & (F.col("_r.rank") >= F.col("_to") - F.col("_cum"))
+    ).select(frame, "n", "_p", "_r.side", (F.col("_r.rank") - (F.col("_to") - F.col("_cum"))).alias("_k"))
+    other = counts.select("_p", "_v", "_c", F.col(frame).alias("_f"))
+    merged = want.join(other, "_p").filter(F.col("_f") <= F.col(frame)).groupBy(frame, "n", "side", "_k", "_v").agg(F.sum("_c").alias("_c"))
+    wv = Window.partitionBy(frame, "side").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = merged.withColumn("_to", F.sum("_c").over(wv))
+    mid = ranked.filter((F.col("_k") < F.col("_to")) & (F.col("_k") >= F.col("_to") - F.col("_c"))).groupBy(frame).agg(F.avg("_v").alias("median"))
+    variance = F.greatest(F.lit(0.0), F.col("_q") / F.col("n") - (F.col("_s") / F.col("n")) * (F.col("_s") / F.col("n")))
+    dev = F.when(F.col("n") > 1, F.sqrt(variance)).otherwise(F.lit(1.0))
+    return totals.join(mid, frame).select(
+        frame, "n", "median", dev.alias("deviation"),
+        (F.col("median") - dev * width).alias("band_lo"), (F.col("median") + dev * width).alias("band_hi"),
+    )

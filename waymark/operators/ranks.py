@@ -53,87 +53,68 @@ def range_of(value: Column, cuts: Sequence[float]) -> Column:
     return F.coalesce(tree(0, len(cuts)), F.lit(-1))
 
 
-def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], bins: int = 2048, rounds: int = 2
-) -> DataFrame:
+def value_bin(value: Column, steps: int = 1 << 14) -> Column:
+    """Monotone bin of a number from its magnitude alone: ``steps`` bins per doubling.
+
+    The formula is continuous at powers of two, so a rounded logarithm cannot reorder bins.
+    """
+    size = F.abs(value)
+    e = F.floor(F.log2(size))
+    key = F.floor((e - 1 + size / F.pow(F.lit(2.0), e)) * steps).cast("long")
+    # Shifted so that every non-zero magnitude has a positive key (doubles go down to 2^-1074).
+    key = key + 1100 * steps
+    return F.when(value == 0, F.lit(0).cast("long")).when(value < 0, -key).otherwise(key)
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles per group, as ``keys`` plus one column per entry of ``probs``.
 
-    Equal values are counted together first. Each round then histograms the values
-    that can still hold a wanted rank into ``bins`` equal parts and keeps the part
-    that does, so only about ``1/bins**rounds`` of the distinct values of a group
-    meet in one task at the end. Nulls are ignored.
+    Equal values are counted together, the counts are summed into magnitude bins, and a
+    running sum over a group's bins tells which bins hold the wanted ranks. Only the
+    values of those bins are then ranked. Nulls are ignored.
     """
     keys = list(keys)
-    names = list(probs)
+    v = F.col(value).cast("double")
     counts = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
+        .groupBy(*keys, v.alias("_v"))
         .agg(F.count("*").alias("_c"))
+        .withColumn("_bin", value_bin(F.col("_v")))
     )
-    ends = counts.groupBy(*keys).agg(
-        F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    whole = Window.partitionBy(*keys)
+    running = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    hist = counts.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_m")).select(
+        *keys, "_bin", "_m", F.sum("_m").over(running).alias("_upto"), F.sum("_m").over(whole).alias("_n")
     )
-    # One row per group and wanted order statistic (floor and ceiling of every quantile).
+    # Floor and ceiling rank of every quantile.
     wants = F.array(*[
-        F.struct(
-            F.lit(q).alias("_q"), F.lit(side).alias("_side"),
-            (F.floor if side == 0 else F.ceil)((F.col("_n") - 1) * F.lit(float(p))).cast("long").alias("_rank"),
-        )
+        F.struct(F.lit(q).alias("q"), F.lit(side).alias("side"), f((F.col("_n") - 1) * F.lit(float(p))).cast("long").alias("rank"))
         for q, p in probs.items()
-        for side in (0, 1)
+        for side, f in enumerate((F.floor, F.ceil))
     ])
-    targets = ends.select(*keys, "_lo", "_hi", F.explode(wants).alias("_w")).select(
-        *keys, "_lo", "_hi", "_w._q", "_w._side", "_w._rank"
+    here = F.filter(wants, lambda w: (w["rank"] < F.col("_upto")) & (w["rank"] >= F.col("_upto") - F.col("_m")))
+    targets = hist.select(*keys, "_bin", "_n", (F.col("_upto") - F.col("_m")).alias("_skip"), here.alias("_wants")).filter(
+        F.size("_wants") > 0
     )
-    targets = targets.withColumn("_skip", F.lit(0).cast("long"))
-    for _ in range(rounds):
-        brackets = targets.select(*keys, "_lo", "_hi").distinct()
-        inside = _join(counts, brackets, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        width = F.col("_hi") - F.col("_lo")
-        bin_no = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(bins - 1)))
-        hist = inside.groupBy(*keys, "_lo", "_hi", F.coalesce(bin_no, F.lit(0)).alias("_bin")).agg(
-            F.sum("_c").alias("_m"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi")
-        )
-        w = Window.partitionBy(*keys, "_lo", "_hi").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("_upto", F.sum("_m").over(w))
-        targets = (
-            targets.join(hist, [*keys, "_lo", "_hi"])
-            .filter((F.col("_rank") - F.col("_skip") < F.col("_upto")) & (F.col("_rank") - F.col("_skip") >= F.col("_upto") - F.col("_m")))
-            .select(
-                *keys, F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"), "_q", "_side", "_rank",
-                (F.col("_skip") + F.col("_upto") - F.col("_m")).alias("_skip"),
-            )
-        )
-    last = targets.select(*keys, "_lo", "_hi").distinct()
-    w = Window.partitionBy(*keys, "_lo", "_hi").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    tail = (
-        _join(counts, last, keys)
-        .filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .withColumn("_upto", F.sum("_c").over(w))
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(targets, [*keys, "_bin"]).withColumn("_to", F.col("_skip") + F.sum("_c").over(inside))
+    hit = ranked.select(*keys, "_n", "_v", "_c", "_to", F.explode("_wants").alias("_w")).filter(
+        (F.col("_w.rank") < F.col("_to")) & (F.col("_w.rank") >= F.col("_to") - F.col("_c"))
     )
-    hit = targets.join(tail, [*keys, "_lo", "_hi"]).filter(
-        (F.col("_rank") - F.col("_skip") < F.col("_upto"))
-        & (F.col("_rank") - F.col("_skip") >= F.col("_upto") - F.col("_c"))
+    found = hit.groupBy(*keys).agg(
+        F.max("_n").alias("_n"),
+        *[
+            F.max(F.when((F.col("_w.q") == q) & (F.col("_w.side") == side), F.col("_v"))).alias(f"_{q}_{side}")
+            for q in probs
+            for side in (0, 1)
+        ],
     )
-    found = hit.groupBy(*keys).agg(*[
-        F.max(F.when((F.col("_q") == q) & (F.col("_side") == side), F.col("_v"))).alias(f"_{q}_{side}")
-        for q in names
-        for side in (0, 1)
-    ])
-    sized = _join(found, ends.select(*keys, "_n"), keys)
     out = []
     for q, p in probs.items():
         at = (F.col("_n") - 1) * F.lit(float(p))
         lo, hi = F.col(f"_{q}_0"), F.col(f"_{q}_1")
         out.append((lo + (hi - lo) * (at - F.floor(at))).alias(q))
-    return sized.select(*keys, *out)
-
-
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Equi-join on the group keys; without keys the right side has a fixed handful of rows."""
-    if keys:
-        return left.join(right, list(keys))
-    return left.join(F.broadcast(right), F.lit(True))
+    return found.select(*keys, *out)
 
 
 def top_per_group(
