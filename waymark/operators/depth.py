@@ -28,7 +28,7 @@ def median_scale(px: DataFrame, keys: list[str], least: int = 100) -> DataFrame:
     """Scale ``pred`` by median(gt)/median(pred) per group; groups with too few valid pixels keep it."""
     valid = px.filter((F.col("gt") > 0.01) & (F.col("pred") > 0.01))
     both = valid.select(*keys, F.explode(F.array(
-        F.struct(F.lit("gt").alias("what"), F.col("gt").alias("d")), F.struct(F.lit("pred"), F.col("pred"))
+        F.struct(F.lit("gt").alias("what"), F.col("gt").alias("d")), F.struct(F.lit("pred").alias("what"), F.col("pred").alias("d"))
     )).alias("s")).select(*keys, "s.what", "s.d")
     mid = quantiles(both, [*keys, "what"], "d", {"m": 0.5})
     scale = mid.groupBy(*keys).agg(
@@ -113,7 +113,7 @@ def gather(sample: DataFrame, px: DataFrame, width: int, height: int, value: str
     ])
     taps = sample.select("img", "u", "v", F.explode(corners).alias("c")).select("img", "u", "v", "c.*")
     return taps.join(src, ["img", "_x", "_y"]).groupBy("img", "u", "v").agg(
-        (F.sum(F.col("_w") * F.col("_val")) / F.sum("_w")).alias(value)
+        F.when(F.sum("_w") > 0, F.sum(F.col("_w") * F.col("_val")) / F.sum("_w")).alias(value)
     )
 
 
@@ -139,5 +139,5 @@ def mesh(px: DataFrame, width: int, depth: str = "depth", max_ratio: float = 2.0
     i00 = F.col("qv") * width + F.col("qu")
     i01 = F.col("qv") * width + F.pmod(F.col("qu") + 1, F.lit(width).cast("long"))
     i10, i11 = i00 + width, i01 + width
-    tri = F.array(F.struct(i00.alias("a"), i10.alias("b"), i01.alias("c")), F.struct(i01, i10, i11))
+    tri = F.array(F.struct(i00.alias("a"), i10.alias("b"), i01.alias("c")), F.struct(i01.alias("a"), i10.alias("b"), i11.alias("c")))
     return quads.select("img", F.explode(tri).alias("t")).select("img", "t.*")
