@@ -150,8 +150,10 @@ def with_visibility(rows: DataFrame, seg: tuple[str, str, str, str], name: str =
     """
     polys = F.col("polys")
     out = side_states(rows, lambda x, y: covered(polys, x, y), all_edges(polys), seg, "_sides")
-    ok = F.forall("_sides", lambda s: s >= 1) & F.exists("_sides", lambda s: s == 2)
-    return out.withColumn(name, ok).drop("_sides")
+    found = F.concat_ws(",", F.array_sort(F.array_distinct("_sides")))
+    # As generator output the flag is computed once; a later filter on it cannot be
+    # pushed below and repeat the whole test.
+    return out.withColumn(name, F.explode(F.array(found.isin("2", "1,2")))).drop("_sides")
 
 
 def door_crossing(rows: DataFrame, seg: tuple[str, str, str, str], name: str = "door_px") -> DataFrame:

@@ -79,17 +79,17 @@ SAMPLE_SQL = f"""{rec.DEPTH_SQL}, sm AS (SELECT img, u, v, u*1.75+img*3.25 AS su
 @query(
     "raster_gather",
     f"""WITH {SAMPLE_SQL},
-    n AS (SELECT sm.img, sm.u, sm.v, d.pred AS value FROM sm JOIN depth d ON d.img=sm.img AND d.u=CAST(round_even(su,0) AS BIGINT) % {W} AND d.v=greatest(0,least({H - 1},CAST(round_even(sv,0) AS BIGINT)))),
+    n AS (SELECT sm.img, sm.u, sm.v, sqrt(d.pred) AS value FROM sm JOIN depth d ON d.img=sm.img AND d.u=CAST(round_even(su,0) AS BIGINT) % {W} AND d.v=greatest(0,least({H - 1},CAST(round_even(sv,0) AS BIGINT)))),
     tp AS (SELECT sm.img, sm.u, sm.v, (CAST(floor(su) AS BIGINT)+dx) % {W} AS x, greatest(0,least({H - 1},CAST(floor(sv) AS BIGINT)+dy)) AS y,
         CASE WHEN dx=1 THEN su-floor(su) ELSE 1-(su-floor(su)) END * CASE WHEN dy=1 THEN sv-floor(sv) ELSE 1-(sv-floor(sv)) END AS w
       FROM sm, (VALUES (0,0),(0,1),(1,0),(1,1)) k(dx,dy)),
-    b AS (SELECT tp.img, tp.u, tp.v, CASE WHEN sum(w)>0 THEN sum(w*pred)/sum(w) END AS value FROM tp JOIN depth d ON d.img=tp.img AND d.u=x AND d.v=y GROUP BY ALL)
+    b AS (SELECT tp.img, tp.u, tp.v, CASE WHEN sum(w)>0 THEN sum(w*sqrt(pred))/sum(w) END AS value FROM tp JOIN depth d ON d.img=tp.img AND d.u=x AND d.v=y GROUP BY ALL)
     SELECT 'nearest' AS mode, img, u, v, round(value,9)+0.0 AS value FROM n UNION ALL SELECT 'bilinear', img, u, v, round(value,9)+0.0 FROM b""",
 )
 def raster_gather(t):
     px = rec.depth(t)
     sample = px.select("img", "u", "v", (c("u") * 1.75 + c("img") * 3.25).alias("su"), (c("v") * 0.9375 + 0.25).alias("sv"))
-    src = px.select("img", "u", "v", c("pred").alias("value"))
+    src = px.select("img", "u", "v", F.sqrt("pred").alias("value"))
     out = [
         dp.gather(sample, src, W, H, mode=m).select(F.lit(m).alias("mode"), "img", "u", "v", clean(c("value"), 9).alias("value"))
         for m in ("nearest", "bilinear")
