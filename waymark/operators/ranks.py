@@ -123,3 +123,22 @@ def top_per_group(
     """Rows ranked 1..k per group; Spark prunes each partition to k rows before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+
+
+def overlapped(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], back: int = 0, ahead: int = 0, size: int = 50_000
+) -> DataFrame:
+    """Cut long groups into chunks whose windows may still look ``back`` and ``ahead`` rows.
+
+    Adds ``_chunk`` (to put after ``keys`` in a window's partitioning) and ``_carry``: rows
+    copied from a neighbouring chunk, to be dropped after the window.
+    """
+    rows = group_index(df, keys, order, "_idx")
+    at = F.floor(F.col("_idx") / size)
+    spot = F.col("_idx") % size
+    copies = F.array_compact(F.array(
+        F.struct(at.alias("_chunk"), F.lit(False).alias("_carry")),
+        F.when(spot >= size - back, F.struct((at + 1).alias("_chunk"), F.lit(True).alias("_carry"))),
+        F.when((spot < ahead) & (at > 0), F.struct((at - 1).alias("_chunk"), F.lit(True).alias("_carry"))),
+    ))
+    return rows.select("*", F.explode(copies).alias("_c")).select("*", "_c._chunk", "_c._carry").drop("_c")
