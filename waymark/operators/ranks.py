@@ -8,8 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _spread_keys(df: DataFrame, value: str, pieces: int) -> list:
-    bounds = df.stat.approxQuantile(value, [i / pieces for i in range(1, pieces)], 0.001)
+def sort_number(df: DataFrame, name: str) -> Column:
+    """A number that grows with the column: used to cut it into value ranges."""
+    kind = df.schema[name].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    if kind == "string":
+        return F.ascii(F.substring(name, 1, 1)).cast("double")
+    return F.col(name).cast("double")
+
+
+def _spread_keys(df: DataFrame, value: str, pieces: int) -> list[float]:
+    """Cut points between ``pieces`` value ranges of about equal size, from a distributed sketch."""
+    numbers = df.select(sort_number(df, value).alias("_v"))
+    bounds = numbers.stat.approxQuantile("_v", [i / pieces for i in range(1, pieces)], 0.001)
     return sorted({b for b in bounds if b is not None})
 
 
@@ -25,7 +37,7 @@ def group_index(
     """
     keys, order = list(keys), list(order)
     cuts = _spread_keys(df, order[0], pieces)
-    part = range_of(F.col(order[0]), cuts).alias("_part")
+    part = range_of(sort_number(df, order[0]), cuts).alias("_part")
     rows = df.select("*", part)
     local = Window.partitionBy(*keys, "_part").orderBy(*order)
     sizes = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
