@@ -82,10 +82,12 @@ def localize(
     ``inliers = round(100 * score)`` when its score passes ``min_score``.
     """
     from waymark.operators.vectors import retrieve_topk
+    from waymark.session import cut_lineage
 
     c = F.col
     usable = frames.filter(c("vec").isNotNull() & (F.size("vec") > 0))
-    hits = retrieve_topk(usable.select("query", "vec"), map_feats, k)
+    # At most k rows per frame, read by every later step: materialized so that the search runs once.
+    hits = cut_lineage(retrieve_topk(usable.select("query", "vec"), map_feats, k))
     inliers = F.bround(c("score") * 100, 0).cast("long")
     verified = hits.filter(c("score") >= min_score).withColumn("inliers", inliers)
     votes = region_vote(verified, least=1)

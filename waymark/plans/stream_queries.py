@@ -21,7 +21,8 @@ c = F.col
 def stream_last5(t):
     """The frame history kept as stream state; equals the batch window."""
     schema = t.events.schema
-    frames = t.spark.readStream.schema(schema).parquet(f"{t.folder}/events.parquet").select(
+    source = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    frames = source.select(
         c("user_id").alias("session"), c("event_type").alias("map_key"), "event_id", c("ts").cast("timestamp").alias("ts"), "value"
     )
     table = jobs.stream_to_table(history.last_frames_stream(frames), jobs.shared_folder(t.spark, "last5"))

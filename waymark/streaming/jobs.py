@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from waymark.operators.localize import localize
 from waymark.operators.lookups import merge_labels
-from waymark.session import ensure_checkpoint_dir
+from waymark.session import cut_lineage, ensure_checkpoint_dir
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -48,7 +48,8 @@ def localize_stream(
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        localize(batch.select("query", "vec"), map_feats, map_poses, **options).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        # The job reads its frames several times: materialize the batch once.
+        localize(cut_lineage(batch.select("query", "vec")), map_feats, map_poses, **options).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     run_available(unique_frames(frames, delay).writeStream.foreachBatch(each), path)
 
@@ -64,7 +65,7 @@ def label_stream(changes: DataFrame, base: DataFrame, path: str, order: list[str
 
     def each(batch: DataFrame, batch_id: int) -> None:
         before = spark.read.parquet(f"{path}/v{batch_id}")
-        merge_labels(before, batch, order).write.mode("overwrite").parquet(f"{path}/v{batch_id + 1}")
+        merge_labels(before, cut_lineage(batch), order).write.mode("overwrite").parquet(f"{path}/v{batch_id + 1}")
         seen["version"] = batch_id + 1
 
     run_available(changes.writeStream.foreachBatch(each), path)
