@@ -267,18 +267,19 @@ def masked_points(points: DataFrame, keyframes: DataFrame, masks: DataFrame, mas
 
 
 def running_band(points: DataFrame, frame: str, value: str, width: float = 2.0, pieces: int = 64) -> DataFrame:
-    """For every frame: count, median, deviation and band share of all points up to it.
+    """For every frame: count, median, deviation and band of all points up to it.
 
     Counts, sums and squares accumulate over per-frame aggregates. The running median
-    needs ranks: values are cut into ``pieces`` ranges, cumulative range counts tell in
-    which range each frame's middle values lie, and only the points of that range are
-    ranked against the frame.
+    narrows in two levels: values are cut into ``pieces`` ranges, then the ranges that hold
+    some frame's middle value into 256 parts. Cumulative counts per part tell each frame
+    where its middle ranks lie; only the points of that part are ranked against the frame.
     """
     from waymark.operators.ranks import _spread_keys, range_of
+    from waymark.session import cut_lineage
 
     cuts = _spread_keys(points, value, pieces)
-    counts = points.groupBy(frame, F.col(value).alias("_v")).agg(F.count("*").alias("_c")).withColumn(
-        "_p", range_of(F.col("_v"), cuts)
+    counts = cut_lineage(
+        points.groupBy(frame, F.col(value).alias("_v")).agg(F.count("*").alias("_c")).withColumn("_p", range_of(F.col("_v"), cuts))
     )
     upto = Window.orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
     # One row per frame: a single small window.
@@ -287,21 +288,19 @@ def running_band(points: DataFrame, frame: str, value: str, width: float = 2.0,
     ).select(
         frame, F.sum("_n").over(upto).alias("n"), F.sum("_s").over(upto).alias("_s"), F.sum("_q").over(upto).alias("_q")
     )
-    parts = counts.select("_p").distinct()
-    per = counts.groupBy(frame, "_p").agg(F.sum("_c").alias("_m"))
-    # At most frames x pieces rows.
-    full = totals.select(frame, "n").join(F.broadcast(parts), F.lit(True)).join(per, [frame, "_p"], "left")
-    wp = Window.partitionBy("_p").orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
-    wf = Window.partitionBy(frame).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    full = full.withColumn("_cum", F.sum(F.coalesce("_m", F.lit(0))).over(wp)).withColumn("_to", F.sum("_cum").over(wf))
     ranks = F.array(*[
-        F.struct(F.lit(i).alias("side"), f((F.col("n") - 1) / 2).cast("long").alias("rank")) for i, f in enumerate((F.floor, F.ceil))
+        F.struct(F.lit(i).alias("side"), f((F.col("n") - 1) / 2).cast("long").alias("k")) for i, f in enumerate((F.floor, F.ceil))
     ])
-    want = full.select(frame, "n", "_p", "_cum", "_to", F.explode(ranks).alias("_r")).filter(
-        (F.col("_r.rank") < F.col("_to")) & (F.col("_r.rank") >= F.col("_to") - F.col("_cum"))
-    ).select(frame, "n", "_p", "_r.side", (F.col("_r.rank") - (F.col("_to") - F.col("_cum"))).alias("_k"))
-    other = counts.select("_p", "_v", "_c", F.col(frame).alias("_f"))
-    merged = want.join(other, "_p").filter(F.col("_f") <= F.col(frame)).groupBy(frame, "n", "side", "_k", "_v").agg(F.sum("_c").alias("_c"))
+    want = totals.select(frame, F.explode(ranks).alias("_r")).select(frame, "_r.side", F.col("_r.k").alias("_k"))
+    want = cut_lineage(_narrow(counts, want, frame, [], "_p"))
+    ends = counts.groupBy("_p").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    hot = counts.join(want.select("_p").distinct(), "_p", "left_semi").join(ends, "_p")
+    span = F.col("_hi") - F.col("_lo")
+    sub = F.when(span > 0, F.floor((F.col("_v") - F.col("_lo")) / F.when(span > 0, span).otherwise(F.lit(1.0)) * 255)).otherwise(F.lit(0))
+    hot = hot.select(frame, "_v", "_c", "_p", sub.cast("long").alias("_p2"))
+    want = _narrow(hot, want, frame, ["_p"], "_p2")
+    other = hot.select("_p", "_p2", "_v", "_c", F.col(frame).alias("_f"))
+    merged = want.join(other, ["_p", "_p2"]).filter(F.col("_f") <= F.col(frame)).groupBy(frame, "side", "_k", "_v").agg(F.sum("_c").alias("_c"))
     wv = Window.partitionBy(frame, "side").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = merged.withColumn("_to", F.sum("_c").over(wv))
     mid = ranked.filter((F.col("_k") < F.col("_to")) & (F.col("_k") >= F.col("_to") - F.col("_c"))).groupBy(frame).agg(F.avg("_v").alias("median"))
@@ -311,3 +310,27 @@ def running_band(points: DataFrame, frame: str, value: str, width: float = 2.0,
         frame, "n", "median", dev.alias("deviation"),
         (F.col("median") - dev * width).alias("band_lo"), (F.col("median") + dev * width).alias("band_hi"),
     )
+
+
+def _narrow(counts: DataFrame, want: DataFrame, frame: str, parts: list[str], part: str) -> DataFrame:
+    """Move each wanted rank into the value part that holds it.
+
+    ``want``: frame, side, parts, _k (rank among the points of ``parts`` up to the frame).
+    Frames that ask are rows of zero count beside the per-frame counts, so one running
+    sum per part answers them all.
+    """
+    per = counts.groupBy(*parts, part, frame).agg(F.sum("_c").alias("_m")).withColumn("_ask", F.lit(0))
+    slots = counts.select(*parts, part).distinct()
+    askers = want.select(frame, *parts).distinct()
+    asked = askers.join(slots, parts) if parts else askers.join(F.broadcast(slots), F.lit(True))
+    rows = per.select(*parts, part, frame, "_m", "_ask").unionByName(
+        asked.select(*parts, part, frame, F.lit(0).cast("long").alias("_m"), F.lit(1).alias("_ask"))
+    )
+    so_far = Window.partitionBy(*parts, part).orderBy(frame, "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    cum = rows.withColumn("_cum", F.sum("_m").over(so_far)).filter("_ask = 1")
+    below = Window.partitionBy(*parts, frame).orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
+    cum = cum.select(*parts, part, frame, "_cum", F.sum("_cum").over(below).alias("_to"))
+    start = F.col("_to") - F.col("_cum")
+    return want.join(cum, [frame, *parts]).filter((F.col("_k") < F.col("_to")) & (F.col("_k") >= start)).select(
+        frame, "side", *parts, part, (F.col("_k") - start).alias("_k")
+    )

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.session import cut_lineage
+
 BLOCK = 2048
 
 
@@ -190,6 +192,8 @@ def similarity_consensus(matches: DataFrame, hypotheses: int = 16, tol: float =
     lower h; pairs with fewer than ``least`` inliers drop out.
     """
     c = F.col
+    # At most max_matches rows per image pair, read for seeding and for scoring.
+    matches = cut_lineage(matches)
     key = (c("kp1") * 7919 + c("kp2") * 104729) % 1000003
     w = Window.partitionBy("img1", "img2").orderBy(key, "kp1", "kp2")
     seeds = matches.withColumn("_r", F.row_number().over(w) - 1).filter(c("_r") < 2 * hypotheses)

@@ -127,7 +127,7 @@ def pose_links(t):
     SELECT place, building, floor, a, b, CASE WHEN hit THEN round(least(1,greatest(0,((305-px)*dx+(30-py)*dy)/(dx*dx+dy*dy)))*sqrt(dx*dx+dy*dy),6)+0.0 END AS door_px FROM x""",
 )
 def door_events(t):
-    pairs = fg.node_pairs(nav_nodes(t)).join(floor_polys(t), MAP_KEY)
+    pairs = fg.node_pairs(nav_nodes(t), floor_polys(t))
     out = pg.door_crossing(pairs, ("a_x", "a_y", "b_x", "b_y"))
     return out.select(*MAP_KEY, c("a_node_id").alias("a"), c("b_node_id").alias("b"), clean(c("door_px")).alias("door_px"))
 
