@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import angles, names, text
 from waymark.operators.polygons import door_crossing, room_label
+from waymark.session import cut_lineage, parallelism
 
 MAP_KEY = ["place", "building", "floor"]
 FLUSH = "struct<px:double,door:double,e0:int,e1:int>"
@@ -24,6 +25,8 @@ def route_steps(rows: DataFrame, scales: DataFrame, floors: DataFrame) -> DataFr
     ``rows``: trip_id, seq, place, building, floor (null for a start that is no node), x, y,
     description. ``floors``: map key, polys.
     """
+    # A fixed partitioning by trip serves both windows and keeps the door tests spread.
+    rows = rows.repartition(parallelism(rows.sparkSession), "trip_id")
     w = Window.partitionBy("trip_id").orderBy("seq")
     nxt = F.struct(*[F.col(k).alias(f"{k}1") for k in MAP_KEY], F.col("x").alias("x1"), F.col("y").alias("y1"), F.lower("description").alias("desc1"))
     s = rows.withColumn("_n", F.lead(nxt).over(w)).filter(F.col("_n").isNotNull()).select(
@@ -156,8 +159,9 @@ def route_commands(
     """
     c = F.col
     heads = rows.groupBy("trip_id").agg(F.max("initial_heading").alias("initial_heading"))
-    steps = route_steps(rows, scales, floors).join(heads, "trip_id")
-    folded = fold_steps(steps)
+    # Steps and folded steps are each read several times below.
+    steps = cut_lineage(route_steps(rows, scales, floors).join(heads, "trip_id"))
+    folded = cut_lineage(fold_steps(steps))
     s = steps.join(folded, ["trip_id", "i"])
     u = F.lit(unit)
     here = {"place": c("place1"), "building": c("building1"), "floor": c("floor1"), "e0": c("i")}

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.session import cut_lineage, parallelism
+
 MAP_KEY = ["place", "building", "floor"]
 # Shape groups.
 WALKABLE, OBSTACLE, DOOR = 0, 1, 2
@@ -216,6 +218,7 @@ def boundary_pieces(floors: DataFrame) -> DataFrame:
     Every edge is cut where it meets the others; a piece belongs to the outline when
     exactly one of its sides is covered.
     """
+    floors = cut_lineage(floors).repartition(parallelism(floors.sparkSession), *MAP_KEY)
     edges = floors.select(*MAP_KEY, "polys", F.explode(all_edges(F.col("polys"))).alias("e"))
     e = F.col("e")
     rows = edges.select(*MAP_KEY, "polys", e["ax"].alias("ax"), e["ay"].alias("ay"), e["bx"].alias("bx"), e["by"].alias("by"))

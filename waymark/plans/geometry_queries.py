@@ -10,6 +10,7 @@ from waymark.operators import polygons as pg
 from waymark.plans import recipes as rec
 from waymark.plans.lookup_queries import CONNECTOR_SQL, connector_nodes, nav_nodes
 from waymark.plans.registry import query
+from waymark.session import parallelism
 from waymark.sources import annotations as ann
 
 c = F.col
@@ -165,9 +166,10 @@ def snap_in_sql(offset, name):
 
 
 def strays(t):
-    return rec.point_shapes(t).select(
+    points = rec.point_shapes(t).select(
         c("pos").alias("point_id"), *MAP_KEY, (c("x") * 1.2 - 30.3).alias("x"), (c("y") * 1.5 - 15.2).alias("y")
     )
+    return points.repartition(parallelism(t.spark), *MAP_KEY)
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from waymark.functions.geometry import clean
 from waymark.plans import recipes as rec
 from waymark.plans.registry import query
+from waymark.session import shared_folder
 from waymark.sources import annotations as ann
 from waymark.sources import clouds, features, map_blobs, sparse_model, trajectories
 
@@ -281,12 +282,7 @@ def raw_matches(t):
 )
 def pairs_sink(t):
     """Write match rows by segment, read them back and list the canonical pairs."""
-    import tempfile
-
-    from waymark.session import ensure_checkpoint_dir
-
-    base = ensure_checkpoint_dir(t.spark)
-    path = f"{base.rstrip('/')}/pairs-{next(tempfile._get_candidate_names())}"
+    path = shared_folder(t.spark, "pairs")
     features.write_matches(raw_matches(t), path)
     back = t.spark.read.parquet(path)
     counts = back.filter(c("img1") != c("img2")).groupBy(

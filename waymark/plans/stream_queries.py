@@ -8,6 +8,7 @@ from waymark.functions.geometry import clean
 from waymark.plans import recipes as rec
 from waymark.plans.localize_queries import LOCALIZE_SQL, frame_inputs, rounded
 from waymark.plans.registry import query
+from waymark.session import shared_folder
 from waymark.streaming import history, jobs
 
 c = F.col
@@ -25,7 +26,7 @@ def stream_last5(t):
     frames = source.select(
         c("user_id").alias("session"), c("event_type").alias("map_key"), "event_id", c("ts").cast("timestamp").alias("ts"), "value"
     )
-    table = jobs.stream_to_table(history.last_frames_stream(frames), jobs.shared_folder(t.spark, "last5"))
+    table = jobs.stream_to_table(history.last_frames_stream(frames), shared_folder(t.spark, "last5"))
     return table.withColumn("mean_value", clean(c("mean_value")))
 
 
@@ -35,9 +36,9 @@ def localize_stream(t):
     frames, feats, poses = frame_inputs(t)
     stamped = frames.withColumn("ts", F.timestamp_seconds(c("query") + 1_700_000_000))
     twice = stamped.unionByName(stamped.filter(c("query") % 3 == 0))
-    inbox = jobs.shared_folder(t.spark, "frames")
+    inbox = shared_folder(t.spark, "frames")
     twice.write.parquet(inbox)
     stream = t.spark.readStream.schema(twice.schema).parquet(inbox)
-    out = jobs.shared_folder(t.spark, "poses")
+    out = shared_folder(t.spark, "poses")
     jobs.localize_stream(stream, feats, poses, out, k=10, least=2, min_score=0.3)
     return rounded(t.spark.read.parquet(out).drop("batch"))

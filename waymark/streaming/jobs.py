@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from waymark.operators.localize import localize
 from waymark.operators.lookups import merge_labels
-from waymark.session import cut_lineage, ensure_checkpoint_dir
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from waymark.session import cut_lineage, shared_folder
 
 
 def run_available(writer, path: str) -> StreamingQuery:
