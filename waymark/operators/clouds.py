@@ -292,13 +292,13 @@ def running_band(points: DataFrame, frame: str, value: str, width: float = 2.0,
         F.struct(F.lit(i).alias("side"), f((F.col("n") - 1) / 2).cast("long").alias("k")) for i, f in enumerate((F.floor, F.ceil))
     ])
     want = totals.select(frame, F.explode(ranks).alias("_r")).select(frame, "_r.side", F.col("_r.k").alias("_k"))
-    want = cut_lineage(_narrow(counts, want, frame, [], "_p"))
+    want = cut_lineage(_narrow(counts, want, frame, [], "_p", len(cuts) + 1))
     ends = counts.groupBy("_p").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     hot = counts.join(want.select("_p").distinct(), "_p", "left_semi").join(ends, "_p")
     span = F.col("_hi") - F.col("_lo")
     sub = F.when(span > 0, F.floor((F.col("_v") - F.col("_lo")) / F.when(span > 0, span).otherwise(F.lit(1.0)) * 255)).otherwise(F.lit(0))
     hot = hot.select(frame, "_v", "_c", "_p", sub.cast("long").alias("_p2"))
-    want = _narrow(hot, want, frame, ["_p"], "_p2")
+    want = _narrow(hot, want, frame, ["_p"], "_p2", 256)
     other = hot.select("_p", "_p2", "_v", "_c", F.col(frame).alias("_f"))
     merged = want.join(other, ["_p", "_p2"]).filter(F.col("_f") <= F.col(frame)).groupBy(frame, "side", "_k", "_v").agg(F.sum("_c").alias("_c"))
     wv = Window.partitionBy(frame, "side").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
@@ -312,17 +312,17 @@ def running_band(points: DataFrame, frame: str, value: str, width: float = 2.0,
     )
 
 
-def _narrow(counts: DataFrame, want: DataFrame, frame: str, parts: list[str], part: str) -> DataFrame:
+def _narrow(counts: DataFrame, want: DataFrame, frame: str, parts: list[str], part: str, slots: int) -> DataFrame:
     """Move each wanted rank into the value part that holds it.
 
     ``want``: frame, side, parts, _k (rank among the points of ``parts`` up to the frame).
+    ``slots`` is how many values the new part column can take.
     Frames that ask are rows of zero count beside the per-frame counts, so one running
     sum per part answers them all.
     """
     per = counts.groupBy(*parts, part, frame).agg(F.sum("_c").alias("_m")).withColumn("_ask", F.lit(0))
-    slots = counts.select(*parts, part).distinct()
     askers = want.select(frame, *parts).distinct()
-    asked = askers.join(slots, parts) if parts else askers.join(F.broadcast(slots), F.lit(True))
+    asked = askers.withColumn(part, F.explode(F.sequence(F.lit(0).cast(counts.schema[part].dataType), F.lit(slots - 1).cast(counts.schema[part].dataType))))
     rows = per.select(*parts, part, frame, "_m", "_ask").unionByName(
         asked.select(*parts, part, frame, F.lit(0).cast("long").alias("_m"), F.lit(1).alias("_ask"))
     )

@@ -10,7 +10,7 @@ from waymark.functions.names import pair_id
 
 def read_model_text(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as source, body (one file per floor, so files stay small)."""
-    return spark.read.option("wholetext", "true").text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("source"), F.col("value").alias("body")
     )
 

@@ -11,10 +11,10 @@ FIELDS = ("frame_id", "tx", "ty", "tz", "qx", "qy", "qz", "qw")
 def read_trajectories(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
     """One small text file per floor; lines are numbered within their file."""
     docs = (
-        spark.read.option("wholetext", "true")
+        spark.read
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .text(root)
+        .text(root, wholetext=True)
         .select(F.input_file_name().alias("source"), F.col("value").alias("body"))
     )
     return parse_trajectories(docs)
