@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.operators.ranks import quantiles
+from waymark.operators.ranks import quantiles, with_row
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Put per-group statistics on every row. Without keys the statistics are one row."""
     if keys:
         return df.join(stats, list(keys))
-    return df.join(F.broadcast(stats), F.lit(True))
+    return with_row(df, stats)
 
 
 def bounds(points: DataFrame, axes: Sequence[str], keys: Sequence[str] = (), pad: float = 0.0) -> DataFrame:
@@ -217,7 +217,7 @@ def coverage(cells: DataFrame, frame: DataFrame, approximate: bool = False) -> D
     else:
         used = cells.select("gx", "gz").distinct().agg(F.count("*").alias("occupied"))
     area = F.col("grid_w") * F.col("grid_h")
-    return used.join(F.broadcast(frame), F.lit(True)).select(
+    return with_row(used, frame.select("grid_w", "grid_h")).select(
         "occupied", "grid_w", "grid_h", (F.col("occupied") * 100.0 / area).alias("percent")
     )
 

@@ -129,6 +129,12 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     return found.select(*keys, *out)
 
 
+def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Put the columns of a one-row table on every row as a scalar subquery (more rows are an error)."""
+    row = one.select(F.struct(*one.columns).alias("_s")).scalar()
+    return df.withColumn("_one", row).select(*df.columns, *[F.col("_one")[n].alias(n) for n in one.columns])
+
+
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank"
 ) -> DataFrame:

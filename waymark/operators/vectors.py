@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.ranks import with_row
 from waymark.session import cut_lineage
 
 BLOCK = 2048
@@ -24,7 +25,7 @@ def pack(df: DataFrame, keys: Sequence[str], id_col: str, vec: str, extra: str |
     """keys, blk, nblk, ids, extras, flat: the vectors of each block as one float array."""
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("nblk"))
-    rows = df.join(sizes, keys) if keys else df.join(F.broadcast(sizes), F.lit(True))
+    rows = df.join(sizes, keys) if keys else with_row(df, sizes)
     rows = rows.withColumn("blk", F.pmod(F.xxhash64(id_col), F.col("nblk")).cast("int"))
     member = F.struct(F.col(id_col).alias("i"), F.col(extra or id_col).alias("e"), F.col(vec).cast("array<float>").alias("v"))
     packed = rows.groupBy(*keys, "nblk", "blk").agg(F.collect_list(member).alias("m"))
@@ -89,7 +90,7 @@ def retrieve_topk(
     )
     # Every query block visits every map block: join on the map block's number.
     count = d.select(F.max("nblk").alias("_nd"))
-    visits = q.join(F.broadcast(count), F.lit(True)).withColumn("d_blk", F.explode(F.sequence(F.lit(0), F.col("_nd") - 1)))
+    visits = with_row(q, count).withColumn("d_blk", F.explode(F.sequence(F.lit(0), F.col("_nd") - 1)))
     pairs = visits.join(d, "d_blk").select("q_ids", "q_flat", "d_ids", "d_extras", "d_flat")
     hits = pairs.mapInPandas(_topk(k, skip_self), "query long, map_key long, image long, score double")
     overall = Window.partitionBy("query").orderBy(F.desc("score"), "image")

@@ -231,10 +231,11 @@ net AS (SELECT c_custkey AS src, (c_custkey+1) % n AS dst, CAST(1+(c_custkey*31)
 
 
 def network(t) -> DataFrame:
+    from waymark.operators.ranks import with_row
+
     size = t.customer.agg(F.count("*").alias("n"))
     k = c("c_custkey")
-    # One-row broadcast: the node count.
-    base = t.customer.select("c_custkey").join(F.broadcast(size), F.lit(True))
+    base = with_row(t.customer.select("c_custkey"), size)
     arms = F.array(
         F.struct(((k + 1) % c("n")).alias("dst"), ((k * 31) % 9 + 1).cast("double").alias("weight")),
         F.struct(((k * 7 + 1) % c("n")).alias("dst"), ((k * 17) % 23 + 1).cast("double").alias("weight")),
