@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.session import read_table
+from waymark.session import read_table, ship_package
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name!r} registered twice")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
             return fn(Tables(spark, folder))
 
         run.__name__ = name

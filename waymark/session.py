@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -84,5 +85,16 @@ def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per context, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_waymark_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="waymark-package-"), "waymark")
+    sc.addPyFile(shutil.make_archive(base, "zip", root, "waymark"))
+    sc._waymark_shipped = True
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.cloudpickle import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
@@ -51,3 +53,8 @@ def last_frames_stream(frames: DataFrame, n: int = 5, ttl_ms: int | None = None)
         statefulProcessor=LastFrames(n, ttl_ms), outputStructType=OUTPUT, outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None",
     )
+
+
+# State servers start their own Python workers, which do not see files added to the
+# context: the processor travels with its code instead of by module name.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
