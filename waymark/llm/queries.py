@@ -62,6 +62,55 @@ def op4(spark, folder):
     return judge_urls(read_table(spark, folder, "pages").select("page_id", "url")).drop("url")
 
 
+@query("op2_toxicity")
+def op2(spark, folder):
+    """A toxicity score for every document."""
+    from waymark.llm.toxicity import score_toxicity
+
+    return score_toxicity(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"), keep=["doc_id"])
+
+
+def license_sql() -> str:
+    """Base phrases and template languages as SQL over the normalised words."""
+    from waymark.llm.licenses import PHRASES, TEMPLATES, template_regex
+
+    wide = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    places = " || ".join(
+        f"list_transform(list_filter(range(len(w)), lambda i: {' AND '.join(f"w[i+{k}]='{x}'" for k, x in enumerate(p.split(' '), 1))}), lambda i: {{'at': i, 'label': '{label}'}})" for p, label in PHRASES
+    )
+    accepted = ", ".join(f"CASE WHEN regexp_matches(t, '{template_regex(text)}') THEN '{label}' END" for label, text in TEMPLATES)
+    return f"""
+    WITH a AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{wide}') AS w FROM documents),
+    b AS (SELECT doc_id, w, {places} AS places, ' ' || array_to_string(w, ' ') || ' ' AS t FROM a),
+    c AS (SELECT doc_id, len(w) AS n_words, places, list_sort(list_distinct(list_transform(places, lambda p: p.label))) AS own, list_distinct(list_filter([{accepted}], lambda x: x IS NOT NULL)) AS more FROM b)
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(list_transform(places, lambda p: p.at)) AS BIGINT) AS first_word, CAST(list_max(list_transform(places, lambda p: p.at)) AS BIGINT) AS last_word,
+      array_to_string(own, ',') AS base_labels, array_to_string(list_sort(list_distinct(own || more)), ',') AS labels, CASE WHEN len(more) > 0 THEN 1.0 WHEN len(own) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM c"""
+
+
+@query("op5_licenses", license_sql())
+def op5(spark, folder):
+    """License wording in every document."""
+    from waymark.llm.licenses import find_licenses
+
+    return find_licenses(read_table(spark, folder, "documents"), keep=["doc_id"]).drop("matches")
+
+
+@query("op6_minhash")
+def op6(spark, folder):
+    """The near-duplicate class of every document."""
+    from waymark.llm.minhash import classes
+
+    return classes(read_table(spark, folder, "documents"))
+
+
+@query("op7_decontamination")
+def op7(spark, folder):
+    """Every document into which a benchmark item leaks, and the item."""
+    from waymark.llm.decontaminate import find_leaks
+
+    return find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
