@@ -111,6 +111,31 @@ def op7(spark, folder):
     return find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+@query("op8_embeddings")
+def op8(spark, folder):
+    """The near-duplicate component and link count of every vector."""
+    from waymark.llm.vectors import near_vectors
+
+    return near_vectors(read_table(spark, folder, "embeddings"))
+
+
+@query("op10_shards")
+def op10(spark, folder):
+    """Every document's token ids in training order, written as shards and read back."""
+    from waymark.llm.shards import shard_report
+
+    return shard_report(read_table(spark, folder, "documents"))
+
+
+@query("op9_pieces")
+def op9(spark, folder):
+    """Piece ids of every document, as a digest, and whether they decode to its text."""
+    from waymark.llm.pieces import encode, load_pieces, piece_report
+
+    model = load_pieces()
+    return piece_report(encode(read_table(spark, folder, "documents"), model), model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
