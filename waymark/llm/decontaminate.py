@@ -24,9 +24,9 @@ BLOCK = 256
 RANK = 192
 #: Words of a segment; a passage is SPAN segments and begins at every segment.
 SEGMENT, SPAN = 24, 3
-COSINE = 0.3
+COSINE = 0.45
 #: Share of an item's words that a text must hold in order, alone or with its answer.
-VERBATIM, LOOSE = 0.8, 0.6
+VERBATIM, LOOSE = 0.8, 0.65
 #: Words in more than this share of documents (and in more than FEW) carry no weight.
 COMMON, FEW = 0.1, 20
 
@@ -123,19 +123,17 @@ def _sketch(texts: DataFrame, vocab, weight, probe) -> np.ndarray:
         for b in batches:
             for w in words(b.column(0)):
                 at, k = vocab.value.find(w.hashes)
-                keep = weight.value[k] > 0
-                at, k = at[keep], k[keep]
                 if not len(at):
                     continue
                 rows = np.searchsorted(w.at, at, "right") - 1
                 long = -(-np.diff(w.at) // (SEGMENT * SPAN))
                 first = np.concatenate([[0], np.cumsum(long)])
                 p = first[rows] + (at - w.at[rows]) // (SEGMENT * SPAN)
-                _, p = np.unique(p, return_inverse=True)
+                p = np.concatenate([[0], np.cumsum(p[1:] != p[:-1])])
                 x = weight.value[k]
                 square = np.bincount(p, x * x)
-                x = x / np.sqrt(square)[p]
-                y = _sums(p, (probe.value[k] * x[:, None]).astype(np.float32), len(square))
+                x = (x / np.sqrt(square)[p]).astype(np.float32)
+                y = _sums(p, probe.value[k] * x[:, None], len(square))
                 seen += len(square)
                 order = np.argsort(k, kind="stable")
                 ks = k[order]
@@ -147,11 +145,10 @@ def _sketch(texts: DataFrame, vocab, weight, probe) -> np.ndarray:
     def add(pdf):
         return pdf.head(1).assign(part=[np.sum([np.frombuffer(x) for x in pdf["part"]], axis=0).tobytes()], seen=[pdf["seen"].sum()])
 
-    # Parts are first summed in groups of about forty, so no task holds those of the whole corpus.
-    parts = texts.mapInArrow(run, "slab long, part binary, seen long")
-    for key in ("pmod(spark_partition_id(), 64)", "0"):
-        grouped = parts.withColumn("g", F.expr(key).cast("long"))
-        parts = grouped.groupBy("slab", "g").applyInPandas(lambda pdf: add(pdf)[["slab", "part", "seen"]], "slab long, part binary, seen long")
+    # Parts are summed in groups of forty tasks, these in groups of forty, and so on: no task holds those of the whole corpus.
+    parts = texts.mapInArrow(run, "slab long, part binary, seen long").withColumn("g", F.spark_partition_id().cast("long"))
+    for fan in (40, 40, 1 << 40):
+        parts = parts.withColumn("g", F.floor(F.col("g") / fan)).groupBy("slab", "g").applyInPandas(add, "slab long, part binary, seen long, g long")
     out, seen = np.zeros((n, width)), 0
     for r in parts.toLocalIterator():
         out[r["slab"] * slab:(r["slab"] + 1) * slab] = np.frombuffer(bytes(r["part"])).reshape(-1, width)
@@ -173,6 +170,19 @@ def _latent(items, vocab, weight: np.ndarray, sketch: np.ndarray, seen: int, pro
     return (u * weight[:, None]).astype(np.float32), (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
+def _needs(items, vocab: Vocabulary) -> list[tuple[set[int], int, set[int], int]]:
+    """For each item its weighted words, how many of them any leak must hold, all its words and the number of repeats.
+
+    Words without weight and repeats are taken as held, so these bounds never lose a common subsequence.
+    """
+    out = []
+    for _, codes, _ in items:
+        _, k = vocab.find(np.array(codes, np.uint64))
+        own = set(k.tolist())
+        out.append((own, int(np.ceil(LOOSE * len(codes) - 1e-9)) - (len(codes) - len(own)), set(codes), len(codes) - len(set(codes))))
+    return out
+
+
 def _same(items, item: int, have: list[int]) -> float | None:
     """Share of the item's words that ``have`` holds in order, if that is a leak."""
     _, codes, answer = items[item]
@@ -185,6 +195,8 @@ def _same(items, item: int, have: list[int]) -> float | None:
 def _search(vocab, latent, items, names):
     def run(batches):
         basis, q = latent.value
+        needs = _needs(items.value, vocab.value)
+        widest = max(SEGMENT, *(len(codes) for _, codes, _ in items.value))
         for b in batches:
             took: list[int] = []
             out: list[tuple] = []
@@ -201,16 +213,28 @@ def _search(vocab, latent, items, names):
                 live = np.flatnonzero(size > 0)
                 close = (total[live] / size[live, None]) @ q.T
                 best: dict[tuple[int, int], tuple] = {}
-                for p, item in zip(*np.nonzero(close >= COSINE), strict=True):
-                    s, row = int(live[p]), int(owner[live[p]])
-                    begin = int(w.at[row]) + (s - int(first[row])) * SEGMENT
-                    long = len(items.value[item][1])
-                    have = w.hashes[max(int(w.at[row]), begin - SEGMENT):min(int(w.at[row + 1]), begin + SEGMENT * (SPAN + 1) + long)].tolist()
-                    share = _same(items.value, item, have)
+                near, which = np.nonzero(close >= COSINE)
+                last, words_of = -1, set()
+                for p, item in zip(near.tolist(), which.tolist(), strict=True):
+                    if p != last:
+                        last, s, row = p, int(live[p]), int(owner[live[p]])
+                        begin = int(w.at[row]) + (s - int(first[row])) * SEGMENT
+                        lo = max(int(w.at[row]), begin - widest)
+                        hi = min(int(w.at[row + 1]), begin + SEGMENT * SPAN + widest)
+                        words_of = set(k[np.searchsorted(at, lo):np.searchsorted(at, hi)].tolist())
+                        all_of = None
+                    own, need, every, repeats = needs[item]
+                    if len(own & words_of) < need:
+                        continue
+                    if all_of is None:
+                        all_of = set(w.hashes[lo:hi].tolist())
+                    if len(every & all_of) < LOOSE * (len(every) + repeats) - repeats:
+                        continue
+                    share = _same(items.value, item, w.hashes[lo:hi].tolist())
                     if share is not None:
                         got = (round(share, 6), round(float(close[p, item]), 4), begin - int(w.at[row]))
-                        if got > best.get((row, int(item)), (-1,)):
-                            best[row, int(item)] = got
+                        if got > best.get((row, item), (-1,)):
+                            best[row, item] = got
                 for (row, item), got in sorted(best.items()):
                     took.append(w.lo + row)
                     out.append((items.value[item][0], *got))
@@ -254,8 +278,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep:
         voc = send(vocab)
         count = _frequencies(texts, voc)
         n, df = count[-1], count[:-1]
-        weight = np.where(df <= max(COMMON * n, FEW), np.log((n + 1) / (df + 1)) + 1, 0.0)
-        probe = np.random.default_rng(7).standard_normal((len(vocab.hashes), min(RANK + 16, max(len(vocab.hashes), 1))))
+        rare = df <= max(COMMON * n, FEW)
+        vocab, weight = Vocabulary(vocab.hashes[rare]), (np.log((n + 1) / (df + 1)) + 1)[rare]
+        if not len(weight):
+            continue
+        voc = send(vocab)
+        probe = np.random.default_rng(7).standard_normal((len(vocab.hashes), min(RANK + 16, len(vocab.hashes))))
         sketch, seen = _sketch(texts, voc, send(weight), send(probe.astype(np.float32)))
         latent = send(_latent(items, vocab, weight, sketch, seen, probe))
         found = rows.mapInArrow(_search(voc, latent, send(items), [f.name for f in schema]), schema)
