@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.llm.words import Words, words
+from waymark.session import cut_lineage
 
 #: Items searched for in one pass over the texts.
 BLOCK = 256
@@ -296,5 +297,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     mark = [F.col(doc_id).alias("_i"), F.xxhash64(F.col(text)).alias("_h")]
     rows = docs.select("*", *mark)
     bad = find_leaks(rows, benchmark, text, keep=("_i", "_h")).select("_i", "_h").distinct()
-    bad = bad.toDF("_bi", "_bh")
+    bad = cut_lineage(bad.toDF("_bi", "_bh"))
     return rows.join(bad, rows["_i"].eqNullSafe(bad["_bi"]) & (rows["_h"] == bad["_bh"]), "left_anti").select(*docs.columns)

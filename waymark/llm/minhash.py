@@ -189,7 +189,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **optio
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that ``classes`` keeps, all columns."""
     marks, _ = near_duplicates(docs, doc_id, text, **options)
-    stay = marks.where("keeper").select("key", "class_id")
-    rows = docs.withColumn("_key", text_key(F.col(text)))
-    rows = rows.join(stay, (F.col("_key") == stay["key"]) & F.col(doc_id).eqNullSafe(stay["class_id"])).select(*docs.columns, "_key")
+    stay = cut_lineage(marks.where("keeper").select(F.col("key").alias("_stay"), F.col("class_id").alias("_class")))
+    rows = docs.select("*", text_key(F.col(text)).alias("_key"))
+    rows = rows.join(stay, (F.col("_key") == F.col("_stay")) & F.col(doc_id).eqNullSafe(F.col("_class")), "left_semi")
     return rows.dropDuplicates([doc_id, "_key"]).drop("_key")
