@@ -21,6 +21,8 @@ SIZE = 5
 LEAST = 0.8
 #: 20 bands of 5 coordinates find a pair of similarity 0.8 with probability 0.9996.
 BANDS, DEPTH = 20, 5
+#: Slots of the table that orders shingles by how common they are.
+SLOTS = 1 << 21
 _GAP = np.uint64(0x9E3779B97F4A7C15)
 _CELL = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -133,8 +135,55 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE, least: float
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _similar(batches, size, least), "a long, b long")
 
 
+def _frequencies(texts: DataFrame, size: int) -> np.ndarray:
+    """How many texts hold a shingle of each of SLOTS hash slots: an ordering aid of fixed size."""
+
+    def count(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for w in words(b.column(0)):
+                _, h, _ = weighted(*shingles(w, size))
+                total += np.bincount((h % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        for lo in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[lo:lo + (1 << 16)]), pa.array(total[at[lo:lo + (1 << 16)]])], names=["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for r in texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["slot"]] = r["n"]
+    return out
+
+
+def across_components(texts: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
+    """Pairs (a, b) of ``texts`` (node, c, text) of different ``c`` that can be similar: no similar pair is missed.
+
+    Each text's shingles are put in one global order, rare ones first. Two texts of Jaccard similarity ``least`` share a shingle
+    so early that enough of both is left behind it; only such meetings become pairs (prefix and position filters).
+    """
+    order = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, size))
+
+    def prefixes(batches):
+        for b in batches:
+            node, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for w in words(b.column(2)):
+                rows, h, _ = weighted(*shingles(w, size))
+                n = np.bincount(rows, minlength=w.hi - w.lo)
+                sort = np.lexsort((h, order.value[(h % np.uint64(SLOTS)).astype(np.int64)], rows))
+                rows, h = rows[sort], h[sort]
+                place = np.arange(len(rows)) - (np.cumsum(n) - n)[rows]
+                keep = place <= n[rows] * (1 - least) + 1e-9
+                rows, h, place = rows[keep], h[keep], place[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node[w.lo + rows]), pa.array(c[w.lo + rows]), pa.array(n[rows]), pa.array(n[rows] - place)], names=["h", "node", "c", "n", "left"])
+
+    keys = cut_lineage(texts.select("node", "c", "text").mapInArrow(prefixes, "h long, node long, c long, n long, left long"))
+    a, b = keys.alias("x"), keys.alias("y")
+    enough = least / (1 + least)
+    met = F.expr(f"x.h = y.h AND x.c < y.c AND least(x.left, y.left) >= {enough!r} * (x.n + y.n) - 1e-6")
+    return a.join(b, met).select(F.expr("greatest(x.node, y.node)").alias("a"), F.expr("least(x.node, y.node)").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, least: float = LEAST, bands: int = BANDS, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """(marks, keepers) of the near-duplicate classes of ``docs``.
+    """(marks, links) of the near-duplicate classes of ``docs``.
 
     ``marks`` has one row (key, class_id, keeper) for each distinct text: ``class_id`` is the smallest id of all rows of
     its class, ``keeper`` says whether the class keeps this text (the one of the smallest id; null ids come
@@ -142,31 +191,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``least`` or more are linked, and classes are the connected components. Null texts count as empty; texts
     without words link with nothing but their exact copies.
 
-    A bucket's texts are compared with its smallest one; buckets in which more than one component is left are then
-    compared across components, so no group is ever expanded into all its pairs.
+    A bucket's texts are compared with its best connected one. Texts of buckets in which more than one component is left go on to
+    an exact search across components, so no group is ever expanded into all its pairs.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
     sig = signatures(rows, F.col("t"), bands, depth, size)
     distinct = sig.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     distinct = cut_lineage(distinct.select(F.monotonically_increasing_id().alias("node"), "*"))
     buckets = distinct.select("node", F.explode("bands").alias("band"))
-    many = buckets.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    many = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = cut_lineage(buckets.join(many, "band"))
-    pairs = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    needed = members.select("node").distinct().join(distinct.select("node", "key"), "node")
+    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    ranked = members.join(degree, "node").select("band", "node", F.struct(F.col("degree"), (-F.col("node")).alias("m")).alias("r"))
+    pivots = ranked.groupBy("band").agg((-F.max("r")["m"]).alias("pivot"))
+    pairs = members.join(pivots, "band").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    needed = degree.select("node").join(distinct.select("node", "key"), "node")
     texts = rows.select(text_key(F.col("t")).alias("key"), F.col("t").alias("text")).join(needed, "key").groupBy("node").agg(F.first("text").alias("text"))
     texts = cut_lineage(texts)
     links = cut_lineage(verified(pairs, texts, size, least))
     found = components(links)
     left = members.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
     split = left.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    left = cut_lineage(left.join(split, "band"))
-    other = left.select("band", F.col("node").alias("b"), F.col("c").alias("cb"))
-    across = left.select("band", F.col("node").alias("a"), "c").join(other, "band").where("c < cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    across = across.join(pairs, ["a", "b"], "left_anti")
-    more = cut_lineage(verified(across, texts, size, least))
+    open_ = cut_lineage(left.join(split, "band", "left_semi").select("node", "c").distinct().join(texts, "node"))
+    more = cut_lineage(verified(across_components(open_, size, least), texts, size, least))
     if more.take(1):
-        found = components(links.unionAll(more))
+        links = links.unionAll(more)
+        found = components(links)
     nodes = distinct.select("node", "key", "id").join(found, "node", "left").select("key", "id", F.coalesce("component", "node").alias("component"))
     first = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("key").alias("key"))).alias("f")
     heads = nodes.groupBy("component").agg(first)
