@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.spans import digest, match_spans
+from waymark.llm.spans import digest, let, match_spans, running
 from waymark.session import cut_lineage
 
 # Kinds in the order of the digest, and their strict patterns. Possessive repeats and
@@ -81,20 +81,18 @@ def _windows(text: Column) -> Column:
     """Every run of up to TOKENS identifier-like tokens: (start, end, text), outer marks stripped."""
     runs = match_spans(text, RUN)
 
-    def of_run(run):
-        tokens = F.split(run["text"], " ")
-        ends = F.aggregate(tokens, F.array(F.lit(-1)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + 1 + F.length(t))))
+    def window(run, tokens, ends, i, k):
+        return F.struct((run["start"] + F.element_at(ends, i) + i - 1).alias("start"), F.array_join(F.slice(tokens, i, k + 1), " ").alias("text"))
+
+    def of_tokens(run, tokens, ends):
         return F.flatten(F.transform(
             F.sequence(F.lit(1), F.size(tokens)),
-            lambda i: F.transform(
-                F.sequence(F.lit(0), F.least(F.lit(TOKENS - 1), F.size(tokens) - i)),
-                lambda k: F.struct(
-                    (run["start"] + F.element_at(ends, i) + 1).alias("start"),
-                    F.array_join(F.slice(tokens, i, k + 1), " ").alias("text"),
-                ),
-            ),
+            lambda i: F.transform(F.sequence(F.lit(0), F.least(F.lit(TOKENS - 1), F.size(tokens) - i)), lambda k: window(run, tokens, ends, i, k)),
         ))
 
+    def of_run(run):
+        return let(F.split(run["text"], " "), lambda tokens: let(running(F.transform(tokens, F.length)), lambda ends: of_tokens(run, tokens, ends)))
+
     def stripped(w):
         lead = F.length(F.regexp_extract(w["text"], r"^[\"'<\[({]*", 0))
         core = F.regexp_extract(w["text"], r"^[\"'<\[({]*(.*?)[.,;:!?\"'>\])}]*$", 1)
@@ -146,7 +144,7 @@ def find_pii(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = N
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "added", "maybe", "_row", "_body", "_win")]
     found = mentions(docs, text, keep)
-    new = scored(found, rounds).where((F.col("seed") == 0) & (F.col("score") >= least)).select("kind", "text")
+    new = scored(found, rounds).where(F.col("score") >= least).select("kind", "text")
     good = F.lit(False)
     for kind in KINDS:
         good = good | ((F.col("kind") == kind) & valid(kind, F.col("text")))

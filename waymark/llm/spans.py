@@ -8,18 +8,31 @@ from pyspark.sql import functions as F
 _BLOCK = 256
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value`` evaluated once; lambdas would evaluate it again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _sums(values: Column) -> Column:
     """0 and the running sums of a short array."""
     return F.aggregate(values, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
 
 
-def _running(values: Column) -> Column:
+def running(values: Column) -> Column:
     """0 and the running sums of an array of any size: blocks first, so that long texts cost no square."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK)), lambda b: F.slice(values, b.cast("int") * _BLOCK + 1, F.lit(_BLOCK)))
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
-    before = _sums(totals)
-    inner = F.transform(blocks, lambda b, i: F.transform(F.slice(_sums(b), 1, F.size(b)), lambda x: x + F.element_at(before, i + 1)))
-    return F.when(F.size(values) <= _BLOCK, _sums(values)).otherwise(F.concat(F.flatten(inner), F.array(F.element_at(before, -1))))
+
+    def by_block(v):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK)), lambda b: F.slice(v, b.cast("int") * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def shifted(blocks, before):
+        inner = F.transform(blocks, lambda b, i: let(F.element_at(before, i + 1), lambda o: F.transform(F.slice(_sums(b), 1, F.size(b)), lambda x: x + o)))
+        return F.concat(F.flatten(inner), F.array(F.element_at(before, -1)))
+
+    def whole(blocks):
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+        return let(_sums(totals), lambda before: shifted(blocks, before))
+
+    return let(values, lambda v: F.when(F.size(v) <= _BLOCK, _sums(v)).otherwise(let(by_block(v), whole)))
 
 
 def match_spans(text: Column, pattern: str, groups: tuple[int, ...] = (0,)) -> Column:
@@ -28,25 +41,20 @@ def match_spans(text: Column, pattern: str, groups: tuple[int, ...] = (0,)) -> C
     The pattern must not match the empty text. Null texts give an empty array. The gaps between the
     matches come from ``split``, so a match starts where the gaps and matches before it end.
     """
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.flatten(F.zip_with(gaps, F.transform(hits, F.length), lambda g, h: F.array(g, F.coalesce(h, F.lit(0)))))
-    at = _running(both)
-    more = {f"g{k}": F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in groups if k}
+    extra = [k for k in groups if k]
+    take = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+    parts = F.struct(F.transform(F.split(text, pattern, -1), F.length).alias("gaps"), take(0).alias("hits"), *(take(k).alias(f"g{k}") for k in extra))
 
-    def row(h, i):
+    def row(p, at, h, i):
         start = F.element_at(at, i * 2 + 2)
-        return F.struct(start.alias("start"), (start + F.length(h)).cast("int").alias("end"), h.alias("text"), *(F.element_at(c, i + 1).alias(n) for n, c in more.items()))
-
-    found = F.transform(hits, row)
-    return F.when(text.rlike(pattern), found).otherwise(F.filter(F.transform(F.array(F.lit("")), row0(groups)), lambda _: F.lit(False)))
-
+        return F.struct(start.alias("start"), (start + F.length(h)).cast("int").alias("end"), h.alias("text"), *(F.element_at(p[f"g{k}"], i + 1).alias(f"g{k}") for k in extra))
 
-def row0(groups):
-    def one(x):
-        return F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), x.alias("text"), *(x.alias(f"g{k}") for k in groups if k))
+    def placed(p):
+        both = F.flatten(F.zip_with(p["gaps"], F.transform(p["hits"], F.length), lambda g, h: F.array(g, F.coalesce(h, F.lit(0)))))
+        return let(running(both), lambda at: F.transform(p["hits"], lambda h, i: row(p, at, h, i)))
 
-    return one
+    fields = ["start:int", "end:int", "text:string", *(f"g{k}:string" for k in extra)]
+    return F.when(text.rlike(pattern), let(parts, placed)).otherwise(F.array().cast(f"array<struct<{','.join(fields)}>>"))
 
 
 def digest(spans: Column, kinds: tuple[str, ...], by_kind: bool) -> Column:
