@@ -120,14 +120,23 @@ def _hash_runs(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def hash_texts(column: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each row, 0 for empty ones; long columns in steps of bounded bytes."""
     raw, at = buffers(column)
-    return _hash_runs(raw[at[0]:at[-1]], at[:-1] - at[0]) if len(column) else np.zeros(0, np.uint64)
+    out = np.zeros(len(column), np.uint64)
+    lo = 0
+    while lo < len(column):
+        hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + STEP, "right")) - 1), len(column))
+        full = lo + np.flatnonzero(at[lo + 1:hi + 1] > at[lo:hi])
+        if len(full):
+            out[full] = _hash_runs(raw[at[lo]:at[hi]], at[full] - at[lo])
+        lo = hi
+    return out
 
 
 def islands(column: pa.Array, reach: Reach) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
     """(hash of each island in order, islands of each row, text of each distinct island; spaces stay spaces)."""
     raw, at = buffers(column)
-    hashes, counts, known = [], np.zeros(len(column), np.int64), {}
+    hashes, begins, ends, counts = [], [], [], np.zeros(len(column), np.int64)
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + STEP, "right")) - 1)
@@ -139,33 +148,42 @@ def islands(column: pa.Array, reach: Reach) -> tuple[np.ndarray, np.ndarray, dic
             begin[1:] = ~reach(cp[:-1], cp[1:])
             begin[np.searchsorted(first, cuts[cuts < len(text)])] = True
             starts = first[begin]
-            h = _hash_runs(text, starts)
             counts[lo:hi] = np.diff(np.searchsorted(starts, np.append(cuts, len(text))))
-            hashes.append(h)
-            ends = np.append(starts[1:], len(text))
-            u, at_u = np.unique(h, return_index=True)
-            body = text.tobytes()
-            for x, k in zip(u.tolist(), at_u.tolist(), strict=True):
-                if x not in known:
-                    known[x] = body[starts[k]:ends[k]]
+            hashes.append(_hash_runs(text, starts))
+            begins.append(starts + at[lo])
+            ends.append(np.append(starts[1:], len(text)) + at[lo])
         lo = hi
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), counts, known
+    if not hashes:
+        return np.zeros(0, np.uint64), counts, {}
+    h = np.concatenate(hashes)
+    u, k = np.unique(h, return_index=True)
+    body = memoryview(raw)
+    spans = zip(u.tolist(), np.concatenate(begins)[k].tolist(), np.concatenate(ends)[k].tolist(), strict=True)
+    return h, counts, {x: bytes(body[b:e]) for x, b, e in spans}
 
 
 # --- the lattice -----------------------------------------------------------------------------------------------------
 
 
-def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, lattice): map from span key to the rank of the piece there, for each distinct ``word``.
+def lattices(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """(word, blocks, lattice) for each row (x, y, word, blocks) of ``words``: a map from span key to the rank of the piece there.
 
-    Substrings of up to ``longest`` characters are exploded and equi-joined to the piece table, which is of fixed size.
+    Substrings of up to ``longest`` characters are exploded and equi-joined to the piece table, which is of fixed size; its
+    empty piece keeps the word itself. ``words`` is dealt by x and y, hashes of the word, so grouping the
+    edges again moves nothing.
     """
     n = F.length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + longest))).alias("e"))
-    spans = spans.select("word", (F.col("s") * _ROW + F.col("e")).alias("k"), F.substr("word", F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
+    starts = words.select("x", "y", "word", "blocks", F.explode(F.sequence(F.lit(-1), n - 1)).alias("s"))
+    own = F.col("s") < 0
+    ends = F.when(own, F.array(F.lit(-1))).otherwise(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + longest)))
+    spans = starts.select("x", "y", "word", "blocks", "s", F.explode(ends).alias("e"))
+    piece = F.when(own, F.lit("")).otherwise(F.substr("word", F.col("s") + 1, F.col("e") - F.col("s")))
+    spans = spans.select("x", "y", F.when(own, F.col("word")).alias("word"), F.when(own, F.col("blocks")).alias("blocks"), (F.col("s") * _ROW + F.col("e")).alias("k"), piece.alias("piece"))
     hits = spans.join(F.broadcast(pieces), "piece")
-    return hits.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("k", "rank"))).alias("lattice"))
+    edge = F.when(F.col("k") >= 0, F.struct("k", "rank"))
+    grouped = hits.groupBy("x", "y").agg(F.first("word", True).alias("word"), F.first("blocks", True).alias("blocks"), F.count("word").alias("n"), F.collect_list(edge).alias("edges"))
+    one = F.when(F.col("n") > 1, F.raise_error(F.lit("two islands share their hashes"))).otherwise(F.col("word"))
+    return grouped.select(one.alias("word"), "blocks", F.map_from_entries("edges").alias("lattice"))
 
 
 def merge_fold(word: Column, lattice: Column) -> Column:
@@ -211,17 +229,19 @@ def _literal(values: Sequence, kind: str) -> Column:
 
 
 def encode_words(words: DataFrame, model: Pieces) -> DataFrame:
-    """(word, ids) for the distinct islands ``word`` (SPACE for spaces) of up to LONG characters."""
+    """(word, blocks, ids) for the rows (word, block) of ``words``: islands of up to LONG characters (SPACE for spaces)."""
     spark = words.sparkSession
-    table = spark.createDataFrame([(p, r) for r, (p, _, _) in enumerate(model.pieces)], "piece string, rank int")
-    rows = words.join(edges(words, table, model.longest), "word", "left").select("word", F.coalesce("lattice", F.create_map().cast("map<int,int>")).alias("lattice"))
+    table = spark.createDataFrame([("", -1), *((p, r) for r, (p, _, _) in enumerate(model.pieces))], "piece string, rank int")
+    dealt = words.select(F.xxhash64("word").alias("x"), F.hash("word").alias("y"), "word", "block").repartition("x", "y")
+    distinct = dealt.groupBy("x", "y", "word").agg(F.collect_set("block").alias("blocks"))
+    rows = lattices(distinct, table, model.longest)
     word, lattice = F.col("word"), F.col("lattice")
     if model.kind == "bpe":
         borders = merge_fold(word, lattice)
     else:
         scores = [s for _, _, s in model.pieces]
         borders = viterbi_fold(word, lattice, _literal(scores, "double"), min(scores) - 10.0, model.longest)
-    rows = rows.select("word", "lattice", borders.alias("b"))
+    rows = rows.select("word", "blocks", "lattice", borders.alias("b"))
     id_of, byte_of = _literal([i for _, i, _ in model.pieces], "int"), _literal(model.bytes_ or [model.unknown], "int")
 
     def ids(end, i):
@@ -231,7 +251,7 @@ def encode_words(words: DataFrame, model: Pieces) -> DataFrame:
         fallback = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int")), lambda j: F.element_at(byte_of, F.conv(F.substr(raw, j * 2 + 1, F.lit(2)), 16, 10).cast("int") + 1))
         return F.when(rank.isNotNull(), F.array(F.element_at(id_of, rank + 1))).otherwise(fallback if model.bytes_ else F.array(F.lit(model.unknown)))
 
-    return rows.select("word", F.flatten(F.transform(F.slice("b", F.lit(2), F.size("b")), ids)).alias("ids"))
+    return rows.select("word", "blocks", F.flatten(F.transform(F.slice("b", F.lit(2), F.size("b")), ids)).alias("ids"))
 
 
 def merge_long(word: str, rank: dict[str, int]) -> list[str]:
@@ -386,8 +406,7 @@ def encode(docs: DataFrame, model: Pieces, doc_id: str = "doc_id", text: str = "
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.when(body != "", F.concat(F.lit(" "), body)).otherwise("").alias("t"))
     held = rows.mapInArrow(_distinct(model), "block long, word string")
-    ids = encode_words(held.select("word").distinct(), model)
-    back = held.join(ids, "word").groupBy("block").agg(F.collect_list(F.struct("word", "ids")).alias("words"))
+    back = encode_words(held, model).select(F.explode("blocks").alias("block"), F.struct("word", "ids").alias("w")).groupBy("block").agg(F.collect_list("w").alias("words"))
     packed = rows.mapInArrow(_packed(model), _PACKED_SQL)
     none = F.array().cast("array<struct<word:string,ids:array<int>>>")
     both = packed.join(back, "block", "left").select(*(c for c in packed.columns), F.coalesce("words", none).alias("words"))
