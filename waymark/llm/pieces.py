@@ -396,14 +396,14 @@ def _assembled(model: Pieces):
 def encode(docs: DataFrame, model: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (id, ids, check) for each row of ``docs``; ``check`` is a hash of the text with its leading space, for round trips.
 
-    Ids equal those of the model's library. Null and empty texts have no ids. Rows with equal or null ids each keep
+    A text's own SPACE marks count as spaces, which the model cannot tell from them. Ids equal those of the model's library. Null and empty texts have no ids. Rows with equal or null ids each keep
     their own result; other columns do not matter. ``docs`` must give its rows in the same order each
     time it is read, as a table does; a change of that order is noticed and fails the job.
     """
     from waymark.session import ship_package
 
     ship_package(docs.sparkSession)
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(SPACE), F.lit(" "))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.when(body != "", F.concat(F.lit(" "), body)).otherwise("").alias("t"))
     held = rows.mapInArrow(_distinct(model), "block long, word string")
     back = encode_words(held, model).select(F.explode("blocks").alias("block"), F.struct("word", "ids").alias("w")).groupBy("block").agg(F.collect_list("w").alias("words"))
