@@ -25,7 +25,7 @@ from waymark.llm.words import _POWERS, _powers, buffers, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of text in a block, at most (a longer text is one alone).
-BLOCK = 24 << 20
+BLOCK = 12 << 20
 STEP = 1 << 20
 #: Islands longer than this many characters are folded one by one in the task that unpacks them (same merges).
 LONG = 48
@@ -136,7 +136,7 @@ def hash_texts(column: pa.Array) -> np.ndarray:
 def islands(column: pa.Array, reach: Reach) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
     """(hash of each island in order, islands of each row, text of each distinct island; spaces stay spaces)."""
     raw, at = buffers(column)
-    hashes, begins, ends, counts = [], [], [], np.zeros(len(column), np.int64)
+    hashes, begins, counts = [], [], np.zeros(len(column), np.int64)
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + STEP, "right")) - 1)
@@ -150,15 +150,16 @@ def islands(column: pa.Array, reach: Reach) -> tuple[np.ndarray, np.ndarray, dic
             starts = first[begin]
             counts[lo:hi] = np.diff(np.searchsorted(starts, np.append(cuts, len(text))))
             hashes.append(_hash_runs(text, starts))
-            begins.append(starts + at[lo])
-            ends.append(np.append(starts[1:], len(text)) + at[lo])
+            begins.append((starts + at[lo]).astype(np.int32 if at[-1] < 1 << 31 else np.int64))
         lo = hi
     if not hashes:
         return np.zeros(0, np.uint64), counts, {}
     h = np.concatenate(hashes)
     u, k = np.unique(h, return_index=True)
     body = memoryview(raw)
-    spans = zip(u.tolist(), np.concatenate(begins)[k].tolist(), np.concatenate(ends)[k].tolist(), strict=True)
+    # Rows follow each other without gaps, so an island ends where the next one begins.
+    begin = np.append(np.concatenate(begins), at[-1])
+    spans = zip(u.tolist(), begin[k].tolist(), begin[k + 1].tolist(), strict=True)
     return h, counts, {x: bytes(body[b:e]) for x, b, e in spans}
 
 
@@ -288,23 +289,34 @@ def merge_long(word: str, rank: dict[str, int]) -> list[str]:
 # --- texts -----------------------------------------------------------------------------------------------------------
 
 
+def _gathered(batches):
+    """The rows of all batches in tables of about BLOCK bytes of text (column 1); one row is never split."""
+    held, size = [], 0
+    for b in batches:
+        _, at = buffers(b.column(1))
+        lo = 0
+        while lo < b.num_rows:
+            hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + BLOCK - size, "right")) - 1), b.num_rows)
+            held.append(b.slice(lo, hi - lo))
+            size += int(at[hi] - at[lo])
+            lo = hi
+            if size >= BLOCK or lo < b.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _blocks(model: Pieces):
     reach = Reach(model)
 
     def run(batches):
         part, no = TaskContext.get().partitionId(), 0
-        for b in batches:
-            _, at = buffers(b.column(1))
-            lo = 0
-            while lo < b.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + BLOCK, "right")) - 1)
-                hi = min(hi, b.num_rows)
-                rows = b.slice(lo, hi - lo)
-                h, counts, known = islands(rows.column(1), reach)
-                order = np.array(sorted(known), np.uint64)
-                yield part, no, rows, np.searchsorted(order, h).astype(np.uint32), counts, [known[x].decode() for x in order.tolist()]
-                no += 1
-                lo = hi
+        for rows in _gathered(batches):
+            h, counts, known = islands(rows.column(1), reach)
+            order = np.array(sorted(known), np.uint64)
+            yield part, no, rows, np.searchsorted(order, h).astype(np.uint32), counts, [known[x].decode() for x in order.tolist()]
+            no += 1
 
     return run
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.session import read_table, ship_package
+from waymark.llm.session import prepare
+from waymark.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +16,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return fn(spark, folder)
 
         run.__name__, run.__doc__ = name, fn.__doc__

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import decontaminate, minhash, pieces, secrets, toxicity
-from waymark.session import read_table, ship_package
+from waymark.llm.session import prepare
+from waymark.session import read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the toxicity models do not call toxic; they learn from the labels of ``folder``."""
-    ship_package(spark)
+    prepare(spark)
     scored = toxicity.score_toxicity(docs, read_table(spark, folder, "labels"), keep=docs.columns)
     return scored.where("predicted = 0").select(*docs.columns)
 
@@ -19,13 +20,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each near-duplicate class, that of the smallest id."""
     del folder
-    ship_package(spark)
+    prepare(spark)
     return minhash.keep_first(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents into which no item of ``folder``'s benchmark leaks."""
-    ship_package(spark)
+    prepare(spark)
     return decontaminate.without_leaks(docs, read_table(spark, folder, "benchmark"))
 
 
@@ -39,6 +40,6 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 def encode_pieces(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, n_tokens, ids): the piece ids of every document."""
     del folder
-    ship_package(spark)
+    prepare(spark)
     coded = pieces.encode(docs, pieces.load_pieces())
     return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids")
