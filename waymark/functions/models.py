@@ -42,18 +42,15 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
 
 
-def load_text_hash(dim: int = 16):
-    """Deterministic stand-in for a descriptor model: hashed words of the whole text, unit length."""
-    import zlib
+def load_letters():
+    """Deterministic stand-in for a descriptor model: how often each small letter stands in the whole text, unit length."""
 
     def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros((len(pdf), dim))
-        for r, text in enumerate(pdf["text"]):
-            slots = np.fromiter((zlib.crc32(w.encode()) % dim for w in (text or "").split()), dtype=np.int64)
-            out[r] = np.bincount(slots, minlength=dim) if len(slots) else 0
-        return pd.DataFrame({"id": pdf["id"], "vec": [v.astype("float32").tolist() for v in unit(out)]})
+        texts = pdf["text"].fillna("")
+        counts = np.column_stack([texts.str.count(x) for x in "abcdefghijklmnopqrstuvwxyz"]).astype("float64").reshape(len(pdf), 26)
+        return pd.DataFrame({"id": pdf["id"], "vec": list(unit(counts))})
 
     return apply
 
 
-register("text-hash", load_text_hash, "id long, vec array<float>")
+register("letters", load_letters, "id long, vec array<double>")

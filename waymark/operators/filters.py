@@ -62,7 +62,7 @@ def with_landmark(frames: DataFrame, observations: str = "observations") -> Data
 
 def hash_sample(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """k rows chosen by hash order of the key: the same rows whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(k)
+    return df.orderBy(F.md5(F.concat_ws("#", F.col(key), F.lit(str(seed)))), F.col(key)).limit(k)
 
 
 def strided_cap(df: DataFrame, keys: Sequence[str], order: Sequence[str], most: int) -> DataFrame:

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Offsets of the elliptic kernels of side 3 and 5.
-KERNELS = {
-    3: ((0, -1), (-1, 0), (0, 0), (1, 0), (0, 1)),
-    5: (
-        (0, -2),
-        (-2, -1), (-1, -1), (0, -1), (1, -1), (2, -1),
-        (-2, 0), (-1, 0), (0, 0), (1, 0), (2, 0),
-        (-2, 1), (-1, 1), (0, 1), (1, 1), (2, 1),
-        (0, 2),
-    ),
-}
+def kernel(side: int) -> list[tuple[int, int]]:
+    """Offsets of the elliptic kernel of an odd side: each line reaches as far as the ellipse, rounded half to even."""
+    if side < 1 or side % 2 == 0:
+        raise ValueError(f"a kernel side is odd, not {side}")
+    r = side // 2
+    reach = {dz: round(r * math.sqrt(1 - dz * dz / (r * r))) if r else 0 for dz in range(-r, r + 1)}
+    return [(dx, dz) for dz, far in reach.items() for dx in range(-far, far + 1)]
 
 
 def kernel_for(res: float, metres: float = 0.2) -> int:
@@ -25,17 +23,11 @@ def kernel_for(res: float, metres: float = 0.2) -> int:
 
 
 def _spread(cells: DataFrame, side: int) -> DataFrame:
-    moves = F.array(*[F.struct((F.col("gx") + dx).alias("gx"), (F.col("gz") + dz).alias("gz")) for dx, dz in KERNELS[side]])
+    moves = F.array(*[F.struct((F.col("gx") + dx).alias("gx"), (F.col("gz") + dz).alias("gz")) for dx, dz in kernel(side)])
     rest = [c for c in cells.columns if c not in ("gx", "gz")]
     return cells.select(*rest, F.explode(moves).alias("_m")).select(*rest, "_m.gx", "_m.gz")
 
 
-def _inside(cells: DataFrame, width: int | None, height: int | None) -> DataFrame:
-    if width is None:
-        return cells
-    return cells.filter(F.col("gx").between(0, width - 1) & F.col("gz").between(0, height - 1))
-
-
 def dilate(cells: DataFrame, side: int) -> DataFrame:
     return _spread(cells.select("gx", "gz"), side).distinct()
 
@@ -43,7 +35,7 @@ def dilate(cells: DataFrame, side: int) -> DataFrame:
 def erode(cells: DataFrame, side: int) -> DataFrame:
     """Cells whose whole kernel is set; beyond the rim counts as set only through padding."""
     hits = _spread(cells.select("gx", "gz"), side).groupBy("gx", "gz").agg(F.count("*").alias("_k"))
-    return hits.filter(F.col("_k") == len(KERNELS[side])).select("gx", "gz")
+    return hits.filter(F.col("_k") == len(kernel(side))).select("gx", "gz")
 
 
 def close_open(cells: DataFrame, side: int, open_side: int = 3) -> DataFrame:

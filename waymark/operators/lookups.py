@@ -79,7 +79,7 @@ def _grams(text: Column, size: int) -> Column:
 
 
 def search_names(terms: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame:
-    """First name (by ``ord``) containing each term, ignoring case; terms without a hit drop out.
+    """First name (by ``ord``) containing each term, ignoring case; null for terms without a hit.
 
     ``terms`` holds term_id, term; ``names`` holds name, ord. Each term is looked up
     by its rarest substring of up to ``gram`` characters, so this is a hash join on
@@ -105,7 +105,8 @@ def search_names(terms: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame
         .select("term_id", "_t", F.col("_m.g").alias("_g"))
     )
     hits = rarest.join(have, "_g").filter(F.contains("_n", "_t"))
-    return hits.groupBy("term_id").agg(F.min(F.struct("ord", "name")).alias("m")).select("term_id", "m.ord", "m.name")
+    best = hits.groupBy("term_id").agg(F.min(F.struct("ord", "name")).alias("m"))
+    return terms.select("term_id").join(best, "term_id", "left").select("term_id", "m.ord", "m.name")
 
 
 def last_changes(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

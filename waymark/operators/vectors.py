@@ -167,29 +167,32 @@ MatchFn = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.nd
 def custom_matches(pairs: DataFrame, feats: DataFrame, fn: MatchFn, block: int = BLOCK) -> DataFrame:
     """Matches proposed by ``fn(desc1, desc2) -> (rows, columns, confidence)`` per block pair.
 
-    Proposals of different blocks are settled here: a match survives when it is the most
-    confident one of both its keypoints.
+    Proposals of different blocks are settled here: each left keypoint keeps its most confident
+    proposal, then each right keypoint the most confident of those. For a matcher that proposes each row's best
+    column the result does not depend on the block size.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 a, b = np.asarray(row.a_ids), np.asarray(row.b_ids)
-                i, j, conf = fn(matrix(row.a_flat, len(a)), matrix(row.b_flat, len(b)))
+                oa, ob = np.argsort(a), np.argsort(b)
+                i, j, conf = fn(matrix(row.a_flat, len(a))[oa], matrix(row.b_flat, len(b))[ob])
+                a, b = a[oa], b[ob]
                 yield pd.DataFrame({"img1": row.img1, "img2": row.img2, "kp1": a[i], "kp2": b[j], "conf": conf})
 
     found = pair_blocks(pairs, feats, block).mapInPandas(run, "img1 long, img2 long, kp1 long, kp2 long, conf double")
     order = F.struct((-F.col("conf")).alias("n"), "kp1", "kp2")
-    best1 = found.groupBy("img1", "img2", "kp1").agg(F.min(order).alias("m")).select("img1", "img2", "m.kp1", "m.kp2", (-F.col("m.n")).alias("conf"))
-    best2 = found.groupBy("img1", "img2", "kp2").agg(F.min(order).alias("m")).select("img1", "img2", "m.kp1", "m.kp2")
-    return best1.join(best2, ["img1", "img2", "kp1", "kp2"])
+    best = found.groupBy("img1", "img2", "kp1").agg(F.min(order).alias("m")).select("img1", "img2", "m.kp1", "m.kp2", (-F.col("m.n")).alias("conf"))
+    best = best.groupBy("img1", "img2", "kp2").agg(F.min(order).alias("m"))
+    return best.select("img1", "img2", "m.kp1", "m.kp2", (-F.col("m.n")).alias("conf"))
 
 
-def similarity_consensus(matches: DataFrame, hypotheses: int = 16, tol: float = 6.0, least: int = 4) -> DataFrame:
+def similarity_consensus(matches: DataFrame, tol: float = 6.0, least: int = 4) -> DataFrame:
     """Inlier matches of the best planar similarity per image pair.
 
     ``matches``: img1, img2, kp1, kp2, x1, y1, x2, y2. Matches are ordered by a fixed hash;
-    the h-th hypothesis is the transform through matches 2h and 2h+1. Ties go to the
+    the h-th hypothesis is the transform through matches 2h and 2h+1, and all of them are scored. Ties go to the
     lower h; pairs with fewer than ``least`` inliers drop out.
     """
     c = F.col
@@ -197,7 +200,7 @@ def similarity_consensus(matches: DataFrame, hypotheses: int = 16, tol: float =
     matches = cut_lineage(matches)
     key = (c("kp1") * 7919 + c("kp2") * 104729) % 1000003
     w = Window.partitionBy("img1", "img2").orderBy(key, "kp1", "kp2")
-    seeds = matches.withColumn("_r", F.row_number().over(w) - 1).filter(c("_r") < 2 * hypotheses)
+    seeds = matches.withColumn("_r", F.row_number().over(w) - 1)
     pick = lambda n, odd: F.max(F.when(c("_r") % 2 == odd, c(n)))
     hyp = seeds.groupBy("img1", "img2", F.floor(c("_r") / 2).alias("h")).agg(
         F.count("*").alias("_n"), *[pick(n, o).alias(f"{n}_{o}") for n in ("x1", "y1", "x2", "y2") for o in (0, 1)]

@@ -110,9 +110,22 @@ def plane_cov(t):
     return out.withColumns({p: clean(c(p), 4) for p in ("xx", "xy", "xz", "yy", "yz", "zz")})
 
 
-@query("plane_normal")
+@query(
+    "plane_normal",
+    f"""WITH {rec.CLOUD_SQL}, v AS (SELECT kf, count(*) AS n, covar_samp(x,x) AS xx, covar_samp(x,y) AS xy, covar_samp(x,z) AS xz, covar_samp(y,y) AS yy, covar_samp(y,z) AS yz, covar_samp(z,z) AS zz FROM cloud GROUP BY kf HAVING count(*)>=3),
+    q AS (SELECT *, (xx+yy+zz)/3 AS m FROM v), p AS (SELECT *, sqrt((pow(xx-m,2)+pow(yy-m,2)+pow(zz-m,2)+2*(xy*xy+xz*xz+yz*yz))/6) AS s FROM q),
+    d AS (SELECT *, ((xx-m)*((yy-m)*(zz-m)-yz*yz)-xy*(xy*(zz-m)-yz*xz)+xz*(xy*yz-(yy-m)*xz))/(2*s*s*s) AS h FROM p)
+    SELECT kf, n, 1.0 AS length, true AS upward, round(m+2*s*cos(acos(least(greatest(h,-1),1))/3+2*pi()/3),3)+0.0 AS spread, true AS turned FROM d""",
+)
 def plane_normal(t):
-    return clouds.plane_normal(rec.cloud(t), ["kf"])
+    """The normal as SQL can hold it: of unit length, not downward, with the covariance's smallest eigenvalue as spread along it, and turned onto +Y."""
+    pts = rec.cloud(t)
+    got = clouds.plane_normal(pts, ["kf"]).join(clouds.covariance(pts, ["kf"]).drop("n"), "kf")
+    x, y, z = c("nx"), c("ny"), c("nz")
+    spread = x * x * c("xx") + y * y * c("yy") + z * z * c("zz") + 2 * (x * y * c("xy") + x * z * c("xz") + y * z * c("yz"))
+    top = [c(f"r{3 * i}") * x + c(f"r{3 * i + 1}") * y + c(f"r{3 * i + 2}") * z for i in range(3)]
+    turned = (F.abs(top[0]) < 0.02) & (F.abs(top[1] - 1) < 0.02) & (F.abs(top[2]) < 0.02)
+    return got.select("kf", "n", F.round(F.sqrt(x * x + y * y + z * z), 6).alias("length"), (y >= 0).alias("upward"), clean(spread, 3).alias("spread"), turned.alias("turned"))
 
 
 @query(
@@ -178,7 +191,7 @@ def outcome_stats(t):
 
 @query(
     "grid_overlay",
-    f"""WITH {GRID_SQL}, a AS (SELECT DISTINCT gx,gz FROM pc WHERE l_linenumber % 2 = 1 AND l_partkey % 3 = 0), b AS (SELECT DISTINCT gx,gz FROM pc WHERE l_linenumber % 2 = 0 AND l_partkey % 3 = 1)
+    f"""WITH {GRID_SQL}, a AS (SELECT DISTINCT gx,gz FROM pc WHERE l_linenumber % 2 = 1), b AS (SELECT DISTINCT gx,gz FROM pc WHERE l_linenumber % 2 = 0)
     SELECT coalesce(a.gx,b.gx) AS gx, coalesce(a.gz,b.gz) AS gz, CASE WHEN b.gx IS NULL THEN 'a only' WHEN a.gx IS NULL THEN 'b only' ELSE 'both' END AS where_set FROM a FULL JOIN b ON a.gx=b.gx AND a.gz=b.gz""",
 )
 def grid_overlay(t):
@@ -188,34 +201,46 @@ def grid_overlay(t):
         "gx": clouds.cell(c("x"), c("x_min"), RES), "gz": clouds.cell(c("z"), c("z_min"), RES),
     })
     # Two extraction methods, each finding part of the floor.
-    a = placed.filter((c("l_linenumber") % 2 == 1) & (c("l_partkey") % 3 == 0))
-    b = placed.filter((c("l_linenumber") % 2 == 0) & (c("l_partkey") % 3 == 1))
+    a = placed.filter(c("l_linenumber") % 2 == 1)
+    b = placed.filter(c("l_linenumber") % 2 == 0)
     return clouds.grid_overlay(a, b)
 
 
-def _kernel_values(side):
-    return ", ".join(f"({dx},{dz})" for dx, dz in grids.KERNELS[side])
+def morph_sql(side):
+    """Closing with an elliptic kernel of ``side`` and opening with one of 3, from the formula of the ellipse."""
 
+    def kernel(name, k):
+        r = k // 2
+        far = f"round_even({r}*sqrt(1-dz*dz/({r}*{r})::DOUBLE),0)" if r else "0"
+        return f"{name}(dx,dz) AS (SELECT dx, dz FROM range(-{r},{r + 1}) a(dx), range(-{r},{r + 1}) b(dz) WHERE abs(dx)<={far})"
 
-MORPH_SQL = f"""{GRID_SQL}, k5(dx,dz) AS (VALUES {_kernel_values(5)}), k3(dx,dz) AS (VALUES {_kernel_values(3)}),
-d1 AS (SELECT DISTINCT gx+dx AS gx, gz+dz AS gz FROM cells, k5),
-cl AS (SELECT gx+dx AS gx, gz+dz AS gz FROM d1, k5 GROUP BY ALL HAVING count(*)=17),
+    return f"""WITH {GRID_SQL}, {kernel('kc', side)}, {kernel('k3', 3)},
+d1 AS (SELECT DISTINCT gx+dx AS gx, gz+dz AS gz FROM cells, kc),
+cl AS (SELECT gx+dx AS gx, gz+dz AS gz FROM d1, kc GROUP BY ALL HAVING count(*)=(SELECT count(*) FROM kc)),
 e1 AS (SELECT gx+dx AS gx, gz+dz AS gz FROM cl, k3 GROUP BY ALL HAVING count(*)=5),
 op AS (SELECT DISTINCT gx+dx AS gx, gz+dz AS gz FROM e1, k3),
-gr AS (SELECT gx+dx AS gx, gz+dz AS gz, max(r) AS r, max(g) AS g, max(b) AS b FROM cells, k3 GROUP BY 1, 2)"""
+gr AS (SELECT gx+dx AS gx, gz+dz AS gz, max(r) AS r, max(g) AS g, max(b) AS b FROM cells, k3 GROUP BY 1, 2)
+SELECT cl.gx, cl.gz, op.gx IS NOT NULL AS kept, coalesce(gr.r,0) AS r, coalesce(gr.g,0) AS g, coalesce(gr.b,0) AS b
+FROM cl LEFT JOIN op ON op.gx=cl.gx AND op.gz=cl.gz LEFT JOIN gr ON gr.gx=cl.gx AND gr.gz=cl.gz"""
 
 
-@query(
-    "grid_morphology",
-    f"""WITH {MORPH_SQL} SELECT cl.gx, cl.gz, op.gx IS NOT NULL AS kept, coalesce(gr.r,0) AS r, coalesce(gr.g,0) AS g, coalesce(gr.b,0) AS b
-    FROM cl LEFT JOIN op ON op.gx=cl.gx AND op.gz=cl.gz LEFT JOIN gr ON gr.gx=cl.gx AND gr.gz=cl.gz""",
-)
-def grid_morphology(t):
+def morphology(t, side):
     cells_, _ = grid(t)
-    closed = grids.close_open(cells_, 5)
+    closed = grids.close_open(cells_, side)
     return closed.join(grids.fill_colours(cells_, closed), ["gx", "gz"])
 
 
+@query("grid_morphology", morph_sql(5))
+def grid_morphology(t):
+    return morphology(t, 5)
+
+
+@query("grid_morphology_wide", morph_sql(9))
+def grid_morphology_wide(t):
+    """The kernel of a finer grid, whose closing distance covers nine cells."""
+    return morphology(t, grids.kernel_for(0.025))
+
+
 @query(
     "progressive_cloud",
     f"""WITH {rec.CLOUD_SQL}, k AS (SELECT DISTINCT kf FROM cloud)
@@ -253,7 +278,7 @@ def door_clusters(t):
 
 
 RAY_SQL = f"""{rec.CLOUD_SQL},
-mk AS (SELECT l_suppkey AS kf, l_partkey % 8 + (l_suppkey*5) % 56 AS u, l_orderkey % 6 + 14 AS v FROM lineitem WHERE l_returnflag='R'),
+mk AS (SELECT l_suppkey AS kf, l_partkey % 8 + (l_suppkey*5) % 56 AS u, l_orderkey % 6 + 14 AS v FROM lineitem),
 ce AS (SELECT kf, CAST(trunc(avg(u)) AS BIGINT) AS u, CAST(trunc(avg(v)) AS BIGINT) AS v FROM mk GROUP BY kf),
 br AS (SELECT kf, (u/64-0.5)*2*pi() AS lon, (v/32-0.5)*pi() AS lat, radians((kf*10) % 360) AS a FROM ce),
 bw AS (SELECT kf, a, cos(lat)*sin(lon) AS bx, sin(lat) AS b_y, cos(lat)*cos(lon) AS bz FROM br),
@@ -273,7 +298,7 @@ def door_rays(t):
         s.alias("kf"), *[r.alias(f"r{i}") for i, r in enumerate(g.rot_y(((s * 10) % 360).cast("double")))],
         (s % 50).cast("double").alias("px"), F.lit(1.0).alias("py"), (s % 100).cast("double").alias("pz"),
     )
-    masks = t.lineitem.filter(c("l_returnflag") == "R").select(
+    masks = t.lineitem.select(
         c("l_suppkey").alias("kf"), (c("l_partkey") % 8 + (c("l_suppkey") * 5) % 56).alias("u"), (c("l_orderkey") % 6 + 14).alias("v")
     )
     out = cells.door_points(masks, kfs, rec.cloud(t).select("x", "y", "z"), (64, 32))

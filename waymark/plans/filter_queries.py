@@ -66,7 +66,11 @@ def valid_obs(t):
     return kept.select("image", "o.kp_idx", "o.x", "o.y", c("o.landmark").alias("point_id"))
 
 
-@query("hash_sample")
+@query(
+    "hash_sample",
+    f"""WITH {rec.CLOUD_SQL}, k AS (SELECT kf, x, y, z, r, g, b, l_orderkey, l_linenumber, l_partkey, l_orderkey||'-'||l_linenumber||'-'||l_partkey AS row_key FROM cloud)
+    SELECT * FROM k ORDER BY md5(row_key||'#0'), row_key LIMIT 50000""",
+)
 def hash_sample(t):
     return filters.hash_sample(rec.cloud(t).withColumn("row_key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")), "row_key", 50000)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geometry import clean
 from waymark.operators import lookups
+from waymark.operators.ranks import with_row
 from waymark.plans import recipes as rec
 from waymark.plans.registry import query
 from waymark.plans.source_queries import LABEL_ROWS_SQL, label_rows
@@ -49,13 +50,14 @@ def kf_landmarks(t):
 
 @query(
     "hydrate_candidates",
-    """WITH cand AS (SELECT event_id AS query, (event_id*7) % 700 AS image, ((event_id*7) % 700) % 10 AS map_key, value AS score FROM events)
+    """WITH cand AS (SELECT event_id AS query, (event_id*7) % (SELECT count(*) FROM embeddings) AS image, ((event_id*7) % (SELECT count(*) FROM embeddings)) % 10 AS map_key, value AS score FROM events)
     SELECT query, image, map_key, score, label AS frame_label, embedding[1]::DOUBLE AS first_desc FROM cand JOIN embeddings ON vec_id=image""",
 )
 def hydrate_candidates(t):
     e = c("event_id")
-    image = (e * 7) % 700
-    cand = t.events.select(e.alias("query"), image.alias("image"), (image % 10).alias("map_key"), c("value").alias("score"))
+    image = (e * 7) % c("_n")
+    events = with_row(t.events, t.embeddings.agg(F.count("*").alias("_n")))
+    cand = events.select(e.alias("query"), image.alias("image"), (image % 10).alias("map_key"), c("value").alias("score"))
     base = t.embeddings.select((c("vec_id") % 10).alias("map_key"), c("vec_id").alias("image"), "label", "embedding")
     frames = base.select("map_key", "image", c("label").alias("frame_label"))
     feats = base.select("map_key", "image", c("embedding")[0].cast("double").alias("first_desc"))
@@ -123,7 +125,7 @@ def label_lookup(t):
     """WITH al AS (SELECT ['en','zh','th'][CAST(c_custkey % 3 AS INT)+1] AS lang, 'a'||c_custkey AS alias,
         CASE WHEN c_custkey % 4 = 0 THEN r_name ELSE r_name||'/'||n_name||'/'||c_mktsegment||'/'||c_custkey END AS canonical
         FROM customer JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey),
-    rq AS (SELECT event_id, ['en','zh','th'][CAST(event_id % 3 AS INT)+1] AS lang, trim('  a'||(event_id % 2000)||' ') AS text FROM events)
+    rq AS (SELECT event_id, ['en','zh','th'][CAST(event_id % 3 AS INT)+1] AS lang, trim('  a'||(event_id % (SELECT count(*) FROM customer))||' ') AS text FROM events)
     SELECT event_id, canonical, split_part(canonical,'/',1) AS place, nullif(split_part(canonical,'/',2),'') AS building, nullif(split_part(canonical,'/',4),'') AS dest_id
     FROM rq LEFT JOIN al ON al.lang=rq.lang AND al.alias=rq.text""",
 )
@@ -136,8 +138,8 @@ def alias_resolve(t):
         langs[(k % 3).cast("int")].alias("lang"), F.concat(F.lit("a"), k).alias("alias"),
         F.when(k % 4 == 0, c("place")).otherwise(full).alias("canonical"),
     )
-    req = t.events.select(
-        "event_id", langs[(e % 3).cast("int")].alias("lang"), F.concat(F.lit("  a"), e % 2000, F.lit(" ")).alias("text")
+    req = with_row(t.events, t.customer.agg(F.count("*").alias("_n"))).select(
+        "event_id", langs[(e % 3).cast("int")].alias("lang"), F.concat(F.lit("  a"), e % c("_n"), F.lit(" ")).alias("text")
     )
     return lookups.resolve_alias(req, aliases).select("event_id", "canonical", "place", "building", "dest_id")
 
@@ -146,7 +148,7 @@ def alias_resolve(t):
     "dest_search",
     """WITH q AS (SELECT s_suppkey AS term_id, CAST(s_suppkey AS VARCHAR) AS term FROM supplier UNION ALL
       SELECT 1000000000 + s_suppkey, 'MER#'||lpad(CAST(s_suppkey*3 AS VARCHAR),9,'0') FROM supplier)
-    SELECT term_id, min(c_custkey) AS ord, min_by(c_name,c_custkey) AS name FROM q JOIN customer ON contains(lower(c_name),lower(term)) GROUP BY 1""",
+    SELECT term_id, min(c_custkey) AS ord, min_by(c_name,c_custkey) AS name FROM q LEFT JOIN customer ON contains(lower(c_name),lower(term)) GROUP BY 1""",
 )
 def dest_search(t):
     s = c("s_suppkey")
@@ -212,7 +214,7 @@ def dest_tree(t):
     ch AS (SELECT CASE WHEN event_id % 50 = 7 THEN 'rooms' ELSE 'destinations' END AS section,
        r_name||'/'||n_name||'/'||c_mktsegment||'/'||c_custkey AS key, ['en','zh','fr'][CAST(event_id % 3 AS INT)+1] AS lang,
        CASE WHEN event_id % 4 = 0 THEN '  ' ELSE ' new '||event_id||' ' END AS text, ts, event_id
-       FROM events JOIN customer ON c_custkey = (event_id*13) % 900 JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey),
+       FROM events JOIN customer ON c_custkey = (event_id*13) % (SELECT count(*) FROM customer) JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey),
     la AS (SELECT section, key, lang, trim(max_by(text, (ts, event_id))) AS text FROM ch WHERE section='destinations' GROUP BY ALL)
     SELECT coalesce(a.section,b.section) AS section, coalesce(a.key,b.key) AS key, coalesce(a.lang,b.lang) AS lang, CASE WHEN b.section IS NOT NULL THEN b.text ELSE a.text END AS text
     FROM lab a FULL JOIN la b ON a.section=b.section AND a.key=b.key AND a.lang=b.lang WHERE b.section IS NULL OR b.text <> ''""",
@@ -228,7 +230,8 @@ def label_changes(t):
     cust = t.customer.join(nat, c("c_nationkey") == c("n_nationkey")).select(
         "c_custkey", F.concat_ws("/", "place", "building", "c_mktsegment", "c_custkey").alias("key")
     )
-    return t.events.join(cust, (e * 13) % 900 == c("c_custkey")).select(
+    events = with_row(t.events, t.customer.agg(F.count("*").alias("_n")))
+    return events.join(cust, (e * 13) % c("_n") == c("c_custkey")).select(
         F.when(e % 50 == 7, "rooms").otherwise("destinations").alias("section"), "key",
         langs[(e % 3).cast("int")].alias("lang"),
         F.when(e % 4 == 0, "  ").otherwise(F.concat(F.lit(" new "), e, F.lit(" "))).alias("text"), "ts", "event_id",

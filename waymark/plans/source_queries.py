@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from waymark.functions.geometry import clean
+from waymark.operators.ranks import with_row
 from waymark.plans import recipes as rec
 from waymark.plans.registry import query
 from waymark.session import shared_folder
@@ -173,7 +174,11 @@ def traj_parse(t):
     return trajectories.parse_lines(numbered).select("source", "frame_seq", "frame_id", "tx", "tz", "qw")
 
 
-@query("sfm_text_tables")
+@query(
+    "sfm_text_tables",
+    f"""WITH {rec.OBS_SQL}, {rec.LANDMARK_SQL} SELECT 'image' AS kind, image AS image_id, count(*) AS n, CAST(sum(CASE WHEN point_id>=0 THEN 1 ELSE 0 END) AS BIGINT) AS with_point, round(sum(x),6)+0.0 AS sum_x FROM obs GROUP BY 2
+    UNION ALL SELECT 'point', point_id, 2, NULL, round(px,6)+0.0 FROM landmarks""",
+)
 def sfm_text_tables(t):
     """Sparse-model text per image (two lines) and per point, parsed back to rows."""
     obs = rec.observations(t)
@@ -292,24 +297,26 @@ def pairs_sink(t):
 
 
 SFM_SQL = """imgs AS (SELECT DISTINCT 'v'||s_suppkey AS name, (s_suppkey*37) % 1009 + 1 AS image_id FROM supplier),
-mt AS (SELECT DISTINCT 'v'||l_suppkey AS img1, 'v'||(l_orderkey % 100) AS img2, l_partkey AS kp1, l_linenumber AS kp2 FROM lineitem WHERE l_suppkey <> l_orderkey % 100 AND l_suppkey < l_orderkey % 100),
-prs AS (SELECT DISTINCT CASE WHEN a.s_suppkey % 2 = 0 THEN 'v'||a.s_suppkey ELSE 'v'||((a.s_suppkey + k) % 100) END AS img1,
-               CASE WHEN a.s_suppkey % 2 = 0 THEN 'v'||((a.s_suppkey + k) % 100) ELSE 'v'||a.s_suppkey END AS img2
-        FROM supplier a, (VALUES (1),(3),(7),(120)) d(k) WHERE a.s_suppkey <> (a.s_suppkey + k) % 100)"""
+mt AS (SELECT DISTINCT 'v'||least(l_suppkey, l_orderkey % n) AS img1, 'v'||greatest(l_suppkey, l_orderkey % n) AS img2, l_partkey AS kp1, l_linenumber AS kp2 FROM lineitem, (SELECT count(*) AS n FROM supplier) WHERE l_suppkey <> l_orderkey % n),
+prs AS (SELECT DISTINCT CASE WHEN a.s_suppkey % 2 = 0 THEN 'v'||a.s_suppkey ELSE 'v'||((a.s_suppkey + k) % n) END AS img1,
+               CASE WHEN a.s_suppkey % 2 = 0 THEN 'v'||((a.s_suppkey + k) % n) ELSE 'v'||a.s_suppkey END AS img2
+        FROM supplier a, (VALUES (1),(3),(7),(120)) d(k), (SELECT count(*) AS n FROM supplier) WHERE a.s_suppkey <> (a.s_suppkey + k) % n)"""
 
 
 def sfm_inputs(t):
     s = c("s_suppkey")
+    n = t.supplier.agg(F.count("*").alias("_n"))
     images = t.supplier.select(F.concat(F.lit("v"), s).alias("name"), ((s * 37) % 1009 + 1).alias("image_id"))
     matches = (
-        t.lineitem.filter(c("l_suppkey") < c("l_orderkey") % 100)
+        with_row(t.lineitem, n).filter(c("l_suppkey") != c("l_orderkey") % c("_n"))
         .select(
-            F.concat(F.lit("v"), "l_suppkey").alias("img1"), F.concat(F.lit("v"), c("l_orderkey") % 100).alias("img2"),
+            F.concat(F.lit("v"), F.least("l_suppkey", c("l_orderkey") % c("_n"))).alias("img1"),
+            F.concat(F.lit("v"), F.greatest("l_suppkey", c("l_orderkey") % c("_n"))).alias("img2"),
             c("l_partkey").alias("kp1"), c("l_linenumber").alias("kp2"),
         ).distinct()
     )
-    step = t.supplier.select(s.alias("a"), F.explode(F.array(*[F.lit(k) for k in (1, 3, 7, 120)])).alias("k"))
-    b = (c("a") + c("k")) % 100
+    step = with_row(t.supplier, n).select("_n", s.alias("a"), F.explode(F.array(*[F.lit(k) for k in (1, 3, 7, 120)])).alias("k"))
+    b = (c("a") + c("k")) % c("_n")
     step = step.filter(c("a") != b)
     left, right = F.concat(F.lit("v"), "a"), F.concat(F.lit("v"), b)
     even = c("a") % 2 == 0

@@ -118,7 +118,7 @@ def match_gate(t):
     f"""WITH {FILTERED_SQL},
     sd AS (SELECT *, row_number() OVER (PARTITION BY img1,img2 ORDER BY (kp1*7919+kp2*104729) % 1000003, kp1, kp2)-1 AS r FROM mt),
     hy AS (SELECT a.img1, a.img2, a.r//2 AS h, a.x1 AS px, a.y1 AS py, a.x2 AS qx, a.y2 AS qy, b.x1-a.x1 AS ux, b.y1-a.y1 AS uy, b.x2-a.x2 AS vx, b.y2-a.y2 AS vy
-      FROM sd a JOIN sd b ON a.img1=b.img1 AND a.img2=b.img2 AND a.r%2=0 AND b.r=a.r+1 WHERE a.r<32),
+      FROM sd a JOIN sd b ON a.img1=b.img1 AND a.img2=b.img2 AND a.r%2=0 AND b.r=a.r+1),
     hs AS (SELECT *, (vx*ux+vy*uy)/(ux*ux+uy*uy) AS a, (vy*ux-vx*uy)/(ux*ux+uy*uy) AS b FROM hy WHERE ux*ux+uy*uy>0),
     il AS (SELECT m.img1, m.img2, h, kp1, kp2 FROM mt m JOIN hs USING (img1,img2) WHERE pow(a*(x1-px)-b*(y1-py)+qx-x2,2)+pow(b*(x1-px)+a*(y1-py)+qy-y2,2) <= 60.0*60.0),
     ct AS (SELECT img1, img2, h, count(*) AS inliers FROM il GROUP BY ALL),
@@ -173,10 +173,18 @@ def pose_pairs(t):
     return view_pairs.pose_pairs(views)
 
 
-@query("batch_infer")
+LETTERS_SQL = ", ".join(f"length(x)-length(replace(x,'{x}',''))" for x in "abcdefghijklmnopqrstuvwxyz")
+
+
+@query(
+    "batch_infer",
+    f"""WITH d AS (SELECT doc_id AS id, coalesce(text,'') AS x FROM documents), v AS (SELECT id, [{LETTERS_SQL}] AS n FROM d),
+    s AS (SELECT id, n, greatest(sqrt(list_sum(list_transform(n, lambda k: k*k))), 1e-12) AS size FROM v) SELECT id, list_transform(n, lambda k: round(k/size,5)+0.0) AS vec FROM s""",
+)
 def batch_infer(t):
-    """Hashed-word descriptors of whole documents through the model plug point."""
-    return models.infer(t.documents.select(c("doc_id").alias("id"), "text"), "text-hash")
+    """Letter profiles of whole documents through the model plug point."""
+    out = models.infer(t.documents.select(c("doc_id").alias("id"), "text"), "letters")
+    return out.withColumn("vec", F.transform("vec", lambda x: clean(x, 5)))
 
 
 def cosine_above(limit: float):
@@ -192,7 +200,14 @@ def cosine_above(limit: float):
     return fn
 
 
-@query("custom_matcher")
+@query(
+    "custom_matcher",
+    f"""WITH {KP_SQL}, {IMAGE_PAIRS_SQL}, s AS (SELECT img1, img2, a.kp_idx AS kp1, b.kp_idx AS kp2, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS conf FROM ip JOIN kp a ON a.image=img1 JOIN kp b ON b.image=img2),
+    l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY img1,img2,kp1 ORDER BY conf DESC, kp2)=1),
+    r AS (SELECT * FROM l WHERE conf>0.2 QUALIFY row_number() OVER (PARTITION BY img1,img2,kp2 ORDER BY conf DESC, kp1)=1)
+    SELECT img1, img2, kp1, kp2, round(conf,5)+0.0 AS conf FROM r""",
+)
 def custom_matcher(t):
     kp = keypoints(t)
-    return vectors.custom_matches(image_pairs(kp), kp, cosine_above(0.2), block=64)
+    out = vectors.custom_matches(image_pairs(kp), kp, cosine_above(0.2), block=64)
+    return out.withColumn("conf", clean(c("conf"), 5))
