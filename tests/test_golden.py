@@ -138,6 +138,8 @@ def test_morphology(spark):
     dot = spark.createDataFrame([(0, 0)], "gx long, gz long")
     assert {(r.gx, r.gz) for r in grids.close_open(dot, 5).filter("kept").collect()} == set()
     assert grids.kernel_for(0.05) == 5 and grids.kernel_for(0.1) == 3
+    assert [sum(dz == k for _, dz in grids.kernel(7)) for k in range(-3, 4)] == [1, 5, 7, 7, 7, 5, 1]
+    assert grids.kernel(1) == [(0, 0)] and len(grids.kernel(3)) == 5 and len(grids.kernel(5)) == 17
 
 
 def test_text_sources(spark, tmp_path):

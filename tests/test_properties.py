@@ -131,6 +131,8 @@ def test_custom_matcher_is_one_to_one(spark):
     pairs = spark.createDataFrame([(0, 1)], "img1 long, img2 long")
     got = vectors.custom_matches(pairs, kp, cosine_above(0.1), block=7).toPandas()
     assert len(got) and got.kp1.is_unique and got.kp2.is_unique
+    whole = vectors.custom_matches(pairs, kp, cosine_above(0.1), block=2048).toPandas()
+    assert sorted(map(tuple, got[["kp1", "kp2"]].values)) == sorted(map(tuple, whole[["kp1", "kp2"]].values))
 
 
 def test_running_band(spark):
@@ -157,7 +159,7 @@ def test_search_names(spark):
     names = spark.createDataFrame([(0, "Main Hall"), (1, "hall B"), (2, "Exit")], "ord long, name string")
     terms = spark.createDataFrame([(1, "HALL"), (2, "x"), (3, "zz"), (4, "b")], "term_id long, term string")
     got = {r.term_id: r.ord for r in lookups.search_names(terms, names).collect()}
-    assert got == {1: 0, 2: 2, 4: 1}
+    assert got == {1: 0, 2: 2, 3: None, 4: 1}
 
 
 def test_alias_edits(spark):

@@ -54,3 +54,28 @@ def test_label_stream_equals_batch(spark, tmp_path):
     latest = jobs.label_stream(stream, base, str(tmp_path / "labels"), ["t"])
     want = lookups.merge_labels(base, spark.createDataFrame(log, schema), ["t"])
     assert sorted(map(tuple, latest().collect())) == sorted(map(tuple, want.select("section", "key", "lang", "text").collect()))
+
+    # A restart without new input keeps all edits; new edits go on from them.
+    again = jobs.label_stream(stream, base, str(tmp_path / "labels"), ["t"])
+    assert sorted(map(tuple, again().collect())) == sorted(map(tuple, latest().collect()))
+    spark.createDataFrame([("places", "c", "en", "C", 6)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    more = jobs.label_stream(stream, base, str(tmp_path / "labels"), ["t"])
+    assert sorted(map(tuple, more().collect())) == sorted([*map(tuple, latest().collect())])
+    assert ("places", "c", "en", "C") in set(map(tuple, more().collect()))
+
+
+def test_streams_read_folder_tables(spark, folder, tmp_path):
+    from waymark.plans import load
+    from waymark.session import read_table
+
+    read_table(spark, folder, "events").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    assert load()[0]["stream_last5"](spark, str(tmp_path)).count() == read_table(spark, folder, "events").count()
+
+
+def test_late_frames_are_kept(spark, tmp_path):
+    schema = "query long, ts timestamp"
+    for rows in ([(1, 9000), (2, 9000)], [(2, 9001), (3, 10)]):
+        spark.createDataFrame(rows, "query long, t long").select("query", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = jobs.stream_to_table(jobs.unique_frames(stream), str(tmp_path / "out"))
+    assert sorted(r["query"] for r in out.collect()) == [1, 2, 3]

@@ -115,11 +115,22 @@ def last_changes(changes: DataFrame, keys: list[str], order: list[str]) -> DataF
     return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_c")).select(*keys, "_c.*")
 
 
+def usable_labels(changes: DataFrame) -> DataFrame:
+    """Label edits of known sections with a key."""
+    return changes.filter(F.col("section").isin(*SECTIONS) & (F.coalesce("key", F.lit("")) != ""))
+
+
+def usable_aliases(changes: DataFrame) -> DataFrame:
+    """Alias edits with a language and an alias, trimmed, that delete or name a target."""
+    named = (F.trim("lang") != "") & (F.trim("alias") != "")
+    usable = F.col("delete") | (F.coalesce(F.trim("canonical"), F.lit("")) != "")
+    return changes.filter(named & usable).withColumns({k: F.trim(k) for k in ("lang", "alias")})
+
+
 def merge_labels(base: DataFrame, changes: DataFrame, order: list[str]) -> DataFrame:
     """Apply a change log to labels: text sets, blank text deletes, unknown sections are ignored."""
     keys = ["section", "key", "lang"]
-    valid = changes.filter(F.col("section").isin(*SECTIONS) & (F.coalesce("key", F.lit("")) != ""))
-    last = last_changes(valid, keys, order).select(*keys, F.trim(F.coalesce("text", F.lit(""))).alias("_new"))
+    last = last_changes(usable_labels(changes), keys, order).select(*keys, F.trim(F.coalesce("text", F.lit(""))).alias("_new"))
     merged = base.select(*keys, "text").join(last, keys, "full_outer")
     return merged.select(*keys, F.coalesce("_new", "text").alias("text"), F.col("_new").isNull().alias("_old")).filter(
         F.col("_old") | (F.col("text") != "")
@@ -129,10 +140,7 @@ def merge_labels(base: DataFrame, changes: DataFrame, order: list[str]) -> DataF
 def merge_aliases(base: DataFrame, changes: DataFrame, order: list[str]) -> DataFrame:
     """Apply alias edits (lang, alias, canonical, delete)."""
     keys = ["lang", "alias"]
-    named = (F.trim("lang") != "") & (F.trim("alias") != "")
-    usable = F.col("delete") | (F.coalesce(F.trim("canonical"), F.lit("")) != "")
-    valid = changes.filter(named & usable).withColumns({k: F.trim(k) for k in keys})
-    last = last_changes(valid, keys, order).select(*keys, F.trim("canonical").alias("_new"), F.col("delete").alias("_gone"))
+    last = last_changes(usable_aliases(changes), keys, order).select(*keys, F.trim("canonical").alias("_new"), F.col("delete").alias("_gone"))
     merged = base.select(*keys, "canonical").join(last, keys, "full_outer")
     return merged.filter(~F.coalesce("_gone", F.lit(False))).select(*keys, F.coalesce("_new", "canonical").alias("canonical"))
 

@@ -208,17 +208,17 @@ def dest_tree(t):
     )
 
 
-@query(
-    "label_merge",
-    f"""WITH {LABEL_ROWS_SQL},
+LABEL_MERGE_SQL = f"""WITH {LABEL_ROWS_SQL},
     ch AS (SELECT CASE WHEN event_id % 50 = 7 THEN 'rooms' ELSE 'destinations' END AS section,
        r_name||'/'||n_name||'/'||c_mktsegment||'/'||c_custkey AS key, ['en','zh','fr'][CAST(event_id % 3 AS INT)+1] AS lang,
        CASE WHEN event_id % 4 = 0 THEN '  ' ELSE ' new '||event_id||' ' END AS text, ts, event_id
        FROM events JOIN customer ON c_custkey = (event_id*13) % (SELECT count(*) FROM customer) JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey),
     la AS (SELECT section, key, lang, trim(max_by(text, (ts, event_id))) AS text FROM ch WHERE section='destinations' GROUP BY ALL)
     SELECT coalesce(a.section,b.section) AS section, coalesce(a.key,b.key) AS key, coalesce(a.lang,b.lang) AS lang, CASE WHEN b.section IS NOT NULL THEN b.text ELSE a.text END AS text
-    FROM lab a FULL JOIN la b ON a.section=b.section AND a.key=b.key AND a.lang=b.lang WHERE b.section IS NULL OR b.text <> ''""",
-)
+    FROM lab a FULL JOIN la b ON a.section=b.section AND a.key=b.key AND a.lang=b.lang WHERE b.section IS NULL OR b.text <> ''"""
+
+
+@query("label_merge", LABEL_MERGE_SQL)
 def label_merge(t):
     return lookups.merge_labels(label_rows(t).drop("h"), label_changes(t), ["ts", "event_id"])
 

@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions.geometry import clean
+from waymark.operators.ranks import with_row
 from waymark.plans import recipes as rec
 from waymark.plans.localize_queries import LOCALIZE_SQL, frame_inputs, rounded
+from waymark.plans.lookup_queries import LABEL_MERGE_SQL, label_changes
+from waymark.plans.source_queries import label_rows
 from waymark.plans.registry import query
-from waymark.session import shared_folder
+from waymark.session import filesystem, shared_folder
 from waymark.streaming import history, jobs
 
 c = F.col
 
 
+def replayed(t, name):
+    """A table as a stream: from its own folder of part files, or its one file among the others of the scale folder."""
+    path = f"{t.folder.rstrip('/')}/{name}.parquet"
+    fs, at = filesystem(t.spark, path)
+    reader = t.spark.readStream.schema(getattr(t, name).schema)
+    if fs.getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+
+
 @query(
     "stream_last5",
     f"""WITH {rec.TRAJ_SQL} SELECT session, map_key, event_id, count(*) OVER w AS n_frames, round(avg(inliers) OVER w,6)+0.0 AS mean_value, array_to_string(list(event_id) OVER w,',') AS history FROM traj
@@ -21,9 +34,7 @@ c = F.col
 )
 def stream_last5(t):
     """The frame history kept as stream state; equals the batch window."""
-    schema = t.events.schema
-    source = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    frames = source.select(
+    frames = replayed(t, "events").select(
         c("user_id").alias("session"), c("event_type").alias("map_key"), "event_id", c("ts").cast("timestamp").alias("ts"), "value"
     )
     table = jobs.stream_to_table(history.last_frames_stream(frames), shared_folder(t.spark, "last5"))
@@ -42,3 +53,37 @@ def localize_stream(t):
     out = shared_folder(t.spark, "poses")
     jobs.localize_stream(stream, feats, poses, out, k=10, least=2, min_score=0.3)
     return rounded(t.spark.read.parquet(out).drop("batch"))
+
+
+def streamed(t, rows, name, parts=4):
+    """Rows written as ``parts`` files and read back one file a micro-batch, in whatever order they were finished."""
+    inbox = shared_folder(t.spark, name)
+    rows.repartitionByRange(parts, "ts", "event_id").write.parquet(inbox)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+
+
+@query("label_edits", LABEL_MERGE_SQL)
+def label_edits(t):
+    """Label edits as a stream of several micro-batches; equals the merge of the whole log."""
+    latest = jobs.label_stream(streamed(t, label_changes(t), "edits"), label_rows(t), shared_folder(t.spark, "labels"), ["ts", "event_id"])
+    return latest()
+
+
+ALIAS_SQL = """WITH base AS (SELECT ['en','zh','th'][CAST(c_custkey % 3 AS INT)+1] AS lang, 'a'||c_custkey AS alias, 'r/'||c_custkey AS canonical FROM customer),
+ch AS (SELECT event_id, ts, ['en','zh','th'][CAST(event_id % 3 AS INT)+1] AS lang, 'a'||((event_id*11) % (SELECT 2*count(*) FROM customer)) AS alias, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'e/'||event_id END AS canonical, event_id % 5 = 0 AS del FROM events),
+la AS (SELECT lang, alias, max_by(canonical,(ts,event_id)) AS canonical, max_by(del,(ts,event_id)) AS del FROM ch WHERE del OR canonical<>'' GROUP BY ALL)
+SELECT coalesce(b.lang,a.lang) AS lang, coalesce(b.alias,a.alias) AS alias, coalesce(a.canonical,b.canonical) AS canonical FROM base b FULL JOIN la a ON a.lang=b.lang AND a.alias=b.alias WHERE coalesce(del,false)=false"""
+
+
+@query("alias_edits", ALIAS_SQL)
+def alias_edits(t):
+    """Alias edits and deletions as a stream of several micro-batches."""
+    langs = F.array(*[F.lit(x) for x in ("en", "zh", "th")])
+    k, e = c("c_custkey"), c("event_id")
+    base = t.customer.select(langs[(k % 3).cast("int")].alias("lang"), F.concat(F.lit("a"), k).alias("alias"), F.concat(F.lit("r/"), k).alias("canonical"))
+    edits = with_row(t.events, t.customer.agg((2 * F.count("*")).alias("_n"))).select(
+        "event_id", "ts", langs[(e % 3).cast("int")].alias("lang"), F.concat(F.lit(" a"), (e * 11) % c("_n")).alias("alias"),
+        F.when(e % 7 == 0, " ").otherwise(F.concat(F.lit("e/"), e)).alias("canonical"), (e % 5 == 0).alias("delete"),
+    )
+    latest = jobs.alias_stream(streamed(t, edits, "alias-edits"), base, shared_folder(t.spark, "aliases"), ["ts", "event_id"])
+    return latest()

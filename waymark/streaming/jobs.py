@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from waymark.operators.localize import localize
-from waymark.operators.lookups import merge_labels
-from waymark.session import cut_lineage, shared_folder
+from waymark.operators.lookups import last_changes, merge_aliases, merge_labels, usable_aliases, usable_labels
+from waymark.session import cut_lineage, filesystem
 
 
 def run_available(writer, path: str) -> StreamingQuery:
@@ -28,13 +28,13 @@ def stream_to_table(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def unique_frames(frames: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Drop frames sent twice within the delay; needs columns ts and query."""
-    return frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["query"])
+def unique_frames(frames: DataFrame) -> DataFrame:
+    """Drop frames sent twice, however late; no frame is lost, so the state holds each query id once."""
+    return frames.dropDuplicates(["query"])
 
 
 def localize_stream(
-    frames: DataFrame, map_feats: DataFrame, map_poses: DataFrame, path: str, delay: str = "10 minutes", **options
+    frames: DataFrame, map_feats: DataFrame, map_poses: DataFrame, path: str, **options
 ) -> None:
     """Localize each micro-batch against the static map tables; one result file set per batch id.
 
@@ -45,22 +45,55 @@ def localize_stream(
         # The job reads its frames several times: materialize the batch once.
         localize(cut_lineage(batch.select("query", "vec")), map_feats, map_poses, **options).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    run_available(unique_frames(frames, delay).writeStream.foreachBatch(each), path)
+    run_available(unique_frames(frames).writeStream.foreachBatch(each), path)
 
 
-def label_stream(changes: DataFrame, base: DataFrame, path: str, order: list[str]) -> Callable[[], DataFrame]:
-    """Fold label changes into versioned label tables, one version per micro-batch.
+def newest_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
+    """The largest ``b`` with a complete table ``path/v<b>``, below ``below`` if that is given."""
+    fs, at = filesystem(spark, path)
+    if not fs.exists(at):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    whole = [int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and fs.exists(filesystem(spark, f"{path}/{n}/_SUCCESS")[1])]
+    return max((v for v in whole if below is None or v < below), default=None)
+
+
+def edit_stream(
+    changes: DataFrame, base: DataFrame, path: str, keys: list[str], order: list[str],
+    usable: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame, list[str]], DataFrame],
+) -> Callable[[], DataFrame]:
+    """Fold change batches into compacted change tables below ``path``; returns a reader that merges the newest one into the base.
 
-    Version ``b`` is the previous version with batch ``b`` merged in. Returns a reader of the newest one.
+    The base is written once and never again. Version ``b + 1`` holds the last change per key, by ``order``, of all batches up to ``b``:
+    a late change never undoes a newer one, a replayed batch overwrites itself, and a restart, with or without new
+    input, goes on from what storage holds.
     """
     spark = changes.sparkSession
-    base.select("section", "key", "lang", "text").write.mode("overwrite").parquet(f"{path}/v0")
-    seen = {"version": 0}
+    fs, at = filesystem(spark, f"{path}/base/_SUCCESS")
+    if not fs.exists(at):
+        base.write.mode("overwrite").parquet(f"{path}/base")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.parquet(f"{path}/v{batch_id}")
-        merge_labels(before, cut_lineage(batch), order).write.mode("overwrite").parquet(f"{path}/v{batch_id + 1}")
-        seen["version"] = batch_id + 1
+        new = usable(cut_lineage(batch))
+        before = newest_version(spark, path, batch_id + 1)
+        if before is not None:
+            new = spark.read.schema(new.schema).parquet(f"{path}/v{before}").unionByName(new)
+        last_changes(new, keys, order).select(*new.columns).write.mode("overwrite").parquet(f"{path}/v{batch_id + 1}")
 
     run_available(changes.writeStream.foreachBatch(each), path)
-    return lambda: spark.read.parquet(f"{path}/v{seen['version']}")
+
+    def latest() -> DataFrame:
+        old, version = spark.read.parquet(f"{path}/base"), newest_version(spark, path)
+        return old if version is None else merge(old, spark.read.parquet(f"{path}/v{version}"), order)
+
+    return latest
+
+
+def label_stream(changes: DataFrame, base: DataFrame, path: str, order: list[str]) -> Callable[[], DataFrame]:
+    """Label edits (section, key, lang, text and the order columns) as a stream."""
+    return edit_stream(changes, base.select("section", "key", "lang", "text"), path, ["section", "key", "lang"], order, usable_labels, merge_labels)
+
+
+def alias_stream(changes: DataFrame, base: DataFrame, path: str, order: list[str]) -> Callable[[], DataFrame]:
+    """Alias edits (lang, alias, canonical, delete and the order columns) as a stream."""
+    return edit_stream(changes, base.select("lang", "alias", "canonical"), path, ["lang", "alias"], order, usable_aliases, merge_aliases)
