@@ -73,19 +73,24 @@ def _topk(k: int, skip_self: bool):
     return run
 
 
+def pack_images(maps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Blocks of map images (map_key, image, vec), ready for any number of searches."""
+    return pack(maps, [], "image", "vec", "map_key", block)
+
+
 def retrieve_topk(
-    queries: DataFrame, maps: DataFrame, k: int, skip_self: bool = False, block: int = BLOCK
+    queries: DataFrame, maps: DataFrame | None, k: int, skip_self: bool = False, block: int = BLOCK, packed: DataFrame | None = None
 ) -> DataFrame:
     """Best ``k`` images per query by cosine, with their rank overall and within their map.
 
-    ``queries``: query LONG, vec. ``maps``: map_key LONG, image LONG, vec. An image that is
+    ``queries``: query LONG, vec. ``maps``: map_key LONG, image LONG, vec, or ``packed`` blocks of it. An image that is
     among the best overall has all better images of its map there too, so one global
     list yields both ranks.
     """
     q = pack(queries, [], "query", "vec", block=block).select(
         F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat")
     )
-    d = pack(maps, [], "image", "vec", "map_key", block).select(
+    d = (pack_images(maps, block) if packed is None else packed).select(
         F.col("blk").alias("d_blk"), "nblk", F.col("ids").alias("d_ids"), F.col("extras").alias("d_extras"), F.col("flat").alias("d_flat")
     )
     # Every query block visits every map block: join on the map block's number.
@@ -107,6 +112,7 @@ def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # Rows in id order, so argmax takes the lowest id among equals.
             oa, ob = np.argsort(a), np.argsort(b)
             a, b = a[oa], b[ob]
+            sa, sb = np.asarray(row.a_extras)[oa], np.asarray(row.b_extras)[ob]
             s = matrix(row.a_flat, len(a))[oa] @ matrix(row.b_flat, len(b))[ob].T
             j, i = s.argmax(axis=1), s.argmax(axis=0)
             yield pd.DataFrame({
@@ -114,41 +120,42 @@ def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "side": np.r_[np.zeros(len(a), "int32"), np.ones(len(b), "int32")],
                 "kp": np.r_[a, b], "other": np.r_[b[j], a[i]],
                 "sim": np.r_[s[np.arange(len(a)), j], s[i, np.arange(len(b))]],
+                "conf": np.r_[sa * sb[j], sb * sa[i]],
             })
 
 
-def pair_blocks(pairs: DataFrame, feats: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Block pairs of all listed image pairs. ``feats``: image, kp_idx, desc, score."""
-    packed = pack(feats, ["image"], "kp_idx", "desc", "score", block)
+def pack_features(feats: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Blocks of local features (image, kp_idx, desc, score), ready for any number of matching jobs."""
+    return pack(feats, ["image"], "kp_idx", "desc", "score", block)
+
 
-    def side(img: str, p: str) -> DataFrame:
+def pair_blocks(pairs: DataFrame, feats: DataFrame, block: int = BLOCK, right: DataFrame | None = None) -> DataFrame:
+    """Block pairs of all listed image pairs. ``feats``: image, kp_idx, desc, score, of both sides or, if packed features
+    ``right`` of the second side are given, of the first."""
+    left = pack_features(feats, block)
+
+    def side(packed: DataFrame, img: str, p: str) -> DataFrame:
         return packed.select(
             F.col("image").alias(img), F.col("ids").alias(f"{p}_ids"), F.col("extras").alias(f"{p}_extras"), F.col("flat").alias(f"{p}_flat")
         )
 
-    return pairs.select("img1", "img2").join(side("img1", "a"), "img1").join(side("img2", "b"), "img2")
+    return pairs.select("img1", "img2").join(side(left, "img1", "a"), "img1").join(side(left if right is None else right, "img2", "b"), "img2")
 
 
-def mutual_matches(pairs: DataFrame, feats: DataFrame, max_matches: int = 2000, block: int = BLOCK) -> DataFrame:
+def mutual_matches(pairs: DataFrame, feats: DataFrame, max_matches: int = 2000, block: int = BLOCK, right: DataFrame | None = None) -> DataFrame:
     """Reciprocal nearest descriptors per image pair, the ``max_matches`` most confident of them.
 
     Confidence is the product of the two keypoint scores.
     """
-    near = pair_blocks(pairs, feats, block).mapInPandas(
-        _nearest, "img1 long, img2 long, side int, kp long, other long, sim double"
+    near = pair_blocks(pairs, feats, block, right).mapInPandas(
+        _nearest, "img1 long, img2 long, side int, kp long, other long, sim double, conf double"
     )
     best = near.groupBy("img1", "img2", "side", "kp").agg(
-        F.min(F.struct((-F.col("sim")).alias("n"), F.col("other").alias("o"))).alias("b")
-    ).select("img1", "img2", "side", "kp", F.col("b.o").alias("other"), (-F.col("b.n")).alias("sim"))
-    fwd = best.filter("side = 0").select("img1", "img2", F.col("kp").alias("kp1"), F.col("other").alias("kp2"), "sim")
+        F.min(F.struct((-F.col("sim")).alias("n"), F.col("other").alias("o"), "conf")).alias("b")
+    ).select("img1", "img2", "side", "kp", F.col("b.o").alias("other"), (-F.col("b.n")).alias("sim"), "b.conf")
+    fwd = best.filter("side = 0").select("img1", "img2", F.col("kp").alias("kp1"), F.col("other").alias("kp2"), "sim", "conf")
     bwd = best.filter("side = 1").select("img1", "img2", F.col("other").alias("kp1"), F.col("kp").alias("kp2"))
-    conf = feats.select("image", "kp_idx", "score")
-    mutual = (
-        fwd.join(bwd, ["img1", "img2", "kp1", "kp2"])
-        .join(conf.toDF("img1", "kp1", "_s1"), ["img1", "kp1"])
-        .join(conf.toDF("img2", "kp2", "_s2"), ["img2", "kp2"])
-        .withColumn("conf", F.col("_s1") * F.col("_s2"))
-    )
+    mutual = fwd.join(bwd, ["img1", "img2", "kp1", "kp2"])
     w = Window.partitionBy("img1", "img2").orderBy(F.desc("conf"), "kp1", "kp2")
     return mutual.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_matches).select(
         "img1", "img2", "kp1", "kp2", "sim", "conf", "rank"
