@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geometry as g
-from waymark.operators.ranks import quantiles, top_per_group
+from waymark.operators.filters import adaptive_keypoints
+from waymark.operators.ranks import quantiles
+from waymark.operators.vectors import match_gate, mutual_matches, pack_features, pack_images, retrieve_topk, similarity_consensus
+from waymark.session import cut_lineage
 
 
 def early_stop(candidates: DataFrame, target: int, least: int = 6, most: int = 10) -> DataFrame:
@@ -72,32 +76,67 @@ def fuse_poses(poses: DataFrame, key: str = "query", order: Sequence[str] = ("ev
     return joined.select(key, "n", "x", "y", F.pmod(angle, F.lit(360.0)).alias("heading"), c("_m.map_key").alias("map_key"))
 
 
+class MapTables(NamedTuple):
+    """A map made ready once for any number of localization jobs."""
+
+    images: DataFrame  # packed global descriptors
+    features: DataFrame  # packed local descriptors
+    places: DataFrame  # image, kp2, x2, y2
+    poses: DataFrame  # image, x, y, heading
+
+
+def prepare_map(map_feats: DataFrame, map_points: DataFrame, map_poses: DataFrame) -> MapTables:
+    """``map_feats``: map_key, image, vec. ``map_points``: image, kp_idx, x, y, score, desc. ``map_poses``: image, x, y, heading.
+
+    Keypoints under their image's adaptive threshold are left out; the packed tables are written once.
+    """
+    kept = adaptive_keypoints(map_points, ["image"]).drop("_n")
+    places = kept.select("image", F.col("kp_idx").alias("kp2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return MapTables(cut_lineage(pack_images(map_feats)), cut_lineage(pack_features(kept)), cut_lineage(places), map_poses)
+
+
+def verify(hits: DataFrame, frames: DataFrame, tables: MapTables, least_matches: int, tol: float, least_inliers: int) -> DataFrame:
+    """query, image, inliers of each retrieved image whose local features fit the frame's by one planar similarity.
+
+    Reciprocal nearest descriptors, the gate on their number, then the best consensus. Pairs that fail a step are left out.
+    """
+    c = F.col
+    local = frames.select(c("query").alias("image"), F.explode("local").alias("p")).select("image", "p.*")
+    local = cut_lineage(adaptive_keypoints(local, ["image"]).drop("_n"))
+    pairs = hits.select(c("query").alias("img1"), c("image").alias("img2"))
+    matches = match_gate(mutual_matches(pairs, local, right=tables.features), least_matches)
+    own = local.select(c("image").alias("img1"), c("kp_idx").alias("kp1"), c("x").alias("x1"), c("y").alias("y1"))
+    placed = matches.join(own, ["img1", "kp1"]).join(tables.places.withColumnRenamed("image", "img2"), ["img2", "kp2"])
+    fits = similarity_consensus(placed, tol=tol, least=least_inliers)
+    return fits.groupBy(c("img1").alias("query"), c("img2").alias("image")).agg(F.max("inliers").alias("inliers"))
+
+
 def localize(
-    frames: DataFrame, map_feats: DataFrame, map_poses: DataFrame, k: int = 10, least: int = 2, min_score: float = 0.0
+    frames: DataFrame, tables: MapTables, k: int = 10, least: int = 2, least_matches: int = 4, tol: float = 6.0,
+    least_inliers: int = 4, target: int = 50,
 ) -> DataFrame:
-    """One row per frame: retrieve, verify by score, vote, fuse and report status instead of failing.
+    """One row per frame: retrieve, match, verify, stop early, vote and fuse; a failing stage is reported, not raised.
 
-    ``frames``: query LONG, vec (null when no features). ``map_feats``: map_key, image, vec.
-    ``map_poses``: image, x, y, heading. A retrieved image counts as verified with
-    ``inliers = round(100 * score)`` when its score passes ``min_score``.
+    ``frames``: query LONG, vec, local ARRAY of (kp_idx, x, y, score, desc); null or empty without features. A retrieved
+    image is verified when at least ``least_matches`` reciprocal matches give ``least_inliers`` inliers of one planar
+    similarity. Candidates are visited in rank order until one map has gathered ``target`` inliers, the map with most inliers
+    wins, and the poses of its ``least`` or more images are fused with their inliers as weights.
     """
-    from waymark.operators.vectors import retrieve_topk
-    from waymark.session import cut_lineage
-
     c = F.col
-    usable = frames.filter(c("vec").isNotNull() & (F.size("vec") > 0))
-    # At most k rows per frame, read by every later step: materialized so that the search runs once.
-    hits = cut_lineage(retrieve_topk(usable.select("query", "vec"), map_feats, k))
-    inliers = F.bround(c("score") * 100, 0).cast("long")
-    verified = hits.filter(c("score") >= min_score).withColumn("inliers", inliers)
-    votes = region_vote(verified, least=1)
-    voters = verified.join(votes.select("query", "map_key", "images"), ["query", "map_key"])
-    poses = voters.join(map_poses, "image").select(
+    has = c("vec").isNotNull() & (F.size("vec") > 0) & (F.size("local") > 0)
+    usable = frames.filter(has)
+    # At most k rows per frame, read by every later step: materialized so that search and matching run once.
+    hits = cut_lineage(retrieve_topk(usable.select("query", "vec"), None, k, packed=tables.images))
+    inliers = verify(hits, usable, tables, least_matches, tol, least_inliers)
+    candidates = cut_lineage(hits.join(inliers, ["query", "image"], "left").withColumn("inliers", F.coalesce("inliers", F.lit(0)).cast("long")))
+    visited = early_stop(candidates, target, least_inliers, k)
+    votes = region_vote(visited, least_inliers)
+    voters = visited.filter(c("inliers") >= least_inliers).join(votes.select("query", "map_key"), ["query", "map_key"], "left_semi")
+    poses = voters.join(tables.poses, "image").select(
         "query", "map_key", "image", "x", "y", "heading", c("inliers").cast("double").alias("weight")
     )
     fused = fuse_poses(poses, "query", ["image"]).select("query", c("x").alias("px"), c("y").alias("py"), "heading")
     found = hits.groupBy("query").agg(F.count("*").alias("_hits"))
-    has = c("vec").isNotNull() & (F.size("vec") > 0)
     out = frames.join(found, "query", "left").join(votes, "query", "left").join(fused, "query", "left")
     stage = (
         F.when(~F.coalesce(has, F.lit(False)), "features").when(c("_hits").isNull(), "retrieve")
@@ -113,5 +152,5 @@ def localize(
     ok = c("success")
     return out.select(
         "query", "success", "stage", "reason", F.when(ok, c("map_key")).alias("map_key"), F.when(ok, c("total")).alias("total"),
-        F.when(ok, c("px")).alias("x"), F.when(ok, c("py")).alias("y"), F.when(ok, c("heading")).alias("heading"),
+        F.when(ok, c("images")).alias("images"), F.when(ok, c("px")).alias("x"), F.when(ok, c("py")).alias("y"), F.when(ok, c("heading")).alias("heading"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from waymark.functions.geometry import clean
 from waymark.operators.ranks import with_row
 from waymark.plans import recipes as rec
-from waymark.plans.localize_queries import LOCALIZE_SQL, frame_inputs, rounded
+from waymark.plans.localize_queries import LOCALIZE_SQL, OPTIONS, frame_inputs, rounded
 from waymark.plans.lookup_queries import LABEL_MERGE_SQL, label_changes
 from waymark.plans.source_queries import label_rows
 from waymark.plans.registry import query
@@ -44,14 +44,14 @@ def stream_last5(t):
 @query("localize_stream", LOCALIZE_SQL)
 def localize_stream(t):
     """Frames arrive as a stream, every third one twice; results equal the batch job."""
-    frames, feats, poses = frame_inputs(t)
+    frames, tables = frame_inputs(t)
     stamped = frames.withColumn("ts", F.timestamp_seconds(c("query") + 1_700_000_000))
     twice = stamped.unionByName(stamped.filter(c("query") % 3 == 0))
     inbox = shared_folder(t.spark, "frames")
-    twice.write.parquet(inbox)
-    stream = t.spark.readStream.schema(twice.schema).parquet(inbox)
+    twice.repartition(2, "query").write.parquet(inbox)
+    stream = t.spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     out = shared_folder(t.spark, "poses")
-    jobs.localize_stream(stream, feats, poses, out, k=10, least=2, min_score=0.3)
+    jobs.localize_stream(stream, tables, out, **OPTIONS)
     return rounded(t.spark.read.parquet(out).drop("batch"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from waymark.operators.localize import localize
+from waymark.operators.localize import MapTables, localize
 from waymark.operators.lookups import last_changes, merge_aliases, merge_labels, usable_aliases, usable_labels
 from waymark.session import cut_lineage, filesystem
 
@@ -34,16 +34,16 @@ def unique_frames(frames: DataFrame) -> DataFrame:
 
 
 def localize_stream(
-    frames: DataFrame, map_feats: DataFrame, map_poses: DataFrame, path: str, **options
+    frames: DataFrame, tables: MapTables, path: str, **options
 ) -> None:
-    """Localize each micro-batch against the static map tables; one result file set per batch id.
+    """Localize each micro-batch against a map that was prepared once; one result file set per batch id.
 
     Writing to a folder named by the batch id makes a replayed batch overwrite itself.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         # The job reads its frames several times: materialize the batch once.
-        localize(cut_lineage(batch.select("query", "vec")), map_feats, map_poses, **options).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        localize(cut_lineage(batch.select("query", "vec", "local")), tables, **options).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     run_available(unique_frames(frames).writeStream.foreachBatch(each), path)
 
