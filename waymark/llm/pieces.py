@@ -25,7 +25,7 @@ from waymark.llm.words import _POWERS, _powers, buffers, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of text in a block, at most (a longer text is one alone).
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 STEP = 1 << 20
 #: Islands longer than this many characters are folded one by one in the task that unpacks them (same merges).
 LONG = 48
@@ -136,7 +136,7 @@ def hash_texts(column: pa.Array) -> np.ndarray:
 def islands(column: pa.Array, reach: Reach) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
     """(hash of each island in order, islands of each row, text of each distinct island; spaces stay spaces)."""
     raw, at = buffers(column)
-    hashes, begins, counts = [], [], np.zeros(len(column), np.int64)
+    hashes, heads, counts = [], [], np.zeros(len(column), np.int64)
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + STEP, "right")) - 1)
@@ -149,18 +149,18 @@ def islands(column: pa.Array, reach: Reach) -> tuple[np.ndarray, np.ndarray, dic
             begin[np.searchsorted(first, cuts[cuts < len(text)])] = True
             starts = first[begin]
             counts[lo:hi] = np.diff(np.searchsorted(starts, np.append(cuts, len(text))))
-            hashes.append(_hash_runs(text, starts))
-            begins.append((starts + at[lo]).astype(np.int32 if at[-1] < 1 << 31 else np.int64))
+            h = _hash_runs(text, starts)
+            hashes.append(h)
+            u, k = np.unique(h, return_index=True)
+            heads.append((u, starts[k] + at[lo], np.append(starts, len(text))[k + 1] + at[lo]))
         lo = hi
     if not hashes:
         return np.zeros(0, np.uint64), counts, {}
-    h = np.concatenate(hashes)
-    u, k = np.unique(h, return_index=True)
+    every, begin, end = (np.concatenate(x) for x in zip(*heads, strict=True))
+    u, k = np.unique(every, return_index=True)
     body = memoryview(raw)
-    # Rows follow each other without gaps, so an island ends where the next one begins.
-    begin = np.append(np.concatenate(begins), at[-1])
-    spans = zip(u.tolist(), begin[k].tolist(), begin[k + 1].tolist(), strict=True)
-    return h, counts, {x: bytes(body[b:e]) for x, b, e in spans}
+    spans = zip(u.tolist(), begin[k].tolist(), end[k].tolist(), strict=True)
+    return np.concatenate(hashes), counts, {x: bytes(body[b:e]) for x, b, e in spans}
 
 
 # --- the lattice -----------------------------------------------------------------------------------------------------
@@ -317,6 +317,7 @@ def _blocks(model: Pieces):
             order = np.array(sorted(known), np.uint64)
             yield part, no, rows, np.searchsorted(order, h).astype(np.uint32), counts, [known[x].decode() for x in order.tolist()]
             no += 1
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -401,16 +402,18 @@ def _assembled(model: Pieces):
                         [pa.array(list(ids[lo:hi]), pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[place])), pa.array(checks[lo:hi])],
                         names=["id", "ids", "check"])
                     lo = hi
+                pa.default_memory_pool().release_unused()
 
     return run
 
 
-def encode(docs: DataFrame, model: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: Pieces, doc_id: str = "doc_id", text: str = "text", then=None) -> DataFrame:
     """One row (id, ids, check) for each row of ``docs``; ``check`` is a hash of the text with its leading space, for round trips.
 
     A text's own SPACE marks count as spaces, which the model cannot tell from them. Ids equal those of the model's library. Null and empty texts have no ids. Rows with equal or null ids each keep
     their own result; other columns do not matter. ``docs`` must give its rows in the same order each
-    time it is read, as a table does; a change of that order is noticed and fails the job.
+    time it is read, as a table does; a change of that order is noticed and fails the job. ``then`` may be (function of
+    the result's Arrow batches, its schema), which then runs in the same worker.
     """
     from waymark.session import ship_package
 
@@ -422,7 +425,10 @@ def encode(docs: DataFrame, model: Pieces, doc_id: str = "doc_id", text: str = "
     packed = rows.mapInArrow(_packed(model), _PACKED_SQL)
     none = F.array().cast("array<struct<word:string,ids:array<int>>>")
     both = packed.join(back, "block", "left").select(*(c for c in packed.columns), F.coalesce("words", none).alias("words"))
-    return both.mapInArrow(_assembled(model), "id long, ids array<int>, check long")
+    if then is None:
+        return both.mapInArrow(_assembled(model), "id long, ids array<int>, check long")
+    run, schema = then
+    return both.mapInArrow(lambda batches: run(_assembled(model)(batches)), schema)
 
 
 def decode_batch(ids: pa.Array, model: Pieces) -> list[bytes]:
@@ -451,7 +457,7 @@ def decode(rows: DataFrame, model: Pieces, ids: str = "ids") -> DataFrame:
     return rows.select(*keep).mapInArrow(run, f"{schema}, text string")
 
 
-def piece_report(encoded: DataFrame, model: Pieces) -> DataFrame:
+def piece_report(docs: DataFrame, model: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256 of the ids as 32-bit little-endian integers, round_trip: decoding gives the text again)."""
     import hashlib
 
@@ -466,5 +472,4 @@ def piece_report(encoded: DataFrame, model: Pieces) -> DataFrame:
             same = hash_texts(pa.array(texts, pa.binary())).view(np.int64) == b.column(2).to_numpy()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(sha), pa.array(same)], names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
-
+    return encode(docs, model, doc_id, text, (run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean"))

@@ -131,10 +131,9 @@ def op10(spark, folder):
 @query("op9_pieces")
 def op9(spark, folder):
     """Piece ids of every document, as a digest, and whether they decode to its text."""
-    from waymark.llm.pieces import encode, load_pieces, piece_report
+    from waymark.llm.pieces import load_pieces, piece_report
 
-    model = load_pieces()
-    return piece_report(encode(read_table(spark, folder, "documents"), model), model)
+    return piece_report(read_table(spark, folder, "documents"), load_pieces())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
