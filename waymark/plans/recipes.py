@@ -224,10 +224,19 @@ def trajectory(t) -> DataFrame:
 
 # --- route network over customers -------------------------------------------------
 
-NET_SQL = """n AS (SELECT count(*) AS n FROM customer),
-net AS (SELECT c_custkey AS src, (c_custkey+1) % n AS dst, CAST(1+(c_custkey*31) % 9 AS DOUBLE) AS weight FROM customer, n UNION ALL
-        SELECT c_custkey, (c_custkey*7+1) % n, CAST(1+(c_custkey*17) % 23 AS DOUBLE) FROM customer, n UNION ALL
-        SELECT c_custkey, (c_custkey*13+5) % n, CAST(1+(c_custkey*11) % 23 AS DOUBLE) FROM customer, n)"""
+# Customers stand for the route nodes of sites of 64: a site's graph is bounded, and sites grow with the data.
+SITE = 64
+NET_SQL = f"""n AS (SELECT count(*) AS n FROM customer),
+site AS (SELECT c_custkey AS k, c_custkey - c_custkey % {SITE} AS b, c_custkey % {SITE} AS r, least({SITE}, n - (c_custkey - c_custkey % {SITE})) AS g FROM customer, n),
+net AS (SELECT k AS src, b + (r+1) % g AS dst, CAST(1+(k*31) % 9 AS DOUBLE) AS weight FROM site UNION ALL
+        SELECT k, b + (r*7+1) % g, CAST(1+(k*17) % 23 AS DOUBLE) FROM site UNION ALL
+        SELECT k, b + (r*13+5) % g, CAST(1+(k*11) % 23 AS DOUBLE) FROM site)"""
+
+
+def site(k, n):
+    """First node of a node's site and the site's size."""
+    base = k - k % SITE
+    return base, F.least(F.lit(SITE), n - base)
 
 
 def network(t) -> DataFrame:
@@ -235,10 +244,12 @@ def network(t) -> DataFrame:
 
     size = t.customer.agg(F.count("*").alias("n"))
     k = c("c_custkey")
+    b, g = site(k, c("n"))
+    r = k % SITE
     base = with_row(t.customer.select("c_custkey"), size)
     arms = F.array(
-        F.struct(((k + 1) % c("n")).alias("dst"), ((k * 31) % 9 + 1).cast("double").alias("weight")),
-        F.struct(((k * 7 + 1) % c("n")).alias("dst"), ((k * 17) % 23 + 1).cast("double").alias("weight")),
-        F.struct(((k * 13 + 5) % c("n")).alias("dst"), ((k * 11) % 23 + 1).cast("double").alias("weight")),
+        F.struct((b + (r + 1) % g).alias("dst"), ((k * 31) % 9 + 1).cast("double").alias("weight")),
+        F.struct((b + (r * 7 + 1) % g).alias("dst"), ((k * 17) % 23 + 1).cast("double").alias("weight")),
+        F.struct((b + (r * 13 + 5) % g).alias("dst"), ((k * 11) % 23 + 1).cast("double").alias("weight")),
     )
     return base.select(k.alias("src"), F.explode(arms).alias("e")).select("src", "e.dst", "e.weight")
