@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from waymark.llm.words import _POWERS, _powers, buffers, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of text in a block, at most (a longer text is one alone).
-BLOCK = 8 << 20
+BLOCK = 16 << 20
 STEP = 1 << 20
 #: Islands longer than this many characters are folded one by one in the task that unpacks them (same merges).
 LONG = 48
@@ -363,48 +364,39 @@ def _assembled(model: Pieces):
             out += [id_of[p]] if p in id_of else [model.bytes_[x] for x in p.encode()] if model.bytes_ else [model.unknown]
         return np.array(out, np.int32)
 
-    def run(batches):
-        for b in batches:
-            for r in range(b.num_rows):
-                row = {n: b.column(k)[r] for k, n in enumerate(b.schema.names)}
-                words = row["words"].values
-                words = words if words is not None else pa.array([], pa.struct([("word", pa.string()), ("ids", pa.list_(pa.int32()))]))
-                if len(words) != row["n_words"].as_py():
-                    raise ValueError("a block's islands changed between two readings of the input; give a table, not an unordered plan")
-                text, lists = words.field(0), words.field(1)
-                flat, size = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
-                spaced = pa.array([t.replace(SPACE, " ") for t in text.to_pylist()], pa.string())
-                h = hash_texts(spaced) if len(spaced) else np.zeros(0, np.uint64)
-                first = np.cumsum(size) - size
-                order = np.argsort(h)
-                n = len(h) + len(row["long_at"])
-                begin, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
-                normal = np.ones(n, bool)
-                long_at = np.array(row["long_at"].as_py(), np.int64)
-                normal[long_at] = False
-                begin[normal], count[normal] = first[order], size[order]
-                for k, t in zip(long_at, row["long"].as_py(), strict=True):
-                    extra = long_ids(t)
-                    begin[k], count[k] = len(flat), len(extra)
-                    flat = np.concatenate([flat, extra])
-                index = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"].as_py()), np.uint32)
-                counts, ids, checks = (np.array(row[x].as_py(), dtype=object if x == "ids" else np.int64) for x in ("counts", "ids", "checks"))
-                at = np.concatenate([[0], np.cumsum(counts)])
-                lo = 0
-                while lo < len(counts):
-                    hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 18), "right")) - 1)
-                    hi = min(hi, len(counts))
-                    mine = index[at[lo]:at[hi]]
-                    c = count[mine]
-                    place = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(begin[mine], c)
-                    ends = np.concatenate([[0], np.cumsum(c)])[at[lo:hi + 1] - at[lo]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(list(ids[lo:hi]), pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[place])), pa.array(checks[lo:hi])],
-                        names=["id", "ids", "check"])
-                    lo = hi
-                pa.default_memory_pool().release_unused()
+    def one(packed: pa.Table, words: pa.Table):
+        """(id, ids, check) of the rows of one block, from its packed texts and the ids of its islands."""
+        row = {n: packed.column(n)[0] for n in packed.column_names}
+        if len(words) != row["n_words"].as_py():
+            raise ValueError("a block's islands changed between two readings of the input; give a table, not an unordered plan")
+        words = words.combine_chunks()
+        text, lists = (words.column(n).combine_chunks() for n in ("word", "ids"))
+        flat, size = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        h = hash_texts(pc.replace_substring(text, SPACE, " "))
+        first, order = np.cumsum(size) - size, np.argsort(h)
+        n = len(h) + len(row["long_at"])
+        begin, count, normal = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
+        long_at = np.array(row["long_at"].as_py(), np.int64)
+        normal[long_at] = False
+        begin[normal], count[normal] = first[order], size[order]
+        for k, t in zip(long_at, row["long"].as_py(), strict=True):
+            extra = long_ids(t)
+            begin[k], count[k] = len(flat), len(extra)
+            flat = np.concatenate([flat, extra])
+        index = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"].as_py()), np.uint32)
+        counts, checks, ids = row["counts"].values.to_numpy(zero_copy_only=False), row["checks"].values, row["ids"].values
+        at = np.concatenate([[0], np.cumsum(counts)])
+        lo = 0
+        while lo < len(counts):
+            hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 18), "right")) - 1), len(counts))
+            mine = index[at[lo]:at[hi]]
+            c = count[mine]
+            place = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(begin[mine], c)
+            ends = np.concatenate([[0], np.cumsum(c)])[at[lo:hi + 1] - at[lo]]
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[place])), checks.slice(lo, hi - lo)], names=["id", "ids", "check"])
+            lo = hi
 
-    return run
+    return one
 
 
 def encode(docs: DataFrame, model: Pieces, doc_id: str = "doc_id", text: str = "text", then=None) -> DataFrame:
@@ -421,14 +413,19 @@ def encode(docs: DataFrame, model: Pieces, doc_id: str = "doc_id", text: str = "
     body = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(SPACE), F.lit(" "))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.when(body != "", F.concat(F.lit(" "), body)).otherwise("").alias("t"))
     held = rows.mapInArrow(_distinct(model), "block long, word string")
-    back = encode_words(held, model).select(F.explode("blocks").alias("block"), F.struct("word", "ids").alias("w")).groupBy("block").agg(F.collect_list("w").alias("words"))
+    back = encode_words(held, model).select(F.explode("blocks").alias("block"), "word", "ids")
     packed = rows.mapInArrow(_packed(model), _PACKED_SQL)
-    none = F.array().cast("array<struct<word:string,ids:array<int>>>")
-    both = packed.join(back, "block", "left").select(*(c for c in packed.columns), F.coalesce("words", none).alias("words"))
-    if then is None:
-        return both.mapInArrow(_assembled(model), "id long, ids array<int>, check long")
-    run, schema = then
-    return both.mapInArrow(lambda batches: run(_assembled(model)(batches)), schema)
+    one = _assembled(model)
+    run, schema = then or (lambda batches: batches, "id long, ids array<int>, check long")
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            raise ValueError("islands of a block that is not there; give a table, not an unordered plan")
+        out = pa.Table.from_batches(list(run(one(left, right))))
+        pa.default_memory_pool().release_unused()
+        return out
+
+    return packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(block, schema)
 
 
 def decode_batch(ids: pa.Array, model: Pieces) -> list[bytes]:
