@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymark.llm.session import fresh
 from waymark.llm.words import Words, words
 from waymark.session import cut_lineage
 
@@ -294,8 +295,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` into which no item leaks, all columns. Rows are told apart by id and text, so equal ones go together."""
-    mark = [F.col(doc_id).alias("_i"), F.xxhash64(F.col(text)).alias("_h")]
-    rows = docs.select("*", *mark)
-    bad = find_leaks(rows, benchmark, text, keep=("_i", "_h")).select("_i", "_h").distinct()
-    bad = cut_lineage(bad.toDF("_bi", "_bh"))
-    return rows.join(bad, rows["_i"].eqNullSafe(bad["_bi"]) & (rows["_h"] == bad["_bh"]), "left_anti").select(*docs.columns)
+    i, h, bad_i, bad_h = fresh(docs.columns, "_i", "_h", "_bi", "_bh")
+    rows = docs.select("*", F.col(doc_id).alias(i), F.xxhash64(F.col(text)).alias(h))
+    bad = cut_lineage(find_leaks(rows, benchmark, text, keep=(i, h)).select(i, h).distinct().toDF(bad_i, bad_h))
+    return rows.join(bad, F.col(i).eqNullSafe(F.col(bad_i)) & (F.col(h) == F.col(bad_h)), "left_anti").select(*docs.columns)

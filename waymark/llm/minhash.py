@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.components import components
+from waymark.llm.session import fresh
 from waymark.llm.words import PIECE, mix, shingles, words
 from waymark.session import cut_lineage
 
@@ -239,7 +240,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **optio
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that ``classes`` keeps, all columns."""
     marks, _ = near_duplicates(docs, doc_id, text, **options)
-    stay = cut_lineage(marks.where("keeper").select(F.col("key").alias("_stay"), F.col("class_id").alias("_class")))
-    rows = docs.select("*", text_key(F.col(text)).alias("_key"))
-    rows = rows.join(stay, (F.col("_key") == F.col("_stay")) & F.col(doc_id).eqNullSafe(F.col("_class")), "left_semi")
-    return rows.dropDuplicates([doc_id, "_key"]).drop("_key")
+    key, stay_, class_ = fresh(docs.columns, "_key", "_stay", "_class")
+    stay = cut_lineage(marks.where("keeper").select(F.col("key").alias(stay_), F.col("class_id").alias(class_)))
+    rows = docs.select("*", text_key(F.col(text)).alias(key))
+    rows = rows.join(stay, (F.col(key) == F.col(stay_)) & F.col(doc_id).eqNullSafe(F.col(class_)), "left_semi")
+    return rows.dropDuplicates([doc_id, key]).drop(key)

@@ -17,6 +17,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.session import fresh
 from waymark.llm.spans import digest, match_spans
 from waymark.session import cut_lineage
 
@@ -155,24 +156,25 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = (*BASE, *MORE), doc_id
     queries = {r.name: trigram_query(r.pattern) for r in rules}
     indexed = {n: q for n, q in queries.items() if q != ALWAYS}
     docs = docs.drop("secrets")
+    doc, held = fresh(docs.columns, "_doc", "_rules")
     body = F.coalesce(F.col(text), F.lit(""))
     if indexed:
         found = candidates(postings(docs, {t for q in indexed.values() for c in q for t in c}, doc_id, text), indexed)
-        found = cut_lineage(found.select(F.col("doc").alias("_doc"), F.col("rules").alias("_rules")))
-        rows = docs.join(found, docs[doc_id].eqNullSafe(found["_doc"]), "left")
+        found = cut_lineage(found.select(F.col("doc").alias(doc), F.col("rules").alias(held)))
+        rows = docs.join(found, F.col(doc_id).eqNullSafe(F.col(doc)), "left")
     else:
-        rows = docs.withColumn("_doc", F.lit(None)).withColumn("_rules", F.lit(None).cast("array<string>"))
+        rows = docs.withColumn(doc, F.lit(None)).withColumn(held, F.lit(None).cast("array<string>"))
 
     def spans(rule: Rule) -> Column:
         hit = match_spans(body, rule.pattern, (0, rule.group) if rule.group else (0,))
         if rule.least:
             hit = F.filter(hit, lambda s: F.length(s[f"g{rule.group}"] if rule.group else s["text"]) >= rule.least)
         hit = F.transform(hit, lambda s: F.struct(F.lit(rule.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
-        wanted = F.array_contains("_rules", rule.name) if rule.name in indexed else body.rlike(rule.pattern)
+        wanted = F.array_contains(held, rule.name) if rule.name in indexed else body.rlike(rule.pattern)
         none = F.array().cast("array<struct<kind:string,start:int,end:int,text:string>>")
         return F.when(wanted, hit).otherwise(none)
 
-    return rows.withColumn("secrets", F.concat(*(spans(r) for r in rules))).drop("_doc", "_rules")
+    return rows.withColumn("secrets", F.concat(*(spans(r) for r in rules))).drop(doc, held)
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
