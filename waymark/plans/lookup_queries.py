@@ -188,7 +188,7 @@ def destinations(t):
     nav AS (SELECT place, building, floor, CAST(node_id AS VARCHAR) AS id, label AS name, node_id AS ord FROM nodes WHERE group_id=5 AND floor IN ('F0','F2','F4')),
     fil AS (SELECT place, building, floor, CAST(pos-1000 AS VARCHAR) AS id, 'file '||label AS name, pos AS ord FROM pts WHERE group_id=5),
     u AS (SELECT *, 'nav' AS origin FROM nav UNION ALL SELECT *, 'file' FROM fil WHERE NOT EXISTS (SELECT 1 FROM nav WHERE nav.place=fil.place AND nav.building=fil.building AND nav.floor=fil.floor))
-    SELECT place, building, floor, origin, string_agg(id||'='||name, ';' ORDER BY ord) AS dests FROM u GROUP BY ALL""",
+    SELECT place, building, floor, origin, ord, id, name FROM u""",
 )
 def dest_tree(t):
     from waymark.operators.routes import destination_tree
@@ -200,12 +200,7 @@ def dest_tree(t):
     files = rec.point_shapes(t).filter(c("group_id") == 5).select(
         *MAP_KEY, c("pos").alias("ord"), (c("pos") - 1000).cast("string").alias("id"), F.concat(F.lit("file "), "label").alias("name")
     )
-    tree = destination_tree(nav, files)
-    flat = tree.select("place", F.explode("buildings").alias("b")).select("place", "b.building", F.explode("b.floors").alias("f"))
-    return flat.select(
-        "place", "building", "f.floor", "f.origin",
-        F.array_join(F.transform("f.dests", lambda d: F.concat_ws("=", d["id"], d["name"])), ";").alias("dests"),
-    )
+    return destination_tree(nav, files)
 
 
 LABEL_MERGE_SQL = f"""WITH {LABEL_ROWS_SQL},
