@@ -170,3 +170,13 @@ def test_alias_edits(spark):
     )
     got = sorted(map(tuple, lookups.merge_aliases(base, edits, ["t"]).collect()))
     assert got == [("en", "a", "Z"), ("zh", "c", "W")]
+
+
+def test_row_numbers_of_a_large_group_and_a_shared_value(spark):
+    """A third of the rows in one group, and a third of those with one value of the first order column."""
+    rows = [(0 if i % 3 == 0 else 1 + i % 40, 5.0 if i % 9 < 3 else float(RNG.integers(50)), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, v double, i long")
+    got = {r.i: r.n for r in ranks.group_index(df, ["k"], ["v", "i"], "n").collect()}
+    pdf = pd.DataFrame(rows, columns=["k", "v", "i"]).sort_values(["k", "v", "i"])
+    want = dict(zip(pdf.i, pdf.groupby("k").cumcount(), strict=True))
+    assert got == want

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.session import cut_lineage, parallelism
+
 
 def sort_number(df: DataFrame, name: str) -> Column:
     """A number that grows with the column: used to cut it into value ranges."""
@@ -25,20 +27,17 @@ def _spread_keys(df: DataFrame, value: str, pieces: int) -> list[float]:
     return sorted({b for b in bounds if b is not None})
 
 
-def group_index(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, pieces: int = 64
-) -> DataFrame:
+def group_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Zero-based index of each row within its group in ``order``.
 
-    The first order column is cut into ``pieces`` value ranges. Ranks inside a
-    (group, range) are a window over that part only; the offsets of the ranges come
-    from pre-aggregated counts. A group with a third of all rows is thus spread over
-    many tasks.
+    Rows are dealt into ranges of (keys, order), which Spark cuts by sampling all these columns: a large group, and a value that many
+    of its rows share, are spread over as many tasks as their share of the rows. Ranks inside a (group, range) are a window
+    over that part only; the offsets of the ranges come from pre-aggregated counts. The dealt rows are written once, so
+    both uses see the same ranges.
     """
     keys, order = list(keys), list(order)
-    cuts = _spread_keys(df, order[0], pieces)
-    part = range_of(sort_number(df, order[0]), cuts).alias("_part")
-    rows = df.select("*", part)
+    dealt = df.repartitionByRange(parallelism(df.sparkSession), *keys, *order)
+    rows = cut_lineage(dealt.select("*", F.spark_partition_id().alias("_part")))
     local = Window.partitionBy(*keys, "_part").orderBy(*order)
     sizes = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
