@@ -260,7 +260,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep:
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(fresh(list(keep), "_text")[0]))
     schema = T.StructType([*rows.schema.fields[:-1], *new])
     out = None
     block: list = []

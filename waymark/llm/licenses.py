@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from waymark.llm.session import fresh
 from waymark.llm.words import hash_word, words
 
 # The base phrases and their labels.
@@ -142,7 +143,7 @@ def find_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     )]
     names = {f.name for f in new}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    rows = docs.select(*keep, docs[text].alias("_text"))
+    rows = docs.select(*keep, docs[text].alias(fresh(keep, "_text")[0]))
     schema = T.StructType([*rows.schema.fields[:-1], *new])
     automata = [compile_template(*t) for t in templates]
     spelled = [(p.split(" "), [hash_word(x) for x in p.split(" ")], label) for p, label in phrases]

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.session import fresh
 from waymark.session import cut_lineage
 
 #: Bits of one filter that may travel with every task (8 MB); a longer list is refused, to be split by host.
@@ -141,5 +142,6 @@ def judge_urls(pages: DataFrame, rules: Sequence[UrlRule] = RULES, default: str
         return F.struct(F.length(k["key"]).alias("long"), F.length(k["host"]).alias("wide"), k["key"].alias("rule"), said.alias("verdict"))
 
     hit = F.array_max(F.filter(F.transform(keys, tried), lambda t: t["verdict"].isNotNull()))
-    rows = rows.select("*", hit.alias("_hit"))
-    return rows.select(*pages.columns, "host", "path", F.col("_hit.rule").alias("rule"), F.coalesce("_hit.verdict", F.lit(default)).alias("verdict"))
+    (name,) = fresh(rows.columns, "_hit")
+    rows = rows.select("*", hit.alias(name))
+    return rows.select(*pages.columns, "host", "path", F.col(f"{name}.rule").alias("rule"), F.coalesce(f"{name}.verdict", F.lit(default)).alias("verdict"))
