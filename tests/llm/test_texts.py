@@ -222,6 +222,28 @@ def test_leaks_of_more_items_than_a_block(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, bench).collect()} == {(i, i) for i in range(9)}
 
 
+@pytest.mark.parametrize("others", [0, 20])
+def test_leaks_into_a_third_of_the_documents(spark, others):
+    rng = random.Random(5)
+    items = [*(babble(rng, n, 4000) for n in (30, 5)), *(babble(rng, 20, 4000) for _ in range(others))]
+    docs, want = [], set()
+    for k in range(300):
+        t = babble(rng, 200, 4000).split()
+        for item in range(2):
+            if k % 3 == item:
+                part = items[item].split()
+                for i in range(2, len(part), 5):
+                    part[i] = f"other{k}" if k % 2 else part[i]
+                at = rng.randrange(len(t))
+                t[at:at] = part
+                want.add((k, item))
+        docs.append((k, " ".join(t)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, bench).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_leaks_of_nothing(spark):
     bench = spark.createDataFrame([(1, "some words of an item")], "item_id long, text string")
     assert decontaminate.find_leaks(empty(spark), bench).count() == 0

@@ -5,6 +5,10 @@ are the words of a block's items, weighted by their inverse document frequency o
 distributed randomised SVD (one pass of A'(A G) over all passages, items weighted to balance the corpus) gives the latent
 space; passages close to an item by cosine are compared word by word: a near-verbatim common subsequence, or a
 looser one that also keeps the item's answer, is a leak.
+
+Words of very many documents carry no weight there, also when it is a leaking item that made them frequent. So
+every run of RUN words of an item is looked up as well, whatever its words weigh, and the stretch around it is
+compared in the same way.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.llm.session import fresh
-from waymark.llm.words import Words, words
+from waymark.llm.words import _BASE, Words, mix, words
 from waymark.session import cut_lineage
 
 #: Items searched for in one pass over the texts.
@@ -31,6 +35,8 @@ COSINE = 0.45
 VERBATIM, LOOSE = 0.8, 0.65
 #: Words in more than this share of documents (and in more than FEW) carry no weight.
 COMMON, FEW = 0.1, 20
+#: Words in a row that are looked up: a text that holds VERBATIM of an item, others replaced, has so many (two of five words).
+RUN = 3
 
 
 class Vocabulary:
@@ -50,6 +56,45 @@ class Vocabulary:
         return at[ok], k[ok]
 
 
+def _grams(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` words."""
+    out = np.full(max(len(h) - size + 1, 0), size, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out = out * np.uint64(_BASE) + h[k:k + len(out)]
+    return mix(out)
+
+
+class Runs:
+    """Places of every run of words of the items, by size: shorter runs only for items of few words."""
+
+    def __init__(self, items):
+        self.sizes = []
+        for size in range(1, RUN + 1):
+            of = [(i, _grams(np.array(codes, np.uint64), size)) for i, (_, codes, _) in enumerate(items) if size == (RUN if len(codes) > 5 else min(2, len(codes)))]
+            if of:
+                grams = np.concatenate([g for _, g in of])
+                known = Vocabulary(grams)
+                k = np.searchsorted(known.hashes, grams)
+                order = np.argsort(k, kind="stable")
+                item = np.concatenate([np.full(len(g), i) for i, g in of])[order]
+                place = np.concatenate([np.arange(len(g)) for _, g in of])[order]
+                self.sizes.append((size, known, np.searchsorted(k[order], np.arange(len(known.hashes) + 1)), item, place))
+
+    def find(self, w: Words) -> np.ndarray:
+        """Distinct (row, item, word at which the item would begin) of all runs that rows of ``w`` hold, in order."""
+        found = [np.zeros((0, 3), np.int64)]
+        for size, known, first, item, place in self.sizes:
+            at, k = known.find(_grams(w.hashes, size))
+            rows = np.searchsorted(w.at, at, "right") - 1
+            inside = at + size <= w.at[rows + 1]
+            at, k, rows = at[inside], k[inside], rows[inside]
+            n = first[k + 1] - first[k]
+            which = np.repeat(first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            found.append(np.stack([np.repeat(rows, n), item[which], np.repeat(at, n) - place[which]], axis=1))
+        return np.unique(np.concatenate(found), axis=0)
+
+
 def lcs(pattern: Sequence[int], text: Sequence[int]) -> int:
     """Length of the longest common subsequence, a machine-word-parallel row at a time."""
     masks: dict[int, int] = {}
@@ -194,7 +239,7 @@ def _same(items, item: int, have: list[int]) -> float | None:
     return None
 
 
-def _search(vocab, latent, items, names):
+def _search(vocab, latent, items, runs, names):
     def run(batches):
         basis, q = latent.value
         needs = _needs(items.value, vocab.value)
@@ -237,6 +282,23 @@ def _search(vocab, latent, items, names):
                         got = (round(share, 6), round(float(close[p, item]), 4), begin - int(w.at[row]))
                         if got > best.get((row, item), (-1,)):
                             best[row, item] = got
+                for row, item, d in runs.value.find(w).tolist():
+                    if best.get((row, item), (0,))[0] == 1:
+                        continue
+                    size_of = len(items.value[item][1])
+                    lo = max(int(w.at[row]), d - size_of // 2)
+                    hi = min(int(w.at[row + 1]), d + size_of + size_of // 2)
+                    own, need, _, _ = needs[item]
+                    if need > 0 and len(own.intersection(k[np.searchsorted(at, lo):np.searchsorted(at, hi)].tolist())) < need:
+                        continue
+                    share = _same(items.value, item, w.hashes[lo:hi].tolist())
+                    if share is not None:
+                        s = max(d - int(w.at[row]), 0) // SEGMENT
+                        p = int(np.searchsorted(live, first[row] + s))
+                        cosine = float(close[p, item]) if p < len(live) and live[p] == first[row] + s else 0.0
+                        got = (round(share, 6), round(cosine, 4), s * SEGMENT)
+                        if got > best.get((row, item), (-1,)):
+                            best[row, item] = got
                 for (row, item), got in sorted(best.items()):
                     took.append(w.lo + row)
                     out.append((items.value[item][0], *got))
@@ -252,7 +314,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep:
     """One row (columns ``keep``, item_id, share, cosine, first_word) for each row of ``docs`` and item that leaks into it.
 
     ``share`` is the part of the item's words that the text holds in order, ``first_word`` where the passage
-    begins. Items without words (null or empty) never leak; texts without words hold none. Repeated items and rows
+    begins; ``cosine`` is 0 for a passage without weighted words. Items without words (null or empty) never leak; texts without words hold none. Repeated items and rows
     each count. Columns of ``keep`` called like the new ones are left out.
     """
     new = [T.StructField("item_id", T.LongType()), T.StructField("share", T.DoubleType()), T.StructField("cosine", T.DoubleType()), T.StructField("first_word", T.LongType())]
@@ -282,13 +344,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep:
         n, df = count[-1], count[:-1]
         rare = df <= max(COMMON * n, FEW)
         vocab, weight = Vocabulary(vocab.hashes[rare]), (np.log((n + 1) / (df + 1)) + 1)[rare]
-        if not len(weight):
-            continue
         voc = send(vocab)
-        probe = np.random.default_rng(7).standard_normal((len(vocab.hashes), min(RANK + 16, len(vocab.hashes))))
-        sketch, seen = _sketch(texts, voc, send(weight), send(probe.astype(np.float32)))
-        latent = send(_latent(items, vocab, weight, sketch, seen, probe))
-        found = rows.mapInArrow(_search(voc, latent, send(items), [f.name for f in schema]), schema)
+        if len(weight):
+            probe = np.random.default_rng(7).standard_normal((len(vocab.hashes), min(RANK + 16, len(vocab.hashes))))
+            sketch, seen = _sketch(texts, voc, send(weight), send(probe.astype(np.float32)))
+            latent = send(_latent(items, vocab, weight, sketch, seen, probe))
+        else:
+            latent = send((np.zeros((0, 1), np.float32), np.zeros((len(items), 1), np.float32)))
+        found = rows.mapInArrow(_search(voc, latent, send(items), send(Runs(items)), [f.name for f in schema]), schema)
         out = found if out is None else out.unionAll(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
