@@ -85,6 +85,18 @@ def test_pii_finds_unseen_identifiers(spark):
     assert not found[26] and not found[20]
 
 
+def test_pii_finds_other_written_forms_beside_known_words(spark):
+    cards = ["4539578763621486", "5555555555554444", "4111111111111111", "4012888888881881"]
+    assert all(map(luhn, cards))
+    texts = [f"please call +1 (269) 555-{k} today" for k in range(3290, 3296)] + [f"now pay {c} soon" for c in cards] + [f"host 10.0.{k}.7 down" for k in range(6)]
+    texts += [f"the +1 (269) 555-{k} of" for k in range(4290, 4296)] + [f"the {c[:8]} {c[8:]} of" for c in cards] + [f"the 10.1.{k}.7 of" for k in range(6)]
+    unseen = ["we call 269 555 3299 here", "all pay 5105.1051.0510.5100 here", "one host 10-0-9-7 here", "a number 269 555 3298 here", "the 269 555 3297 of", "we pay 5105.1051.0510.5101 here", "call 2 6 9 5 5 5 8 8 8 8 ok", "the +2 6 9 5 5 5 8 8 8 1 of"]
+    rows = [(i, t) for i, t in enumerate([*texts, *unseen])]
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r["text"]: [(s["kind"], s["text"]) for s in r["added"]] for r in found if r["added"]}
+    assert got == {unseen[0]: [("phone", "269 555 3299")], unseen[1]: [("card", "5105.1051.0510.5100")], unseen[2]: [("ip", "10-0-9-7")], unseen[6]: [("phone", "2 6 9 5 5 5 8 8 8 8")]}
+
+
 def test_pii_empty_and_own_columns(spark):
     assert pii.pii_report(pii.find_pii(empty(spark))).count() == 0
     assert set(pii.find_pii(awkward(spark)).columns) == {*awkward(spark).columns, "base", "added"}

@@ -1,9 +1,11 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seeds are the entities that strict patterns find (addresses, numbers). The words around a seed and
-its written shape induce lexical patterns; every token run of a seed's shape is a possible instance.
+its written shape induce lexical patterns; every token run of a seed's shape is a possible instance, and
+so is every run of another shape that passes the kind's loose check beside a word.
 Patterns and instances form a graph whose scores are iterated: a pattern is as good as the instances
-it extracts, an instance as good as its best pattern, seeds stay at 1. Instances above the
+it extracts, an instance as good as its best pattern, seeds stay at 1. A word alone is as good as the share
+of one kind among all that stands beside it. Instances above the
 threshold that the strict patterns missed are added.
 """
 
@@ -30,7 +32,7 @@ PATTERNS = {
 RUN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [^\s0-9@]*+[0-9@]\S*+)*+"
 SPAN = "array<struct<kind:string,start:int,end:int,text:string>>"
 MENTION = "array<struct<kind:string,start:int,end:int,text:string,shape:string,left:string,right:string>>"
-#: Most tokens of an instance.
+#: Most tokens of an instance, or as many as the longest seed has.
 TOKENS = 4
 #: Characters beside a mention in which its context word is looked for.
 NEAR = 48
@@ -48,6 +50,20 @@ def valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
+def loose(kind: str, text: Column) -> Column:
+    """Whether an instance of any written form can be of its kind, if its context says so."""
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    bare = ~text.rlike(r"[\p{L}@]")
+    if kind == "ip":
+        octet = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+        return text.rlike(rf"^[^\p{{L}}0-9]*{octet}(?:[^\p{{L}}0-9]{{1,3}}{octet}){{3}}[^\p{{L}}0-9]*$")
+    if kind == "card":
+        return bare & F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
+    if kind == "phone":
+        return bare & F.length(digits).between(7, 15)
+    return text.rlike(r"^[^\s@]+@[^\s@]+$")
+
+
 def base_spans(text: Column) -> Column:
     """Strict spans of all kinds, by kind as listed."""
 
@@ -77,8 +93,8 @@ def context(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
     return word(before), word(after)
 
 
-def _windows(text: Column) -> Column:
-    """Every run of up to TOKENS identifier-like tokens: (start, end, text), outer marks stripped."""
+def _windows(text: Column, most: int) -> Column:
+    """Every run of up to ``most`` identifier-like tokens: (start, end, text), outer marks stripped."""
     runs = match_spans(text, RUN)
 
     def window(run, tokens, ends, i, k):
@@ -87,7 +103,7 @@ def _windows(text: Column) -> Column:
     def of_tokens(run, tokens, ends):
         return F.flatten(F.transform(
             F.sequence(F.lit(1), F.size(tokens)),
-            lambda i: F.transform(F.sequence(F.lit(0), F.least(F.lit(TOKENS - 1), F.size(tokens) - i)), lambda k: window(run, tokens, ends, i, k)),
+            lambda i: F.transform(F.sequence(F.lit(0), F.least(F.lit(most - 1), F.size(tokens) - i)), lambda k: window(run, tokens, ends, i, k)),
         ))
 
     def of_run(run):
@@ -106,7 +122,8 @@ def mentions(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     body = F.col("_body")
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_body"))
     rows = rows.select("*", F.when(body.rlike("[0-9@]"), base_spans(body)).otherwise(F.array().cast(SPAN)).alias("base"))
-    rows = rows.select("*", F.when(body.rlike("[0-9@]"), _windows(body)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>")).alias("_win"))
+    longest = rows.select(F.max(F.array_max(F.transform("base", lambda s: F.size(F.split(s["text"], " "))))).alias("n")).first()["n"]
+    rows = rows.select("*", F.when(body.rlike("[0-9@]"), _windows(body, max(TOKENS, longest or 0))).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>")).alias("_win"))
 
     def mention(s, kind):
         left, right = context(body, s["start"], s["end"])
@@ -119,19 +136,33 @@ def mentions(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
 
 
 def scored(found: DataFrame, rounds: int) -> DataFrame:
-    """(kind, text, seed, score) of every instance that has the shape of a seed."""
+    """(kind, text, seed, score, beside) of every instance that has the shape of a seed or passes a loose check.
+
+    ``beside`` is the best score of a word alone. Words that hold digits are no such patterns: they are part of the same run.
+    """
     m = found.select(F.explode("maybe").alias("m")).select("m.*")
-    seeds = m.where("kind IS NOT NULL")
+    seeds, free = m.where("kind IS NOT NULL"), m.where("kind IS NULL").drop("kind")
+    columns = ["kind", "shape", "text", "left", "right"]
     shapes = seeds.select("kind", "shape").distinct()
-    free = m.where("kind IS NULL").drop("kind").join(shapes, "shape")
-    both = seeds.select("kind", "shape", "text", "left", "right", F.lit(1).alias("seed")).unionByName(free.select("kind", "shape", "text", "left", "right", F.lit(0).alias("seed")))
+    both = seeds.select(*columns, F.lit(1).alias("seed")).unionByName(free.join(shapes, "shape").select(*columns, F.lit(0).alias("seed")))
+    kinds = F.array_compact(F.array(*[F.when(loose(k, F.col("text")), k) for k in KINDS]))
+    wide = seeds.select(*columns, F.lit(1).alias("seed")).unionByName(free.withColumn("kind", F.explode(kinds)).select(*columns, F.lit(0).alias("seed")))
     patterns = F.array(F.concat_ws("|", F.lit("L"), "shape", "left"), F.concat_ws("|", F.lit("R"), "shape", "right"), F.concat(F.lit("S|"), "shape"))
-    edges = cut_lineage(both.select("kind", "text", "seed", F.explode(patterns).alias("pattern")).groupBy("kind", "pattern", "text").agg(F.max("seed").alias("seed")))
-    inst = edges.groupBy("kind", "text").agg(F.max("seed").alias("seed")).withColumn("score", F.col("seed").cast("double"))
+    word = lambda c: F.when(F.col(c).rlike(r"\p{L}") & ~F.col(c).rlike(r"[0-9]|^d$"), F.concat(F.lit(f"{c}|"), c))
+    alone = F.array_compact(F.array(word("left"), word("right")))
+
+    def linked(rows, by):
+        return rows.select("kind", "text", "seed", F.explode(by).alias("pattern")).groupBy("kind", "pattern", "text").agg(F.max("seed").alias("seed"))
+
+    shaped, words = cut_lineage(linked(both, patterns)), cut_lineage(linked(wide, alone))
+    shaped = shaped.join(shaped.groupBy("kind", "pattern").agg(F.count("*").alias("n")), ["kind", "pattern"])
+    words = words.join(words.select("pattern", "text").distinct().groupBy("pattern").agg(F.count("*").alias("n")), "pattern")
+    edges = cut_lineage(shaped.withColumn("word", F.lit(False)).unionByName(words.withColumn("word", F.lit(True))))
+    inst = edges.groupBy("kind", "text").agg(F.max("seed").alias("seed")).withColumn("score", F.col("seed").cast("double")).withColumn("beside", F.lit(0.0))
     for _ in range(rounds):
-        pat = edges.drop("seed").join(inst, ["kind", "text"]).groupBy("kind", "pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("good"))
-        inst = edges.join(pat, ["kind", "pattern"]).groupBy("kind", "text").agg(F.max("seed").alias("seed"), F.max("good").alias("best"))
-        inst = inst.select("kind", "text", "seed", F.greatest(F.col("seed").cast("double"), "best").alias("score"))
+        pat = edges.drop("seed").join(inst, ["kind", "text"]).groupBy("kind", "pattern").agg((F.sum("score") / (F.max("n") + 1)).alias("good"))
+        inst = edges.join(pat, ["kind", "pattern"]).groupBy("kind", "text").agg(F.max("seed").alias("seed"), F.max("good").alias("best"), F.max(F.when(F.col("word"), F.col("good"))).alias("beside"))
+        inst = inst.select("kind", "text", "seed", F.greatest(F.col("seed").cast("double"), "best").alias("score"), F.coalesce("beside", F.lit(0.0)).alias("beside"))
     return inst
 
 
@@ -144,12 +175,12 @@ def find_pii(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = N
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "added", "maybe", "_row", "_body", "_win")]
     found = mentions(docs, text, keep)
-    new = scored(found, rounds).where(F.col("score") >= least).select("kind", "text")
-    good = F.lit(False)
+    good, body = F.lit(False), F.col("text")
     for kind in KINDS:
-        good = good | ((F.col("kind") == kind) & valid(kind, F.col("text")))
+        good = good | ((F.col("kind") == kind) & ((F.col("score") >= least) & valid(kind, body) | (F.col("beside") >= least) & loose(kind, body)))
+    new = scored(found, rounds).where(good).groupBy("text").agg(F.max_by("kind", F.struct("score", "beside", "kind")).alias("kind"))
     free = found.select("_row", F.explode("maybe").alias("m")).where("m.kind IS NULL").select("_row", "m.start", "m.end", "m.text")
-    hits = free.join(new.where(good), "text").groupBy("_row").agg(F.collect_set(F.struct("kind", "start", "end", "text")).alias("_hits"))
+    hits = free.join(new, "text").groupBy("_row").agg(F.collect_set(F.struct("kind", "start", "end", "text")).alias("_hits"))
     outer = F.filter("_hits", lambda s: ~F.exists("_hits", lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])))
     hits = hits.select("_row", outer.cast(SPAN).alias("added"))
     none = F.array().cast(SPAN)
