@@ -244,6 +244,22 @@ def test_leaks_into_a_third_of_the_documents(spark, others):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_leaks_spread_among_words_of_other_items(spark):
+    rng = random.Random(6)
+    names = [f"w{i}x" for i in range(412)]
+    rng.shuffle(names)
+    items = [" ".join(names[:12]), *(" ".join(names[12 + k * 20:32 + k * 20]) for k in range(20))]
+    docs = []
+    for k in range(7):
+        other = rng.sample(names[12:], 60)
+        docs.append((k, " ".join(" ".join([*names[i * 2:i * 2 + 2], *other[i * 10:i * 10 + 10]]) for i in range(6))))
+    d = spark.createDataFrame([*docs, *((k, " ".join(rng.sample(names[12:], 72))) for k in range(7, 40))], "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["cosine"] for r in decontaminate.find_leaks(d, bench).collect()}
+    assert set(got) == {(k, 0) for k in range(7)}, got
+    assert min(got.values()) < 0.45, got
+
+
 def test_leaks_of_nothing(spark):
     bench = spark.createDataFrame([(1, "some words of an item")], "item_id long, text string")
     assert decontaminate.find_leaks(empty(spark), bench).count() == 0

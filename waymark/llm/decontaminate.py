@@ -30,7 +30,7 @@ BLOCK = 256
 RANK = 192
 #: Words of a segment; a passage is SPAN segments and begins at every segment.
 SEGMENT, SPAN = 24, 3
-COSINE = 0.45
+COSINE = 0.3
 #: Share of an item's words that a text must hold in order, alone or with its answer.
 VERBATIM, LOOSE = 0.8, 0.65
 #: Words in more than this share of documents (and in more than FEW) carry no weight.
