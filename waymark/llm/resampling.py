@@ -130,7 +130,7 @@ def radix_rank(df: DataFrame, keys: Sequence[tuple[str, bool]], name: str = "ran
     rows = turns.write(df.select("*", F.monotonically_increasing_id().alias(p)))
     ends = rows.agg(F.count("*").alias("n"), *(f(F.col(k)).alias(f"{s}{i}") for i, (k, _) in enumerate(keys) for s, f in (("lo", F.min), ("hi", F.max)))).first()
     n = ends["n"]
-    block = block or min(BLOCK, -(-max(n, 1) // (8 * parallelism(spark))))
+    block = block or min(BLOCK, -(-max(n, 1) // parallelism(spark)))  # no more than an even share of the rows
     digits = []  # from the least significant: (column expression of the key, first bit, bits)
     for i, (k, down) in reversed(list(enumerate(keys))):
         lo, hi = ends[f"lo{i}"], ends[f"hi{i}"]
