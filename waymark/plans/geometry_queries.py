@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from waymark.functions.geometry import clean
 from waymark.operators import floor_graph as fg
 from waymark.operators import polygons as pg
+from waymark.operators import sight
 from waymark.plans import recipes as rec
 from waymark.plans.lookup_queries import CONNECTOR_SQL, connector_nodes, nav_nodes
 from waymark.plans.registry import query
-from waymark.session import parallelism
 from waymark.sources import annotations as ann
 
 c = F.col
@@ -21,10 +21,6 @@ def floor_polys(t):
     return pg.floor_geometry(ann.shape_polygons(rec.floor_shapes(t)))
 
 
-def outlined_floors(t):
-    return pg.boundary_pieces(floor_polys(t))
-
-
 # Outline of the fixed floor plan and its open interior, worked out by hand.
 OUTLINE_SQL = """ol(ax,ay,bx,b_y) AS (SELECT a::DOUBLE, b::DOUBLE, c::DOUBLE, d::DOUBLE FROM (VALUES (0,0,0,60),(0,60,300,60),(300,60,300,35),(300,35,310,35),(310,35,310,60),(310,60,400,60),(400,60,400,0),
  (400,0,310,0),(310,0,310,25),(310,25,300,25),(300,25,300,0),(300,0,0,0),(140,20,140,40),(140,40,160,40),(160,40,160,20),(160,20,140,20)) v(a,b,c,d))"""
@@ -72,18 +68,28 @@ def room_lookup(t):
     return rows.select(*MAP_KEY, "node_id", pg.room_label(c("polys"), c("x"), c("y")).alias("room"))
 
 
-@query("visibility_pairs", f"WITH {VISIBLE_SQL} SELECT place, building, floor, a, b, visible FROM vp")
+@query("visibility_pairs", f"WITH {VISIBLE_SQL} SELECT place, building, floor, a, b FROM vp WHERE visible")
 def visibility_pairs(t):
-    out = fg.visible_pairs(nav_nodes(t), floor_polys(t))
-    return out.select(*MAP_KEY, c("a_node_id").alias("a"), c("b_node_id").alias("b"), "visible")
+    return fg.visible_pairs(nav_nodes(t), floor_polys(t)).select(*MAP_KEY, "a", "b")
+
+
+@query("visibility_counts", f"WITH {VISIBLE_SQL} SELECT place, building, floor, count(*) FILTER (visible) AS visible, count(*) FILTER (NOT visible) AS hidden FROM vp GROUP BY ALL")
+def visibility_counts(t):
+    """How many candidate links of each floor are seen; floors without candidates have no row."""
+    out = fg.visibility_counts(nav_nodes(t), fg.visible_pairs(nav_nodes(t), floor_polys(t)))
+    return out.filter(c("visible") + c("hidden") > 0)
 
 
 @query("floor_graph", f"WITH {GRAPH_SQL} SELECT place, building, floor, src, dst, round(weight,6)+0.0 AS weight FROM fe")
 def floor_graph(t):
-    e = fg.floor_edges(fg.visible_pairs(nav_nodes(t), floor_polys(t)))
+    e = floor_links(t)
     return e.select(*MAP_KEY, "src", "dst", clean(c("weight")).alias("weight"))
 
 
+def floor_links(t):
+    return fg.floor_edges(fg.visible_pairs(nav_nodes(t), floor_polys(t)), nav_nodes(t))
+
+
 @query(
     "unified_graph",
     f"""WITH {GRAPH_SQL}, {rec.SCALES_SQL}, {CONNECTOR_SQL}
@@ -91,9 +97,7 @@ def floor_graph(t):
     UNION ALL SELECT 'connector', ap, ab, af, an, bp, bb, bf, bn, weight FROM cedges""",
 )
 def unified_graph(t):
-    e = fg.unified_edges(
-        fg.floor_edges(fg.visible_pairs(nav_nodes(t), floor_polys(t))), rec.stored_scales(t), connector_nodes(t)
-    )
+    e = fg.unified_edges(floor_links(t), rec.stored_scales(t), connector_nodes(t))
     names = [(*MAP_KEY, "node_id")[i] for i in range(4)]
     short = (*MAP_KEY, "node")
     return e.select(
@@ -125,12 +129,10 @@ def pose_links(t):
       CASE WHEN dy=0 THEN CASE WHEN py>25 AND py<35 THEN 0.0 ELSE 2.0 END ELSE least((25-py)/dy,(35-py)/dy) END AS ty0,
       CASE WHEN dy=0 THEN CASE WHEN py>25 AND py<35 THEN 1.0 ELSE -1.0 END ELSE greatest((25-py)/dy,(35-py)/dy) END AS ty1 FROM d),
     x AS (SELECT *, greatest(0,tx0,ty0) < least(1,tx1,ty1)-1e-12 AND (dx<>0 OR dy<>0) AND NOT (px BETWEEN 295 AND 315 AND qx BETWEEN 295 AND 315 AND py BETWEEN 25 AND 35 AND qy BETWEEN 25 AND 35) AS hit FROM s)
-    SELECT place, building, floor, a, b, CASE WHEN hit THEN round(least(1,greatest(0,((305-px)*dx+(30-py)*dy)/(dx*dx+dy*dy)))*sqrt(dx*dx+dy*dy),6)+0.0 END AS door_px FROM x""",
+    SELECT place, building, floor, a, b, CASE WHEN hit THEN round(least(1,greatest(0,((305-px)*dx+(30-py)*dy)/(dx*dx+dy*dy)))*sqrt(dx*dx+dy*dy),6)+0.0 END AS door_px FROM x WHERE hit""",
 )
 def door_events(t):
-    pairs = fg.node_pairs(nav_nodes(t), floor_polys(t))
-    out = pg.door_crossing(pairs, ("a_x", "a_y", "b_x", "b_y"))
-    return out.select(*MAP_KEY, c("a_node_id").alias("a"), c("b_node_id").alias("b"), clean(c("door_px")).alias("door_px"))
+    return fg.door_pairs(nav_nodes(t), floor_polys(t)).withColumn("door_px", clean(c("door_px")))
 
 
 @query(
@@ -166,10 +168,9 @@ def snap_in_sql(offset, name):
 
 
 def strays(t):
-    points = rec.point_shapes(t).select(
+    return rec.point_shapes(t).select(
         c("pos").alias("point_id"), *MAP_KEY, (c("x") * 1.2 - 30.3).alias("x"), (c("y") * 1.5 - 15.2).alias("y")
     )
-    return points.repartition(parallelism(t.spark), *MAP_KEY)
 
 
 @query(
@@ -177,7 +178,7 @@ def strays(t):
     f"WITH {STRAY_SQL}, {snap_in_sql(20.0, 'si')} SELECT point_id, round(fx,4)+0.0 AS sx, round(fy,4)+0.0 AS sy FROM si",
 )
 def snap_walkable(t):
-    out = pg.snap_inside(strays(t).join(outlined_floors(t), MAP_KEY), "x", "y")
+    out = sight.snapped(strays(t), floor_polys(t), offset=20.0)
     return out.select("point_id", clean(c("sx"), 4).alias("sx"), clean(c("sy"), 4).alias("sy"))
 
 
@@ -196,9 +197,6 @@ def snap_walkable(t):
       round(CASE WHEN {interior_sql('x', 'y')} THEN y WHEN NOT has THEN fy WHEN nrm<1e-6 THEN ey WHEN {interior_sql('gx', 'gy')} THEN gy ELSE ey END,4)+0.0 AS sy FROM gg JOIN si USING (point_id)""",
 )
 def snap_waypoint(t):
-    nav = nav_nodes(t).filter(c("group_id").isin(3, 4)).groupBy(*MAP_KEY).agg(F.collect_list(F.struct("x", "y")).alias("nav"))
-    rows = strays(t).join(outlined_floors(t), MAP_KEY).join(nav, MAP_KEY, "left").withColumn(
-        "nav", F.coalesce("nav", F.array().cast("array<struct<x:double,y:double>>"))
-    )
-    out = pg.snap_toward(rows, "x", "y")
+    nav = nav_nodes(t).filter(c("group_id").isin(*fg.NAV_GROUPS))
+    out = sight.snapped(strays(t), floor_polys(t), nav)
     return out.select("point_id", clean(c("sx"), 4).alias("sx"), clean(c("sy"), 4).alias("sy"))
