@@ -151,16 +151,20 @@ def fit_forest(sample: np.ndarray, k: int, trees: int = TREES, leaf: int = LEAF,
     rng = np.random.default_rng(seed)
     forest = [fit_tree(sample, leaf, rng) for _ in range(trees)]
     trial = sample[rng.choice(len(sample), min(TRIALS, len(sample)), replace=False)]
-    cos = trial @ sample.T
-    far = reach(cos, k)
-    if not np.isfinite(far).all():
-        return forest, np.inf
-    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-    needed = np.full(near.shape, np.inf)
-    for t in forest:
-        leaf_of = t.leaf_of(sample)
-        needed = np.minimum(needed, np.take_along_axis(_separations(t, trial), leaf_of[near], axis=1))
-    return forest, float(np.quantile(needed / far[:, None], recall, method="higher"))
+    homes = [t.leaf_of(sample) for t in forest]
+    shares = []
+    for lo in range(0, len(trial), 32):  # a few at a time: their cosines with the whole sample are held
+        q = trial[lo:lo + 32]
+        cos = q @ sample.T
+        far = reach(cos, k)
+        if not np.isfinite(far).all():
+            return forest, np.inf
+        near = np.argpartition(cos, len(sample) - k, axis=1)[:, len(sample) - k:]
+        needed = np.full(near.shape, np.inf)
+        for t, home in zip(forest, homes, strict=True):
+            needed = np.minimum(needed, np.take_along_axis(_separations(t, q), home[near], axis=1))
+        shares.append(needed / far[:, None])
+    return forest, float(np.quantile(np.concatenate(shares), recall, method="higher")) if shares else np.inf
 
 
 def _sound(name: str) -> Column:
@@ -258,8 +262,8 @@ def leaf_hits(nodes: DataFrame, asking: DataFrame, wide: bool, k: int, trees: in
     def visits(batches):
         forest, share, sample, homes, sizes = send.value
         for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                part = b.slice(lo, 64)
+            for lo in range(0, b.num_rows, 32):
+                part = b.slice(lo, 32)
                 m = unit(part.column(1), wide)
                 cos = m @ sample.T
                 seen = [search(forest, sizes, q, share * d, k) for q, d in zip(m, reach(cos, k), strict=True)]
