@@ -117,12 +117,13 @@ def gram_index(vocabulary: DataFrame) -> DataFrame:
 def near_words(vocabulary: DataFrame) -> DataFrame:
     """(a, na, b, nb): every two words (each pair once) that one inserted, deleted or replaced character makes equal."""
     entries = cut_lineage(gram_index(vocabulary))
-    probes = entries.where("probe").select("side", "part", F.col("word").alias("a"), F.col("n").alias("na"), F.col("last").alias("la"), "head")
-    index = entries.where("NOT probe").select("side", "part", F.col("word").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb"))
+    size = F.length("word")
+    probes = entries.where("probe").select("side", "part", F.explode(F.sequence(size - 1, size + 1)).alias("size"), F.col("word").alias("a"), F.col("n").alias("na"), F.col("last").alias("la"), "head")
+    index = entries.where("NOT probe").select("side", "part", size.alias("size"), F.col("word").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb"))
     a, b = F.col("a"), F.col("b")
     later = (F.col("lb") > F.col("la")) | ((F.col("lb") == F.col("la")) & (b > a))
-    fits = later & (F.abs(F.length(a) - F.length(b)) <= 1) & (F.col("head").isNull() | ~F.startswith(b, F.col("head")))
-    return probes.join(index, ["side", "part"]).where(fits & (F.levenshtein(a, b, 1) == 1)).select("a", "na", "b", "nb")
+    fits = later & (F.col("head").isNull() | ~F.startswith(b, F.col("head")))
+    return probes.join(index, ["side", "part", "size"]).where(fits & (F.levenshtein(a, b, 1) == 1)).select("a", "na", "b", "nb")
 
 
 def spelling_forms(vocabulary: DataFrame, ratio: int = RATIO) -> DataFrame:
