@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waymark.operators import cells, clouds, lookups, ranks, relax, routes, vectors
+from waymark.operators import cells, clouds, lookups, overlay, ranks, relax, routes, vectors
 from waymark.operators.blocks import block_pairs
 
 c = F.col
@@ -96,17 +96,86 @@ def test_shortest_paths(spark):
     cost = {}
     for a, b, w in edges:
         cost[a, b] = min(w, cost.get((a, b), w))
-    for r in relax.trails(tree, pairs, every=2).collect():
-        assert r.trail[0] == r.source and r.trail[-1] == r.dest
-        assert sum(cost[p] for p in zip(r.trail, r.trail[1:])) == got[r.source, r.dest]
+    paths = {}
+    for r in relax.path_nodes(tree, pairs).collect():
+        paths.setdefault((r.source, r.dest), []).append((r.hops, r.node))
+    assert set(paths) == set(got)
+    for (a, b), path in paths.items():
+        nodes = [n for _, n in sorted(path)]
+        assert [h for h, _ in sorted(path)] == list(range(len(path)))
+        assert nodes[0] == a and nodes[-1] == b and sum(cost[p] for p in zip(nodes, nodes[1:])) == got[a, b]
+
+
+def test_asked_paths_bound_the_search(spark):
+    line = spark.range(400).select(c("id").alias("src"), (c("id") + 1).alias("dst"), F.lit(1).alias("weight"))
+    asked = spark.createDataFrame([(0, 3), (100, 101)], "source long, node long")
+    tree = relax.shortest_paths(line, asked.select("source"), asked)
+    assert sorted((r.source, r.node, r.cost) for r in tree.collect()) == [(0, k, k) for k in range(4)] + [(100, 100, 0), (100, 101, 1)]
+
+
+def test_long_paths_by_doubling(spark):
+    n = 10_000
+    tree = spark.range(n).select(F.lit(0).cast("long").alias("source"), c("id").alias("node"), c("id").cast("int").alias("hops"), F.when(c("id") > 0, c("id") - 1).alias("pred"))
+    out = relax.path_nodes(tree, spark.createDataFrame([(0, n - 1)], "source long, dest long"))
+    assert out.count() == n and out.agg(F.sum("node")).first()[0] == n * (n - 1) // 2
+
+
+def test_negative_weights_are_refused(spark):
+    with pytest.raises(ValueError):
+        relax.shortest_paths(spark.createDataFrame([(1, 2, -1.0)], "src long, dst long, weight double"), spark.createDataFrame([(1,)], "source long"))
 
 
 def test_route_errors(spark):
-    tree = spark.createDataFrame([(1, 1, 0.0, 0), (1, 2, 4.0, 1)], "source long, node long, cost double, hops int")
-    trips = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 9)], "trip_id long, source long, dest long")
+    found = spark.createDataFrame([(1, 0, 1), (2, 4, 1)], "trip_id long, cost long, hops int")
+    trips = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 9), (5, None)], "trip_id long, dest long")
     ends = spark.createDataFrame([(1,), (2,), (3,)], "dest long")
-    got = {r.trip_id: (r.cost, r.error) for r in routes.route_trips(trips, ends, tree).collect()}
-    assert got == {1: (0.0, None), 2: (4.0, None), 3: (None, "No path found"), 4: (None, "Destination must be terminal")}
+    got = {r.trip_id: (r.cost, r.error) for r in routes.trip_results(trips, ends, found).collect()}
+    assert got == {1: (0, None), 2: (4, None), 3: (None, "No path found"), 4: (None, "Destination must be terminal"), 5: (None, "Destination must be terminal")}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_overlay_equals_the_whole_graph(spark, seed):
+    rng = random.Random(seed)
+    floors = {n: n // 9 for n in range(45)}
+    edges, jumps = {}, {}
+    for _ in range(130):
+        a, b = rng.sample(range(45), 2)
+        if floors[a] == floors[b] and a % 9 != 8:  # the ninth node of a floor is a destination
+            edges[a, b] = rng.randrange(1, 9)
+    gates = [n for n in range(45) if n % 9 in (0, 1)]
+    for _ in range(9):
+        a, b = rng.sample(gates, 2)
+        jumps[a, b] = jumps[b, a] = rng.choice([0, 3, 50])
+    links = {t: {rng.randrange(9) + 9 * (t % 5): rng.randrange(1, 20) for _ in range(2)} for t in range(40)}
+    dest = {t: 9 * rng.randrange(5) + 8 for t in links}
+    every = dict(edges)
+    for e, w in jumps.items():
+        every[e] = min(w, every.get(e, w))
+
+    def best(t):
+        label = {n: (w, 1) for n, w in links[t].items()}
+        for _ in range(60):
+            for (a, b), w in every.items():
+                if a in label and (label[a][0] + w, label[a][1] + 1) < label.get(b, (10**9, 0)):
+                    label[b] = (label[a][0] + w, label[a][1] + 1)
+        return label.get(dest[t])
+
+    table = lambda d: spark.createDataFrame([(a, b, w) for (a, b), w in d.items()], "src long, dst long, weight long")
+    ends = spark.createDataFrame([(d,) for d in set(dest.values())], "node long")
+    o = overlay.Overlay(table(edges), table(jumps), ends)
+    trips = spark.createDataFrame(list(dest.items()), "trip_id long, dest long")
+    see = spark.createDataFrame([(t, n, w) for t, x in links.items() for n, w in x.items()], "trip_id long, node long, weight long")
+    found = overlay.route(trips, see, o)
+    got = {r.trip_id: (r.cost, r.hops) for r in found.found.collect()}
+    assert got == {t: best(t) for t in links if best(t)}
+    paths = {}
+    for r in overlay.route_nodes(found).collect():
+        paths.setdefault(r.trip_id, []).append((r.seq, r.node))
+    assert set(paths) == set(got)
+    for t, path in paths.items():
+        nodes = [n for _, n in sorted(path)]
+        assert [s for s, _ in sorted(path)] == list(range(1, got[t][1] + 1)) and nodes[-1] == dest[t]
+        assert links[t][nodes[0]] + sum(every[e] for e in zip(nodes, nodes[1:])) == got[t][0]
 
 
 def test_retrieval(spark):

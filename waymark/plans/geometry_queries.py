@@ -155,10 +155,11 @@ def snap_route(t):
     return out.withColumns({n: clean(c(n), 4) for n in ("sx", "sy", "dist")})
 
 
-STRAY_SQL = f"""{rec.POINTS_SQL}, {OUTLINE_SQL}, st AS (SELECT pos AS point_id, place, building, floor, x*1.2-30.3 AS x, y*1.5-15.2 AS y FROM pts),
-nb AS (SELECT point_id, x, y, ax, ay, bx-ax AS dx, ol.b_y-ay AS dy, greatest(0,least(1,((x-ax)*(bx-ax)+(y-ay)*(ol.b_y-ay))/((bx-ax)*(bx-ax)+(ol.b_y-ay)*(ol.b_y-ay)))) AS t FROM st, ol),
+#: The outline point nearest to each point of ``st`` (point_id, x, y).
+NEAR_OUTLINE_SQL = """nb AS (SELECT point_id, x, y, ax, ay, bx-ax AS dx, ol.b_y-ay AS dy, greatest(0,least(1,((x-ax)*(bx-ax)+(y-ay)*(ol.b_y-ay))/((bx-ax)*(bx-ax)+(ol.b_y-ay)*(ol.b_y-ay)))) AS t FROM st, ol),
 nd AS (SELECT point_id, x, y, ax+t*dx AS nx, ay+t*dy AS ny, sqrt((ax+t*dx-x)*(ax+t*dx-x)+(ay+t*dy-y)*(ay+t*dy-y)) AS d FROM nb),
 bb AS (SELECT point_id, any_value(x) AS x, any_value(y) AS y, min(d) AS d, arg_min(nx,(d,nx,ny)) AS nx, arg_min(ny,(d,nx,ny)) AS ny FROM nd GROUP BY 1)"""
+STRAY_SQL = f"""{rec.POINTS_SQL}, {OUTLINE_SQL}, st AS (SELECT pos AS point_id, place, building, floor, x*1.2-30.3 AS x, y*1.5-15.2 AS y FROM pts), {NEAR_OUTLINE_SQL}"""
 
 
 def snap_in_sql(offset, name):
@@ -182,19 +183,23 @@ def snap_walkable(t):
     return out.select("point_id", clean(c("sx"), 4).alias("sx"), clean(c("sy"), 4).alias("sy"))
 
 
-@query(
-    "snap_waypoint",
-    f"""WITH {STRAY_SQL}, {snap_in_sql(5.0, 'si')},
-    wp AS (SELECT place, building, floor, x AS wx, y AS wy FROM nodes WHERE group_id IN (3,4)),
+#: Where each point of ``st`` goes: toward the nearest waypoint of ``wp`` (map key, wx, wy) whose ray meets the outline.
+TOWARD_SQL = f"""{NEAR_OUTLINE_SQL}, {snap_in_sql(5.0, 'si')},
     h AS (SELECT point_id, st.x, st.y, wx, wy, wx-st.x AS dx, wy-st.y AS dy, ax-st.x AS ux, ay-st.y AS uy, bx-ax AS ex, ol.b_y-ay AS ey FROM st JOIN wp USING (place,building,floor), ol),
     ht AS (SELECT *, (ux*ey-uy*ex)/nullif(dx*ey-dy*ex,0) AS t, (ux*dy-uy*dx)/nullif(dx*ey-dy*ex,0) AS u FROM h WHERE abs(dx*ey-dy*ex)>1e-12),
-    hw AS (SELECT point_id, x, y, wx, wy, (wx-x)*(wx-x)+(wy-y)*(wy-y) AS d2, min(t) AS t FROM ht WHERE t BETWEEN 0 AND 1 AND u BETWEEN -1e-12 AND 1+1e-12 GROUP BY ALL),
+    hw AS (SELECT point_id, x, y, wx, wy, sqrt((wx-x)*(wx-x)+(wy-y)*(wy-y)) AS d2, min(t) AS t FROM ht WHERE t BETWEEN 0 AND 1 AND u BETWEEN -1e-12 AND 1+1e-12 GROUP BY ALL),
     bw AS (SELECT point_id, arg_min(wx,(d2,t,wx,wy)) AS wx, arg_min(wy,(d2,t,wx,wy)) AS wy, arg_min(t,(d2,t,wx,wy)) AS t FROM hw GROUP BY 1),
     en AS (SELECT st.*, wx, wy, bw.point_id IS NOT NULL AS has, x+t*(wx-x) AS ex, y+t*(wy-y) AS ey FROM st LEFT JOIN bw USING (point_id)),
     nm AS (SELECT *, sqrt((wx-ex)*(wx-ex)+(wy-ey)*(wy-ey)) AS nrm FROM en),
-    gg AS (SELECT *, ex+(wx-ex)/nullif(nrm,0)*5 AS gx, ey+(wy-ey)/nullif(nrm,0)*5 AS gy FROM nm)
-    SELECT point_id, round(CASE WHEN {interior_sql('x', 'y')} THEN x WHEN NOT has THEN fx WHEN nrm<1e-6 THEN ex WHEN {interior_sql('gx', 'gy')} THEN gx ELSE ex END,4)+0.0 AS sx,
-      round(CASE WHEN {interior_sql('x', 'y')} THEN y WHEN NOT has THEN fy WHEN nrm<1e-6 THEN ey WHEN {interior_sql('gx', 'gy')} THEN gy ELSE ey END,4)+0.0 AS sy FROM gg JOIN si USING (point_id)""",
+    gg AS (SELECT *, ex+(wx-ex)/nullif(nrm,0)*5 AS gx, ey+(wy-ey)/nullif(nrm,0)*5 AS gy FROM nm),
+    sn AS (SELECT point_id, CASE WHEN {interior_sql('x', 'y')} THEN x WHEN NOT has THEN fx WHEN nrm<1e-6 THEN ex WHEN {interior_sql('gx', 'gy')} THEN gx ELSE ex END AS sx,
+      CASE WHEN {interior_sql('x', 'y')} THEN y WHEN NOT has THEN fy WHEN nrm<1e-6 THEN ey WHEN {interior_sql('gx', 'gy')} THEN gy ELSE ey END AS sy FROM gg JOIN si USING (point_id))"""
+
+
+@query(
+    "snap_waypoint",
+    f"""WITH {rec.POINTS_SQL}, {OUTLINE_SQL}, st AS (SELECT pos AS point_id, place, building, floor, x*1.2-30.3 AS x, y*1.5-15.2 AS y FROM pts),
+    wp AS (SELECT place, building, floor, x AS wx, y AS wy FROM nodes WHERE group_id IN (3,4)), {TOWARD_SQL} SELECT point_id, round(sx,4)+0.0 AS sx, round(sy,4)+0.0 AS sy FROM sn""",
 )
 def snap_waypoint(t):
     nav = nav_nodes(t).filter(c("group_id").isin(*fg.NAV_GROUPS))
