@@ -191,6 +191,36 @@ def test_retrieval(spark):
         assert got[got["query"] == i].sort_values("rank")["image"].tolist() == np.argsort(-s[i])[:6].tolist()
 
 
+def test_pruned_retrieval(spark):
+    """Clustered images: the same rows as all pairs, from a few of the cell pairs."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(24, 12))
+    vec = (centres[rng.integers(24, size=700)] + rng.normal(size=(700, 12)) * 0.03).astype("float32")
+    vec[5] = vec[6]
+    db = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(vec)], "image long, map_key long, vec array<float>")
+    q = db.filter("image % 2 = 0").select(c("image").alias("query"), "vec")
+    index = vectors.index_images(db, block=32, pivots=24)
+    got = vectors.retrieve_topk(q, None, 4, skip_self=True, block=32, index=index).toPandas()
+    u = vec.astype(float) / np.linalg.norm(vec.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    for i in range(0, 700, 2):
+        assert got[got["query"] == i].sort_values("rank")["image"].tolist() == np.lexsort((np.arange(700), -s[i]))[:4].tolist()
+    q_blocks, first, rest = vectors.search_plan(q, index, 4, True, 32)
+    found = vectors._visit(q_blocks, index, first, 4, True)
+    more = vectors.needed_visits(q_blocks, found, rest, 4)
+    cells = index.cells.count()
+    visited = q_blocks.join(first, "q_cell").count() + more.count()
+    assert cells >= 20 and visited < q_blocks.count() * cells / 4
+
+
+def test_retrieval_of_few_and_none(spark):
+    db = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [1.0, 0.1])], "image long, map_key long, vec array<float>")
+    q = db.select(c("image").alias("query"), "vec")
+    assert vectors.retrieve_topk(q, db, 5).count() == 4 and vectors.retrieve_topk(q, db, 5, skip_self=True).count() == 2
+    assert vectors.retrieve_topk(q, db.limit(0), 5).count() == 0 and vectors.retrieve_topk(q.limit(0), db, 5).count() == 0
+
+
 def test_custom_matcher_is_one_to_one(spark):
     from waymark.plans.vector_queries import cosine_above
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geometry as g
 from waymark.operators.filters import adaptive_keypoints
 from waymark.operators.ranks import quantiles
-from waymark.operators.vectors import match_gate, mutual_matches, pack_features, pack_images, retrieve_topk, similarity_consensus
-from waymark.session import cut_lineage
+from waymark.operators.vectors import MapIndex, index_images, retrieve_topk, seed_order, similarity_fit
+from waymark.session import cut_lineage, parallelism
 
 
 def early_stop(candidates: DataFrame, target: int, least: int = 6, most: int = 10) -> DataFrame:
@@ -79,36 +82,85 @@ def fuse_poses(poses: DataFrame, key: str = "query", order: Sequence[str] = ("ev
 class MapTables(NamedTuple):
     """A map made ready once for any number of localization jobs."""
 
-    images: DataFrame  # packed global descriptors
-    features: DataFrame  # packed local descriptors
-    places: DataFrame  # image, kp2, x2, y2
+    images: MapIndex  # global descriptors around pivots
+    features: DataFrame  # image, kp, xy, desc: the local features of an image as one row
     poses: DataFrame  # image, x, y, heading
 
 
+def image_rows(kept: DataFrame, key: str = "image") -> DataFrame:
+    """An image's local features (kp_idx, x, y, desc) in order of kp_idx as one row; their number is bounded by the extractor."""
+    m = F.array_sort(F.collect_list(F.struct(F.col("kp_idx").cast("long").alias("k"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("desc").cast("array<float>").alias("d"))))
+    rows = kept.groupBy(key).agg(m.alias("m"))
+    return rows.select(key, F.col("m.k").alias("kp"), F.col("m.x").alias("x"), F.col("m.y").alias("y"), F.flatten("m.d").alias("desc"))
+
+
 def prepare_map(map_feats: DataFrame, map_points: DataFrame, map_poses: DataFrame) -> MapTables:
     """``map_feats``: map_key, image, vec. ``map_points``: image, kp_idx, x, y, score, desc. ``map_poses``: image, x, y, heading.
 
     Keypoints under their image's adaptive threshold are left out; the packed tables are written once.
     """
     kept = adaptive_keypoints(map_points, ["image"]).drop("_n")
-    places = kept.select("image", F.col("kp_idx").alias("kp2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return MapTables(cut_lineage(pack_images(map_feats)), cut_lineage(pack_features(kept)), cut_lineage(places), map_poses)
+    return MapTables(index_images(map_feats), cut_lineage(image_rows(kept)), map_poses)
 
 
-def verify(hits: DataFrame, frames: DataFrame, tables: MapTables, least_matches: int, tol: float, least_inliers: int) -> DataFrame:
+def verify(hits: DataFrame, local: DataFrame, tables: MapTables, least_matches: int, tol: float, least_inliers: int) -> DataFrame:
     """query, image, inliers of each retrieved image whose local features fit the frame's by one planar similarity.
 
-    Reciprocal nearest descriptors, the gate on their number, then the best consensus. Pairs that fail a step are left out.
+    Reciprocal nearest descriptors, the gate on their number, then the best consensus: all inside the row of a (frame, image) pair, so
+    only the counts are sent on. Pairs that fail a step are left out. ``local``: query and its packed features.
     """
-    c = F.col
-    local = frames.select(c("query").alias("image"), F.explode("local").alias("p")).select("image", "p.*")
-    local = cut_lineage(adaptive_keypoints(local, ["image"]).drop("_n"))
-    pairs = hits.select(c("query").alias("img1"), c("image").alias("img2"))
-    matches = match_gate(mutual_matches(pairs, local, right=tables.features), least_matches)
-    own = local.select(c("image").alias("img1"), c("kp_idx").alias("kp1"), c("x").alias("x1"), c("y").alias("y1"))
-    placed = matches.join(own, ["img1", "kp1"]).join(tables.places.withColumnRenamed("image", "img2"), ["img2", "kp2"])
-    fits = similarity_consensus(placed, tol=tol, least=least_inliers)
-    return fits.groupBy(c("img1").alias("query"), c("img2").alias("image")).agg(F.max("inliers").alias("inliers"))
+    a = local.select("query", *[F.col(n).alias(f"a_{n}") for n in ("kp", "x", "y", "desc")])
+    b = tables.features.select("image", *[F.col(n).alias(f"b_{n}") for n in ("kp", "x", "y", "desc")])
+    pairs = hits.select("query", "image").join(a, "query").join(b, "image")
+    names = ["query", "image", *[f"{s}_{n}" for s in "ab" for n in ("kp", "x", "y", "desc")]]
+
+    def lists(column: pa.Array) -> list[np.ndarray]:
+        size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        return np.split(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(size)[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = np.zeros(batch.num_rows, np.int64)
+            cols = [lists(batch.column(k)) for k in range(2, 10)]
+            for r, (ka, xa, ya, da, kb, xb, yb, db) in enumerate(zip(*cols, strict=True)):
+                s = da.reshape(len(ka), -1).astype(float) @ db.reshape(len(kb), -1).astype(float).T
+                j, i = s.argmax(axis=1), s.argmax(axis=0)  # features are in id order, so equals go to the lower id
+                i1 = np.flatnonzero(i[j] == np.arange(len(ka)))
+                if len(i1) < least_matches:
+                    continue
+                j1 = j[i1]
+                fit = similarity_fit(seed_order(ka[i1], kb[j1]), np.stack([xa[i1], ya[i1]], 1), np.stack([xb[j1], yb[j1]], 1), tol)
+                if fit is not None:
+                    found[r] = fit[1].sum()
+            keep = found >= max(1, least_inliers)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(found[keep])], names=["query", "image", "inliers"])
+
+    # The work of a pair outweighs its bytes: spread it evenly.
+    spread = pairs.select(*names).repartition(parallelism(hits.sparkSession))
+    return spread.mapInArrow(run, "query long, image long, inliers long")
+
+
+def verified_candidates(hits: DataFrame, frames: DataFrame, tables: MapTables, target: int, least_matches: int, tol: float, least_inliers: int, bands: Sequence[int] = (3,)) -> DataFrame:
+    """hits with ``inliers``, verified in bands of rank: a later band only for frames whose earlier candidates have not reached ``target``.
+
+    Candidates of a band that a frame never got to are left out.
+    """
+    points = frames.select("query", F.explode("local").alias("p")).select("query", "p.*")
+    local = cut_lineage(image_rows(adaptive_keypoints(points, ["query"]), "query"))
+    k = hits.agg(F.max("rank")).first()[0] or 0
+    done, todo, low = None, hits, 0
+    for high in [*[b for b in bands if b < k], k]:
+        band = todo.filter((F.col("rank") > low) & (F.col("rank") <= high))
+        got = verify(band, local, tables, least_matches, tol, least_inliers)
+        part = cut_lineage(band.join(got, ["query", "image"], "left").withColumn("inliers", F.coalesce("inliers", F.lit(0)).cast("long")))
+        done = part if done is None else done.unionByName(part)
+        if high < k:
+            whole = done.filter(F.col("inliers") >= least_inliers).groupBy("query", "map_key").agg(F.sum("inliers").alias("n")).filter(F.col("n") >= target)
+            todo = todo.join(whole.select("query").distinct(), "query", "left_anti")
+        low = high
+    return done
 
 
 def localize(
@@ -126,9 +178,8 @@ def localize(
     has = c("vec").isNotNull() & (F.size("vec") > 0) & (F.size("local") > 0)
     usable = frames.filter(has)
     # At most k rows per frame, read by every later step: materialized so that search and matching run once.
-    hits = cut_lineage(retrieve_topk(usable.select("query", "vec"), None, k, packed=tables.images))
-    inliers = verify(hits, usable, tables, least_matches, tol, least_inliers)
-    candidates = cut_lineage(hits.join(inliers, ["query", "image"], "left").withColumn("inliers", F.coalesce("inliers", F.lit(0)).cast("long")))
+    hits = cut_lineage(retrieve_topk(usable.select("query", "vec"), None, k, index=tables.images))
+    candidates = verified_candidates(hits, usable, tables, target, least_matches, tol, least_inliers)
     visited = early_stop(candidates, target, least_inliers, k)
     votes = region_vote(visited, least_inliers)
     voters = visited.filter(c("inliers") >= least_inliers).join(votes.select("query", "map_key"), ["query", "map_key"], "left_semi")

@@ -3,22 +3,28 @@
 Rows are packed into blocks of bounded size by a hash of their id, block pairs are
 joined, and each pair is one matrix product in NumPy that emits only its best hits.
 No pair of single rows is ever materialized, and a crowded map or image just has
-more blocks.
+more blocks. Map images are grouped around pivots, so a search leaves out the groups
+that the triangle inequality shows to be too far.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.operators.ranks import with_row
-from waymark.session import cut_lineage
+from waymark.session import cut_lineage, parallelism
 
 BLOCK = 2048
+#: Pivots of a map index, at most: the plan of a search has a row for each two of them.
+PIVOTS = 64
 
 
 def pack(df: DataFrame, keys: Sequence[str], id_col: str, vec: str, extra: str | None = None, block: int = BLOCK) -> DataFrame:
@@ -73,40 +79,143 @@ def _topk(k: int, skip_self: bool):
     return run
 
 
-def pack_images(maps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Blocks of map images (map_key, image, vec), ready for any number of searches."""
-    return pack(maps, [], "image", "vec", "map_key", block)
+class MapIndex(NamedTuple):
+    """Map images in blocks around pivots: each cell holds the images nearest to one pivot, no farther from it than its radius."""
+
+    blocks: DataFrame  # cell, blk, ids, extras, flat
+    cells: DataFrame  # cell, nblk, radius
+    pivots: np.ndarray  # unit rows
+
+
+def _angles(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(u @ v.T, -1.0, 1.0))
+
+
+def choose_pivots(maps: DataFrame, most: int = PIVOTS, seen: int = 4096) -> np.ndarray:
+    """At most ``most`` unit vectors far from each other, out of ``seen`` images in hash order; both bounds are fixed, so the driver holds a few megabytes."""
+    rows = maps.select("image", F.col("vec").cast("array<float>").alias("vec")).orderBy(F.xxhash64("image"), "image").limit(seen).toPandas()
+    if not len(rows):
+        return np.zeros((0, 1))
+    u = unit_rows(np.array(rows["vec"].tolist(), np.float64))
+    picked, far = [0], _angles(u, u[:1])[:, 0]
+    while len(picked) < most and far.max() > 1e-6:
+        picked.append(int(far.argmax()))
+        far = np.minimum(far, _angles(u, u[picked[-1:]])[:, 0])
+    return u[picked]
+
+
+def assign_cells(df: DataFrame, id_col: str, pivots: np.ndarray, extra: str | None = None) -> DataFrame:
+    """id, extra, vec, cell and the angle to the cell's pivot of every vector."""
+    send = df.sparkSession.sparkContext.broadcast(pivots)
+    rows = df.select(F.col(id_col).cast("long").alias("i"), F.col(extra or id_col).cast("long").alias("e"), F.col("vec").cast("array<float>").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = send.value
+        for b in batches:
+            cell, angle = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
+            for lo in range(0, b.num_rows, 4096):
+                part = b.column(2).slice(lo, 4096)
+                far = _angles(unit_rows(matrix(part.flatten().to_numpy(zero_copy_only=False), len(part))), pivots)
+                cell[lo:lo + len(part)] = far.argmin(axis=1)
+                angle[lo:lo + len(part)] = far.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(angle)], names=["i", "e", "v", "cell", "angle"])
+
+    return rows.mapInArrow(run, "i long, e long, v array<float>, cell int, angle double")
+
+
+def _blocks(placed: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of each cell (cell, blk, ids, extras, flat) and the cells (cell, nblk, radius)."""
+    cells = cut_lineage(placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("nblk"), F.max("angle").alias("radius")))
+    rows = placed.join(cells.drop("radius"), "cell").withColumn("blk", F.pmod(F.xxhash64("i"), F.col("nblk")).cast("int"))
+    packed = rows.groupBy("cell", "blk").agg(F.collect_list(F.struct("i", "e", "v")).alias("m"))
+    return packed.select("cell", "blk", F.col("m.i").alias("ids"), F.col("m.e").alias("extras"), F.flatten("m.v").alias("flat")), cells
+
+
+def index_images(maps: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> MapIndex:
+    """The index of map images (map_key, image, vec), written once for any number of searches."""
+    chosen = choose_pivots(maps, pivots)
+    blocks, cells = _blocks(cut_lineage(assign_cells(maps, "image", chosen, "map_key")) if len(chosen) else maps.select(F.col("image").alias("i"), F.col("map_key").alias("e"), F.col("vec").cast("array<float>").alias("v"), F.lit(0).alias("cell"), F.lit(0.0).alias("angle")), block)
+    return MapIndex(cut_lineage(blocks), cells, chosen)
+
+
+def _between(index: MapIndex, q_cells: DataFrame) -> DataFrame:
+    """q_cell, cell, gap: the least angle there can be between a query of one cell and an image of the other; a row for each two pivots in use."""
+    angle = _angles(index.pivots, index.pivots)
+    n = len(angle)
+    apart = index.blocks.sparkSession.createDataFrame([(a, [float(x) for x in angle[a]]) for a in range(n)], "q_cell int, apart array<double>")
+    pairs = apart.select("q_cell", F.posexplode("apart").alias("cell", "apart"))
+    gap = F.col("apart") - F.col("q_radius") - F.col("radius")
+    own = q_cells.select(F.col("cell").alias("q_cell"), F.col("radius").alias("q_radius"))
+    return pairs.join(own, "q_cell").join(index.cells.select("cell", "radius"), "cell").select("q_cell", "cell", F.greatest(gap, F.lit(0.0)).alias("gap"))
+
+
+def search_plan(queries: DataFrame, index: MapIndex, k: int, skip_self: bool = False, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Query blocks, the cells each query cell searches first, and those it must search besides.
+
+    First come the cells nearest to it that hold ``k`` images (one more if a query's own image does not count). The k-th best found there bounds what
+    the rest must beat, so a cell is left out if the triangle inequality puts all its images farther away.
+    """
+    q_blocks, q_cells = _blocks(cut_lineage(assign_cells(queries, "query", index.pivots)), block)
+    q_blocks = cut_lineage(q_blocks.select(F.col("cell").alias("q_cell"), F.col("blk").alias("q_blk"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat")))
+    # At most a row for each two pivots.
+    between = cut_lineage(_between(index, q_cells))
+    sizes = index.blocks.groupBy("cell").agg(F.sum(F.size("ids")).alias("n"))
+    w = Window.partitionBy("q_cell").orderBy("gap", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    first = between.join(sizes, "cell").withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).filter(F.col("before") < k + (1 if skip_self else 0))
+    first = cut_lineage(first.select("q_cell", "cell"))
+    rest = between.join(first, ["q_cell", "cell"], "left_anti")
+    return q_blocks, first, rest
+
+
+def _visit(q_blocks: DataFrame, index: MapIndex, visits: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """Best ``k`` of each visited block (visits: q_cell, cell, limit by q_blk if given)."""
+    d = index.blocks.select("cell", F.col("ids").alias("d_ids"), F.col("extras").alias("d_extras"), F.col("flat").alias("d_flat"))
+    on = ["q_cell", "q_blk"] if "q_blk" in visits.columns else ["q_cell"]
+    pairs = q_blocks.join(visits, on).join(d, "cell").select("q_ids", "q_flat", "d_ids", "d_extras", "d_flat")
+    n = parallelism(q_blocks.sparkSession)
+    return pairs.repartition(n).mapInPandas(_topk(k, skip_self), "query long, map_key long, image long, score double")
 
 
 def retrieve_topk(
-    queries: DataFrame, maps: DataFrame | None, k: int, skip_self: bool = False, block: int = BLOCK, packed: DataFrame | None = None
+    queries: DataFrame, maps: DataFrame | None, k: int, skip_self: bool = False, block: int = BLOCK, index: MapIndex | None = None
 ) -> DataFrame:
-    """Best ``k`` images per query by cosine, with their rank overall and within their map.
+    """Best ``k`` images per query by cosine, with their rank overall and within their map; exact, as block pairs are left out only by proof.
 
-    ``queries``: query LONG, vec. ``maps``: map_key LONG, image LONG, vec, or ``packed`` blocks of it. An image that is
+    ``queries``: query LONG, vec. ``maps``: map_key LONG, image LONG, vec, or an ``index`` of it. An image that is
     among the best overall has all better images of its map there too, so one global
     list yields both ranks.
     """
-    q = pack(queries, [], "query", "vec", block=block).select(
-        F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat")
-    )
-    d = (pack_images(maps, block) if packed is None else packed).select(
-        F.col("blk").alias("d_blk"), "nblk", F.col("ids").alias("d_ids"), F.col("extras").alias("d_extras"), F.col("flat").alias("d_flat")
-    )
-    # Every query block visits every map block: join on the map block's number.
-    count = d.select(F.max("nblk").alias("_nd"))
-    visits = with_row(q, count).withColumn("d_blk", F.explode(F.sequence(F.lit(0), F.col("_nd") - 1)))
-    pairs = visits.join(d, "d_blk").select("q_ids", "q_flat", "d_ids", "d_extras", "d_flat")
-    hits = pairs.mapInPandas(_topk(k, skip_self), "query long, map_key long, image long, score double")
+    index = index_images(maps, block) if index is None else index
+    spark = queries.sparkSession
+    if not len(index.pivots):
+        hits = spark.createDataFrame([], "query long, map_key long, image long, score double")
+    else:
+        q_blocks, first, rest = search_plan(queries, index, k, skip_self, block)
+        found = cut_lineage(_visit(q_blocks, index, first, k, skip_self))
+        more = needed_visits(q_blocks, found, rest, k)
+        hits = found.unionByName(_visit(q_blocks, index, more, k, skip_self))
     overall = Window.partitionBy("query").orderBy(F.desc("score"), "image")
     in_map = Window.partitionBy("query", "map_key").orderBy("rank")
     best = hits.withColumn("rank", F.row_number().over(overall)).filter(F.col("rank") <= k)
     return best.withColumn("rank_in_map", F.row_number().over(in_map))
 
 
+def needed_visits(q_blocks: DataFrame, found: DataFrame, rest: DataFrame, k: int) -> DataFrame:
+    """q_cell, q_blk, cell: the cells in which some query of the block may still have one of its k best."""
+    kth = Window.partitionBy("query").orderBy(F.desc("score"))
+    bound = found.withColumn("_r", F.row_number().over(kth)).filter(F.col("_r") <= k).groupBy("query").agg(
+        F.when(F.count("*") == k, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min("score"))))).otherwise(F.lit(4.0)).alias("far")
+    )
+    owners = q_blocks.select("q_cell", "q_blk", F.explode("q_ids").alias("query")).join(bound, "query", "left")
+    limits = owners.groupBy("q_cell", "q_blk").agg(F.max(F.coalesce("far", F.lit(4.0))).alias("far"))
+    return limits.join(rest, "q_cell").filter(F.col("gap") <= F.col("far") + 1e-6).select("q_cell", "q_blk", "cell")
+
+
 def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per block pair: each left row's best right row and each right row's best left row."""
+    """Per block pair: each left row's best right row and each right row's best left row; one frame a batch."""
+    names = ("img1", "img2", "side", "kp", "other", "sim", "conf")
     for pdf in batches:
+        out: list[tuple] = []
         for row in pdf.itertuples(index=False):
             a, b = np.asarray(row.a_ids), np.asarray(row.b_ids)
             # Rows in id order, so argmax takes the lowest id among equals.
@@ -115,13 +224,13 @@ def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sa, sb = np.asarray(row.a_extras)[oa], np.asarray(row.b_extras)[ob]
             s = matrix(row.a_flat, len(a))[oa] @ matrix(row.b_flat, len(b))[ob].T
             j, i = s.argmax(axis=1), s.argmax(axis=0)
-            yield pd.DataFrame({
-                "img1": row.img1, "img2": row.img2,
-                "side": np.r_[np.zeros(len(a), "int32"), np.ones(len(b), "int32")],
-                "kp": np.r_[a, b], "other": np.r_[b[j], a[i]],
-                "sim": np.r_[s[np.arange(len(a)), j], s[i, np.arange(len(b))]],
-                "conf": np.r_[sa * sb[j], sb * sa[i]],
-            })
+            n = len(a) + len(b)
+            out.append((
+                np.full(n, row.img1), np.full(n, row.img2), np.r_[np.zeros(len(a), "int32"), np.ones(len(b), "int32")],
+                np.r_[a, b], np.r_[b[j], a[i]], np.r_[s[np.arange(len(a)), j], s[i, np.arange(len(b))]], np.r_[sa * sb[j], sb * sa[i]],
+            ))
+        if out:
+            yield pd.DataFrame({n: np.concatenate(v) for n, v in zip(names, zip(*out, strict=True), strict=True)})
 
 
 def pack_features(feats: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -195,39 +304,75 @@ def custom_matches(pairs: DataFrame, feats: DataFrame, fn: MatchFn, block: int =
     return best.select("img1", "img2", "m.kp1", "m.kp2", (-F.col("m.n")).alias("conf"))
 
 
+def similarity_fit(order: np.ndarray, p: np.ndarray, q: np.ndarray, tol: float) -> tuple[int, np.ndarray] | None:
+    """Hypothesis and inlier mask of the best planar similarity from ``p`` to ``q``; matches 2h and 2h + 1 in ``order`` give hypothesis h."""
+    m = len(order) // 2
+    if not m:
+        return None
+    a, b = order[0:2 * m:2], order[1:2 * m:2]
+    u, v = p[b] - p[a], q[b] - q[a]
+    l2 = u[:, 0] * u[:, 0] + u[:, 1] * u[:, 1]
+    h = np.flatnonzero(l2 > 0)
+    if not len(h):
+        return None
+    a, u, v, l2 = a[h], u[h], v[h], l2[h]
+    # Complex quotient v / u: scale and rotation in one.
+    re, im = (v[:, 0] * u[:, 0] + v[:, 1] * u[:, 1]) / l2, (v[:, 1] * u[:, 0] - v[:, 0] * u[:, 1]) / l2
+    best, mask = (-1, 0), None
+    for lo in range(0, len(h), 512):
+        s = slice(lo, lo + 512)
+        dx, dy = p[None, :, 0] - p[a[s], None, 0], p[None, :, 1] - p[a[s], None, 1]
+        ex = re[s, None] * dx - im[s, None] * dy + q[a[s], None, 0] - q[None, :, 0]
+        ey = im[s, None] * dx + re[s, None] * dy + q[a[s], None, 1] - q[None, :, 1]
+        fit = ex * ex + ey * ey <= tol * tol
+        n = fit.sum(axis=1)
+        top = int(n.argmax())
+        if n[top] > best[0]:
+            best, mask = (int(n[top]), int(h[lo + top])), fit[top]
+    return best[1], mask
+
+
+def seed_order(kp1: np.ndarray, kp2: np.ndarray) -> np.ndarray:
+    """A fixed shuffle of the matches."""
+    return np.lexsort((kp2, kp1, (kp1 * 7919 + kp2 * 104729) % 1000003))
+
+
+def pack_matches(matches: DataFrame) -> DataFrame:
+    """img1, img2 and lists of kp1, kp2, x1, y1, x2, y2: a pair's matches (at most ``max_matches``) as one row."""
+    cols = ["kp1", "kp2", "x1", "y1", "x2", "y2"]
+    rows = matches.groupBy("img1", "img2").agg(F.collect_list(F.struct(*[F.col(n).cast("long" if n[0] == "k" else "double").alias(n) for n in cols])).alias("m"))
+    return rows.select("img1", "img2", *[F.col(f"m.{n}").alias(n) for n in cols])
+
+
+def each_pair(b: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Row number and the lists of each row of packed matches, as views of the batch's flat columns."""
+    flat = [b.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(2, 8)]
+    ends = np.cumsum(pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False))
+    starts = np.concatenate([[0], ends[:-1]])
+    for r, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        yield r, [f[lo:hi] for f in flat]
+
+
 def similarity_consensus(matches: DataFrame, tol: float = 6.0, least: int = 4) -> DataFrame:
     """Inlier matches of the best planar similarity per image pair.
 
-    ``matches``: img1, img2, kp1, kp2, x1, y1, x2, y2. Matches are ordered by a fixed hash;
-    the h-th hypothesis is the transform through matches 2h and 2h+1, and all of them are scored. Ties go to the
+    ``matches``: img1, img2, kp1, kp2, x1, y1, x2, y2, at most ``max_matches`` a pair. Matches are ordered by a fixed hash;
+    the h-th hypothesis is the transform through matches 2h and 2h+1, and all of them are scored, pair by pair in NumPy. Ties go to the
     lower h; pairs with fewer than ``least`` inliers drop out.
     """
-    c = F.col
-    # At most max_matches rows per image pair, read for seeding and for scoring.
-    matches = cut_lineage(matches)
-    key = (c("kp1") * 7919 + c("kp2") * 104729) % 1000003
-    w = Window.partitionBy("img1", "img2").orderBy(key, "kp1", "kp2")
-    seeds = matches.withColumn("_r", F.row_number().over(w) - 1)
-    pick = lambda n, odd: F.max(F.when(c("_r") % 2 == odd, c(n)))
-    hyp = seeds.groupBy("img1", "img2", F.floor(c("_r") / 2).alias("h")).agg(
-        F.count("*").alias("_n"), *[pick(n, o).alias(f"{n}_{o}") for n in ("x1", "y1", "x2", "y2") for o in (0, 1)]
-    ).filter("_n = 2")
-    ux, uy = c("x1_1") - c("x1_0"), c("y1_1") - c("y1_0")
-    vx, vy = c("x2_1") - c("x2_0"), c("y2_1") - c("y2_0")
-    hyp = hyp.select("img1", "img2", "h", "x1_0", "y1_0", "x2_0", "y2_0", ux.alias("ux"), uy.alias("uy"), vx.alias("vx"), vy.alias("vy"))
-    l2 = c("ux") * c("ux") + c("uy") * c("uy")
-    # Complex quotient v / u: scale and rotation in one.
-    hyp = hyp.filter(l2 > 0).select(
-        "img1", "img2", "h", "x1_0", "y1_0", "x2_0", "y2_0",
-        ((c("vx") * c("ux") + c("vy") * c("uy")) / l2).alias("a"), ((c("vy") * c("ux") - c("vx") * c("uy")) / l2).alias("b"),
-    )
-    scored = matches.join(hyp, ["img1", "img2"])
-    dx, dy = c("x1") - c("x1_0"), c("y1") - c("y1_0")
-    ex = c("a") * dx - c("b") * dy + c("x2_0") - c("x2")
-    ey = c("b") * dx + c("a") * dy + c("y2_0") - c("y2")
-    inl = scored.filter(ex * ex + ey * ey <= tol * tol).select("img1", "img2", "h", "kp1", "kp2")
-    counts = inl.groupBy("img1", "img2", "h").agg(F.count("*").alias("inliers"))
-    best = counts.groupBy("img1", "img2").agg(F.max(F.struct("inliers", (-c("h")).alias("nh"))).alias("m")).select(
-        "img1", "img2", "m.inliers", (-c("m.nh")).alias("h")
-    ).filter(c("inliers") >= least)
-    return inl.join(best, ["img1", "img2", "h"]).select("img1", "img2", "kp1", "kp2", "h", "inliers")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, out = [], [[], [], [], []]
+            for r, (kp1, kp2, x1, y1, x2, y2) in each_pair(b):
+                fit = similarity_fit(seed_order(kp1, kp2), np.stack([x1, y1], 1), np.stack([x2, y2], 1), tol)
+                if fit is None or (n := int(fit[1].sum())) < least:
+                    continue
+                row.append(np.full(n, r))
+                for o, v in zip(out, (kp1[fit[1]], kp2[fit[1]], np.full(n, fit[0]), np.full(n, n)), strict=True):
+                    o.append(v)
+            row = np.concatenate(row) if row else np.zeros(0, np.int64)
+            img = [b.column(k).take(pa.array(row)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*img, *(pa.array(np.concatenate(o) if o else np.zeros(0, np.int64)) for o in out)], names=["img1", "img2", "kp1", "kp2", "h", "inliers"])
+
+    return pack_matches(matches).mapInArrow(run, "img1 long, img2 long, kp1 long, kp2 long, h long, inliers long")
