@@ -29,6 +29,8 @@ SEED = 42
 DIGIT = 10
 #: Rows of one block of a pass, at most: the most rows that are ordered together.
 BLOCK = 1 << 16
+#: Blocks whose counts are added up before a running sum goes over them.
+SPAN = 32
 #: Words whose runs are worked on at once.
 PIECE = 1 << 18
 
@@ -125,12 +127,12 @@ def radix_rank(df: DataFrame, keys: Sequence[tuple[str, bool]], name: str = "ran
     once, by (digit, block of its present place), so a digit that all rows share is spread over as many groups as there are blocks.
     """
     spark = df.sparkSession
-    p, blk, d, before, ahead, local = fresh([*df.columns, name], "_place", "_block", "_digit", "_before", "_ahead", "_local")
+    p, blk, d, before, ahead, local, sup, far = fresh([*df.columns, name], "_place", "_block", "_digit", "_before", "_ahead", "_local", "_span", "_far")
     turns = _Turns(spark)
     rows = turns.write(df.select("*", F.monotonically_increasing_id().alias(p)))
     ends = rows.agg(F.count("*").alias("n"), *(f(F.col(k)).alias(f"{s}{i}") for i, (k, _) in enumerate(keys) for s, f in (("lo", F.min), ("hi", F.max)))).first()
     n = ends["n"]
-    block = block or min(BLOCK, -(-max(n, 1) // parallelism(spark)))  # no more than an even share of the rows
+    block = block or min(BLOCK, -(-max(n, 1) // (8 * parallelism(spark))))
     digits = []  # from the least significant: (column expression of the key, first bit, bits)
     for i, (k, down) in reversed(list(enumerate(keys))):
         lo, hi = ends[f"lo{i}"], ends[f"hi{i}"]
@@ -152,11 +154,16 @@ def radix_rank(df: DataFrame, keys: Sequence[tuple[str, bool]], name: str = "ran
         now = F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
         dealt = rows.select("*", now.alias(d), F.floor(F.col(p) / F.lit(block)).alias(blk))
         counts = dealt.groupBy(d, blk).agg(F.count("*").alias(ahead))
-        inner = Window.partitionBy(d).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn(sup, F.floor(F.col(blk) / SPAN))
+        # Rows before a block: those of the digit's earlier spans of blocks, and of the earlier blocks of its span.
+        spans = counts.groupBy(d, sup).agg(F.sum(ahead).alias(far))
+        spans = spans.select(d, sup, F.coalesce(F.sum(far).over(Window.partitionBy(d).orderBy(sup).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(far))
+        inner = Window.partitionBy(d, sup).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
         # At most 2^digit totals, whatever the input.
         totals = counts.groupBy(d).agg(F.sum(ahead).alias(before))
         totals = totals.select(d, F.coalesce(F.sum(before).over(Window.orderBy(d).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
-        offsets = counts.select(d, blk, F.coalesce(F.sum(ahead).over(inner), F.lit(0)).alias(ahead)).join(F.broadcast(totals), d)
+        offsets = counts.select(d, sup, blk, F.coalesce(F.sum(ahead).over(inner), F.lit(0)).alias(ahead)).join(spans, [d, sup]).join(F.broadcast(totals), d)
+        offsets = offsets.select(d, blk, before, (F.col(ahead) + F.col(far)).alias(ahead))
         own = F.row_number().over(Window.partitionBy(d, blk).orderBy(p))
         placed = dealt.withColumn(local, own).join(offsets, [d, blk])
         place = (F.col(before) + F.col(ahead) + F.col(local) - 1).cast("long")
