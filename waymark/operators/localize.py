@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geometry as g
 from waymark.operators.filters import adaptive_keypoints
 from waymark.operators.ranks import quantiles
+from waymark.operators.two_view import fit_two_view
 from waymark.operators.vectors import MapIndex, index_images, retrieve_topk, seed_order, similarity_fit
 from waymark.session import cut_lineage, parallelism
 
@@ -103,8 +104,8 @@ def prepare_map(map_feats: DataFrame, map_points: DataFrame, map_poses: DataFram
     return MapTables(index_images(map_feats), cut_lineage(image_rows(kept)), map_poses)
 
 
-def verify(hits: DataFrame, local: DataFrame, tables: MapTables, least_matches: int, tol: float, least_inliers: int) -> DataFrame:
-    """query, image, inliers of each retrieved image whose local features fit the frame's by one planar similarity.
+def verify(hits: DataFrame, local: DataFrame, tables: MapTables, least_matches: int, tol: float, least_inliers: int, model: str = "similarity") -> DataFrame:
+    """query, image, inliers of each retrieved image whose local features fit the frame's by one ``model``: a planar similarity or an epipolar geometry.
 
     Reciprocal nearest descriptors, the gate on their number, then the best consensus: all inside the row of a (frame, image) pair, so
     only the counts are sent on. Pairs that fail a step are left out. ``local``: query and its packed features.
@@ -131,7 +132,8 @@ def verify(hits: DataFrame, local: DataFrame, tables: MapTables, least_matches:
                 if len(i1) < least_matches:
                     continue
                 j1 = j[i1]
-                fit = similarity_fit(seed_order(ka[i1], kb[j1]), np.stack([xa[i1], ya[i1]], 1), np.stack([xb[j1], yb[j1]], 1), tol)
+                p, q = np.stack([xa[i1], ya[i1]], 1), np.stack([xb[j1], yb[j1]], 1)
+                fit = fit_two_view(p, q, tol) if model == "epipolar" else similarity_fit(seed_order(ka[i1], kb[j1]), p, q, tol)
                 if fit is not None:
                     found[r] = fit[1].sum()
             keep = found >= max(1, least_inliers)
@@ -142,7 +144,9 @@ def verify(hits: DataFrame, local: DataFrame, tables: MapTables, least_matches:
     return spread.mapInArrow(run, "query long, image long, inliers long")
 
 
-def verified_candidates(hits: DataFrame, frames: DataFrame, tables: MapTables, target: int, least_matches: int, tol: float, least_inliers: int, bands: Sequence[int] = (3,)) -> DataFrame:
+def verified_candidates(
+    hits: DataFrame, frames: DataFrame, tables: MapTables, target: int, least_matches: int, tol: float, least_inliers: int, model: str = "similarity", bands: Sequence[int] = (3,)
+) -> DataFrame:
     """hits with ``inliers``, verified in bands of rank: a later band only for frames whose earlier candidates have not reached ``target``.
 
     Candidates of a band that a frame never got to are left out.
@@ -153,7 +157,7 @@ def verified_candidates(hits: DataFrame, frames: DataFrame, tables: MapTables, t
     done, todo, low = None, hits, 0
     for high in [*[b for b in bands if b < k], k]:
         band = todo.filter((F.col("rank") > low) & (F.col("rank") <= high))
-        got = verify(band, local, tables, least_matches, tol, least_inliers)
+        got = verify(band, local, tables, least_matches, tol, least_inliers, model)
         part = cut_lineage(band.join(got, ["query", "image"], "left").withColumn("inliers", F.coalesce("inliers", F.lit(0)).cast("long")))
         done = part if done is None else done.unionByName(part)
         if high < k:
@@ -165,13 +169,13 @@ def verified_candidates(hits: DataFrame, frames: DataFrame, tables: MapTables, t
 
 def localize(
     frames: DataFrame, tables: MapTables, k: int = 10, least: int = 2, least_matches: int = 4, tol: float = 6.0,
-    least_inliers: int = 4, target: int = 50,
+    least_inliers: int = 4, target: int = 50, model: str = "similarity",
 ) -> DataFrame:
     """One row per frame: retrieve, match, verify, stop early, vote and fuse; a failing stage is reported, not raised.
 
     ``frames``: query LONG, vec, local ARRAY of (kp_idx, x, y, score, desc); null or empty without features. A retrieved
     image is verified when at least ``least_matches`` reciprocal matches give ``least_inliers`` inliers of one planar
-    similarity. Candidates are visited in rank order until one map has gathered ``target`` inliers, the map with most inliers
+    similarity (or, with ``model`` "epipolar", one two-view geometry). Candidates are visited in rank order until one map has gathered ``target`` inliers, the map with most inliers
     wins, and the poses of its ``least`` or more images are fused with their inliers as weights.
     """
     c = F.col
@@ -179,7 +183,7 @@ def localize(
     usable = frames.filter(has)
     # At most k rows per frame, read by every later step: materialized so that search and matching run once.
     hits = cut_lineage(retrieve_topk(usable.select("query", "vec"), None, k, index=tables.images))
-    candidates = verified_candidates(hits, usable, tables, target, least_matches, tol, least_inliers)
+    candidates = verified_candidates(hits, usable, tables, target, least_matches, tol, least_inliers, model)
     visited = early_stop(candidates, target, least_inliers, k)
     votes = region_vote(visited, least_inliers)
     voters = visited.filter(c("inliers") >= least_inliers).join(votes.select("query", "map_key"), ["query", "map_key"], "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geometry as g
 from waymark.functions import models
 from waymark.operators import cells, filters, ranks, vectors, view_pairs
+from waymark.operators import two_view as tv
 from waymark.plans import recipes as rec
 from waymark.plans.filter_queries import KP_SQL, keypoints
 from waymark.plans.registry import query
@@ -211,3 +212,57 @@ def custom_matcher(t):
     kp = keypoints(t)
     out = vectors.custom_matches(image_pairs(kp), kp, cosine_above(0.2), block=64)
     return out.withColumn("conf", clean(c("conf"), 5))
+
+
+# --- two views of planted points -------------------------------------------------------
+
+# Two hundred parts are the points of an image pair: seen by a camera at the origin and by one that is moved and turned a little. Of every ten matches
+# nine, six or three are true (by the pair's number); the others lead to places that have nothing to do with the first view.
+VIEW = 200
+TWO_VIEW_SQL = f"""pt AS (SELECT p_partkey//{VIEW} AS img1, p_partkey AS k, (p_size-25)/5.0::DOUBLE AS px, (p_partkey*37 % 101 - 50)/10.0::DOUBLE AS py, 8.0::DOUBLE + (p_partkey*53 % 89)/10.0::DOUBLE AS pz,
+  0.05::DOUBLE*(1+p_partkey//{VIEW} % 4) AS ang, 0.6::DOUBLE + 0.2*(p_partkey//{VIEW} % 3) AS tx, p_partkey % 10 < 9 - 3*(p_partkey//{VIEW} % 3) AS good FROM part),
+tw AS (SELECT img1, k, good, ang, tx, 500*px/pz+320 AS x1, 500*py/pz+240 AS y1, 500*(cos(ang)*px+sin(ang)*pz+tx)/(cos(ang)*pz-sin(ang)*px+0.2)+320 AS u, 500*(py+0.1)/(cos(ang)*pz-sin(ang)*px+0.2)+240 AS v FROM pt),
+tm AS (SELECT img1, k, ang, tx, x1, y1, CASE WHEN good THEN u ELSE (k*7919 % 6400)/10.0 END AS x2, CASE WHEN good THEN v ELSE (k*104729 % 4800)/10.0 END AS y2 FROM tw),
+-- F = K^-T [t]x R K^-1 with t = (tx, 0.1, 0.2) and R a turn about y, in pixels
+ge AS (SELECT img1, any_value(ang) AS a, any_value(tx) AS tx FROM tm GROUP BY 1),
+es AS (SELECT img1, 0.2*0.0 + 0.1*(-sin(a)) AS e11, -0.2::DOUBLE AS e12, 0.1*cos(a) AS e13, 0.2*cos(a) + tx*sin(a) AS e21, 0.0::DOUBLE AS e22, 0.2*sin(a) - tx*cos(a) AS e23, -0.1*cos(a) AS e31, tx AS e32, -0.1*sin(a) AS e33 FROM ge)"""
+# Sampson distance under E with points moved into camera coordinates: dividing by the focal length brings it back to pixels.
+TRUE_INLIERS_SQL = f"""{TWO_VIEW_SQL},
+nm AS (SELECT tm.img1, k, (x1-320)/500 AS x, (y1-240)/500 AS y, (x2-320)/500 AS u, (y2-240)/500 AS v, es.* EXCLUDE (img1) FROM tm JOIN es USING (img1)),
+li AS (SELECT *, e11*x+e12*y+e13 AS p0, e21*x+e22*y+e23 AS p1, e31*x+e32*y+e33 AS p2, e11*u+e21*v+e31 AS q0, e12*u+e22*v+e32 AS q1 FROM nm),
+sa AS (SELECT img1, k, 500*abs(u*p0+v*p1+p2)/sqrt(p0*p0+p1*p1+q0*q0+q1*q1) AS d FROM li)"""
+
+
+def planted_views(t):
+    """img1, img2, kp1, kp2, x1, y1, x2, y2 of the pairs, and f of each."""
+    k = c("p_partkey")
+    pair = F.floor(k / VIEW)
+    ang, tx = 0.05 * (1 + pair % 4), 0.6 + 0.2 * (pair % 3)
+    pz, px, py = 8.0 + (k * 53 % 89) / 10, (c("p_size") - 25) / 5, (k * 37 % 101 - 50) / 10
+    rows = t.part.select(k.alias("k"), pair.alias("img1"), ang.alias("ang"), tx.alias("tx"), px.alias("px"), py.alias("py"), pz.alias("pz"), (k % 10 < 9 - 3 * (pair % 3)).alias("good"))
+    a, x, y, z = c("ang"), c("px"), c("py"), c("pz")
+    depth = F.cos(a) * z - F.sin(a) * x + 0.2
+    u, v = 500 * (F.cos(a) * x + F.sin(a) * z + c("tx")) / depth + 320, 500 * (y + 0.1) / depth + 240
+    matches = rows.select(
+        "img1", (c("img1") + 1_000_000).alias("img2"), c("k").alias("kp1"), c("k").alias("kp2"), (500 * x / z + 320).alias("x1"), (500 * y / z + 240).alias("y1"),
+        F.when(c("good"), u).otherwise((c("k") * 7919 % 6400) / 10).alias("x2"), F.when(c("good"), v).otherwise((c("k") * 104729 % 4800) / 10).alias("y2"),
+    )
+    s, o, m = F.sin(a), F.cos(a), c("tx")
+    e = [-0.1 * s, F.lit(-0.2), 0.1 * o, 0.2 * o + m * s, F.lit(0.0), 0.2 * s - m * o, -0.1 * o, m, -0.1 * s]
+    # K^-T E K^-1 for the focal length 500 and the middle (320, 240).
+    i = [[1 / 500, 0.0, -320 / 500], [0.0, 1 / 500, -240 / 500], [0.0, 0.0, 1.0]]
+    f = [sum(e[3 * p + q] * (i[p][r] * i[q][w]) for p in range(3) for q in range(3)) for r in range(3) for w in range(3)]
+    return matches, rows.groupBy("img1", "ang", "tx").agg(F.lit(1)).select("img1", (c("img1") + 1_000_000).alias("img2"), F.array(*f).alias("f"))
+
+
+@query("epipolar_score", f"WITH {TRUE_INLIERS_SQL} SELECT img1, count(*) AS matches, count(*) FILTER (d<=1) AS inliers FROM sa GROUP BY 1")
+def epipolar_score(t):
+    """Inliers of known geometry over the matches of each pair."""
+    matches, geometry = planted_views(t)
+    return tv.score_geometry(matches, geometry, 1.0).select("img1", "matches", "inliers")
+
+
+@query("two_view", f"WITH {TRUE_INLIERS_SQL} SELECT img1, k, count(*) OVER (PARTITION BY img1) AS inliers FROM sa WHERE d<=1 QUALIFY count(*) OVER (PARTITION BY img1) >= 20")
+def two_view(t):
+    """Geometry found from the matches alone, with down to three in ten true: its inliers are those of the planted geometry."""
+    return tv.two_view(planted_views(t)[0], tol=1.0, confidence=0.9999).select("img1", c("kp1").alias("k"), "inliers")

@@ -5,17 +5,23 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.cloudpickle import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
+
+from waymark.operators import history as windows
+from waymark.operators.history import FRAMES, fuse_windows
 
 STATE = StructType([StructField("event_id", LongType()), StructField("value", DoubleType())])
 OUTPUT = StructType([
     StructField("session", LongType()), StructField("map_key", StringType()), StructField("event_id", LongType()),
     StructField("n_frames", LongType()), StructField("mean_value", DoubleType()), StructField("history", StringType()),
 ])
+#: These processors need this state store; it is set for the session when a stream is defined.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -33,22 +39,96 @@ class LastFrames(StatefulProcessor):
         kept = [(int(r[0]), float(r[1])) for r in self.recent.get()]
         # A micro-batch is bounded by the source's rate limit; its frames are put in time order.
         new = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, value in zip(new["event_id"], new["value"]):
-            kept = [*kept, (int(event_id), float(value))][-self.n :]
-            out.append((
-                key[0], key[1], int(event_id), len(kept), sum(v for _, v in kept) / len(kept), ",".join(str(i) for i, _ in kept),
-            ))
-        self.recent.put([(i, v) for i, v in kept])
-        yield pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields])
+        ids = np.concatenate([[i for i, _ in kept], new["event_id"].to_numpy()]).astype(np.int64)
+        values = np.concatenate([[v for _, v in kept], new["value"].to_numpy()]).astype(float)
+        end = np.arange(len(kept), len(ids)) + 1
+        start = np.maximum(end - self.n, 0)
+        sums = np.concatenate([[0.0], np.cumsum(values)])
+        names = ids.astype(str)
+        yield pd.DataFrame({
+            "session": key[0], "map_key": key[1], "event_id": ids[len(kept):], "n_frames": end - start, "mean_value": (sums[end] - sums[start]) / (end - start),
+            "history": [",".join(names[a:b]) for a, b in zip(start, end, strict=True)],
+        })
+        self.recent.put([(int(i), float(v)) for i, v in zip(ids[-self.n:], values[-self.n:], strict=True)])
 
     def close(self) -> None:
         pass
 
 
+POSE_STATE = StructType([
+    StructField("ts", TimestampType()), StructField("event_id", LongType()), StructField("map_key", StringType()), StructField("x", DoubleType()),
+    StructField("y", DoubleType()), StructField("heading", DoubleType()), StructField("weight", DoubleType()),
+])
+POSE_OUTPUT = StructType([
+    StructField("session", LongType()), StructField("ts", TimestampType()), StructField("event_id", LongType()), StructField("map_key", StringType()),
+    StructField("late", BooleanType()), StructField("n_frames", LongType()), StructField("pairs", LongType()),
+    StructField("est_x", DoubleType()), StructField("est_y", DoubleType()), StructField("est_heading", DoubleType()),
+])
+
+
+class PoseHistory(StatefulProcessor):
+    """Keeps the last ``n`` frames of a session and emits the pose fused over each frame's history on its map.
+
+    Frames are ordered by time and id, across micro-batches too. A history begins anew where the map changes or after ``idle_s`` seconds
+    without a frame; a timer on event time also frees the state of a session that stays idle. A late frame (older than a frame
+    already answered, but not behind the watermark, where the engine drops it) is answered from the held frames before it and kept in its place.
+    """
+
+    def __init__(self, n: int = FRAMES, idle_s: int = 3600):
+        self.n, self.idle_s = n, idle_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recent = handle.getListState("frames", POSE_STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = [f.name for f in POSE_STATE.fields]
+        held = pd.DataFrame([tuple(r) for r in self.recent.get()], columns=names)
+        new = pd.concat(list(rows))[names]
+        new = new[~new["event_id"].isin(held["event_id"])]
+        frames = pd.concat([held.assign(old=True), new.assign(old=False)] if len(held) else [new.assign(old=False)])
+        frames = frames.sort_values(["ts", "event_id"], ignore_index=True)
+        ts = frames["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        first = np.ones(len(frames), bool)
+        first[1:] = (frames["map_key"].to_numpy()[1:] != frames["map_key"].to_numpy()[:-1]) | (np.diff(ts) > self.idle_s * 1_000_000)
+        run = np.cumsum(first)
+        # Each frame's window: itself and the n - 1 rows before it, as far as they are of its history.
+        at = np.arange(len(frames))[:, None] + np.arange(1 - self.n, 1)
+        inside = (at >= 0) & (run[np.maximum(at, 0)] == run[:, None])
+        cells = [np.where(inside, frames[c].to_numpy().astype(float)[np.maximum(at, 0)], np.nan) for c in ("x", "y", "heading", "weight")]
+        count, x, y, heading = fuse_windows(*cells)
+        out = frames.assign(session=key[0], n_frames=count, pairs=np.nansum(cells[3], axis=1).astype(np.int64), est_x=x, est_y=y, est_heading=heading)
+        newest = held["ts"].max() if len(held) else None
+        out["late"] = False if newest is None else out["ts"] < newest
+        keep = frames[names].tail(self.n)
+        self.recent.put([tuple(r) for r in keep.itertuples(index=False)])
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(int(ts[-1] // 1000) + self.idle_s * 1000)
+        yield out.loc[~out["old"].astype(bool), [f.name for f in POSE_OUTPUT.fields]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.recent.clear()
+        yield pd.DataFrame(columns=[f.name for f in POSE_OUTPUT.fields])
+
+    def close(self) -> None:
+        pass
+
+
+def pose_history_stream(frames: DataFrame, n: int = FRAMES, idle_s: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """``frames``: streaming session, ts, event_id, map_key, x, y, heading, weight -> one estimate a frame (append mode).
+
+    Frames more than ``late`` behind the newest of all are dropped by the watermark.
+    """
+    frames.sparkSession.conf.set(PROVIDER, ROCKSDB)
+    return frames.withWatermark("ts", late).groupBy("session").transformWithStateInPandas(
+        statefulProcessor=PoseHistory(n, idle_s), outputStructType=POSE_OUTPUT, outputMode="Append", timeMode="EventTime",
+    )
+
+
 def last_frames_stream(frames: DataFrame, n: int = 5, ttl_ms: int | None = None) -> DataFrame:
     """``frames``: streaming session, map_key, event_id, ts, value -> estimates (append mode)."""
-    frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    frames.sparkSession.conf.set(PROVIDER, ROCKSDB)
     return frames.groupBy("session", "map_key").transformWithStateInPandas(
         statefulProcessor=LastFrames(n, ttl_ms), outputStructType=OUTPUT, outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None",
@@ -58,3 +138,4 @@ def last_frames_stream(frames: DataFrame, n: int = 5, ttl_ms: int | None = None)
 # State servers start their own Python workers, which do not see files added to the
 # context: the processor travels with its code instead of by module name.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(windows)

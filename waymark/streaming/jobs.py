@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from waymark.operators.history import FRAMES, history_step
 from waymark.operators.localize import MapTables, localize
 from waymark.operators.lookups import last_changes, merge_aliases, merge_labels, usable_aliases, usable_labels
 from waymark.session import cut_lineage, filesystem
@@ -48,6 +49,42 @@ def localize_stream(
     run_available(unique_frames(frames).writeStream.foreachBatch(each), path)
 
 
+def localize_history_stream(frames: DataFrame, tables: MapTables, path: str, n: int = FRAMES, idle: int | None = None, **options) -> Callable[[], DataFrame]:
+    """Localize each micro-batch and refine each pose over its session's last frames; returns a reader of the results.
+
+    ``frames``: query, session, ts, vec, local. Two stateful steps follow each other in one query: frames sent twice are dropped, and what verification finds
+    goes into the sessions' histories, kept as a table per version: batch ``b`` reads version ``b`` and writes ``b + 1``, so a replayed batch
+    overwrites itself and a restart goes on from what storage holds. A failed frame has its status and no estimate, and leaves the history alone.
+    """
+    spark = frames.sparkSession
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        rows = cut_lineage(batch.select("query", "session", "ts", "vec", "local"))
+        found = cut_lineage(localize(rows.select("query", "vec", "local"), tables, **options).join(rows.select("query", "session", "ts"), "query"))
+        new = found_frames(found)
+        before = newest_version(spark, path, batch_id + 1)
+        held = new.limit(0) if before is None else spark.read.schema(new.schema).parquet(f"{path}/v{before}")
+        estimates, keep = history_step(held, new, n=n, idle=idle)
+        with_history(found, estimates).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+        keep.write.mode("overwrite").parquet(f"{path}/v{batch_id + 1}")
+
+    run_available(unique_frames(frames).writeStream.foreachBatch(each), path)
+    return lambda: spark.read.parquet(f"{path}/out").drop("batch")
+
+
+def found_frames(found: DataFrame) -> DataFrame:
+    """The successful frames of a localization (with session and ts) as a history takes them."""
+    return found.filter("success").select(
+        "session", "ts", F.col("query").alias("event_id"), F.col("map_key").cast("string").alias("map_key"), "x", "y", "heading", F.col("total").cast("double").alias("weight")
+    )
+
+
+def with_history(found: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Localization rows with the estimate over their history; failed frames have none."""
+    refined = estimates.select(F.col("event_id").alias("query"), "n_frames", "pairs", "est_x", "est_y", "est_heading")
+    return found.join(refined, "query", "left")
+
+
 def newest_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
     """The largest ``b`` with a complete table ``path/v<b>``, below ``below`` if that is given."""
     fs, at = filesystem(spark, path)
