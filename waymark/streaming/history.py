@@ -118,7 +118,7 @@ class PoseHistory(StatefulProcessor):
 def pose_history_stream(frames: DataFrame, n: int = FRAMES, idle_s: int = 3600, late: str = "10 minutes") -> DataFrame:
     """``frames``: streaming session, ts, event_id, map_key, x, y, heading, weight -> one estimate a frame (append mode).
 
-    Frames more than ``late`` behind the newest of all are dropped by the watermark.
+    Frames more than ``late`` behind the newest of all are dropped by the watermark, which the engine moves between micro-batches.
     """
     frames.sparkSession.conf.set(PROVIDER, ROCKSDB)
     return frames.withWatermark("ts", late).groupBy("session").transformWithStateInPandas(
