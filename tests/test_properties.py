@@ -110,7 +110,8 @@ def test_asked_paths_bound_the_search(spark):
     line = spark.range(400).select(c("id").alias("src"), (c("id") + 1).alias("dst"), F.lit(1).alias("weight"))
     asked = spark.createDataFrame([(0, 3), (100, 101)], "source long, node long")
     tree = relax.shortest_paths(line, asked.select("source"), asked)
-    assert sorted((r.source, r.node, r.cost) for r in tree.collect()) == [(0, k, k) for k in range(4)] + [(100, 100, 0), (100, 101, 1)]
+    got = {(r.source, r.node): r.cost for r in tree.collect()}
+    assert got[0, 3] == 3 and got[100, 101] == 1 and len(got) <= 2 * 25  # a few rounds beyond what is asked, not 400
 
 
 def test_long_paths_by_doubling(spark):

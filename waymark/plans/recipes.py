@@ -224,29 +224,33 @@ def trajectory(t) -> DataFrame:
 
 # --- routes over all floors ---------------------------------------------------------
 
-# Five floors of all buildings of a place are a site. Each floor has two staircases, one to the floors of its site and one shifted by two floors,
-# so sites follow each other; every fourth supplier's connector leads to other buildings of the place.
+# Five floors of all buildings of a place are a site. Each floor has two staircases through its building's floors of the site; every fourth supplier's
+# connector leads to other buildings of the site. Sites grow in number with the data; no way leads from one to another.
 FLOORS_PER_SITE = 5
 ROUTE_NODES_SQL = f"""{POINTS_SQL},
 sfl AS (SELECT place, building, floor, n_nationkey::BIGINT AS nk, CAST(floor[2:] AS BIGINT) AS f FROM floors JOIN nat USING (place, building)),
-rnodes AS (SELECT pos AS node, place, building, floor, group_id, CASE WHEN group_id=4 AND (pos-1000000000000) % 4 = 1 THEN 'W'||place||'-'||((pos-1000000000000+50)//{SUPPLIERS_PER_CONNECTOR}) ELSE label END AS label, description, x, y FROM pts
-  UNION ALL SELECT 2000000000000 + nk*1000000000 + f*2, place, building, floor, 4, 'S'||nk||'-'||(f//{FLOORS_PER_SITE}), 'staircase', 290.0, 50.0 FROM sfl
-  UNION ALL SELECT 2000000000001 + nk*1000000000 + f*2, place, building, floor, 4, 'T'||nk||'-'||((f+2)//{FLOORS_PER_SITE}), 'staircase', 20.0, 10.0 FROM sfl)"""
+rnodes AS (SELECT pos AS node, place, building, floor, group_id, CASE WHEN group_id=4 AND (pos-1000000000000) % 4 = 1 THEN 'W'||place||'-'||((pos-1000000000000)//{SUPPLIERS_PER_CONNECTOR}) ELSE label END AS label, description, CASE WHEN group_id=4 THEN x+0.5 ELSE x END AS x, CASE WHEN group_id=4 THEN y+0.25 ELSE y END AS y FROM pts
+  UNION ALL SELECT 2000000000000 + nk*1000000000 + f*2, place, building, floor, 4, 'S'||nk||'-'||(f//{FLOORS_PER_SITE}), 'staircase', 290.5, 50.25 FROM sfl
+  UNION ALL SELECT 2000000000001 + nk*1000000000 + f*2, place, building, floor, 4, 'T'||nk||'-'||(f//{FLOORS_PER_SITE}), 'staircase', 20.5, 10.25 FROM sfl)"""
 
 
 def route_points(t) -> DataFrame:
     """Nodes of all floors with an id of their own (``node``): waypoints, destinations and connectors, staircases included."""
     pts = point_shapes(t)
     s = c("pos") - 1_000_000_000_000
-    walkway = F.concat(F.lit("W"), c("place"), F.lit("-"), F.floor((s + 50) / SUPPLIERS_PER_CONNECTOR))
+    walkway = F.concat(F.lit("W"), c("place"), F.lit("-"), F.floor(s / SUPPLIERS_PER_CONNECTOR))
     label = F.when((c("group_id") == 4) & (s % 4 == 1), walkway).otherwise(c("label"))
-    own = pts.select(c("pos").alias("node"), *MAP_KEY, "group_id", label.alias("label"), "description", "x", "y")
+    # Connectors stand a little beside the other points, so no two nodes of a floor share a place.
+    own = pts.select(
+        c("pos").alias("node"), *MAP_KEY, "group_id", label.alias("label"), "description",
+        *[F.when(c("group_id") == 4, c(n) + d).otherwise(c(n)).alias(n) for n, d in (("x", 0.5), ("y", 0.25))],
+    )
     f = F.substring("floor", 2, 18).cast("long")
     nk = c("n_nationkey").cast("long")
     floors_ = floors(t).join(F.broadcast(nations(t)), ["place", "building"])
     stairs = F.array(*[
-        F.struct((nk * 1_000_000_000 + f * 2 + 2_000_000_000_000 + k).alias("node"), F.concat(F.lit(name), nk, F.lit("-"), F.floor((f + shift) / FLOORS_PER_SITE)).alias("label"), F.lit(x).alias("x"), F.lit(y).alias("y"))
-        for k, (name, shift, x, y) in enumerate((("S", 0, 290.0, 50.0), ("T", 2, 20.0, 10.0)))
+        F.struct((nk * 1_000_000_000 + f * 2 + 2_000_000_000_000 + k).alias("node"), F.concat(F.lit(name), nk, F.lit("-"), F.floor(f / FLOORS_PER_SITE)).alias("label"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+        for k, (name, x, y) in enumerate((("S", 290.5, 50.25), ("T", 20.5, 10.25)))
     ])
     stairs = floors_.select(*MAP_KEY, F.explode(stairs).alias("s")).select("s.node", *MAP_KEY, F.lit(4).alias("group_id"), "s.label", F.lit("staircase").alias("description"), "s.x", "s.y")
     return own.unionByName(stairs)

@@ -24,7 +24,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return read_table(self.spark, self.folder, name)
+        # Opening a table reads its footers, so each is opened once.
+        table = self.__dict__[name] = read_table(self.spark, self.folder, name)
+        return table
 
 
 def query(name: str, sql: str | None = None):
