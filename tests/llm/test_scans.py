@@ -196,3 +196,12 @@ def test_template_markup():
     for bad in ("{1-2} x", "[x]", "[x y"):
         with pytest.raises(ValueError):
             licenses.compile_template("t", bad)
+
+
+def test_very_long_host(spark):
+    """A host of 20,000 labels has as few keys as any other."""
+    from waymark.llm.urls import judge_urls
+
+    rows = [(1, "http://" + "a." * 20_000 + "com/en/x"), (2, "http://" + "a." * 20_000 + "example.com/en/x"), (3, "http://com/en/"), (4, "http://www.example.com/en/x"), (5, "http://.net/es/q")]
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {1: ("com/", "allow"), 2: ("example.com/en/", "block"), 3: ("com/", "allow"), 4: ("www.example.com/en/", "allow"), 5: ("net/es/", "block")}

@@ -51,10 +51,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, upper, upper.lower()), F.regexp_extract(tail, r"^([^?#]*)", 1)
 
 
-def keys_of(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """All keys a URL can fit: (host suffix, path prefix, key)."""
-    labels = F.split(host, r"\.", -1)
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def keys_of(host: Column, path: Column, lengths: Sequence[int], widths: Sequence[int]) -> Column:
+    """All keys a URL can fit: (host suffix, path prefix, key). Only suffixes of as many labels (``widths``) as some rule's host can match."""
+    labels = F.size(F.split(host, r"\.", -1))
+    hosts = F.array_compact(F.array(*(F.when(labels >= n, F.substring_index(host, ".", -n)) for n in sorted(widths))))
     sizes = F.filter(F.array(*(F.lit(n) for n in sorted(lengths, reverse=True))), lambda n: n <= F.length(path))
     pairs = F.flatten(F.transform(hosts, lambda h: F.transform(sizes, lambda n: F.struct(h.alias("host"), F.substr(path, F.lit(1), n).alias("path")))))
     return F.transform(pairs, lambda p: F.struct(p["host"], p["path"], F.concat(p["host"], p["path"]).alias("key")))
@@ -124,7 +124,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[UrlRule] = RULES, default: str
     host, path = host_and_path(F.col(url))
     rows = pages.select("*", host.alias("host"), path.alias("path"))
     lengths = sorted({len(r.path) for r in rules})
-    keys = keys_of(F.col("host"), F.col("path"), lengths)
+    keys = keys_of(F.col("host"), F.col("path"), lengths, sorted({r.host.count(".") + 1 for r in rules}))
     if not rules:
         return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     universe = cut_lineage(rows.select("host", "path").distinct().select(F.explode(keys).alias("k")).select("k.key").distinct())
