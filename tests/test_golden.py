@@ -11,7 +11,7 @@ from waymark.functions import geometry as g
 from waymark.operators import filters, grids
 from waymark.operators import polygons as pg
 from waymark.sources import annotations as ann
-from waymark.sources import sparse_model, trajectories
+from waymark.sources import lines, sparse_model, trajectories
 
 c = F.col
 SHAPES = [
@@ -154,3 +154,34 @@ def test_text_sources(spark, tmp_path):
     assert (pts.point_id, pts.g, [(k.image_id, k.kp_idx) for k in pts.track]) == (5, 20, [(7, 0), (8, 4)])
     cam = sparse_model.parse_cameras(spark.createDataFrame([("f", "1 PINHOLE 640 480 500 501 320 240\n")], "source string, body string")).first()
     assert (cam.model, cam.width, cam.params) == ("PINHOLE", 640, [500.0, 501.0, 320.0, 240.0])
+
+
+def test_files_read_in_byte_ranges(spark, tmp_path):
+    """One file in many ranges: two-line records, blank and missing second lines, comments and carriage returns."""
+    folder = tmp_path / "images"
+    folder.mkdir()
+    text, want = ["# head"], {}
+    for i in range(700):
+        obs = [(j, float(i + j), j - 1) for j in range(i % 7)]
+        text.append(f"{i} 1 0 0 0 0.5 0 2 1 {i:06d}.png" + "\r" * (i % 5 == 0))
+        text.append(" ".join(f"{x} 0 {p}" for _, x, p in obs))
+        if i % 50 == 0:
+            text += ["", "# note", ""]
+        want[i] = obs
+    (folder / "a.txt").write_text("\n".join(text) + "\n9000 1 0 0 0 0 0 0 1 last.png", newline="")
+    (folder / "b.txt").write_text("\n8000 1 0 0 0 0 0 0 1 other.png\n1 2 3\n")
+    want |= {9000: [], 8000: [(0, 1.0, 3)]}
+    poses = tmp_path / "poses"
+    poses.mkdir()
+    (poses / "t.txt").write_text("".join(f"{i} {i}.5 0 1 0 0 0 1\n" if i % 9 != 4 else "cut short\n\n" for i in range(2000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        assert lines.read_lines(spark, str(folder)).rdd.getNumPartitions() > 20
+        rows = sparse_model.read_images(spark, str(folder)).collect()
+        frames = trajectories.read_trajectories(spark, str(poses)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(rows) == len(want)
+    assert {r.image_id: [(o.kp_idx, o.x, o.point_id) for o in r.observations] for r in rows} == want
+    assert sorted((r.frame_seq, r.frame_id, r.tx) for r in frames) == [(i, str(i), i + 0.5) for i in range(2000) if i % 9 != 4]

@@ -50,6 +50,40 @@ def group_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     )
 
 
+def running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str] = (), maxima: Sequence[str] = ()
+) -> DataFrame:
+    """``sums`` and ``maxima`` replaced by their running values up to and with each row of its group in ``order``.
+
+    A prefix scan in three steps: rows are dealt into ranges of (keys, order) and written once, each range is scanned by
+    itself, and the totals of the ranges before it are added. The only window over a whole group (or, without keys, over
+    the whole table) reads one row per range. Rows that tie in ``order`` come in any order among themselves.
+    Nulls add nothing; the value is null (for sums too) until a first one is seen.
+    """
+    keys, order = list(keys), list(order)
+    kinds = {**{c: F.sum for c in sums}, **{c: F.max for c in maxima}}
+    dealt = df.repartitionByRange(parallelism(df.sparkSession), *keys, *order)
+    rows = cut_lineage(dealt.select("*", F.spark_partition_id().alias("_part")))
+    local = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_part").agg(*[f(c).alias(f"_t_{c}") for c, f in kinds.items()])
+    offsets = totals.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_at"),
+        *[f(f"_t_{c}").over(before).alias(f"_t_{c}") for c, f in kinds.items()],
+    )
+    scanned = rows.withColumns({c: f(c).over(local) for c, f in kinds.items()})
+    # Null keys are groups too.
+    same = F.col("_part") == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+
+    def joined(c: str, f) -> Column:
+        both = F.col(c) + F.col(f"_t_{c}") if f is F.sum else F.greatest(c, f"_t_{c}")
+        return F.coalesce(both, F.col(c), F.col(f"_t_{c}")).alias(c)
+
+    return scanned.join(offsets, same).select(*[joined(c, kinds[c]) if c in kinds else F.col(c) for c in df.columns])
+
+
 def range_of(value: Column, cuts: Sequence[float]) -> Column:
     """Number of cut points below or at ``value`` (a balanced decision tree, so log2 comparisons)."""
     if not cuts:

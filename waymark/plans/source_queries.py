@@ -161,17 +161,23 @@ def dest_files(t):
 
 @query(
     "traj_parse",
-    """SELECT event_type AS source, event_id AS frame_seq, CAST(event_id AS VARCHAR) AS frame_id,
+    """SELECT event_type AS source, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS frame_seq, CAST(event_id AS VARCHAR) AS frame_id,
        CAST((event_id*37) % 11 - 5 AS DOUBLE) AS tx, value AS tz, CAST(user_id AS DOUBLE) AS qw
-       FROM events WHERE event_id % 9 <> 4""",
+       FROM events QUALIFY event_id % 9 <> 4""",
 )
 def traj_parse(t):
+    """Trajectory text per event type, written as sorted files and read back in byte ranges."""
     e = c("event_id")
     good = F.concat_ws(" ", e, (e * 37) % 11 - 5, F.lit(0), "value", F.lit(0), F.lit(0), F.lit(0), "user_id")
     # Every ninth line is cut short: it keeps its number but yields no pose.
     line = F.when(e % 9 == 4, F.concat_ws(" ", e, "value")).otherwise(good)
-    numbered = t.events.select(c("event_type").alias("source"), e.alias("frame_seq"), line.alias("line"))
-    return trajectories.parse_lines(numbered).select("source", "frame_seq", "frame_id", "tx", "tz", "qw")
+    path = shared_folder(t.spark, "trajectories")
+    t.events.select("event_type", "event_id", line.alias("value")).orderBy("event_type", "event_id").drop("event_id").write.partitionBy(
+        "event_type"
+    ).text(path)
+    poses = trajectories.read_trajectories(t.spark, path, by_folder=True)
+    source = F.regexp_extract("source", "event_type=([^/]*)$", 1)
+    return poses.select(source.alias("source"), "frame_seq", "frame_id", "tx", "tz", "qw")
 
 
 @query(
@@ -180,7 +186,7 @@ def traj_parse(t):
     UNION ALL SELECT 'point', point_id, 2, NULL, round(px,6)+0.0 FROM landmarks""",
 )
 def sfm_text_tables(t):
-    """Sparse-model text per image (two lines) and per point, parsed back to rows."""
+    """Sparse-model text of images (two lines each) and points, written as files and read back in byte ranges."""
     obs = rec.observations(t)
     images = obs.groupBy("image", F.floor(c("kp_idx") / 500).alias("chunk")).agg(
         F.array_join(
@@ -192,8 +198,9 @@ def sfm_text_tables(t):
         ).alias("obs")
     )
     head = F.concat_ws(" ", "image", F.lit("1 0 0 0 0.5 0.25"), "chunk", F.lit("1"), F.format_string("%06d.png", "image"))
-    docs = images.select(F.format_string("%d", "image").alias("source"), F.concat(F.lit("# image list\n"), head, F.lit("\n"), "obs", F.lit("\n")).alias("body"))
-    img = sparse_model.parse_images(docs).select(
+    path = shared_folder(t.spark, "model")
+    images.select(F.concat(F.lit("# image list\n"), head, F.lit("\n"), "obs").alias("value")).write.text(f"{path}/images")
+    img = sparse_model.read_images(t.spark, f"{path}/images").select(
         F.lit("image").alias("kind"), "image_id", F.explode("observations").alias("o")
     ).groupBy("kind", "image_id").agg(
         F.count("*").alias("n"), F.sum(F.when(c("o.point_id") >= 0, 1).otherwise(0)).alias("with_point"),
@@ -201,7 +208,8 @@ def sfm_text_tables(t):
     )
     p = rec.landmarks(t)
     line = F.concat_ws(" ", "point_id", "px", "py", "pz", F.lit("1 2 3 0.5"), "point_id", F.lit("0"), "point_id", F.lit("1"))
-    pts = sparse_model.parse_points(p.select(F.lit("points").alias("source"), line.alias("body"))).select(
+    p.select(line.alias("value")).write.text(f"{path}/points")
+    pts = sparse_model.read_points(t.spark, f"{path}/points").select(
         F.lit("point").alias("kind"), c("point_id").alias("image_id"), F.size("track").cast("long").alias("n"),
         F.lit(None).cast("long").alias("with_point"), clean(c("x")).alias("sum_x"),
     )

@@ -6,13 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.names import pair_id
+from waymark.sources.lines import number_lines, pair_lines, read_lines
 
 
-def read_model_text(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as source, body (one file per floor, so files stay small)."""
-    return spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("source"), F.col("value").alias("body")
-    )
+COMMENT = "#"
+
+
+def read_cameras(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    return _camera_rows(_content(spark, path, pattern))
+
+
+def read_points(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    return _point_rows(_content(spark, path, pattern))
+
+
+def read_images(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Images of text files of any size: both lines of an image are found also where byte ranges part them."""
+    lines = number_lines(read_lines(spark, path, pattern), ~F.col("line").startswith(COMMENT))
+    return _image_rows(pair_lines(lines))
+
+
+def _content(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """One-line records need no numbers, so their byte ranges are parsed where they are read."""
+    lines = read_lines(spark, path, pattern).filter((F.col("line") != "") & ~F.col("line").startswith(COMMENT))
+    return lines.select(F.col("file").alias("source"), "line")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -23,8 +40,12 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def parse_cameras(docs: DataFrame) -> DataFrame:
+    return _camera_rows(_lines(docs))
+
+
+def _camera_rows(lines: DataFrame) -> DataFrame:
     tok = F.split("line", r"\s+")
-    rows = _lines(docs).select("source", tok.alias("t")).filter(F.size("t") >= 4)
+    rows = lines.select("source", tok.alias("t")).filter(F.size("t") >= 4)
     t = F.col("t")
     return rows.select(
         "source", t[0].try_cast("long").alias("camera_id"), t[1].alias("model"), t[2].try_cast("long").alias("width"),
@@ -40,9 +61,14 @@ def parse_images(docs: DataFrame) -> DataFrame:
     pairs = docs.select(
         "source", F.explode(F.regexp_extract_all(plain, F.lit(r"([^\n]+)\n([^\n]*)"), F.lit(0))).alias("p")
     )
-    head, obs = F.split_part("p", F.lit("\n"), F.lit(1)), F.split_part("p", F.lit("\n"), F.lit(2))
-    t = F.split(F.trim(head), r"\s+")
-    rows = pairs.select("source", t.alias("t"), obs.alias("o"))
+    return _image_rows(pairs.select(
+        "source", F.split_part("p", F.lit("\n"), F.lit(1)).alias("head"), F.split_part("p", F.lit("\n"), F.lit(2)).alias("body")
+    ))
+
+
+def _image_rows(records: DataFrame) -> DataFrame:
+    """source, head, body -> one row per image."""
+    rows = records.select("source", F.split(F.trim("head"), r"\s+").alias("t"), F.col("body").alias("o"))
     t = F.col("t")
     # Triples are cut as substrings first, so no step indexes into the full token list.
     triples = F.transform(
@@ -61,8 +87,12 @@ def parse_images(docs: DataFrame) -> DataFrame:
 
 
 def parse_points(docs: DataFrame) -> DataFrame:
+    return _point_rows(_lines(docs))
+
+
+def _point_rows(lines: DataFrame) -> DataFrame:
     tok = F.split("line", r"\s+")
-    rows = _lines(docs).select("source", "line", tok.alias("t")).filter(F.size("t") >= 8)
+    rows = lines.select("source", "line", tok.alias("t")).filter(F.size("t") >= 8)
     t = F.col("t")
     # Track entries follow the eight fixed fields as (image, keypoint) pairs.
     track = F.transform(

@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.sources.lines import number_lines, read_lines
+
 FIELDS = ("frame_id", "tx", "ty", "tz", "qx", "qy", "qz", "qw")
 
 
-def read_trajectories(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
-    """One small text file per floor; lines are numbered within their file."""
-    docs = (
-        spark.read
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .text(root, wholetext=True)
-        .select(F.input_file_name().alias("source"), F.col("value").alias("body"))
+def read_trajectories(spark: SparkSession, root: str, pattern: str = "*.txt", by_folder: bool = False) -> DataFrame:
+    """Files of any size, read in byte ranges; non-blank lines are numbered within their file (or folder of parts)."""
+    return parse_lines(
+        number_lines(read_lines(spark, root, pattern), F.col("line") != "", by_folder).withColumnRenamed("n", "frame_seq")
     )
-    return parse_trajectories(docs)
 
 
 def parse_trajectories(docs: DataFrame, source: str = "source", body: str = "body") -> DataFrame:
