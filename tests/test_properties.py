@@ -237,13 +237,32 @@ def test_custom_matcher_is_one_to_one(spark):
 
 def test_running_band(spark):
     pdf = skewed(1500, 30).rename(columns={"k": "f"})
-    got = clouds.running_band(spark.createDataFrame(pdf), "f", "v", pieces=8).toPandas().set_index("f")
+    pdf.loc[:400, "f"] = 11
+    got = clouds.running_band(spark.createDataFrame(pdf), "f", "v", fan=5, size=4).toPandas().set_index("f")
+    assert sorted(got.index) == sorted(pdf.f.unique())
     for f in sorted(pdf.f.unique()):
+        assert got.loc[f, "n"] == (pdf.f <= f).sum()
         v = pdf[pdf.f <= f].v
         assert got.loc[f, "median"] == pytest.approx(np.median(v))
         assert got.loc[f, "band_hi"] == pytest.approx(np.median(v) + 2 * v.std(ddof=0))
 
 
+def test_running_scan(spark):
+    from waymark.operators.ranks import running
+
+    pdf = pd.DataFrame({"g": np.where(RNG.random(600) < 0.7, "hot", "rest"), "t": RNG.permutation(600), "v": RNG.integers(-9, 9, 600)})
+    pdf["m"] = pdf.v.where(pdf.v > 5)
+    got = running(spark.createDataFrame(pdf).withColumn("m", F.nanvl("m", F.lit(None))), ["g"], ["t"], sums=("v",), maxima=("m",))
+    want = pdf.sort_values("t")
+    want = want.assign(v=want.groupby("g").v.cumsum(), m=want.groupby("g").m.cummax().groupby(want.g).ffill())
+    assert sorted((r.g, r.t, r.v, r.m) for r in got.collect()) == sorted(
+        (g, t, v, None if np.isnan(m) else m) for g, t, v, m in want[["g", "t", "v", "m"]].values.tolist()
+    )
+    whole = running(spark.createDataFrame(pdf[["t", "v"]]), [], ["t"], sums=("v",))
+    assert [r.v for r in whole.orderBy("t").collect()] == pdf.sort_values("t").v.cumsum().tolist()
+    assert running(spark.createDataFrame([], "t long, v long"), [], ["t"], sums=("v",)).collect() == []
+
+
 def test_plane_normal(spark):
     xz = RNG.random((400, 2)) * 10
     y = 0.1 * xz[:, 0] - 0.2 * xz[:, 1] + RNG.normal(0, 0.001, 400)

@@ -266,71 +266,66 @@ def masked_points(points: DataFrame, keyframes: DataFrame, masks: DataFrame, mas
     return placed.join(hit, ["kf", "u", "v"], "left").withColumn("status", status).select(*points.columns, "u", "v", "status")
 
 
-def running_band(points: DataFrame, frame: str, value: str, width: float = 2.0, pieces: int = 64) -> DataFrame:
+def running_band(points: DataFrame, frame: str, value: str, width: float = 2.0, fan: int = 16, size: int = 50_000) -> DataFrame:
     """For every frame: count, median, deviation and band of all points up to it.
 
-    Counts, sums and squares accumulate over per-frame aggregates. The running median
-    narrows in two levels: values are cut into ``pieces`` ranges, then the ranges that hold
-    some frame's middle value into 256 parts. Cumulative counts per part tell each frame
-    where its middle ranks lie; only the points of that part are ranked against the frame.
+    Counts, sums and squares are a prefix scan over per-frame aggregates. Medians descend a tree over the ranks of the
+    distinct values, ``fan`` children a node: a scan per node counts the points up to each frame under each child, and every frame
+    goes on to the child that holds its middle rank. A level reads only the nodes that some frame has reached, as one row a
+    (node, frame), so neither a frame with many points nor a common value makes a long scan; scans run over chunks of ``size``
+    frames and add the totals of the chunks before. Null values are left out; a frame that has only those has no row.
     """
-    from waymark.operators.ranks import _spread_keys, range_of
+    from waymark.operators.ranks import group_index, running
     from waymark.session import cut_lineage
 
-    cuts = _spread_keys(points, value, pieces)
-    counts = cut_lineage(
-        points.groupBy(frame, F.col(value).alias("_v")).agg(F.count("*").alias("_c")).withColumn("_p", range_of(F.col("_v"), cuts))
+    c = F.col
+    # A negative zero and a zero are one value; the frame gets a name that cannot clash.
+    plain = points.select(c(frame).alias("_f"), (c(value).cast("double") + 0.0).alias("_v")).filter(c("_v").isNotNull() & c("_f").isNotNull())
+    counts = cut_lineage(plain.groupBy("_f", "_v").agg(F.count("*").alias("_c")))
+    ranks = cut_lineage(group_index(counts.select("_v").distinct(), [], ["_v"], "_r"))
+    per_frame = counts.groupBy("_f").agg(
+        F.sum("_c").alias("_n"), F.sum(c("_c") * c("_v")).alias("_s"), F.sum(c("_c") * c("_v") * c("_v")).alias("_q"),
+        F.lit(1).cast("long").alias("_no"),
     )
-    upto = Window.orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
-    # One row per frame: a single small window.
-    totals = counts.groupBy(frame).agg(
-        F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.col("_v")).alias("_s"), F.sum(F.col("_c") * F.col("_v") * F.col("_v")).alias("_q")
-    ).select(
-        frame, F.sum("_n").over(upto).alias("n"), F.sum("_s").over(upto).alias("_s"), F.sum("_q").over(upto).alias("_q")
-    )
-    ranks = F.array(*[
-        F.struct(F.lit(i).alias("side"), f((F.col("n") - 1) / 2).cast("long").alias("k")) for i, f in enumerate((F.floor, F.ceil))
+    totals = running(per_frame, [], ["_f"], sums=("_n", "_s", "_q", "_no"))
+    totals = cut_lineage(totals.withColumn("_chunk", F.floor((c("_no") - 1) / size).cast("long")))
+    counts = cut_lineage(counts.join(ranks, "_v").join(totals.select("_f", "_chunk"), "_f").select("_f", "_chunk", "_r", "_c"))
+    middle = F.array(*[
+        F.struct(F.lit(i).alias("side"), f((c("_n") - 1) / 2).cast("long").alias("k")) for i, f in enumerate((F.floor, F.ceil))
     ])
-    want = totals.select(frame, F.explode(ranks).alias("_r")).select(frame, "_r.side", F.col("_r.k").alias("_k"))
-    want = cut_lineage(_narrow(counts, want, frame, [], "_p", len(cuts) + 1))
-    ends = counts.groupBy("_p").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    hot = counts.join(want.select("_p").distinct(), "_p", "left_semi").join(ends, "_p")
-    span = F.col("_hi") - F.col("_lo")
-    sub = F.when(span > 0, F.floor((F.col("_v") - F.col("_lo")) / F.when(span > 0, span).otherwise(F.lit(1.0)) * 255)).otherwise(F.lit(0))
-    hot = hot.select(frame, "_v", "_c", "_p", sub.cast("long").alias("_p2"))
-    want = _narrow(hot, want, frame, ["_p"], "_p2", 256)
-    other = hot.select("_p", "_p2", "_v", "_c", F.col(frame).alias("_f"))
-    merged = want.join(other, ["_p", "_p2"]).filter(F.col("_f") <= F.col(frame)).groupBy(frame, "side", "_k", "_v").agg(F.sum("_c").alias("_c"))
-    wv = Window.partitionBy(frame, "side").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = merged.withColumn("_to", F.sum("_c").over(wv))
-    mid = ranked.filter((F.col("_k") < F.col("_to")) & (F.col("_k") >= F.col("_to") - F.col("_c"))).groupBy(frame).agg(F.avg("_v").alias("median"))
-    variance = F.greatest(F.lit(0.0), F.col("_q") / F.col("n") - (F.col("_s") / F.col("n")) * (F.col("_s") / F.col("n")))
-    dev = F.when(F.col("n") > 1, F.sqrt(variance)).otherwise(F.lit(1.0))
-    return totals.join(mid, frame).select(
-        frame, "n", "median", dev.alias("deviation"),
-        (F.col("median") - dev * width).alias("band_lo"), (F.col("median") + dev * width).alias("band_hi"),
-    )
-
-
-def _narrow(counts: DataFrame, want: DataFrame, frame: str, parts: list[str], part: str, slots: int) -> DataFrame:
-    """Move each wanted rank into the value part that holds it.
-
-    ``want``: frame, side, parts, _k (rank among the points of ``parts`` up to the frame).
-    ``slots`` is how many values the new part column can take.
-    Frames that ask are rows of zero count beside the per-frame counts, so one running
-    sum per part answers them all.
-    """
-    per = counts.groupBy(*parts, part, frame).agg(F.sum("_c").alias("_m")).withColumn("_ask", F.lit(0))
-    askers = want.select(frame, *parts).distinct()
-    asked = askers.withColumn(part, F.explode(F.sequence(F.lit(0).cast(counts.schema[part].dataType), F.lit(slots - 1).cast(counts.schema[part].dataType))))
-    rows = per.select(*parts, part, frame, "_m", "_ask").unionByName(
-        asked.select(*parts, part, frame, F.lit(0).cast("long").alias("_m"), F.lit(1).alias("_ask"))
-    )
-    so_far = Window.partitionBy(*parts, part).orderBy(frame, "_ask").rowsBetween(Window.unboundedPreceding, 0)
-    cum = rows.withColumn("_cum", F.sum("_m").over(so_far)).filter("_ask = 1")
-    below = Window.partitionBy(*parts, frame).orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
-    cum = cum.select(*parts, part, frame, "_cum", F.sum("_cum").over(below).alias("_to"))
-    start = F.col("_to") - F.col("_cum")
-    return want.join(cum, [frame, *parts]).filter((F.col("_k") < F.col("_to")) & (F.col("_k") >= start)).select(
-        frame, "side", *parts, part, (F.col("_k") - start).alias("_k")
+    want = totals.select("_f", "_chunk", F.explode(middle).alias("_m"))
+    want = cut_lineage(want.select("_f", "_chunk", "_m.side", c("_m.k").alias("_k"), F.lit(0).cast("long").alias("_node")))
+    top = ranks.agg(F.max("_r")).first()[0] or 0
+    levels = 1
+    while fan**levels <= top:
+        levels += 1
+    upto = [f"_u{j}" for j in range(fan)]
+    scan = Window.partitionBy("_node", "_chunk").orderBy("_f").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("_node").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    for level in range(levels):
+        child = F.floor(c("_r") / fan ** (levels - level - 1)).cast("long")
+        under = counts.withColumns({"_node": F.floor(child / fan).cast("long"), "_child": child % fan})
+        under = under.join(want.select("_node").distinct(), "_node", "left_semi")
+        # Frames that ask stand beside those that have points, with none of their own.
+        none = F.lit(0).cast("long")
+        rows = under.select("_node", "_chunk", "_f", "_child", "_c").union(want.select("_node", "_chunk", "_f", none, none)).groupBy(
+            "_node", "_chunk", "_f"
+        ).agg(*[F.sum(F.when(c("_child") <= j, c("_c")).otherwise(0)).alias(u) for j, u in enumerate(upto)])
+        inside = rows.select("_node", "_chunk", "_f", *[F.sum(u).over(scan).alias(u) for u in upto])
+        earlier = rows.groupBy("_node", "_chunk").agg(*[F.sum(u).alias(u) for u in upto]).select(
+            "_node", "_chunk", F.array(*[F.coalesce(F.sum(u).over(before), F.lit(0)) for u in upto]).alias("_b")
+        )
+        seen = inside.join(earlier, ["_node", "_chunk"]).select(
+            "_node", "_f", F.array(*[c(u) + c("_b")[j] for j, u in enumerate(upto)]).alias("_u")
+        )
+        # A column of its own: beside a new _k, the lambda would read that one.
+        placed = want.join(seen, ["_node", "_f"]).withColumn("_step", F.size(F.filter("_u", lambda u: u <= c("_k"))))
+        passed = F.when(c("_step") > 0, F.element_at("_u", c("_step"))).otherwise(0)
+        want = cut_lineage(placed.select("_f", "_chunk", "side", (c("_k") - passed).alias("_k"), (c("_node") * fan + c("_step")).alias("_node")))
+    mid = want.join(ranks, c("_node") == c("_r")).groupBy("_f").agg(F.avg("_v").alias("median"))
+    variance = F.greatest(F.lit(0.0), c("_q") / c("_n") - (c("_s") / c("_n")) * (c("_s") / c("_n")))
+    dev = F.when(c("_n") > 1, F.sqrt(variance)).otherwise(F.lit(1.0))
+    return totals.join(mid, "_f").select(
+        c("_f").alias(frame), c("_n").alias("n"), "median", dev.alias("deviation"),
+        (c("median") - dev * width).alias("band_lo"), (c("median") + dev * width).alias("band_hi"),
     )

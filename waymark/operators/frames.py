@@ -11,20 +11,10 @@ ORDER = ("ts", "event_id")
 
 
 def positions(frames: DataFrame, dx: str = "dx", dy: str = "dy", keys: Sequence[str] = ("session",)) -> DataFrame:
-    """Running sum of steps in frame order as x, z.
+    """Running sum of steps in frame order as x, z (a prefix scan: a session's frames spread over ranges)."""
+    from waymark.operators.ranks import running
 
-    Sums are taken per (session, day) first, so a session's frames are spread over days.
-    """
-    keys = list(keys)
-    day = frames.withColumn("_day", F.to_date("ts"))
-    parts = day.groupBy(*keys, "_day").agg(F.sum(dx).alias("_sx"), F.sum(dy).alias("_sy"))
-    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.select(*keys, "_day", *[F.coalesce(F.sum(s).over(before), F.lit(0.0)).alias(f"{s}0") for s in ("_sx", "_sy")])
-    inner = Window.partitionBy(*keys, "_day").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    rows = day.withColumns({"_lx": F.sum(dx).over(inner), "_ly": F.sum(dy).over(inner)})
-    return rows.join(base, [*keys, "_day"]).withColumns({
-        "x": F.col("_sx0") + F.col("_lx"), "z": F.col("_sy0") + F.col("_ly"),
-    }).drop("_day", "_lx", "_ly", "_sx0", "_sy0")
+    return running(frames.withColumns({"x": F.col(dx), "z": F.col(dy)}), keys, ORDER, sums=("x", "z"))
 
 
 def last_frames(frames: DataFrame, keys: Sequence[str], value: str, n: int = 5, size: int = 50_000) -> DataFrame:
