@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import angles, text
 from waymark.functions import geometry as g
-from waymark.operators import filters, grids
+from waymark.operators import commands, filters, grids
 from waymark.operators import polygons as pg
 from waymark.sources import annotations as ann
 from waymark.sources import lines, sparse_model, trajectories
@@ -185,3 +185,40 @@ def test_files_read_in_byte_ranges(spark, tmp_path):
     assert len(rows) == len(want)
     assert {r.image_id: [(o.kp_idx, o.x, o.point_id) for o in r.observations] for r in rows} == want
     assert sorted((r.frame_seq, r.frame_id, r.tx) for r in frames) == [(i, str(i), i + 0.5) for i in range(2000) if i % 9 != 4]
+
+
+def test_long_route_is_folded_as_a_stream(spark):
+    """A square spiral of 50,000 steps beside a trip of one: four steps a side, a door on every third step, far more than one batch."""
+    n = 50_000
+    long = [(7, i, False, 1.0, float(90 * (i // 4 % 4)), float(90 * ((i + 1) // 4 % 4)) if i + 1 < n else None, 0.5 if i % 3 == 0 else None, 0.0) for i in range(n)]
+    rows = [*long, (8, 0, False, 2.0, 90.0, None, None, 0.0)]
+    steps = spark.createDataFrame(
+        rows, "trip_id long, i int, moved boolean, len double, bearing double, bearing2 double, door_px double, initial_heading double"
+    )
+    got = {(r.trip_id, r.i): r for r in commands.fold_steps(steps.orderBy(F.rand(3))).collect()}
+    assert len(got) == n + 1
+    for i in range(n):
+        r = got[7, i]
+        assert r.heading == 90.0 * (i // 4 % 4)
+        assert r.is_turn == (i > 0 and i % 4 == 0) and r.before is None
+        end = i % 4 == 3 or i == n - 1
+        assert (r.after is not None) == end
+        if end:
+            assert (r.after.px, r.after.door, r.after.e0, r.after.e1) == (4.0, 0.5, i - 3, i)
+    assert (got[8, 0].turn, got[8, 0].is_turn, got[8, 0].after.px) == (90.0, True, 2.0)
+
+
+def test_fold_over_a_floor_change(spark):
+    """The open stretch is closed before the change, the heading starts again from the initial one."""
+    rows = [
+        ("a", 0, False, 1.0, 0.0, 10.0, None, 0.0), ("a", 1, False, 2.0, 10.0, 0.0, None, 0.0), ("a", 2, True, 9.0, 0.0, 90.0, None, 0.0),
+        ("a", 3, False, 3.0, 90.0, None, 1.0, 0.0),
+    ]
+    steps = spark.createDataFrame(
+        rows, "trip_id string, i int, moved boolean, len double, bearing double, bearing2 double, door_px double, initial_heading double"
+    )
+    r = commands.fold_steps(steps).orderBy("i").collect()
+    assert [x.after for x in r[:3]] == [None] * 3 and [x.before for x in r[:2]] == [None] * 2
+    assert (r[2].before.px, r[2].before.e0, r[2].before.e1, r[2].turn) == (3.0, 0, 1, None)
+    assert (r[3].turn, r[3].is_turn, r[3].after.px, r[3].after.door, r[3].after.e0) == (90.0, True, 3.0, 1.0, 3)
+    assert commands.fold_steps(steps.limit(0)).collect() == []

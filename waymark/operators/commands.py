@@ -2,11 +2,15 @@
 
 Geometry of each step is stateless and computed in columns. What carries over between
 steps (heading, the open straight stretch, its first door) is folded over the trip's
-ordered step array; a trip has as many steps as its path has edges.
+sorted steps as they stream by.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +20,12 @@ from waymark.session import cut_lineage, parallelism
 
 MAP_KEY = ["place", "building", "floor"]
 FLUSH = "struct<px:double,door:double,e0:int,e1:int>"
-STEP_OUT = f"struct<i:int,turn:double,is_turn:boolean,heading:double,before:{FLUSH},after:{FLUSH}>"
+STEP_OUT = f"i int, turn double, is_turn boolean, heading double, before {FLUSH}, after {FLUSH}"
+STRETCH = pa.struct([("px", pa.float64()), ("door", pa.float64()), ("e0", pa.int32()), ("e1", pa.int32())])
+FOLD_SCHEMA = pa.schema([
+    ("trip_id", pa.int64()), ("i", pa.int32()), ("turn", pa.float64()), ("is_turn", pa.bool_()), ("heading", pa.float64()),
+    ("before", STRETCH), ("after", STRETCH),
+])
 
 
 def route_steps(rows: DataFrame, scales: DataFrame, floors: DataFrame) -> DataFrame:
@@ -50,69 +59,70 @@ def route_steps(rows: DataFrame, scales: DataFrame, floors: DataFrame) -> DataFr
     return door_crossing(s, ("x", "y", "x1", "y1")).drop("polys")
 
 
-def _nothing() -> Column:
-    return F.lit(None).cast(FLUSH)
-
-
-def _flush(acc: Column, last: Column) -> Column:
-    """The open stretch as a flush record ending at edge ``last``; null when nothing is open."""
-    e1 = F.when(acc["es"].isNotNull(), last.cast("int"))
-    return F.when(
-        acc["px"] > 0, F.struct(acc["px"].alias("px"), acc["door"].alias("door"), acc["es"].alias("e0"), e1.alias("e1"))
-    ).otherwise(_nothing())
+def _normalize(angle: float) -> float:
+    """``angles.normalize`` to the last bit: the sign of a remainder is that of the angle."""
+    r = math.fmod(angle + 180.0, 360.0)
+    return (math.fmod(r + 360.0, 360.0) if r < 0 else r) - 180.0
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Steps sorted by (trip, i) to folded steps; only the open stretch is carried, also from batch to batch."""
+    from waymark.functions import angles
+
+    straight, look_ahead = angles.SECTORS[0][0], angles.LOOK_AHEAD_DEGREES
+    first, trip = True, None
+    h0 = heading = es = door = None
+    px = 0.0
+    for batch in batches:
+        out = {n: [] for n in FOLD_SCHEMA.names}
+
+        def put(*row):
+            for n, v in zip(FOLD_SCHEMA.names, row):
+                out[n].append(v)
+
+        def stretch(last):
+            return {"px": px, "door": door, "e0": es, "e1": None if es is None else last} if px > 0 else None
+
+        for t, i, moved, length, bearing, bearing2, at, start in zip(*(col.to_pylist() for col in batch.columns)):
+            if first or t != trip:
+                first, trip, h0, heading, px, door, es = False, t, start, start, 0.0, None, None
+            if moved:
+                put(t, i, None, False, h0, stretch(i - 1), None)
+                door = None if px > 0 else door
+                heading, px, es = h0, 0.0, None
+                continue
+            turn = None if bearing is None or heading is None else _normalize(bearing - heading)
+            is_turn = None if turn is None else abs(turn) > straight
+            before = stretch(i - 1) if is_turn else None
+            if is_turn:
+                heading = bearing
+                if px > 0:
+                    px, door, es = 0.0, None, None
+            es = i if es is None else es
+            px += length
+            door = at if door is None else door if at is None else min(door, at)
+            ahead = bearing2 is None or heading is None or abs(_normalize(bearing2 - heading)) >= look_ahead
+            after = stretch(i) if ahead else None
+            put(t, i, turn, is_turn, heading, before, after)
+            if ahead:
+                es = None
+                if px > 0:
+                    px, door = 0.0, None
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([f if f.name != "trip_id" else f.with_type(batch.schema.field(0).type) for f in FOLD_SCHEMA]))
 
 
 def fold_steps(steps: DataFrame, initial: str = "initial_heading") -> DataFrame:
     """Steps with turn, carried heading and the stretches closed before and after each.
 
-    ``initial`` is a column of the trip's heading on arrival at a start or a new floor.
+    ``initial`` is a column of the trip's heading on arrival at a start or a new floor. Trips are sorted and streamed:
+    time grows with the steps and memory with a batch, however long a trip is. Without a heading (null bearing or start)
+    there is no turn.
     """
-    item = F.struct("i", "moved", "len", "bearing", "bearing2", F.col("door_px").alias("door"))
-    trips = steps.groupBy("trip_id").agg(
-        F.array_sort(F.collect_list(item)).alias("_steps"), F.first(initial).alias("_h0")
-    )
-    state = "struct<heading:double,px:double,door:double,es:int,out:array<" + STEP_OUT + ">>"
-    h0 = F.col("_h0")
-    start = F.struct(
-        h0.alias("heading"), F.lit(0.0).alias("px"), F.lit(None).cast("double").alias("door"),
-        F.lit(None).cast("int").alias("es"), F.array().cast(f"array<{STEP_OUT}>").alias("out"),
-    ).cast(state)
-
-    def put(acc, s, turn, is_turn, heading, px, door, es, before, after):
-        row = F.struct(
-            s["i"].alias("i"), turn.alias("turn"), is_turn.alias("is_turn"), heading.alias("heading"), before.alias("before"), after.alias("after")
-        )
-        return F.struct(
-            heading.alias("heading"), px.alias("px"), door.alias("door"), es.alias("es"), F.concat(acc["out"], F.array(row.cast(STEP_OUT))).alias("out")
-        ).cast(state)
-
-    none_d, none_i = F.lit(None).cast("double"), F.lit(None).cast("int")
-
-    def step(acc, s):
-        hop = put(
-            acc, s, none_d, F.lit(False), h0, F.lit(0.0), F.when(acc["px"] > 0, none_d).otherwise(acc["door"]), none_i,
-            _flush(acc, s["i"] - 1), _nothing(),
-        )
-        turn = angles.normalize(s["bearing"] - acc["heading"])
-        is_turn = F.abs(turn) > angles.SECTORS[0][0]
-        closing = is_turn & (acc["px"] > 0)
-        heading = F.when(is_turn, s["bearing"]).otherwise(acc["heading"])
-        es = F.coalesce(F.when(closing, none_i).otherwise(acc["es"]), s["i"])
-        px = F.when(closing, F.lit(0.0)).otherwise(acc["px"]) + s["len"]
-        door = F.least(F.when(closing, none_d).otherwise(acc["door"]), s["door"])
-        ahead = F.coalesce(F.abs(angles.normalize(s["bearing2"] - heading)) >= angles.LOOK_AHEAD_DEGREES, F.lit(True))
-        done = ahead & (px > 0)
-        after = F.when(
-            done, F.struct(px.alias("px"), door.alias("door"), es.alias("e0"), s["i"].cast("int").alias("e1"))
-        ).otherwise(_nothing())
-        walk = put(
-            acc, s, turn, is_turn, heading, F.when(done, F.lit(0.0)).otherwise(px), F.when(done, none_d).otherwise(door),
-            F.when(ahead, none_i).otherwise(es), F.when(is_turn, _flush(acc, s["i"] - 1)).otherwise(_nothing()), after,
-        )
-        return F.when(s["moved"], hop).otherwise(walk)
-
-    folded = trips.select("trip_id", F.aggregate("_steps", start, step, lambda acc: acc["out"]).alias("_out"))
-    return folded.select("trip_id", F.explode("_out").alias("o")).select("trip_id", "o.*")
+    steps = steps.select("trip_id", F.col("i").cast("int").alias("i"), "moved", "len", "bearing", "bearing2", F.col("door_px").alias("door"), initial)
+    # Spark spills this sort; the fold sees each trip's steps in order.
+    ordered = steps.repartition(parallelism(steps.sparkSession), "trip_id").sortWithinPartitions("trip_id", "i")
+    key = steps.schema["trip_id"].dataType.simpleString()
+    return ordered.mapInArrow(_walk, f"trip_id {key}, {STEP_OUT}")
 
 
 def transition_kind(place: str = "place", place1: str = "place1") -> Column:
