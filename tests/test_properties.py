@@ -247,6 +247,45 @@ def test_running_band(spark):
         assert got.loc[f, "band_hi"] == pytest.approx(np.median(v) + 2 * v.std(ddof=0))
 
 
+def test_crowded_cell(spark):
+    """A third of all points in one cell: same pairs and clusters as all pairs, and no key of the join holds a share of the rows."""
+    xy = np.vstack([RNG.random((150, 2)) * 0.4 + 5, RNG.random((300, 2)) * 20])
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x double, z double")
+    left = points.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("z").alias("az"))
+    right = points.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("z").alias("bz"))
+    near = cells.near_join(left, right, [], ["ax", "az"], ["bx", "bz"], 1.0, size=10).filter("_d < 1").select("a", "b").collect()
+    gaps = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+    assert sorted((r.a, r.b) for r in near) == sorted(zip(*map(list, np.nonzero(gaps < 1))))
+    keyed = points.withColumn("k", F.floor("x"))
+    n = keyed.groupBy("k").agg(F.count("*").alias("n"))
+    for side in cells.deal(keyed, keyed, ["k"], (n, n), 10):
+        assert side.groupBy("k", "_lb", "_rb").count().agg(F.max("count")).first()[0] <= 30
+    got = {r.id: r.cluster for r in cells.components(points, "id", ["x", "z"], 1.0, size=10).collect()}
+    label = np.arange(len(xy))
+    while True:
+        new = np.where(gaps <= 1, label[None], len(xy)).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    assert got == dict(enumerate(label.tolist()))
+
+
+def test_feature_partitions_are_pruned(spark, tmp_path):
+    from waymark.sources import features
+
+    rows = spark.range(4000).select(
+        F.lit("p").alias("place"), F.lit("b").alias("building"), F.when(F.col("id") % 3 == 0, "0").otherwise((F.col("id") % 40).cast("string")).alias("floor"),
+        F.col("id").alias("vec_id"),
+    )
+    features.write_features(rows, str(tmp_path / "f"))
+    maps = rows.filter("floor in ('7', '12')")
+    read = features.read_features(spark, str(tmp_path / "f"), maps, ["floor", "vec_id"])
+    assert sorted(r.vec_id for r in read.collect()) == [i for i in range(4000) if i % 3 and i % 40 in (7, 12)]
+    assert "dynamicpruning" in read._jdf.queryExecution().executedPlan().toString()
+    folders = {f.parent.name for f in (tmp_path / "f").rglob("*.parquet")}
+    assert folders == {f"floor={r.floor}" for r in rows.select("floor").distinct().collect()}
+
+
 def test_running_scan(spark):
     from waymark.operators.ranks import running
 

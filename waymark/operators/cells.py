@@ -14,24 +14,60 @@ def cell_struct(axes: Sequence[Column], size: float, shift: Sequence[int] | None
     return F.struct(*[(F.floor(a / size) + s).alias(f"c{i}") for i, (a, s) in enumerate(zip(axes, shift))])
 
 
+def around(cell: str, dims: int, shifts: Sequence[Sequence[int]]) -> Column:
+    """Array of the cells at ``shifts`` from a cell."""
+    return F.array(*[F.struct(*[(F.col(cell)[f"c{i}"] + s[i]).alias(f"c{i}") for i in range(dims)]) for s in shifts])
+
+
+def deal(left: DataFrame, right: DataFrame, keys: Sequence[str], counts: tuple[DataFrame, DataFrame], size: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_lb`` and ``_rb``: an equi-join on keys, _lb and _rb gives the rows of one on keys alone.
+
+    ``counts``: keys, n of each side. A key of more than ``size`` rows is cut into blocks of about that size; each block of the left side
+    meets each of the right side under a key of its own, so a crowded key spreads over as many tasks as it has pairs of
+    blocks. Blocks come from a hash of the whole row (rows equal in all columns stay together); a lost task deals alike.
+    """
+    keys = list(keys)
+    wide = [
+        n.groupBy(*keys).agg(F.ceil(F.sum("n") / size).cast("int").alias(name)).filter(F.col(name) > 1)
+        for n, name in zip(counts, ("_nl", "_nr"))
+    ]
+    blocks = wide[0].join(wide[1], keys, "full")
+    one = F.lit(1)
+
+    def dealt(side: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+        at = F.pmod(F.xxhash64(*side.columns), F.coalesce(own_n, one)).cast("int")
+        meets = F.sequence(F.lit(0), F.coalesce(other_n, one) - 1)
+        return side.join(blocks, keys, "left").select(*side.columns, at.alias(own), F.explode(meets).alias(other))
+
+    return dealt(left, "_lb", "_nl", "_rb", "_nr"), dealt(right, "_rb", "_nr", "_lb", "_nl")
+
+
 def near_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], left_axes: Sequence[str], right_axes: Sequence[str], radius: float
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_axes: Sequence[str], right_axes: Sequence[str], radius: float,
+    size: int = 4096,
 ) -> DataFrame:
     """All left/right row pairs of a group within ``radius`` (distance in ``_d``).
 
     The left side is copied to the neighbouring cells of side ``radius``; the right
-    side stays in its own cell. Column names must not overlap apart from ``keys``.
+    side stays in its own cell. Cells of more than ``size`` rows are joined block by block.
+    Column names must not overlap apart from ``keys``. Rows without a position pair with nothing.
     """
-    around = F.array(*[
-        cell_struct([F.col(a) for a in left_axes], radius, s) for s in product((-1, 0, 1), repeat=len(left_axes))
-    ])
-    a = left.select("*", F.explode(around).alias("_cell"))
+    dims = len(left_axes)
+    shifts = list(product((-1, 0, 1), repeat=dims))
+    on = [*keys, "_cell"]
+    own = left.select("*", cell_struct([F.col(a) for a in left_axes], radius).alias("_own"))
+    a = own.select("*", F.explode(around("_own", dims, shifts)).alias("_cell")).drop("_own")
     b = right.select("*", cell_struct([F.col(x) for x in right_axes], radius).alias("_cell"))
+    # The left side is counted before it is copied.
+    na = own.groupBy(*keys, "_own").agg(F.count("*").alias("n"))
+    na = na.select(*keys, "n", F.explode(around("_own", dims, shifts)).alias("_cell"))
+    nb = b.groupBy(*on).agg(F.count("*").alias("n"))
+    a, b = deal(a, b, on, (na, nb), size)
     gap = None
     for p, q in zip(left_axes, right_axes):
         d = (F.col(p) - F.col(q)) * (F.col(p) - F.col(q))
         gap = d if gap is None else gap + d
-    return a.join(b, [*keys, "_cell"]).withColumn("_d", F.sqrt(gap)).drop("_cell")
+    return a.join(b, [*on, "_lb", "_rb"]).withColumn("_d", F.sqrt(gap)).drop("_cell", "_lb", "_rb")
 
 
 def nearest_within(
@@ -47,7 +83,7 @@ def nearest_within(
     return best.select(*keys, *left_id, F.col("_b._d").alias("dist"), *[F.col(f"_b.{c}").alias(c) for c in take])
 
 
-def components(points: DataFrame, node: str, axes: Sequence[str], eps: float, max_rounds: int = 60) -> DataFrame:
+def components(points: DataFrame, node: str, axes: Sequence[str], eps: float, max_rounds: int = 60, size: int = 4096) -> DataFrame:
     """Connected components of "within eps" (density clusters with one point per cluster allowed).
 
     Points are binned into cells of diagonal ``eps``: a cell's points always belong
@@ -77,12 +113,14 @@ def components(points: DataFrame, node: str, axes: Sequence[str], eps: float, ma
         d = F.greatest(lo - F.col(f"_l{a}"), F.col(f"_l{a}") - hi, F.lit(0.0))
         box = d * d if box is None else box + d * d
     offer = offer.filter(box <= eps * eps * (1 + 1e-9))
+    counts = [side.groupBy("_cell").agg(F.count("*").alias("n")) for side in (offer, cells)]
+    offer, targets = deal(offer, cells, ["_cell"], tuple(counts), size)
     gap = None
     for a in axes:
         d = (F.col(f"_l{a}") - F.col(a)) * (F.col(f"_l{a}") - F.col(a))
         gap = d if gap is None else gap + d
     links = (
-        offer.join(cells, "_cell").filter(gap <= eps * eps).select(F.col("_from").alias("a"), F.col("_cell").alias("b")).distinct()
+        offer.join(targets, ["_cell", "_lb", "_rb"]).filter(gap <= eps * eps).select(F.col("_from").alias("a"), F.col("_cell").alias("b")).distinct()
     )
     both = cut_lineage(links.union(links.select("b", "a")))
     label = cut_lineage(cells.select(F.col("_cell").alias("a"), F.col("_cell").alias("root")).distinct())

@@ -255,10 +255,17 @@ def blob_decode(t):
        FROM embeddings WHERE label < 5""",
 )
 def feature_scan(t):
+    """Features written by map key; only the partitions of the asked maps are read back."""
+    label = c("label").cast("string")
+    key = {"place": F.concat(F.lit("p"), F.floor(c("label") / 25)), "building": F.concat(F.lit("b"), F.floor(c("label") / 5)), "floor": label}
+    path = shared_folder(t.spark, "features")
+    features.write_features(t.embeddings.withColumns(key).select(*MAP_KEY, "vec_id", "embedding"), path)
+    # One row per map, as a catalog gives them.
+    asked = t.embeddings.filter(c("label") < 5).select(c("label")).distinct().withColumns(key)
+    rows = features.read_features(t.spark, path, asked, ["floor", "vec_id", "embedding"])
     sq = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    return t.embeddings.filter(c("label") < 5).select(
-        c("label").alias("map_key"), c("vec_id").alias("image_name"), F.size("embedding").alias("dim"),
-        clean(F.sqrt(sq), 5).alias("length"),
+    return rows.select(
+        c("floor").cast("int").alias("map_key"), c("vec_id").alias("image_name"), F.size("embedding").alias("dim"), clean(F.sqrt(sq), 5).alias("length")
     )
 
 
