@@ -247,6 +247,15 @@ def test_running_band(spark):
         assert got.loc[f, "band_hi"] == pytest.approx(np.median(v) + 2 * v.std(ddof=0))
 
 
+def test_search_names_with_a_common_substring(spark):
+    rnd = random.Random(5)
+    names = [(i, "Customer " + "".join(rnd.choice("abC1") for _ in range(5))) for i in range(300)]
+    terms = [(j, t) for j, t in enumerate(["customer", "CUSTOMER", "mer", "a", "er c", "zzz", "stomerx", *["".join(rnd.choice("abc1 ") for _ in range(rnd.randint(2, 5))) + "1" for _ in range(60)]])]
+    got = lookups.search_names(spark.createDataFrame(terms, "term_id long, term string"), spark.createDataFrame(names, "ord long, name string"), size=20)
+    want = {j: next((o for o, n in names if t.lower() in n.lower()), None) for j, t in terms}
+    assert {r.term_id: r.ord for r in got.collect()} == want
+
+
 def test_crowded_cell(spark):
     """A third of all points in one cell: same pairs and clusters as all pairs, and no key of the join holds a share of the rows."""
     xy = np.vstack([RNG.random((150, 2)) * 0.4 + 5, RNG.random((300, 2)) * 20])

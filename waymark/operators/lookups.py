@@ -78,35 +78,42 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.transform(spots, lambda i: F.substr(text, i, F.lit(size))))
 
 
-def search_names(terms: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame:
+def search_names(terms: DataFrame, names: DataFrame, gram: int = 3, size: int = 4096) -> DataFrame:
     """First name (by ``ord``) containing each term, ignoring case; null for terms without a hit.
 
-    ``terms`` holds term_id, term; ``names`` holds name, ord. Each term is looked up
-    by its rarest substring of up to ``gram`` characters, so this is a hash join on
-    substrings followed by the exact test. Terms are not blank.
+    ``terms`` holds term_id, term; ``names`` holds name, ord. Equal terms are searched once. The first name of every
+    asked substring of up to ``gram`` characters is one aggregate, which already answers terms of that length. Longer terms
+    meet the names that hold their rarest substring, with the exact test after it; a substring that is common even so
+    is joined in blocks of ``size`` rows. Terms are not blank.
     """
+    from waymark.operators.cells import deal
+
     low = names.select("ord", "name", F.lower("name").alias("_n"))
     asked = terms.select("term_id", F.lower("term").alias("_t"))
-    size = F.least(F.lit(gram), F.length("_t"))
-    want = asked.select(
-        "term_id", "_t",
-        F.explode(F.coalesce(*[F.when(size == k, _grams(F.col("_t"), k)) for k in range(1, gram + 1)])).alias("_g"),
+    length = F.least(F.lit(gram), F.length("_t"))
+    want = asked.select("_t").distinct().select(
+        "_t", F.explode(F.coalesce(*[F.when(length == k, _grams(F.col("_t"), k)) for k in range(1, gram + 1)])).alias("_g"),
     )
-    wanted = want.select("_g").distinct()
     have = low.select(
         "ord", "name", "_n",
         F.explode(F.flatten(F.array(*[_grams(F.col("_n"), k) for k in range(1, gram + 1)]))).alias("_g"),
-    ).join(wanted, "_g", "left_semi")
-    weight = have.groupBy("_g").agg(F.count("*").alias("_w"))
+    ).join(want.select("_g").distinct(), "_g", "left_semi")
+    grams = have.groupBy("_g").agg(F.count("*").alias("_w"), F.min(F.struct("ord", "name")).alias("_m"))
+    # A substring that no name holds settles its term, so the inner join may drop it only with the whole term.
     rarest = (
-        want.join(weight, "_g", "left")
-        .groupBy("term_id", "_t")
-        .agg(F.min(F.struct(F.coalesce("_w", F.lit(0)).alias("w"), F.col("_g").alias("g"))).alias("_m"))
-        .select("term_id", "_t", F.col("_m.g").alias("_g"))
+        want.join(grams, "_g", "left").groupBy("_t")
+        .agg(F.min(F.struct(F.coalesce("_w", F.lit(0)).alias("w"), F.col("_g").alias("g"), F.col("_m").alias("m"))).alias("_r"))
+        .filter("_r.w > 0")
+    )
+    short = F.length("_t") <= gram
+    longer = rarest.filter(~short).select("_t", F.col("_r.g").alias("_g"))
+    counts = (longer.groupBy("_g").agg(F.count("*").alias("n")), grams.select("_g", F.col("_w").alias("n")))
+    a, b = deal(longer, have.join(longer.select("_g").distinct(), "_g", "left_semi"), ["_g"], counts, size)
+    hits = a.join(b, ["_g", "_lb", "_rb"]).filter(F.contains("_n", "_t"))
+    best = hits.groupBy("_t").agg(F.min(F.struct("ord", "name")).alias("m")).unionByName(
+        rarest.filter(short).select("_t", F.col("_r.m").alias("m"))
     )
-    hits = rarest.join(have, "_g").filter(F.contains("_n", "_t"))
-    best = hits.groupBy("term_id").agg(F.min(F.struct("ord", "name")).alias("m"))
-    return terms.select("term_id").join(best, "term_id", "left").select("term_id", "m.ord", "m.name")
+    return asked.join(best, "_t", "left").select("term_id", "m.ord", "m.name")
 
 
 def last_changes(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
