@@ -116,3 +116,13 @@ def test_one_floor_with_very_many_rows_is_dealt(spark, monkeypatch):
     see = plan.visible(spots[i, 0], spots[i, 1], spots[j, 0], spots[j, 1])
     assert {(r.a, r.b) for r in got.collect()} == set(zip(i[see].tolist(), j[see].tolist(), strict=True))
     assert got.count() == see.sum() and sight.seen_pairs(nodes.limit(0), nodes, floors, "id", "id", later=True).count() == 0
+
+
+def test_points_of_a_floor_without_edges_stay(spark):
+    """A floor with one node has no edges: its point is not moved, and the other floors are served."""
+    from waymark.operators import floor_graph as fg
+
+    points_ = spark.createDataFrame([(1, "P", "B", "lone", 3.0, 4.0), (2, "P", "B", "two", 5.0, 1.0)], "point_id long, place string, building string, floor string, x double, y double")
+    edges = spark.createDataFrame([("P", "B", "two", 0, 0.0, 0.0, 10.0, 0.0)], "place string, building string, floor string, edge_id long, ax double, ay double, bx double, by double")
+    got = {r.point_id: (r.sx, r.sy, r.dist) for r in fg.snap_to_route(points_, edges, 40.0).collect()}
+    assert got == {1: (3.0, 4.0, None), 2: (5.0, 0.0, 1.0)}
