@@ -347,3 +347,16 @@ def test_row_numbers_of_a_large_group_and_a_shared_value(spark):
     pdf = pd.DataFrame(rows, columns=["k", "v", "i"]).sort_values(["k", "v", "i"])
     want = dict(zip(pdf.i, pdf.groupby("k").cumcount(), strict=True))
     assert got == want
+
+
+def test_mask_pixels_are_never_broadcast(spark):
+    """An exploded range looks as small as the rows it came from; the pixels of all masks must not go through the driver for that."""
+    kf = spark.range(40).select(c("id").alias("kf"))
+    frames = kf.select("kf", *[F.lit(float(i % 4 == 0)).alias(f"r{i}") for i in range(9)], *[F.lit(0.0).alias(n) for n in ("tx", "ty", "tz")])
+    masks = kf.select("kf", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("u")).select("kf", "u", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("v"))
+    points = kf.select("kf", (c("kf") % 7 - 3.0).alias("x"), F.lit(0.5).alias("y"), F.lit(2.0).alias("z"))
+    out = clouds.masked_points(points, frames, masks.filter("kf % 2 = 0"), (32, 16))
+    got = out.groupBy("status").count().collect()
+    assert {r.status: r["count"] for r in got} == {"floor": 20, "no_mask": 20}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert any("SortMergeJoin [kf" in line and ", u#" in line and ", v#" in line for line in plan.splitlines())

@@ -245,7 +245,8 @@ def masked_points(points: DataFrame, keyframes: DataFrame, masks: DataFrame, mas
     """Project each point into its keyframe's floor mask and classify it.
 
     ``keyframes``: kf, r0..r8, tx, ty, tz. ``masks``: kf, u, v of set pixels. Statuses:
-    no_keyframe, no_mask, outside_mask, floor.
+    no_keyframe, no_mask, outside_mask, floor. Pixels are far more than the rows Spark may guess they come from (an exploded
+    range counts as one row), so they are joined by a shuffle and never sent whole through the driver.
     """
     from waymark.functions import geometry as g
 
@@ -258,7 +259,7 @@ def masked_points(points: DataFrame, keyframes: DataFrame, masks: DataFrame, mas
     posed = posed.select("*", *[v.alias(f"_c{i}") for i, v in enumerate(cam)])
     u, v = g.to_equirect([F.col(f"_c{i}") for i in range(3)], w, h)
     placed = posed.withColumns({"u": F.bround(u, 0).cast("long"), "v": F.bround(v, 0).cast("long")})
-    hit = masks.select("kf", "u", "v").distinct().withColumn("_set", F.lit(1))
+    hit = masks.select("kf", "u", "v").distinct().withColumn("_set", F.lit(1)).hint("merge")
     status = (
         F.when(F.col("r0").isNull(), "no_keyframe").when(F.col("_mask").isNull(), "no_mask")
         .when(F.col("_set").isNull(), "outside_mask").otherwise("floor")
