@@ -126,3 +126,25 @@ def test_points_of_a_floor_without_edges_stay(spark):
     edges = spark.createDataFrame([("P", "B", "two", 0, 0.0, 0.0, 10.0, 0.0)], "place string, building string, floor string, edge_id long, ax double, ay double, bx double, by double")
     got = {r.point_id: (r.sx, r.sy, r.dist) for r in fg.snap_to_route(points_, edges, 40.0).collect()}
     assert got == {1: (3.0, 4.0, None), 2: (5.0, 0.0, 1.0)}
+
+
+def test_all_candidate_links_are_given(spark):
+    """Hidden pairs stay in ``visible_pairs(hidden=True)``, and pairs that cross no door in ``door_pairs``; both equal the column expressions."""
+    from waymark.operators import floor_graph as fg
+
+    rng = np.random.default_rng(11)
+    shapes = rooms(rng, 12)
+    floors = as_columns(spark, shapes)
+    kinds = rng.choice([3, 4, 5, 6], 60).tolist()
+    nodes = spark.createDataFrame([("P", "B", "F", i, float(a), float(b), k) for i, ((a, b), k) in enumerate(zip(points(rng, 60), kinds, strict=True))], "place string, building string, floor string, node_id long, x double, y double, group_id int")
+    a = nodes.filter("group_id in (3, 4)").select(*MAP_KEY, c("node_id").alias("a"), c("x").alias("px"), c("y").alias("py"))
+    b = nodes.filter("group_id in (3, 4, 5)").select(*MAP_KEY, c("node_id").alias("b"), c("x").alias("qx"), c("y").alias("qy"), (c("group_id") == 5).alias("any"))
+    pairs = a.join(b, MAP_KEY).filter("any or a < b").join(floors, MAP_KEY)
+    want = {(r.a, r.b): r.visible for r in pg.with_visibility(pairs, ("px", "py", "qx", "qy")).select("a", "b", "visible").collect()}
+    got = [(r.a, r.b, r.visible) for r in fg.visible_pairs(nodes, floors, hidden=True).collect()]
+    assert {(i, j): v for i, j, v in got} == want and len(got) == len(want) and set(want.values()) == {True, False}
+    seen = {(r.a, r.b) for r in fg.visible_pairs(nodes, floors).collect()}
+    assert seen == {k for k, v in want.items() if v}
+    want = {(r.a, r.b): r.door_px and round(r.door_px, 9) for r in pg.door_crossing(pairs, ("px", "py", "qx", "qy")).select("a", "b", "door_px").collect()}
+    got = [(r.a, r.b, r.door_px and round(r.door_px, 9)) for r in fg.door_pairs(nodes, floors).collect()]
+    assert {(i, j): v for i, j, v in got} == want and len(got) == len(want) and None in want.values()
