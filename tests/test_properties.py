@@ -360,3 +360,26 @@ def test_mask_pixels_are_never_broadcast(spark):
     assert {r.status: r["count"] for r in got} == {"floor": 20, "no_mask": 20}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert any("SortMergeJoin [kf" in line and ", u#" in line and ", v#" in line for line in plan.splitlines())
+
+
+def test_retrieval_sends_images_once_a_team(spark, monkeypatch):
+    """Many small query blocks: the images go to a team of blocks, k rows a query come back, and slices and null map keys change nothing."""
+    rng = np.random.default_rng(3)
+    vec = rng.normal(size=(600, 8)).astype("float32")
+    vec[50:60] = vec[40]
+    db = spark.createDataFrame([(i, None if i % 5 == 0 else i % 3, v.tolist()) for i, v in enumerate(vec)], "image long, map_key long, vec array<float>")
+    q = db.select(c("image").alias("query"), "vec")
+    index = vectors.index_images(db, block=16, pivots=2)
+    q_blocks, first, rest = vectors.search_plan(q, index, 7, block=16)
+    assert q_blocks.count() > 30
+    every = first.unionByName(rest.select("q_cell", "cell"))
+    assert vectors._visit(q_blocks, index, every, 7, False, 16).count() == 7 * 600
+    u = vec.astype(float) / np.linalg.norm(vec.astype(float), axis=1, keepdims=True)
+    s = (u @ u.T).round(12)
+    for size in (1 << 18, 100):
+        monkeypatch.setattr(vectors, "SLICE", size)
+        got = vectors.retrieve_topk(q, None, 7, block=16, index=index).toPandas()
+        for i in range(0, 600, 7):
+            top = got[got["query"] == i].sort_values("rank")
+            assert np.allclose(top["score"], -np.sort(-s[i])[:7])
+            assert all((np.isnan(m) if j % 5 == 0 else m == j % 3) for j, m in zip(top["image"], top["map_key"], strict=True))

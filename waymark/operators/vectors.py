@@ -1,7 +1,7 @@
 """Similarity search and descriptor matching over blocks of vectors.
 
-Rows are packed into blocks of bounded size by a hash of their id, block pairs are
-joined, and each pair is one matrix product in NumPy that emits only its best hits.
+Rows are packed into blocks of bounded size by a hash of their id, and each pair of
+blocks is one matrix product in NumPy of which only the best hits are kept.
 No pair of single rows is ever materialized, and a crowded map or image just has
 more blocks. Map images are grouped around pivots, so a search leaves out the groups
 that the triangle inequality shows to be too far.
@@ -25,6 +25,10 @@ from waymark.session import cut_lineage, parallelism
 BLOCK = 2048
 #: Pivots of a map index, at most: the plan of a search has a row for each two of them.
 PIVOTS = 64
+#: Queries that a task holds while images stream past, at most, and the bytes they may take; images that stream past one team.
+TEAM, TEAM_BYTES, SLICE = 1 << 15, 1 << 26, 1 << 18
+#: Stands for a null id or map key in arrays; last in order, as null is.
+NONE = np.iinfo(np.int64).max
 
 
 def pack(df: DataFrame, keys: Sequence[str], id_col: str, vec: str, extra: str | None = None, block: int = BLOCK) -> DataFrame:
@@ -61,24 +65,95 @@ def best_columns(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarra
     return r[keep], c[keep]
 
 
+class Best:
+    """The ``k`` best images so far of each of a team's queries; equal scores go to the lower id."""
+
+    def __init__(self, ids: np.ndarray, unit: np.ndarray, k: int):
+        self.ids, self.unit, self.k = ids, unit, k
+        self.score = np.full((len(ids), k), -np.inf)
+        self.image = np.full((len(ids), k), NONE)
+        self.extra = np.zeros((len(ids), k), np.int64)
+
+    def offer(self, at: slice, ids: np.ndarray, extras: np.ndarray, unit: np.ndarray, skip_self: bool) -> None:
+        """Compare the queries ``at`` with some images and keep what is among a query's best."""
+        scores = self.unit[at] @ unit.T
+        if skip_self:
+            scores[(self.ids[at][:, None] == ids[None, :]) & (ids != NONE)[None, :]] = -np.inf
+        r, c = best_columns(scores, ids, self.k) if np.isinf(self.score[at, -1]).any() else np.nonzero(scores >= self.score[at, -1:])
+        s = scores[r, c]
+        ok = np.isfinite(s) & (s >= self.score[at, -1][r])
+        r, c, s = r[ok], c[ok], s[ok]
+        if not len(r):
+            return
+        rows = np.unique(r)
+        old = rows + at.start
+        row = np.concatenate([np.repeat(rows, self.k), r])
+        score = np.concatenate([self.score[old].ravel(), s])
+        image = np.concatenate([self.image[old].ravel(), ids[c]])
+        extra = np.concatenate([self.extra[old].ravel(), extras[c]])
+        order = np.lexsort((image, -score, row))
+        begin = np.searchsorted(row[order], rows)
+        top = order[begin[:, None] + np.arange(self.k)]
+        self.score[old], self.image[old], self.extra[old] = score[top], image[top], extra[top]
+
+    def rows(self) -> pa.RecordBatch:
+        r, c = np.nonzero(np.isfinite(self.score))
+        cols = (self.ids[r], self.extra[r, c], self.image[r, c], self.score[r, c])
+        return pa.RecordBatch.from_arrays([pa.array(v, mask=v == NONE) for v in cols], names=["query", "map_key", "image", "score"])
+
+
 def _topk(k: int, skip_self: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                q_ids, d_ids = np.asarray(row.q_ids), np.asarray(row.d_ids)
-                scores = unit_rows(matrix(row.q_flat, len(q_ids))) @ unit_rows(matrix(row.d_flat, len(d_ids))).T
-                if skip_self:
-                    scores[q_ids[:, None] == d_ids[None, :]] = -np.inf
-                r, c = best_columns(scores, d_ids, k)
-                s = scores[r, c]
-                ok = np.isfinite(s)
-                yield pd.DataFrame({
-                    "query": q_ids[r][ok], "map_key": np.asarray(row.d_extras)[c][ok], "image": d_ids[c][ok], "score": s[ok],
-                })
+    """Rows of a team (q_cell, team, slice) in order: first its query blocks (kind 0), then the image blocks that some of them visit."""
+
+    def units(flat, n: int) -> np.ndarray:
+        return unit_rows(matrix(flat.values.to_numpy(zero_copy_only=False), n))
+
+    def longs(flat) -> np.ndarray:
+        return flat.values.fill_null(NONE).to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, blocks, best, spans = None, [], None, {}
+        for b in batches:
+            for i in range(b.num_rows):
+                now = tuple(b.column(j)[i].as_py() for j in range(3))
+                if now != at:
+                    if best is not None:
+                        yield best.rows()
+                    at, blocks, best, spans = now, [], None, {}
+                ids = longs(b.column(5)[i])
+                unit = units(b.column(7)[i], len(ids))
+                if b.column(3)[i].as_py() == 0:
+                    blocks.append((b.column(4)[i].as_py()[0], ids, unit))
+                    continue
+                if best is None:
+                    if not blocks:
+                        continue
+                    ends = np.cumsum([0] + [len(q[1]) for q in blocks]).tolist()
+                    spans = {q[0]: slice(lo, hi) for q, lo, hi in zip(blocks, ends[:-1], ends[1:], strict=True)}
+                    best = Best(np.concatenate([q[1] for q in blocks]), np.concatenate([q[2] for q in blocks]), k)
+                    blocks = []
+                extras = longs(b.column(6)[i])
+                for part in _joined(sorted((spans[q] for q in b.column(4)[i].as_py() if q in spans), key=lambda p: p.start), BLOCK):
+                    best.offer(part, ids, extras, unit, skip_self)
+        if best is not None:
+            yield best.rows()
 
     return run
 
 
+def _joined(spans: list[slice], size: int) -> Iterator[slice]:
+    """Neighbouring spans put together, cut into pieces of at most ``size`` rows."""
+    k = 0
+    while k < len(spans):
+        lo, hi = spans[k].start, spans[k].stop
+        while k + 1 < len(spans) and spans[k + 1].start == hi:
+            k += 1
+            hi = spans[k].stop
+        k += 1
+        for i in range(lo, hi, size):
+            yield slice(i, min(i + size, hi))
+
+
 class MapIndex(NamedTuple):
     """Map images in blocks around pivots: each cell holds the images nearest to one pivot, no farther from it than its radius."""
 
@@ -167,13 +242,28 @@ def search_plan(queries: DataFrame, index: MapIndex, k: int, skip_self: bool = F
     return q_blocks, first, rest
 
 
-def _visit(q_blocks: DataFrame, index: MapIndex, visits: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """Best ``k`` of each visited block (visits: q_cell, cell, limit by q_blk if given)."""
-    d = index.blocks.select("cell", F.col("ids").alias("d_ids"), F.col("extras").alias("d_extras"), F.col("flat").alias("d_flat"))
+def _visit(q_blocks: DataFrame, index: MapIndex, visits: DataFrame, k: int, skip_self: bool, block: int = BLOCK) -> DataFrame:
+    """Best ``k`` of the visited images for each query (visits: q_cell, cell, limited to q_blk if given).
+
+    Query blocks of a cell form teams of at most ``TEAM`` queries. A team is held in arrays while the image blocks that any of its members
+    visits stream past, so an image is sent once a team, not once a block, and ``k`` rows a query come back, not ``k`` a pair of blocks. Teams
+    that meet very many images are cut into slices of ``SLICE`` images.
+    """
+    size = max(1, min(TEAM, TEAM_BYTES // (8 * index.pivots.shape[1])) // block)
+    images = index.blocks.agg(F.sum(F.size("ids"))).first()[0] or 0
+    slices = -(-images // SLICE) or 1
     on = ["q_cell", "q_blk"] if "q_blk" in visits.columns else ["q_cell"]
-    pairs = q_blocks.join(visits, on).join(d, "cell").select("q_ids", "q_flat", "d_ids", "d_extras", "d_flat")
-    n = parallelism(q_blocks.sparkSession)
-    return pairs.repartition(n).mapInPandas(_topk(k, skip_self), "query long, map_key long, image long, score double")
+    team = F.floor(F.col("q_blk") / size).cast("int").alias("team")
+    wants = q_blocks.select("q_cell", "q_blk", team).join(visits, on).groupBy("q_cell", "team", "cell").agg(F.collect_list("q_blk").alias("blks"))
+    key = ["q_cell", "team", "slice"]
+    part = F.pmod(F.xxhash64("cell", "blk"), F.lit(slices)).cast("int").alias("slice")
+    d = index.blocks.select("cell", part, "ids", "extras", "flat").join(wants, "cell")
+    d = d.select(*key, F.lit(1).alias("kind"), "blks", "ids", "extras", "flat")
+    q = q_blocks.select("q_cell", team, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("kind"), F.array("q_blk").alias("blks"), F.col("q_ids").alias("ids"), F.col("q_ids").alias("extras"), F.col("q_flat").alias("flat"))
+    q = q.join(wants.select("q_cell", "team").distinct(), ["q_cell", "team"], "left_semi").select(*d.columns)
+    # Teams are few and unequal: more partitions than tasks at once let the scheduler even them out.
+    rows = q.unionByName(d).repartition(4 * parallelism(q_blocks.sparkSession), *key).sortWithinPartitions(*key, "kind")
+    return rows.mapInArrow(_topk(k, skip_self), "query long, map_key long, image long, score double")
 
 
 def retrieve_topk(
@@ -191,9 +281,9 @@ def retrieve_topk(
         hits = spark.createDataFrame([], "query long, map_key long, image long, score double")
     else:
         q_blocks, first, rest = search_plan(queries, index, k, skip_self, block)
-        found = cut_lineage(_visit(q_blocks, index, first, k, skip_self))
+        found = cut_lineage(_visit(q_blocks, index, first, k, skip_self, block))
         more = needed_visits(q_blocks, found, rest, k)
-        hits = found.unionByName(_visit(q_blocks, index, more, k, skip_self))
+        hits = found.unionByName(_visit(q_blocks, index, more, k, skip_self, block))
     overall = Window.partitionBy("query").orderBy(F.desc("score"), "image")
     in_map = Window.partitionBy("query", "map_key").orderBy("rank")
     best = hits.withColumn("rank", F.row_number().over(overall)).filter(F.col("rank") <= k)
