@@ -383,3 +383,21 @@ def test_retrieval_sends_images_once_a_team(spark, monkeypatch):
             top = got[got["query"] == i].sort_values("rank")
             assert np.allclose(top["score"], -np.sort(-s[i])[:7])
             assert all((np.isnan(m) if j % 5 == 0 else m == j % 3) for j, m in zip(top["image"], top["map_key"], strict=True))
+
+
+def test_nearest_of_all_in_a_crowd(spark):
+    """A crowd in one cell, equal distances and many left rows: the same as all pairs, and cells that cannot win are not opened."""
+    rng = np.random.default_rng(5)
+    spots = np.concatenate([rng.uniform(0, 0.4, (4000, 3)), rng.uniform(-3, 3, (500, 3)), np.round(rng.uniform(-3, 3, (500, 3)) * 2) / 2])
+    left = np.concatenate([rng.uniform(-0.2, 0.6, (300, 3)), np.round(rng.uniform(-3, 3, (300, 3)) * 2) / 2])
+    right = spark.createDataFrame([(float(x), float(y), float(z)) for x, y, z in spots] + [(float("nan"), 0.0, 0.0), (None, 0.0, 0.0)], "x double, y double, z double").distinct()
+    rows = spark.createDataFrame([(i % 200, i, float(x), float(y), float(z)) for i, (x, y, z) in enumerate(left)], "kf long, step long, sx double, sy double, sz double")
+    got = {r.kf: tuple(r.m) for r in cells.nearest_of_all(rows, right, "kf", ["sx", "sy", "sz"], ["x", "y", "z"], 0.5, ["step", "x", "y", "z"], leaf=4).collect()}
+    want = {}
+    for i, p in enumerate(left):
+        q = p - spots
+        d = np.sqrt(q[:, 0] * q[:, 0] + q[:, 1] * q[:, 1] + q[:, 2] * q[:, 2])
+        for j in np.flatnonzero(d < 0.5):
+            found = (float(d[j]), i, *map(float, spots[j]))
+            want[i % 200] = min(want.get(i % 200, found), found)
+    assert got == want

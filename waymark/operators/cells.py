@@ -140,6 +140,66 @@ def components(points: DataFrame, node: str, axes: Sequence[str], eps: float, ma
     return placed.join(first, "root").drop("root")
 
 
+def nearest_of_all(
+    left: DataFrame, right: DataFrame, own: str, left_axes: Sequence[str], right_axes: Sequence[str], radius: float, order: Sequence[str],
+    leaf: int = 32,
+) -> DataFrame:
+    """own, m: the pair of smallest (distance, ``order``) over all left rows with the same ``own``, if closer than ``radius``.
+
+    Right rows stand in a tree of cells, each a quarter as wide as its parent, with the bounds of the rows in them. Left rows descend it: a cell goes on
+    only if it can hold a row as near as the farthest one of some cell is sure to be, so neither crowded cells nor many
+    left rows in one of them enumerate their pairs. The depth follows the fullest cell (about ``leaf`` rows along a line in the last ones).
+    """
+    from waymark.session import cut_lineage
+
+    c = F.col
+    dims, keys = len(right_axes), [f"_k{i}" for i in range(len(right_axes))]
+
+    def finite(df: DataFrame, axes: Sequence[str]) -> DataFrame:
+        for a in axes:
+            df = df.filter(F.abs(c(a).cast("double")) < F.lit(float("inf")))
+        return df
+
+    # A hair over the radius keeps rounding from putting a near row two cells away.
+    side = radius * (1 + 1e-9)
+    spots = cut_lineage(finite(right, right_axes))
+    fullest = spots.groupBy(*[F.floor(c(a) / side) for a in right_axes]).count().agg(F.max("count")).first()[0] or 0
+    depth = 0
+    while leaf * 4**depth < fullest and depth < 10:
+        depth += 1
+    fine = side / 4**depth
+    placed = spots.select("*", *[F.floor(c(a) / fine).alias(k) for a, k in zip(right_axes, keys)])
+    low, high = [f"_lo{i}" for i in range(dims)], [f"_hi{i}" for i in range(dims)]
+    ends = [f(c(a).cast("double")).alias(n) for a, lo, hi in zip(right_axes, low, high) for f, n in ((F.min, lo), (F.max, hi))]
+    boxes = [cut_lineage(placed.groupBy(*keys).agg(*ends))]
+    for _ in range(depth):
+        up = boxes[0].withColumns({k: F.shiftright(k, 2) for k in keys}).groupBy(*keys)
+        boxes.insert(0, cut_lineage(up.agg(*[F.min(n).alias(n) for n in low], *[F.max(n).alias(n) for n in high])))
+    at = F.struct(*[F.shiftright(F.floor(c(a) / fine), 2 * depth).alias(f"c{i}") for i, a in enumerate(left_axes)])
+    near = finite(left, left_axes).select("*", at.alias("_at"))
+    near = near.select(*left.columns, F.explode(around("_at", dims, list(product((-1, 0, 1), repeat=dims)))).alias("_c"))
+    near = near.select(*left.columns, *[c(f"_c.c{i}").alias(f"_p{i}") for i in range(dims)])
+    for level, box in enumerate(boxes):
+        # At the top a cell is looked up itself, below by its parent.
+        box = box.withColumns({f"_p{i}": F.shiftright(k, 2) if level else c(k) for i, k in enumerate(keys)})
+        seen = near.join(box, [f"_p{i}" for i in range(dims)])
+        least, most = F.lit(0.0), F.lit(0.0)
+        for a, lo, hi in zip(left_axes, low, high):
+            gap, far = F.greatest(c(lo) - c(a), c(a) - c(hi), F.lit(0.0)), F.greatest(F.abs(c(a) - c(lo)), F.abs(c(a) - c(hi)))
+            least, most = least + gap * gap, most + far * far
+        seen = seen.select(*left.columns, *[c(k).alias(f"_p{i}") for i, k in enumerate(keys)], least.alias("_least"), most.alias("_most"))
+        seen = cut_lineage(seen.filter(c("_least") <= radius * radius * (1 + 1e-9)))
+        bound = seen.groupBy(c(own).alias("_own")).agg(F.min("_most").alias("_bound"))
+        near = seen.join(bound, c(own) == c("_own")).filter(c("_least") <= c("_bound") * (1 + 1e-9) + 1e-18).select(*left.columns, *[f"_p{i}" for i in range(dims)])
+    pairs = near.join(placed.withColumnsRenamed({k: f"_p{i}" for i, k in enumerate(keys)}), [f"_p{i}" for i in range(dims)])
+    gap = None
+    for p, q in zip(left_axes, right_axes):
+        d = (c(p) - c(q)) * (c(p) - c(q))
+        gap = d if gap is None else gap + d
+    pairs = pairs.withColumn("_d", F.sqrt(gap)).filter(c("_d") < radius)
+    return pairs.groupBy(own).agg(F.min(F.struct("_d", *order)).alias("m"))
+
+
 def door_points(masks: DataFrame, keyframes: DataFrame, floor: DataFrame, mask_size: tuple[int, int], radius: float = 0.5) -> DataFrame:
     """Floor point nearest to the ray through each keyframe's door-mask centre.
 
@@ -161,6 +221,5 @@ def door_points(masks: DataFrame, keyframes: DataFrame, floor: DataFrame, mask_s
         "kf", "step", *[(F.col(p) + F.col(f"_w{i}") * dist).alias(s) for i, (p, s) in enumerate((("px", "sx"), ("py", "sy"), ("pz", "sz")))]
     )
     spots = floor.select("x", "y", "z").distinct()
-    pairs = near_join(samples, spots, [], ["sx", "sy", "sz"], ["x", "y", "z"], radius).filter(F.col("_d") < radius)
-    best = pairs.groupBy("kf").agg(F.min(F.struct("_d", "step", "x", "y", "z")).alias("m"))
+    best = nearest_of_all(samples, spots, "kf", ["sx", "sy", "sz"], ["x", "y", "z"], radius, ["step", "x", "y", "z"])
     return best.select("kf", "m.x", "m.y", "m.z", F.col("m._d").alias("dist"))
