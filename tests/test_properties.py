@@ -401,3 +401,11 @@ def test_nearest_of_all_in_a_crowd(spark):
             found = (float(d[j]), i, *map(float, spots[j]))
             want[i % 200] = min(want.get(i % 200, found), found)
     assert got == want
+
+
+def test_cluster_labels_are_not_broadcast(spark):
+    """Labels grow with the points, so no join with them may send them through the driver, small as they are here."""
+    rows = spark.createDataFrame([(i, float(i % 50), float(i // 50) * 0.4) for i in range(200)], "id long, x double, z double")
+    out = cells.components(rows, "id", ["x", "z"], 0.5)
+    assert {r["count"] for r in out.groupBy("cluster").count().collect()} == {4}
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()

@@ -88,7 +88,8 @@ def components(points: DataFrame, node: str, axes: Sequence[str], eps: float, ma
 
     Points are binned into cells of diagonal ``eps``: a cell's points always belong
     together, so only cells are linked. Labels then shrink along links and jump to their
-    label's label, which needs about log(rounds) steps; each round is checkpointed.
+    label's label, which needs about log(rounds) steps; each round is checkpointed. Labels are joined by a shuffle:
+    a table just under Spark's broadcast size, sent by every round, would add up in the driver.
     """
     from waymark.session import cut_lineage
 
@@ -125,19 +126,19 @@ def components(points: DataFrame, node: str, axes: Sequence[str], eps: float, ma
     both = cut_lineage(links.union(links.select("b", "a")))
     label = cut_lineage(cells.select(F.col("_cell").alias("a"), F.col("_cell").alias("root")).distinct())
     for _ in range(max_rounds):
-        seen = both.join(label.select(F.col("a").alias("b"), "root"), "b").select("a", "root")
+        seen = both.join(label.select(F.col("a").alias("b"), "root").hint("merge"), "b").select("a", "root")
         low = label.select("a", "root").union(seen).groupBy("a").agg(F.min("root").alias("root"))
-        jump = low.join(low.select(F.col("a").alias("root"), F.col("root").alias("_next")), "root").select("a", F.col("_next").alias("root"))
+        jump = low.join(low.select(F.col("a").alias("root"), F.col("root").alias("_next")).hint("merge"), "root").select("a", F.col("_next").alias("root"))
         new = cut_lineage(jump)
-        moved = new.join(label.select("a", F.col("root").alias("_was")), "a").filter(F.col("root") != F.col("_was"))
+        moved = new.join(label.select("a", F.col("root").alias("_was")).hint("merge"), "a").filter(F.col("root") != F.col("_was"))
         label = new
         if moved.isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    placed = points.select("*", cell_struct([F.col(a) for a in axes], side).alias("a")).join(label, "a").drop("a")
+    placed = points.select("*", cell_struct([F.col(a) for a in axes], side).alias("a")).join(label.hint("merge"), "a").drop("a")
     first = placed.groupBy("root").agg(F.min(node).alias("cluster"))
-    return placed.join(first, "root").drop("root")
+    return placed.join(first.hint("merge"), "root").drop("root")
 
 
 def nearest_of_all(
