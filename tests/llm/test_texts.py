@@ -88,6 +88,69 @@ def test_toxicity_in_parts_is_the_same(spark, monkeypatch):
     assert {r["doc_id"]: round(r["score"], 6) for r in toxicity.score_toxicity(d, lab).collect()} == whole
 
 
+def plain_ratio(train, d=0.75, chance=18.0):
+    """Kneser-Ney by the book over (text, toxic): a function from words to the log ratio of each after its left neighbour."""
+    pairs, docs, pair_docs = ([collections.Counter() for _ in range(2)] for _ in range(3))
+    for text, t in train:
+        w = words(text)
+        p = list(zip(["<s>", *w], w))
+        pairs[t].update(p)
+        docs[t].update(set(w))
+        pair_docs[t].update(set(p))
+    left = [collections.Counter(w for _, w in pairs[t]) for t in (0, 1)]
+    context = [collections.Counter() for _ in range(2)]
+    for t in (0, 1):
+        for (v, _), n in pairs[t].items():
+            context[t][v] += n
+    both = left[0] + left[1]
+
+    def beyond(counts):
+        share = counts[1].total() / (counts[0].total() + counts[1].total())
+        g = {}
+        for k in counts[0] | counts[1]:
+            x, y = counts[1][k], counts[0][k]
+            g[k] = 2 * sum(n * np.log(n / ((x + y) * s)) for n, s in ((x, share), (y, 1 - share)) if n)
+        return {k for k, v in g.items() if v >= chance}
+
+    kept, kept_pairs = beyond(docs), beyond(pair_docs)
+
+    def word(w, t):
+        own = max(left[t][w] - d, 0) / left[t].total() if w in kept else 0.0
+        rest = 1 - sum(max(left[t][x] - d, 0) for x in kept) / left[t].total()
+        return own, rest
+
+    def log_p(v, w, t):
+        own, rest = word(w, t)
+        low = own + rest * (both[w] / both.total() if w in both else 1e-9)  # what no model has seen has the same share in both
+        n = max(context[t][v], 1)
+        used = sum(max(pairs[t][p] - d, 0) for p in kept_pairs if p[0] == v)
+        return np.log((max(pairs[t][v, w] - d, 0) / n if (v, w) in kept_pairs else 0.0) + (1 - used / n) * low)
+
+    return lambda ws: [log_p(v, w, 1) - log_p(v, w, 0) for v, w in zip(["<s>", *ws], ws)], kept, kept_pairs
+
+
+def test_toxicity_model_is_plain_kneser_ney(spark):
+    """Left neighbours as continuations, pairs of both classes (also those that only ordinary texts have), back-off weights."""
+    rng = random.Random(11)
+    train = []
+    for i in range(400):
+        t = babble(rng, rng.randrange(5, 40), 12).split()
+        # The same two words stand together in ordinary texts, apart in toxic ones; one word repeats after one neighbour only.
+        t += (["nice", "day"] if i % 2 else ["day", *t[:2], "nice"]) + (["grumpf", "zonk"] * 4 if i % 2 == 0 and i % 3 else [])
+        train.append((" ".join(t), int(i % 2 == 0)))
+    plain, kept, kept_pairs = plain_ratio(train)
+    assert ("nice", "day") in kept_pairs and "grumpf" in kept and len(kept) < 20
+    rows = spark.createDataFrame(train, "text string, toxic int")
+    asked = ["nice day", "day nice", "grumpf zonk grumpf unheard", "", "day of grumpf", *(t for t, _ in train[:6])]
+    parts = toxicity._parts(toxicity.model(rows))
+    docs = spark.createDataFrame(list(enumerate(asked)), "id long, text string")
+    seen, x1, _ = toxicity._features(docs, parts, "text", ["id"])
+    for i, x in seen.select("id", x1.alias("x")).collect():
+        want = plain(words(asked[i]))
+        assert x == pytest.approx(sum(want) / max(len(want), 1), abs=1e-5)
+    assert sum(plain(["nice", "day"])) < sum(plain(["day", "nice"]))
+
+
 def test_toxicity_ignores_labels_of_held_out_documents(spark):
     docs, labels = toxic_rows(200)
     turned = [(i, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, t in labels]

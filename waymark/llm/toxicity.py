@@ -1,11 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two language models, one of toxic and one of ordinary labelled texts, share their lowest level. A word's
-class level counts the documents of the class that hold it (its continuations), discounted and
-interpolated with the shared counts; word pairs seen in toxic texts are discounted counts over that.
-N-grams whose class counts do not differ beyond chance keep the shared estimate, so rare
-expressions cancel out. A text's score compares both log-likelihoods per word, over the whole text and over
-its worst stretch.
+Two language models of words after words, one of toxic and one of ordinary labelled texts. Pairs of both classes are
+counted alike. A word's class level counts its distinct left neighbours in the class (its continuations), discounted and
+interpolated with a lowest level that both classes share; a pair's count is discounted and interpolated with that level.
+N-grams whose documents do not differ between the classes beyond chance are pruned from both models by the same test; what they
+held goes to the back-off weights, so each model still sums to one, and rare expressions keep the ratio of their back-off.
+A text's score compares both log-likelihoods per word, over the whole text and over its worst stretch.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ MOST_LABELS = 1_000_000
 MOST_NGRAMS = 2_000_000
 #: Labelled rows that the score's weights are fitted on, at most.
 MOST_FITTED = 50_000
-#: Bits of the map that tells which pairs of ordinary texts are worth counting; collisions only cost rows.
-PAIR_BITS = 1 << 24
+#: Stands before the first word of a text.
+BEGIN = np.uint64(0x5BD1E995C3A5C85C)
+#: Rows of a model: log ratios of words, of contexts' back-off weights and of pairs, and of a word that is not listed.
+WORD, CONTEXT, PAIR, REST = range(4)
 
 
 def fold(doc_id: Column) -> Column:
@@ -60,9 +62,11 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def _pairs(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    same = rows[1:] == rows[:-1]
-    return h[:-1][same], h[1:][same]
+def _before(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The left neighbour of each word; ``first`` are the places where a text begins."""
+    left = np.concatenate([h[:1], h[:-1]])
+    left[first] = BEGIN
+    return left
 
 
 def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -70,48 +74,33 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mix(v * np.uint64(0x9E3779B97F4A7C15) + w)
 
 
-def _counted(pairs_of: str, bits: np.ndarray | None = None):
-    """Counts of a batch. ``pairs_of`` toxic: words of both classes and pairs of toxic texts; ordinary: pairs that ``bits`` has."""
-
-    def count(batches):
-        for batch in batches:
-            toxic = batch.column(1).to_numpy(zero_copy_only=False)
-            hs, rows = [], []
-            for w in words(batch.column(0)):
-                hs.append(w.hashes)
-                rows.append(w.rows() + w.lo)
-            if not hs:
-                continue
-            h, r = np.concatenate(hs), np.concatenate(rows)
-            out = []
-            if pairs_of == "toxic" and len(h):
-                order, at = _runs(r, h)
-                hh, t = h[order], toxic[r[order]]
-                begin = np.flatnonzero(np.concatenate([[True], hh[1:] != hh[:-1]]))
-                docs, tok = np.zeros(len(hh), np.int64), np.ones(len(hh), np.int64)
-                docs[at] = 1
-                s = lambda x: np.add.reduceat(x, begin)
-                out.append((hh[begin], np.zeros(len(begin), np.uint64), s(docs * t), s(docs * (1 - t)), s(tok * t), s(tok * (1 - t))))
-            mine = toxic[r] == (1 if pairs_of == "toxic" else 0)
-            v, w = _pairs(h[mine], r[mine])
-            if len(v):
-                key = pair_key(v, w)
-                if bits is not None:
-                    hit = key & np.uint64(PAIR_BITS - 1)
-                    ok = (bits[(hit >> np.uint64(3)).astype(np.int64)] >> (hit & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                    v, w, key = v[ok], w[ok], key[ok]
-            if len(v):
-                order, at = _runs(key)
-                n = np.diff(np.append(at, len(order)))
-                z = np.zeros(len(n), np.int64)
-                first = order[at]
-                t, o = (n, z) if pairs_of == "toxic" else (z, n)
-                out.append((v[first], w[first], z, z, t, o))
-            if out:
-                a, b, *c = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *(pa.array(x) for x in c)], names=["a", "b", "dt", "do", "ct", "co"])
-
-    return count
+def _per_key(key: np.ndarray, rows: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each key stands first, and its documents and places in toxic and in ordinary texts."""
+    order, at = _runs(rows, key)
+    k, t = key[order], toxic[rows[order]]
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    docs = np.zeros(len(k), np.int64)
+    docs[at] = 1
+    return order[begin], [np.add.reduceat(x, begin) for x in (docs * t, docs * (1 - t), t, 1 - t)]
+
+
+def _counted(batches):
+    """Counts of a batch: its words (``b`` is 0) and its pairs of neighbouring words, of both classes alike."""
+    for batch in batches:
+        toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        hs, rows = [], []
+        for w in words(batch.column(0)):
+            hs.append(w.hashes)
+            rows.append(w.rows() + w.lo)
+        h, r = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hs, rows))
+        if not len(h):
+            continue
+        left = _before(h, np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])))
+        one, n1 = _per_key(h, r, toxic)
+        two, n2 = _per_key(pair_key(left, h), r, toxic)
+        a = np.concatenate([h[one], left[two]])
+        b = np.concatenate([np.zeros(len(one), np.uint64), h[two]])
+        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *(pa.array(np.concatenate(x)) for x in zip(n1, n2, strict=True))], names=["a", "b", "dt", "do", "ct", "co"])
 
 
 _COUNTS = "a long, b long, dt long, do long, ct long, co long"
@@ -127,55 +116,46 @@ def _beyond_chance(t: Column, o: Column, share: float) -> Column:
 
 
 def model(train: DataFrame) -> DataFrame | None:
-    """(key, llr): log-likelihood ratio of words, and what it changes for pairs. None unless both classes have words."""
-    spark = train.sparkSession
-    rows = train.select("text", "toxic")
-    counts = cut_lineage(_sum(rows.mapInArrow(_counted("toxic"), _COUNTS)))
-    one = counts.where("b = 0")
-    tot = one.agg(F.sum("dt"), F.sum("do"), F.sum(F.expr("int(dt > 0)")), F.sum(F.expr("int(do > 0)")), F.sum("ct"), F.sum("co")).first()
+    """(kind, a, b, llr): what words, contexts and pairs add to the log-likelihood ratio of a word after another.
+
+    None unless both classes have words. Kind REST is the ratio of a word that is not listed, the others add to it.
+    """
+    counts = cut_lineage(_sum(train.select("text", "toxic").mapInArrow(_counted, _COUNTS)))
+    two = counts.where("b <> 0")
+    left = two.groupBy(F.col("b").alias("w")).agg(*(F.sum(F.expr(f"int({n} > 0)")).alias(m) for n, m in (("ct", "nt"), ("co", "no"))))
+    one = cut_lineage(left.join(counts.where("b = 0").select(F.col("a").alias("w"), "dt", "do"), "w"))
+    tot = one.agg(*(F.sum(n) for n in ("nt", "no", "dt", "do"))).first()
     if not tot[0] or not tot[1]:
         return None
-    nt, no, kt, ko, ct, co = map(float, tot)
-    d = DISCOUNT
-
-    def level(n, types, total):
-        shared = (F.col("dt") + F.col("do")) / (nt + no)
-        return (F.greatest(n - d, F.lit(0.0)) + d * types * shared) / total
-
-    pt, po = level(F.col("dt"), kt, nt), level(F.col("do"), ko, no)
-    one = one.select(F.col("a").alias("w"), "ct", "co", F.when(_beyond_chance(F.col("dt"), F.col("do"), nt / (nt + no)), F.log(pt / po)).otherwise(0.0).alias("llr"), pt.alias("pt"), po.alias("po"))
-
-    two = counts.where("b <> 0 AND ct >= 2").select("a", "b", "ct")
-    bits = np.zeros(PAIR_BITS // 8, np.uint8)
-    marked = two.select("a", "b").mapInArrow(_bit_words, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
-    for r in marked.toLocalIterator():  # at most PAIR_BITS / 64 rows
-        bits[r["word"] * 8:r["word"] * 8 + 8] = np.frombuffer(np.int64(r["value"]).tobytes(), np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
-    ordinary = _sum(rows.where("toxic = 0").mapInArrow(_late(shared), _COUNTS)).select("a", "b", F.col("co").alias("co2"))
-    g = two.join(ordinary, ["a", "b"], "left").select("a", "b", F.col("ct").alias("nt"), F.coalesce("co2", F.lit(0)).alias("no"))
-    g = cut_lineage(g)
-    cut = lambda c: F.greatest(F.col(c) - d, F.lit(0.0))
-    used = g.groupBy("a").agg(F.sum(cut("nt")).alias("ut"), F.sum(cut("no")).alias("uo"))
-    left = one.select(F.col("w").alias("a"), F.col("ct").alias("vt"), F.col("co").alias("vo"))
-    g = g.where(_beyond_chance(F.col("nt"), F.col("no"), ct / (ct + co))).join(used, "a").join(left, "a").join(one.select(F.col("w").alias("b"), "llr", "pt", "po"), "b")
-    p = lambda n, u, v, low: cut(n) / F.greatest(F.col(v), F.lit(1)) + (1 - F.col(u) / F.greatest(F.col(v), F.lit(1))) * F.col(low)
-    change = F.log(p("nt", "ut", "vt", "pt") / p("no", "uo", "vo", "po")) - F.col("llr")
-    pairs = g.select("a", "b", change.alias("llr")).where("abs(llr) >= 0.1")
-    both = one.where("llr <> 0").select("w", F.lit(0).cast("long").alias("b"), "llr").unionAll(pairs.select("a", "b", "llr"))
-    return cut_lineage(both.toDF("a", "b", "llr"))
-
-
-def _bit_words(batches):
-    for b in batches:
-        key = pair_key(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64)) & np.uint64(PAIR_BITS - 1)
-        yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (key & np.uint64(63))).view(np.int64))], names=["word", "value"])
-
-
-def _late(shared):
-    def count(batches):
-        yield from _counted("ordinary", shared.value)(batches)
-
-    return count
+    nt, no, dt, do = map(float, tot)
+    cut = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
+
+    # Words: continuations over what pruning and discounts leave to the shared level.
+    kept = _beyond_chance(F.col("dt"), F.col("do"), dt / (dt + do))
+    one = one.withColumns({"xt": F.when(kept, cut("nt") / nt).otherwise(0.0), "xo": F.when(kept, cut("no") / no).otherwise(0.0), "kept": kept})
+    used = one.agg(F.sum("xt"), F.sum("xo")).first()
+    bt, bo = 1 - used[0], 1 - used[1]
+    shared = (F.col("nt") + F.col("no")) / (nt + no)
+    one = one.select("w", "kept", (F.col("xt") + bt * shared).alias("pt"), (F.col("xo") + bo * shared).alias("po"))
+    rest = float(np.log(bt / bo))
+    zero = F.lit(0).cast("long")
+    listed = one.where("kept").select(F.lit(WORD).alias("kind"), F.col("w").alias("a"), zero.alias("b"), (F.log(F.col("pt") / F.col("po")) - rest).alias("llr"))
+
+    # Pairs: their counts over those of their contexts, the rest by the words.
+    held = two.agg(F.sum("dt"), F.sum("do")).first()
+    g = cut_lineage(two.where(_beyond_chance(F.col("dt"), F.col("do"), held[0] / (held[0] + held[1]))).select("a", "b", "ct", "co"))
+    seen = two.join(g.select("a").distinct(), "a", "left_semi").groupBy("a").agg(F.sum("ct").alias("vt"), F.sum("co").alias("vo"))
+    room = lambda u, v: 1 - F.col(u) / F.greatest(F.col(v), F.lit(1))
+    back = g.groupBy("a").agg(F.sum(cut("ct")).alias("ut"), F.sum(cut("co")).alias("uo")).join(seen, "a")
+    back = cut_lineage(back.select("a", "vt", "vo", room("ut", "vt").alias("bt"), room("uo", "vo").alias("bo")))
+    change = F.log(F.col("bt") / F.col("bo"))
+    contexts = back.select(F.lit(CONTEXT).alias("kind"), "a", zero.alias("b"), change.alias("llr"))
+    p = lambda n, v, b, low: cut(n) / F.greatest(F.col(v), F.lit(1)) + F.col(b) * F.col(low)
+    full = F.log(p("ct", "vt", "bt", "pt") / p("co", "vo", "bo", "po"))
+    pairs = g.join(back, "a").join(one.select(F.col("w").alias("b"), "pt", "po"), "b").select(
+        F.lit(PAIR).alias("kind"), "a", "b", (full - change - F.log(F.col("pt") / F.col("po"))).alias("llr"))
+    last = train.sparkSession.range(1).select(F.lit(REST).alias("kind"), zero.alias("a"), zero.alias("b"), F.lit(rest).alias("llr"))
+    return cut_lineage(listed.unionAll(contexts).unionAll(pairs).unionAll(last))
 
 
 def _parts(fitted: DataFrame) -> list:
@@ -184,13 +164,14 @@ def _parts(fitted: DataFrame) -> list:
     k = -(-n // MOST_NGRAMS) or 1
     out = []
     for i in range(k):
-        t = fitted.where(F.pmod(F.xxhash64("a", "b"), F.lit(k)) == i).toPandas()
-        a, b = t["a"].to_numpy(np.int64).view(np.uint64), t["b"].to_numpy(np.int64).view(np.uint64)
+        t = fitted.where(F.pmod(F.xxhash64("kind", "a", "b"), F.lit(k)) == i).toPandas()
+        kind, a, b = t["kind"].to_numpy(), t["a"].to_numpy(np.int64).view(np.uint64), t["b"].to_numpy(np.int64).view(np.uint64)
+        value = t["llr"].to_numpy(np.float64)
         tables = []
-        for keep, key in ((b == 0, a), (b != 0, pair_key(a, b) if len(a) else a)):
+        for keep, key in ((kind == WORD, a), (kind == CONTEXT, a), (kind == PAIR, pair_key(a, b))):
             order = np.argsort(key[keep])
-            tables.append((key[keep][order], t["llr"].to_numpy(np.float64)[keep][order].astype(np.float32)))
-        out.append(fitted.sparkSession.sparkContext.broadcast(tables))
+            tables.append((key[keep][order], value[keep][order].astype(np.float32)))
+        out.append(fitted.sparkSession.sparkContext.broadcast((*tables, value[kind == REST].sum())))
     return out
 
 
@@ -207,17 +188,15 @@ def _stretches(part, text: int, drop: bool, size_name: str, sums_name: str):
     """Appends (n words, sum of log ratios of each STRETCH words) to each row; drops text column ``text`` if told so."""
 
     def score(batches):
-        one, two = part.value
+        one, back, two, rest = part.value
         for batch in batches:
             n, sums = np.zeros(batch.num_rows, np.int64), []
             for w in words(batch.column(text)):
                 size = np.diff(w.at)
                 n[w.lo:w.hi] = size
                 rows = w.rows()
-                value = _look_up(one, w.hashes)
-                if len(two[0]) and len(value) > 1:
-                    same = rows[1:] == rows[:-1]
-                    value[1:] += np.where(same, _look_up(two, pair_key(w.hashes[:-1], w.hashes[1:])), np.float32(0))
+                left = _before(w.hashes, w.at[:-1][size > 0])
+                value = rest + _look_up(one, w.hashes) + _look_up(back, left) + _look_up(two, pair_key(left, w.hashes))
                 k = -(-size // STRETCH)
                 at = np.concatenate([[0], np.cumsum(k)])
                 sums.append(np.bincount(at[rows] + (np.arange(len(rows)) - w.at[rows]) // STRETCH, value, at[-1]))
@@ -251,8 +230,10 @@ def _features(rows: DataFrame, parts: list, text: str, keep: list[str]) -> tuple
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights (bias last) of a ridge logistic regression, by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
+    """Weights (bias last) of a ridge logistic regression, by Newton steps. Features are scaled, so the ridge does not depend on their size."""
+    scale = x.std(axis=0)
+    scale = np.append(np.where(scale > 0, scale, 1.0), 1.0)
+    x = np.column_stack([x, np.ones(len(x))]) / scale
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -262,7 +243,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         w = w - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return w / scale
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", keep: list[str] | None = None) -> DataFrame:
