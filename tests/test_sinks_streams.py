@@ -1,5 +1,6 @@
 """Sinks and streams on small folders."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from waymark.operators import lookups
@@ -44,6 +45,24 @@ def test_history_survives_micro_batches(spark, tmp_path):
     assert got[0] == (1, "0") and got[5] == (3, "1,3,5") and got[11] == (3, "7,9,11") and len(got) == 12
 
 
+def test_history_folds_rows_without_a_data_frame_per_key(spark, tmp_path, monkeypatch):
+    """Frames out of order, without a value, an id or a time; a data frame per key cost more than its rows."""
+    from types import SimpleNamespace
+
+    held = []
+    state = SimpleNamespace(get=lambda: list(held), put=lambda rows: held.__setitem__(slice(None), rows))
+    keeper = history.LastFrames(2)
+    keeper.init(SimpleNamespace(getListState=lambda *_: state))
+    monkeypatch.setattr(history.pd, "concat", None)
+    monkeypatch.setattr(history.pd, "DataFrame", None)
+    frame = Row("micros", "event_id", "value")
+    out = list(keeper.handleInputRows((7, "m"), iter([frame(3, 2, 4.0), frame(None, 9, 1.0), frame(1, 5, 2.0), frame(1, 4, 1.0)]), None))
+    assert [tuple(r) for r in out] == [(7, "m", 4, 1, 1.0, "4"), (7, "m", 5, 2, 1.5, "4,5"), (7, "m", 2, 2, 3.0, "5,2"), (7, "m", 9, 2, 2.5, "2,9")]
+    assert held == [(2, 4.0), (9, 1.0)]
+    out = list(keeper.handleInputRows((7, "m"), iter([frame(8, 10, None), frame(7, None, 3.0)]), None))
+    assert [tuple(r)[2:5] for r in out] == [(history.NO_ID, 2, 2.0), (10, 2, None)]
+
+
 def test_label_stream_equals_batch(spark, tmp_path):
     base = spark.createDataFrame([("places", "a", "en", "A"), ("places", "b", "en", "B")], "section string, key string, lang string, text string")
     schema = "section string, key string, lang string, text string, t long"
