@@ -247,6 +247,17 @@ def test_running_band(spark):
         assert got.loc[f, "band_hi"] == pytest.approx(np.median(v) + 2 * v.std(ddof=0))
 
 
+def test_search_names_sorts_no_substrings(spark):
+    """Substrings and hits go through hash aggregates; names repeat an ord or have none, and the smallest name of the first ord is given."""
+    names = spark.createDataFrame([(None, "Zed hall"), (2, "Hall b"), (2, "hall A"), (1, "other"), (3, "zed room"), (4, None)], "ord long, name string")
+    terms = spark.createDataFrame([(1, "all"), (2, "hall "), (3, "LL b"), (4, "none"), (5, "ZED ROOM"), (6, "ed")], "term_id long, term string")
+    out = lookups.search_names(terms, names)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate(key=[_g" not in plan and "HashAggregate(keys=[_g" in plan
+    want = {1: (None, "Zed hall"), 2: (2, "Hall b"), 3: (2, "Hall b"), 4: (None, None), 5: (3, "zed room"), 6: (None, "Zed hall")}
+    assert {r.term_id: (r.ord, r.name) for r in out.collect()} == want
+
+
 def test_search_names_with_a_common_substring(spark):
     rnd = random.Random(5)
     names = [(i, "Customer " + "".join(rnd.choice("abC1") for _ in range(5))) for i in range(300)]
