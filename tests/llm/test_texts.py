@@ -402,6 +402,49 @@ def test_viterbi_takes_the_best_path(spark):
         assert sum(scores[i] for i in got[t]) == pytest.approx(best(t)[0]), t
 
 
+def test_merges_by_fold_equal_those_by_queue(spark, model):
+    draw = np.random.default_rng(3)
+    parts = [p for p, _, _ in model.pieces if "▁" not in p and len(p) < 6]
+    words = sorted({"▁" * int(k % 2) + "".join(draw.choice(parts, 1 + k % 8))[:40] for k in range(300)} | {"a", "▁", "aaaaaaa", "żż", "▁▁▁▁▁"})
+    got = {r["word"]: r["ids"] for r in pieces.encode_words(spark.createDataFrame([(w, 1) for w in words], "word string, block long"), model).collect()}
+    rank, id_of = {p: r for r, (p, _, _) in enumerate(model.pieces)}, {p: i for p, i, _ in model.pieces}
+    for w in words:
+        want = [[id_of[p]] if p in id_of else [model.bytes_[x] for x in p.encode()] for p in pieces.merge_long(w, rank)]
+        assert got[w] == [x for p in want for x in p], w
+
+
+def test_islands_are_numbered_by_frequency(model):
+    texts = ["", " a b a", " the cat żółć the  end\n" * 40, " " + "x" * 60 + " a", " a"]
+    found = pieces.islands(pa.array(texts), pieces.Reach(model))
+    of = dict(zip(found.short_at.tolist(), found.short.to_pylist(), strict=True)) | found.long
+    assert "".join(of[x] for x in found.index.tolist()) == "".join(texts) and found.counts.sum() == len(found.index) and found.counts[0] == 0
+    often = np.bincount(found.index)
+    assert (np.diff(often) <= 0).all() and all(len(t) <= pieces.LONG for t in found.short.to_pylist()) and all(len(t) > pieces.LONG for t in found.long.values())
+    assert pieces.islands(pa.array([*texts[:-1], " c"]), pieces.Reach(model)).tag != found.tag
+
+
+def test_decoding_takes_no_loop_over_ids(model):
+    import sys
+
+    steps = 0
+
+    def count(frame, event, _):
+        nonlocal steps
+        steps += event == "line"
+        frame.f_trace_opcodes = False
+        return count
+
+    ids = pa.array([[5, 300, 301] * 5000, [], [259, 5]], pa.list_(pa.int32()))
+    pieces.decode_batch(ids.slice(1), model)
+    sys.settrace(count)
+    try:
+        got = pieces.decode_batch(ids, model)
+    finally:
+        sys.settrace(None)
+    want = [b"".join(model.text_of[i] for i in x) for x in ids.to_pylist()]
+    assert got == [w[1:] if w.startswith(b" ") else w for w in want] and steps < 1000
+
+
 # --- shards ----------------------------------------------------------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,12 @@ BLOCK = 16 << 20
 STEP = 1 << 20
 #: Islands longer than this many characters are folded one by one in the task that unpacks them (same merges).
 LONG = 48
+#: Islands handed on at once.
+_ROWS = 1 << 14
+#: Ids decoded at once.
+_TOKENS = 1 << 18
 _ROW = 64  # a span's key in an island is start * _ROW + end
+_OTHER = 129
 
 
 @dataclass(frozen=True)
@@ -47,6 +53,11 @@ class Pieces:
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.pieces)
 
+    @cached_property
+    def bytes_of(self) -> tuple[np.ndarray, np.ndarray]:
+        """The texts of all ids behind one another, and where each begins and the last ends."""
+        return np.frombuffer(b"".join(self.text_of), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in self.text_of], dtype=np.int64)])
+
 
 def load_pieces(path: str = MODEL) -> Pieces:
     """Read a SentencePiece model whose normaliser is the identity with a leading space."""
@@ -76,17 +87,17 @@ class Reach:
     def __init__(self, pieces: Pieces):
         pairs = {(ord(a) << 21) | ord(b) for p, _, _ in pieces.pieces for a, b in zip(p, p[1:], strict=False)}
         self.pairs = np.array(sorted(pairs), np.int64)
-        self.low = np.zeros((128, 128), bool)
+        # ASCII and SPACE have a table; _OTHER stands for the rest, which is looked up.
+        self.low = np.zeros((_OTHER + 1, _OTHER + 1), bool)
         for p in pairs:
-            a, b = p >> 21, p & 0x1FFFFF
-            if a < 128 and b < 128:
+            a, b = (min(x, _OTHER) if x != ord(SPACE) else _OTHER - 1 for x in (p >> 21, p & 0x1FFFFF))
+            if a < _OTHER and b < _OTHER:
                 self.low[a, b] = True
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(a), bool)
-        ascii_ = (a < 128) & (b < 128)
-        out[ascii_] = self.low[a[ascii_], b[ascii_]]
-        rest = np.flatnonzero(~ascii_)
+        x, y = (np.where(c < 128, c, np.where(c == ord(SPACE), _OTHER - 1, _OTHER)) for c in (a, b))
+        out = self.low.ravel()[x * (_OTHER + 1) + y]
+        rest = np.flatnonzero((x == _OTHER) | (y == _OTHER))
         key = (a[rest].astype(np.int64) << 21) | b[rest]
         at = np.searchsorted(self.pairs, key)
         at[at == len(self.pairs)] = 0
@@ -134,10 +145,35 @@ def hash_texts(column: pa.Array) -> np.ndarray:
     return out
 
 
-def islands(column: pa.Array, reach: Reach) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
-    """(hash of each island in order, islands of each row, text of each distinct island; spaces stay spaces)."""
+@dataclass(frozen=True)
+class Islands:
+    """Islands of some rows: ``index`` has the number of each in order, ``counts`` how many each row has.
+
+    Distinct islands are numbered by falling frequency; ``short`` has the texts of those numbered ``short_at``, ``long`` maps the others.
+    ``tag`` is a 31-bit hash of all of them in order.
+    """
+
+    index: np.ndarray
+    counts: np.ndarray
+    short_at: np.ndarray
+    short: pa.Array
+    long: dict[int, str]
+    tag: int
+
+
+def _cut(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The texts between ``begin`` and ``end``."""
+    size = end - begin
+    stop = np.cumsum(size)
+    body = raw[np.arange(int(size.sum())) + np.repeat(begin - (stop - size), size)]
+    offsets = np.concatenate([[0], stop]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(body))
+
+
+def islands(column: pa.Array, reach: Reach) -> Islands:
+    """The islands of the rows of ``column`` (spaces stay spaces)."""
     raw, at = buffers(column)
-    hashes, heads, counts = [], [], np.zeros(len(column), np.int64)
+    steps, heads, counts = [], [], np.zeros(len(column), np.int64)
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + STEP, "right")) - 1)
@@ -150,59 +186,86 @@ def islands(column: pa.Array, reach: Reach) -> tuple[np.ndarray, np.ndarray, dic
             begin[np.searchsorted(first, cuts[cuts < len(text)])] = True
             starts = first[begin]
             counts[lo:hi] = np.diff(np.searchsorted(starts, np.append(cuts, len(text))))
-            h = _hash_runs(text, starts)
-            hashes.append(h)
-            u, k = np.unique(h, return_index=True)
-            heads.append((u, starts[k] + at[lo], np.append(starts, len(text))[k + 1] + at[lo]))
+            u, k, own, n = np.unique(_hash_runs(text, starts), return_index=True, return_inverse=True, return_counts=True)
+            steps.append(own.astype(np.uint32))
+            heads.append((u, starts[k] + at[lo], np.append(starts, len(text))[k + 1] + at[lo], n))
         lo = hi
-    if not hashes:
-        return np.zeros(0, np.uint64), counts, {}
-    every, begin, end = (np.concatenate(x) for x in zip(*heads, strict=True))
-    u, k = np.unique(every, return_index=True)
+    if not steps:
+        return Islands(np.zeros(0, np.uint32), counts, np.zeros(0, np.int64), pa.array([], pa.string()), {}, 0)
+    every, begin, end, n = (np.concatenate(x) for x in zip(*heads, strict=True))
+    u, k, own = np.unique(every, return_index=True, return_inverse=True)
+    order = np.lexsort((u, -np.bincount(own, n)))
+    place = np.empty(len(u), np.uint32)
+    place[order] = np.arange(len(u), dtype=np.uint32)
+    number, done, index = place[own], 0, []
+    for step, (mine, *_) in zip(steps, heads, strict=True):
+        index.append(number[done:done + len(mine)][step])
+        done += len(mine)
+    begin, end = begin[k][order], end[k][order]
+    # A character has at most four bytes, so what has more bytes than this is longer than LONG.
+    small = np.flatnonzero(end - begin <= 4 * LONG)
+    texts = _cut(raw, begin[small], end[small])
+    fits = pc.less_equal(pc.utf8_length(texts), LONG).to_numpy(zero_copy_only=False)
+    short = np.zeros(len(u), bool)
+    short[small[fits]] = True
     body = memoryview(raw)
-    spans = zip(u.tolist(), begin[k].tolist(), end[k].tolist(), strict=True)
-    return np.concatenate(hashes), counts, {x: bytes(body[b:e]) for x, b, e in spans}
+    long = {int(x): bytes(body[begin[x]:end[x]]).decode() for x in np.flatnonzero(~short)}
+    with np.errstate(over="ignore"):
+        tag = int((u[order] * (np.arange(len(u), dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum() >> np.uint64(33))
+    return Islands(np.concatenate(index), counts, np.flatnonzero(short), texts.filter(pa.array(fits)), long, tag)
 
 
 # --- the lattice -----------------------------------------------------------------------------------------------------
 
 
 def lattices(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, blocks, lattice) for each row (x, y, word, blocks) of ``words``: a map from span key to the rank of the piece there.
+    """(word, blocks, lattice) for each row (word, blocks) of ``words``: a map from span key to the rank of the piece there.
 
     Substrings of up to ``longest`` characters are exploded and equi-joined to the piece table, which is of fixed size; its
-    empty piece keeps the word itself. ``words`` is dealt by x and y, hashes of the word, so grouping the
-    edges again moves nothing.
+    empty piece keeps the word itself. ``words`` is dealt by word, so grouping the edges again moves nothing; their hash is
+    there to sort by.
     """
     n = F.length("word")
-    starts = words.select("x", "y", "word", "blocks", F.explode(F.sequence(F.lit(-1), n - 1)).alias("s"))
+    starts = words.select(F.xxhash64("word").alias("x"), "word", "blocks", F.explode(F.sequence(F.lit(-1), n - 1)).alias("s"))
     own = F.col("s") < 0
     ends = F.when(own, F.array(F.lit(-1))).otherwise(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + longest)))
-    spans = starts.select("x", "y", "word", "blocks", "s", F.explode(ends).alias("e"))
+    spans = starts.select("x", "word", "blocks", "s", F.explode(ends).alias("e"))
     piece = F.when(own, F.lit("")).otherwise(F.substr("word", F.col("s") + 1, F.col("e") - F.col("s")))
-    spans = spans.select("x", "y", F.when(own, F.col("word")).alias("word"), F.when(own, F.col("blocks")).alias("blocks"), (F.col("s") * _ROW + F.col("e")).alias("k"), piece.alias("piece"))
+    spans = spans.select("x", "word", F.when(own, F.col("blocks")).alias("blocks"), (F.col("s") * _ROW + F.col("e")).alias("k"), piece.alias("piece"))
     hits = spans.join(F.broadcast(pieces), "piece")
     edge = F.when(F.col("k") >= 0, F.struct("k", "rank"))
-    grouped = hits.groupBy("x", "y").agg(F.first("word", True).alias("word"), F.first("blocks", True).alias("blocks"), F.count("word").alias("n"), F.collect_list(edge).alias("edges"))
-    one = F.when(F.col("n") > 1, F.raise_error(F.lit("two islands share their hashes"))).otherwise(F.col("word"))
-    return grouped.select(one.alias("word"), "blocks", F.map_from_entries("edges").alias("lattice"))
+    grouped = hits.groupBy("x", "word").agg(F.first("blocks", True).alias("blocks"), F.collect_list(edge).alias("edges"))
+    return grouped.select("word", "blocks", F.map_from_entries("edges").alias("lattice"))
 
 
 def merge_fold(word: Column, lattice: Column) -> Column:
-    """Ends of characters that stay borders (0 first) when the best-ranked mergeable neighbours merge first, leftmost on ties."""
+    """Ends of characters that stay borders (0 first) when the best-ranked mergeable neighbours merge first, leftmost on ties.
+
+    Beside the borders stands the rank of the piece that taking each one away would give, so a merge looks up two ranks.
+    """
     none = F.lit(1 << 30)
 
+    def rank(start, end):
+        return F.coalesce(F.try_element_at(lattice, start * _ROW + end), none)
+
     def merge(state, _):
-        borders = state["b"]
-        best = F.array_min(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(borders) - 2, F.lit(1))),
-            lambda i: F.struct(F.coalesce(F.try_element_at(lattice, F.get(borders, i - 1) * _ROW + F.get(borders, i + 1)), none).alias("r"), i.alias("i")),
-        ))
-        step = F.struct(F.concat(F.slice(borders, F.lit(1), best["i"]), F.slice(borders, best["i"] + 2, F.size(borders))).alias("b"), F.lit(True).alias("on"))
+        b, r = state["b"], state["r"]
+
+        def without(i):  # the border at i, from 0, goes
+            beside = F.array(rank(F.get(b, i - 2), F.get(b, i + 1)), rank(F.get(b, i - 1), F.get(b, i + 2)))
+            return F.struct(
+                F.concat(F.slice(b, F.lit(1), i), F.slice(b, i + 2, F.size(b))).alias("b"),
+                F.concat(F.slice(r, F.lit(1), i - 1), beside, F.slice(r, i + 3, F.size(r))).alias("r"),
+            )
+
+        at = F.array((F.array_position(r, F.array_min(r)) - 1).cast("int"))
         # Nothing left to merge: the borders stay and later steps pass.
-        return F.when(state["on"] & (F.size(borders) > 2) & (best["r"] < none), step).otherwise(F.struct(borders.alias("b"), F.lit(False).alias("on")))
+        return F.when(F.array_min(r) < none, F.get(F.transform(at, without), 0)).otherwise(state)
 
-    start = F.struct(F.sequence(F.lit(0), F.length(word)).alias("b"), F.lit(True).alias("on"))
+    start = F.struct(
+        F.sequence(F.lit(0), F.length(word)).alias("b"),
+        F.transform(F.sequence(F.lit(0), F.length(word)), lambda i: F.when((i > 0) & (i < F.length(word)), rank(i - 1, i + 1)).otherwise(none)).alias("r"),
+    )
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), start, merge, lambda s: s["b"])
 
 
@@ -234,8 +297,7 @@ def encode_words(words: DataFrame, model: Pieces) -> DataFrame:
     """(word, blocks, ids) for the rows (word, block) of ``words``: islands of up to LONG characters (SPACE for spaces)."""
     spark = words.sparkSession
     table = spark.createDataFrame([("", -1), *((p, r) for r, (p, _, _) in enumerate(model.pieces))], "piece string, rank int")
-    dealt = words.select(F.xxhash64("word").alias("x"), F.hash("word").alias("y"), "word", "block").repartition("x", "y")
-    distinct = dealt.groupBy("x", "y", "word").agg(F.collect_set("block").alias("blocks"))
+    distinct = words.select("word", "block").repartition("word").groupBy("word").agg(F.collect_set("block").alias("blocks"))
     rows = lattices(distinct, table, model.longest)
     word, lattice = F.col("word"), F.col("lattice")
     if model.kind == "bpe":
@@ -314,9 +376,9 @@ def _blocks(model: Pieces):
     def run(batches):
         part, no = TaskContext.get().partitionId(), 0
         for rows in _gathered(batches):
-            h, counts, known = islands(rows.column(1), reach)
-            order = np.array(sorted(known), np.uint64)
-            yield part, no, rows, np.searchsorted(order, h).astype(np.uint32), counts, [known[x].decode() for x in order.tolist()]
+            found = islands(rows.column(1), reach)
+            # A block's key holds what its islands are, so rows of another reading of it find no partner.
+            yield int(mix(mix(np.array([(part << 32) + no], np.uint64)) + np.uint64(found.tag))[0] >> np.uint64(1)), rows, found
             no += 1
             pa.default_memory_pool().release_unused()
 
@@ -325,23 +387,26 @@ def _blocks(model: Pieces):
 
 def _distinct(model: Pieces):
     def run(batches):
-        for part, no, _, _, _, texts in _blocks(model)(batches):
-            texts = [t for t in texts if len(t) <= LONG]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), (part << 32) + no)), pa.array([t.replace(" ", SPACE) for t in texts], pa.string())], names=["block", "word"])
+        for block, _, found in _blocks(model)(batches):
+            n = len(found.short)
+            word = pc.replace_substring(found.short, " ", SPACE)
+            for lo in range(0, n, _ROWS):
+                at = found.short_at[lo:lo + _ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), pa.array(at), word.slice(lo, _ROWS)], names=["block", "at", "word"])
 
     return run
 
 
 def _packed(model: Pieces):
     def run(batches):
-        for part, no, rows, index, counts, texts in _blocks(model)(batches):
-            zip_ = zstandard.ZstdCompressor(3)
-            check = hash_texts(rows.column(1))
-            long = [(k, t) for k, t in enumerate(texts) if len(t) > LONG]
+        for block, rows, found in _blocks(model)(batches):
+            # Numbers fall with frequency, so their bytes compress best place by place.
+            planes = np.ascontiguousarray(found.index.astype("<u4").view(np.uint8).reshape(-1, 4).T)
             row = {
-                "block": (part << 32) + no, "n_words": len(texts) - len(long), "ids": rows.column(0).to_pylist(), "counts": counts.tolist(), "checks": check.view(np.int64).tolist(),
-                "long_at": [k for k, _ in long], "long": [t for _, t in long], "body": zip_.compress(index.tobytes()),
-            }
+                "block": block, "n_words": len(found.short), "ids": rows.column(0).to_pylist(), "counts": found.counts.tolist(),
+                "checks": hash_texts(rows.column(1)).view(np.int64).tolist(), "long_at": list(found.long), "long": list(found.long.values()),
+                "body": zstandard.ZstdCompressor(1).compress(planes.tobytes()),
+            }
             yield pa.RecordBatch.from_pylist([row], _PACKED)
 
     return run
@@ -354,9 +419,15 @@ _PACKED = pa.schema([
 _PACKED_SQL = "block long, n_words long, ids array<long>, counts array<long>, checks array<long>, long_at array<long>, long array<string>, body binary"
 
 
+def _wide(model: Pieces) -> int:
+    """Bytes of an id."""
+    return 2 if max(model.unknown, *model.bytes_, *(i for _, i, _ in model.pieces)) < 1 << 16 else 4
+
+
 def _assembled(model: Pieces):
     rank = {p: r for r, (p, _, _) in enumerate(model.pieces)}
     id_of = {p: i for p, i, _ in model.pieces}
+    wide = _wide(model)
 
     def long_ids(text):
         out = []
@@ -367,23 +438,21 @@ def _assembled(model: Pieces):
     def one(packed: pa.Table, words: pa.Table):
         """(id, ids, check) of the rows of one block, from its packed texts and the ids of its islands."""
         row = {n: packed.column(n)[0] for n in packed.column_names}
+        words = words.combine_chunks()
         if len(words) != row["n_words"].as_py():
             raise ValueError("a block's islands changed between two readings of the input; give a table, not an unordered plan")
-        words = words.combine_chunks()
-        text, lists = (words.column(n).combine_chunks() for n in ("word", "ids"))
-        flat, size = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        h = hash_texts(pc.replace_substring(text, SPACE, " "))
-        first, order = np.cumsum(size) - size, np.argsort(h)
-        n = len(h) + len(row["long_at"])
-        begin, count, normal = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
-        long_at = np.array(row["long_at"].as_py(), np.int64)
-        normal[long_at] = False
-        begin[normal], count[normal] = first[order], size[order]
-        for k, t in zip(long_at, row["long"].as_py(), strict=True):
-            extra = long_ids(t)
-            begin[k], count[k] = len(flat), len(extra)
-            flat = np.concatenate([flat, extra])
-        index = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"].as_py()), np.uint32)
+        coded, ends = buffers(words.column("ids"))
+        flat, size = np.frombuffer(coded[ends[0]:ends[-1]], f">u{wide}").astype(np.int32), np.diff(ends) // wide
+        n = len(words) + len(row["long_at"])
+        begin, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        at = words.column("at").to_numpy()
+        begin[at], count[at] = np.cumsum(size) - size, size
+        extra = [long_ids(t) for t in row["long"].as_py()]
+        at = np.array(row["long_at"].as_py(), np.int64)
+        count[at] = [len(x) for x in extra]
+        begin[at] = len(flat) + np.cumsum(count[at]) - count[at]
+        flat = np.concatenate([flat, *extra])
+        index = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"].as_py()), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
         counts, checks, ids = row["counts"].values.to_numpy(zero_copy_only=False), row["checks"].values, row["ids"].values
         at = np.concatenate([[0], np.cumsum(counts)])
         lo = 0
@@ -412,14 +481,17 @@ def encode(docs: DataFrame, model: Pieces, doc_id: str = "doc_id", text: str = "
     ship_package(docs.sparkSession)
     body = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(SPACE), F.lit(" "))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.when(body != "", F.concat(F.lit(" "), body)).otherwise("").alias("t"))
-    held = rows.mapInArrow(_distinct(model), "block long, word string")
-    back = encode_words(held, model).select(F.explode("blocks").alias("block"), "word", "ids")
+    held = rows.mapInArrow(_distinct(model), "block long, at long, word string")
+    back = encode_words(held.select("word", F.struct("block", "at").alias("block")), model)
+    # Ids go back as fixed-width bytes, which takes half of what an array does.
+    coded = F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x), 2 * _wide(model), "0")), ""))
+    back = back.select(F.explode("blocks").alias("b"), coded.alias("ids")).select("b.block", "b.at", "ids")
     packed = rows.mapInArrow(_packed(model), _PACKED_SQL)
     one = _assembled(model)
     run, schema = then or (lambda batches: batches, "id long, ids array<int>, check long")
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left):
+        if len(left) != 1:
             raise ValueError("islands of a block that is not there; give a table, not an unordered plan")
         out = pa.Table.from_batches(list(run(one(left, right))))
         pa.default_memory_pool().release_unused()
@@ -430,12 +502,18 @@ def encode(docs: DataFrame, model: Pieces, doc_id: str = "doc_id", text: str = "
 
 def decode_batch(ids: pa.Array, model: Pieces) -> list[bytes]:
     """The text of each list of ids, leading space dropped; a list that is no whole UTF-8 text stays as its bytes."""
-    table = model.text_of
-    flat, at = ids.flatten().to_pylist(), np.concatenate([[0], np.cumsum(np.diff(ids.offsets.to_numpy()))])
+    body, first = model.bytes_of
+    flat, at = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(np.diff(ids.offsets.to_numpy()))])
+    text = []
+    for lo in range(0, len(flat), _TOKENS):
+        mine = flat[lo:lo + _TOKENS]
+        size = first[mine + 1] - first[mine]
+        text.append(body[np.arange(int(size.sum())) + np.repeat(first[mine] - (np.cumsum(size) - size), size)])
+    text = np.concatenate([np.zeros(0, np.uint8), *text]).tobytes()
+    ends = np.concatenate([[0], np.cumsum(first[flat + 1] - first[flat])])[at].tolist()
     out = []
-    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        body = b"".join([table[i] for i in flat[lo:hi]])
-        out.append(body[1:] if body.startswith(b" ") else body)
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        out.append(text[lo + text.startswith(b" ", lo, hi):hi])
     return out
 
 
