@@ -31,8 +31,10 @@ BLOCK = 16 << 20
 STEP = 1 << 20
 #: Islands longer than this many characters are folded one by one in the task that unpacks them (same merges).
 LONG = 48
-#: Islands handed on at once.
-_ROWS = 1 << 14
+#: Islands of a block are dealt into so many buckets by hash; a bucket's are one row.
+BUCKETS = 4096
+_ROWS = 256
+_END = "\0"  # between the islands of a row; one that holds it counts as long
 #: Ids decoded at once.
 _TOKENS = 1 << 18
 _ROW = 64  # a span's key in an island is start * _ROW + end
@@ -149,7 +151,8 @@ def hash_texts(column: pa.Array) -> np.ndarray:
 class Islands:
     """Islands of some rows: ``index`` has the number of each in order, ``counts`` how many each row has.
 
-    Distinct islands are numbered by falling frequency; ``short`` has the texts of those numbered ``short_at``, ``long`` maps the others.
+    Distinct islands are numbered by falling frequency; ``short`` has the texts of those numbered ``short_at`` and ``bucket`` their buckets,
+    ``long`` maps the others.
     ``tag`` is a 31-bit hash of all of them in order.
     """
 
@@ -157,6 +160,7 @@ class Islands:
     counts: np.ndarray
     short_at: np.ndarray
     short: pa.Array
+    bucket: np.ndarray
     long: dict[int, str]
     tag: int
 
@@ -188,53 +192,60 @@ def islands(column: pa.Array, reach: Reach) -> Islands:
             counts[lo:hi] = np.diff(np.searchsorted(starts, np.append(cuts, len(text))))
             u, k, own, n = np.unique(_hash_runs(text, starts), return_index=True, return_inverse=True, return_counts=True)
             steps.append(own.astype(np.uint32))
-            heads.append((u, starts[k] + at[lo], np.append(starts, len(text))[k + 1] + at[lo], n))
+            heads.append((u, (starts[k] + at[lo]).astype(np.uint32), (np.append(starts, len(text))[k + 1] - starts[k]).astype(np.uint32), n.astype(np.uint32)))
         lo = hi
     if not steps:
-        return Islands(np.zeros(0, np.uint32), counts, np.zeros(0, np.int64), pa.array([], pa.string()), {}, 0)
-    every, begin, end, n = (np.concatenate(x) for x in zip(*heads, strict=True))
+        return Islands(np.zeros(0, np.uint32), counts, np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, np.uint16), {}, 0)
+    sizes = [len(x[0]) for x in heads]
+    every, begin, size, n = (np.concatenate(x) for x in zip(*heads, strict=True))
+    heads.clear()
     u, k, own = np.unique(every, return_index=True, return_inverse=True)
+    begin, size = begin[k].astype(np.int64), size[k].astype(np.int64)
     order = np.lexsort((u, -np.bincount(own, n)))
     place = np.empty(len(u), np.uint32)
     place[order] = np.arange(len(u), dtype=np.uint32)
-    number, done, index = place[own], 0, []
-    for step, (mine, *_) in zip(steps, heads, strict=True):
-        index.append(number[done:done + len(mine)][step])
-        done += len(mine)
-    begin, end = begin[k][order], end[k][order]
+    number, done, index = place[own], 0, np.empty(int(n.sum()), np.uint32)
+    del every, n, own, place
+    at = np.cumsum(sizes) - sizes
+    for lo, step in zip(at, steps, strict=True):
+        index[done:done + len(step)] = number[lo:][step]
+        done += len(step)
+    steps.clear()
+    begin, end = begin[order], (begin + size)[order]
     # A character has at most four bytes, so what has more bytes than this is longer than LONG.
     small = np.flatnonzero(end - begin <= 4 * LONG)
     texts = _cut(raw, begin[small], end[small])
-    fits = pc.less_equal(pc.utf8_length(texts), LONG).to_numpy(zero_copy_only=False)
+    fits = pc.and_not(pc.less_equal(pc.utf8_length(texts), LONG), pc.match_substring(texts, _END)).to_numpy(zero_copy_only=False)
     short = np.zeros(len(u), bool)
     short[small[fits]] = True
     body = memoryview(raw)
     long = {int(x): bytes(body[begin[x]:end[x]]).decode() for x in np.flatnonzero(~short)}
     with np.errstate(over="ignore"):
         tag = int((u[order] * (np.arange(len(u), dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum() >> np.uint64(33))
-    return Islands(np.concatenate(index), counts, np.flatnonzero(short), texts.filter(pa.array(fits)), long, tag)
+    at = np.flatnonzero(short)
+    return Islands(index, counts, at, texts.filter(pa.array(fits)), (u[order[at]] % np.uint64(BUCKETS)).astype(np.uint16), long, tag)
 
 
 # --- the lattice -----------------------------------------------------------------------------------------------------
 
 
-def lattices(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+def lattices(words: DataFrame, pieces: DataFrame, longest: int, by: Sequence[str] = ()) -> DataFrame:
     """(word, blocks, lattice) for each row (word, blocks) of ``words``: a map from span key to the rank of the piece there.
 
     Substrings of up to ``longest`` characters are exploded and equi-joined to the piece table, which is of fixed size; its
-    empty piece keeps the word itself. ``words`` is dealt by word, so grouping the edges again moves nothing; their hash is
-    there to sort by.
+    empty piece keeps the word itself. ``words`` is dealt by word, or by the columns ``by`` that follow from it, so grouping the edges
+    again moves nothing; the hash is there to sort by.
     """
     n = F.length("word")
-    starts = words.select(F.xxhash64("word").alias("x"), "word", "blocks", F.explode(F.sequence(F.lit(-1), n - 1)).alias("s"))
+    starts = words.select(F.xxhash64("word").alias("x"), *by, "word", "blocks", F.explode(F.sequence(F.lit(-1), n - 1)).alias("s"))
     own = F.col("s") < 0
     ends = F.when(own, F.array(F.lit(-1))).otherwise(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + longest)))
-    spans = starts.select("x", "word", "blocks", "s", F.explode(ends).alias("e"))
+    spans = starts.select("x", *by, "word", "blocks", "s", F.explode(ends).alias("e"))
     piece = F.when(own, F.lit("")).otherwise(F.substr("word", F.col("s") + 1, F.col("e") - F.col("s")))
-    spans = spans.select("x", "word", F.when(own, F.col("blocks")).alias("blocks"), (F.col("s") * _ROW + F.col("e")).alias("k"), piece.alias("piece"))
+    spans = spans.select("x", *by, "word", F.when(own, F.col("blocks")).alias("blocks"), (F.col("s") * _ROW + F.col("e")).alias("k"), piece.alias("piece"))
     hits = spans.join(F.broadcast(pieces), "piece")
     edge = F.when(F.col("k") >= 0, F.struct("k", "rank"))
-    grouped = hits.groupBy("x", "word").agg(F.first("blocks", True).alias("blocks"), F.collect_list(edge).alias("edges"))
+    grouped = hits.groupBy("x", *by, "word").agg(F.first("blocks", True).alias("blocks"), F.collect_list(edge).alias("edges"))
     return grouped.select("word", "blocks", F.map_from_entries("edges").alias("lattice"))
 
 
@@ -293,12 +304,16 @@ def _literal(values: Sequence, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")  # folded into one literal
 
 
-def encode_words(words: DataFrame, model: Pieces) -> DataFrame:
-    """(word, blocks, ids) for the rows (word, block) of ``words``: islands of up to LONG characters (SPACE for spaces)."""
+def encode_words(words: DataFrame, model: Pieces, by: Sequence[str] = ()) -> DataFrame:
+    """(word, blocks, ids) for the rows (word, block) of ``words``: islands of up to LONG characters (SPACE for spaces).
+
+    ``by`` names columns that follow from the word and by which the rows are dealt already.
+    """
     spark = words.sparkSession
     table = spark.createDataFrame([("", -1), *((p, r) for r, (p, _, _) in enumerate(model.pieces))], "piece string, rank int")
-    distinct = words.select("word", "block").repartition("word").groupBy("word").agg(F.collect_set("block").alias("blocks"))
-    rows = lattices(distinct, table, model.longest)
+    dealt = words if by else words.select("word", "block").repartition("word")
+    distinct = dealt.groupBy(*by, "word").agg(F.collect_set("block").alias("blocks"))
+    rows = lattices(distinct, table, model.longest, by)
     word, lattice = F.col("word"), F.col("lattice")
     if model.kind == "bpe":
         borders = merge_fold(word, lattice)
@@ -364,10 +379,12 @@ def _gathered(batches):
             size += int(at[hi] - at[lo])
             lo = hi
             if size >= BLOCK or lo < b.num_rows:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held, size = [], 0
+                whole, held, size = pa.Table.from_batches(held).combine_chunks(), [], 0
+                yield whole
+                del whole  # before the next is gathered
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        whole, held = pa.Table.from_batches(held).combine_chunks(), []
+        yield whole
 
 
 def _blocks(model: Pieces):
@@ -380,6 +397,7 @@ def _blocks(model: Pieces):
             # A block's key holds what its islands are, so rows of another reading of it find no partner.
             yield int(mix(mix(np.array([(part << 32) + no], np.uint64)) + np.uint64(found.tag))[0] >> np.uint64(1)), rows, found
             no += 1
+            del rows, found
             pa.default_memory_pool().release_unused()
 
     return run
@@ -388,11 +406,14 @@ def _blocks(model: Pieces):
 def _distinct(model: Pieces):
     def run(batches):
         for block, _, found in _blocks(model)(batches):
-            n = len(found.short)
-            word = pc.replace_substring(found.short, " ", SPACE)
-            for lo in range(0, n, _ROWS):
-                at = found.short_at[lo:lo + _ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), pa.array(at), word.slice(lo, _ROWS)], names=["block", "at", "word"])
+            order = np.argsort(found.bucket, kind="stable")
+            bucket, word = found.bucket[order], found.short.take(pa.array(order))
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(word)).astype(np.int32)), word), _END)
+            for lo in range(0, len(first), _ROWS):
+                at = first[lo:lo + _ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), pa.array(bucket[at].astype(np.int32)), pa.array(at), joined.slice(lo, _ROWS)], names=["block", "bucket", "first", "words"])
+            del found, word, joined
 
     return run
 
@@ -401,22 +422,24 @@ def _packed(model: Pieces):
     def run(batches):
         for block, rows, found in _blocks(model)(batches):
             # Numbers fall with frequency, so their bytes compress best place by place.
-            planes = np.ascontiguousarray(found.index.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            planes = np.ascontiguousarray(found.index.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)
             row = {
-                "block": block, "n_words": len(found.short), "ids": rows.column(0).to_pylist(), "counts": found.counts.tolist(),
+                "block": block, "buckets": zstandard.ZstdCompressor(1).compress(found.bucket.astype("<u2", copy=False)), "ids": rows.column(0).to_pylist(), "counts": found.counts.tolist(),
                 "checks": hash_texts(rows.column(1)).view(np.int64).tolist(), "long_at": list(found.long), "long": list(found.long.values()),
-                "body": zstandard.ZstdCompressor(1).compress(planes.tobytes()),
+                "body": zstandard.ZstdCompressor(1).compress(planes),
             }
+            del rows, found, planes
             yield pa.RecordBatch.from_pylist([row], _PACKED)
+            del row
 
     return run
 
 
 _PACKED = pa.schema([
-    ("block", pa.int64()), ("n_words", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("checks", pa.list_(pa.int64())),
+    ("block", pa.int64()), ("buckets", pa.binary()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("checks", pa.list_(pa.int64())),
     ("long_at", pa.list_(pa.int64())), ("long", pa.list_(pa.string())), ("body", pa.binary()),
 ])
-_PACKED_SQL = "block long, n_words long, ids array<long>, counts array<long>, checks array<long>, long_at array<long>, long array<string>, body binary"
+_PACKED_SQL = "block long, buckets binary, ids array<long>, counts array<long>, checks array<long>, long_at array<long>, long array<string>, body binary"
 
 
 def _wide(model: Pieces) -> int:
@@ -439,18 +462,21 @@ def _assembled(model: Pieces):
         """(id, ids, check) of the rows of one block, from its packed texts and the ids of its islands."""
         row = {n: packed.column(n)[0] for n in packed.column_names}
         words = words.combine_chunks()
-        if len(words) != row["n_words"].as_py():
+        bucket = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["buckets"].as_py()), "<u2")
+        if len(words) != len(bucket):
             raise ValueError("a block's islands changed between two readings of the input; give a table, not an unordered plan")
         coded, ends = buffers(words.column("ids"))
         flat, size = np.frombuffer(coded[ends[0]:ends[-1]], f">u{wide}").astype(np.int32), np.diff(ends) // wide
         n = len(words) + len(row["long_at"])
         begin, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        at = words.column("at").to_numpy()
+        long_at = np.array(row["long_at"].as_py(), np.int64)
+        short = np.ones(n, bool)
+        short[long_at] = False
+        at = np.flatnonzero(short)[np.argsort(bucket, kind="stable")][words.column("at").to_numpy()]
         begin[at], count[at] = np.cumsum(size) - size, size
         extra = [long_ids(t) for t in row["long"].as_py()]
-        at = np.array(row["long_at"].as_py(), np.int64)
-        count[at] = [len(x) for x in extra]
-        begin[at] = len(flat) + np.cumsum(count[at]) - count[at]
+        count[long_at] = [len(x) for x in extra]
+        begin[long_at] = len(flat) + np.cumsum(count[long_at]) - count[long_at]
         flat = np.concatenate([flat, *extra])
         index = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"].as_py()), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
         counts, checks, ids = row["counts"].values.to_numpy(zero_copy_only=False), row["checks"].values, row["ids"].values
@@ -481,8 +507,10 @@ def encode(docs: DataFrame, model: Pieces, doc_id: str = "doc_id", text: str = "
     ship_package(docs.sparkSession)
     body = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(SPACE), F.lit(" "))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.when(body != "", F.concat(F.lit(" "), body)).otherwise("").alias("t"))
-    held = rows.mapInArrow(_distinct(model), "block long, at long, word string")
-    back = encode_words(held.select("word", F.struct("block", "at").alias("block")), model)
+    held = rows.mapInArrow(_distinct(model), "block long, bucket int, first long, words string").repartition("bucket")
+    held = held.select("block", "bucket", "first", F.posexplode(F.split("words", _END)).alias("i", "word"))
+    held = held.select("bucket", F.replace("word", F.lit(" "), F.lit(SPACE)).alias("word"), F.struct("block", (F.col("first") + F.col("i")).alias("at")).alias("block"))
+    back = encode_words(held, model, ["bucket"])
     # Ids go back as fixed-width bytes, which takes half of what an array does.
     coded = F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x), 2 * _wide(model), "0")), ""))
     back = back.select(F.explode("blocks").alias("b"), coded.alias("ids")).select("b.block", "b.at", "ids")
