@@ -502,12 +502,13 @@ def encode(docs: DataFrame, model: Pieces, doc_id: str = "doc_id", text: str = "
     time it is read, as a table does; a change of that order is noticed and fails the job. ``then`` may be (function of
     the result's Arrow batches, its schema), which then runs in the same worker.
     """
-    from waymark.session import ship_package
+    from waymark.session import parallelism, ship_package
 
     ship_package(docs.sparkSession)
     body = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(SPACE), F.lit(" "))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.when(body != "", F.concat(F.lit(" "), body)).otherwise("").alias("t"))
-    held = rows.mapInArrow(_distinct(model), "block long, bucket int, first long, words string").repartition("bucket")
+    # Few bytes become many edges: by their size, tasks would be merged until they spill.
+    held = rows.mapInArrow(_distinct(model), "block long, bucket int, first long, words string").repartition(parallelism(docs.sparkSession), "bucket")
     held = held.select("block", "bucket", "first", F.posexplode(F.split("words", _END)).alias("i", "word"))
     held = held.select("bucket", F.replace("word", F.lit(" "), F.lit(SPACE)).alias("word"), F.struct("block", (F.col("first") + F.col("i")).alias("at")).alias("block"))
     back = encode_words(held, model, ["bucket"])
