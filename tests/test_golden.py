@@ -222,3 +222,19 @@ def test_fold_over_a_floor_change(spark):
     assert (r[2].before.px, r[2].before.e0, r[2].before.e1, r[2].turn) == (3.0, 0, 1, None)
     assert (r[3].turn, r[3].is_turn, r[3].after.px, r[3].after.door, r[3].after.e0) == (90.0, True, 3.0, 1.0, 3)
     assert commands.fold_steps(steps.limit(0)).collect() == []
+
+
+def test_speech_rules_apply_wherever_one_finds_something(spark):
+    said = ["", "plain words", " lead", "trail ", "trail\n", "two  gaps", "a_b", "a__b , c", "stop .", "停 。", "x@@ !", "tab\tonly", "a/b\\c", None]
+    df = spark.createDataFrame([(s,) for s in said], "s string")
+    plain = F.col("s")
+    for pattern, replacement in text.SPEECH_RULES:
+        plain = F.regexp_replace(plain, F.lit(pattern), F.lit(replacement))
+    assert all(r.a == r.b for r in df.select(text.speakable(F.col("s")).alias("a"), plain.alias("b")).collect())
+
+
+def test_payload_records_are_read_in_one_pass(spark, folder):
+    from __spark_entry__ import queries
+
+    plan = queries()["payload_fields"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1

@@ -148,3 +148,20 @@ def test_all_candidate_links_are_given(spark):
     want = {(r.a, r.b): r.door_px and round(r.door_px, 9) for r in pg.door_crossing(pairs, ("px", "py", "qx", "qy")).select("a", "b", "door_px").collect()}
     got = [(r.a, r.b, r.door_px and round(r.door_px, 9)) for r in fg.door_pairs(nodes, floors).collect()]
     assert {(i, j): v for i, j, v in got} == want and len(got) == len(want) and None in want.values()
+
+
+def test_first_doors_keeps_every_row_and_matches_the_polygon_test(spark):
+    rng = np.random.default_rng(5)
+    rows = [("P", "B", "F", k, *ends) for k, ends in enumerate((rng.random((300, 4)) * [40, 20, 40, 20]).tolist())]
+    odd = [("P", "B", "F", 0, None, 1.0, 2.0, 3.0), (None, "B", "F", 1, 1.0, 1.0, 39.0, 1.0), ("P", "B", "none", 2, 1.0, 1.0, 39.0, 1.0), ("P", "B", "F", 3, 5.0, 5.0, 5.0, 5.0)]
+    ring = [[0.0, 0.0], [40.0, 0.0], [40.0, 20.0], [0.0, 20.0]]
+    door = [[18.0, 4.0], [22.0, 4.0], [22.0, 16.0], [18.0, 16.0]]
+    polys = spark.createDataFrame([("P", "B", "F", 0, 0, "room", ring), ("P", "B", "F", 1, 2, "door", door)], "place string, building string, floor string, pos long, group_id int, label string, ring array<array<double>>")
+    floors = pg.floor_geometry(polys)
+    steps = spark.createDataFrame(rows + rows[:1] + odd, "place string, building string, floor string, k long, px double, py double, qx double, qy double")
+    seg = ("px", "py", "qx", "qy")
+    order = lambda df: sorted((tuple(str(v) for v in r[:8]), r.door_px and round(r.door_px, 9)) for r in df.select(*steps.columns, "door_px").collect())
+    got = sight.first_doors(steps, floors, seg, "k")
+    want = pg.door_crossing(steps.join(floors, MAP_KEY, "left"), seg)
+    assert order(got) == order(want)
+    assert got.filter("door_px IS NOT NULL").count() > 20

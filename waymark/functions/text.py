@@ -136,6 +136,8 @@ SPEECH_RULES = (
     (r"\s+([,.;:!?])", "$1"),
     (r"\s+([，。！？；：、])", "$1"),
 )
+#: Where any of the rules finds something; most sentences hold nothing of the kind.
+SPEECH_FAULT = r"[_+@#$%^&*=~`|:\\/]|\s{2,}|^\s|\s$|\s[,.;:!?，。！？；：、]"
 
 
 def lookup(table: dict[str, dict[str, str]], outer: Column, inner: Column) -> Column:
@@ -146,9 +148,10 @@ def lookup(table: dict[str, dict[str, str]], outer: Column, inner: Column) -> Co
 
 
 def speakable(text: Column) -> Column:
+    said = text
     for pattern, replacement in SPEECH_RULES:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
-    return text
+        said = F.regexp_replace(said, F.lit(pattern), F.lit(replacement))
+    return F.when(text.rlike(SPEECH_FAULT), said).otherwise(text)
 
 
 def unit_phrase(value: Column, unit: Column, lang: Column) -> Column:

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import angles, names, text
-from waymark.operators.polygons import door_crossing, room_label
+from waymark.operators import sight
+from waymark.operators.polygons import room_label
 from waymark.session import cut_lineage, parallelism
 
 MAP_KEY = ["place", "building", "floor"]
@@ -55,8 +56,7 @@ def route_steps(rows: DataFrame, scales: DataFrame, floors: DataFrame) -> DataFr
     s = s.withColumn("bearing2", F.lead("bearing").over(wi))
     far = scales.select(*[F.col(k).alias(f"{k}1") for k in MAP_KEY], F.col("m_per_px").alias("scale"))
     s = s.join(far, [f"{k}1" for k in MAP_KEY], "left").withColumn("scale", F.coalesce("scale", F.lit(1.0)))
-    s = s.join(floors.select(*MAP_KEY, "polys"), MAP_KEY, "left")
-    return door_crossing(s, ("x", "y", "x1", "y1")).drop("polys")
+    return sight.first_doors(s, floors, ("x", "y", "x1", "y1"), "trip_id")
 
 
 def _normalize(angle: float) -> float:
