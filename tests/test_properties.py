@@ -179,6 +179,20 @@ def test_overlay_equals_the_whole_graph(spark, seed):
         assert links[t][nodes[0]] + sum(every[e] for e in zip(nodes, nodes[1:])) == got[t][0]
 
 
+@pytest.mark.parametrize("most", [0, 40, 1 << 20])
+def test_grouped_paths_equal_relaxation(spark, most):
+    """In arrays, as rows, and mixed; with parallel edges, weights of zero, a node in two groups and sources without edges."""
+    rng = random.Random(7)
+    rows = [(g, g * 20 + rng.randrange(12), g * 20 + rng.randrange(12), rng.randrange(4)) for g in range(6) for _ in range(25 + 8 * g)] + [(2, 40, 61, 1), (3, 61, 62, 2)]
+    edges = spark.createDataFrame(rows, "g long, src long, dst long, weight long")
+    sources = spark.createDataFrame([(n,) for n in [*range(0, 120, 3), 61, 999, 999]], "source long")
+    cols = ["source", "node", "cost", "hops", "pred"]
+    got = relax.grouped_paths(edges, sources, ["g"], most=most)
+    want = relax.shortest_paths(edges.drop("g"), sources)
+    assert dict(got.dtypes) == dict(want.dtypes)
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+
+
 def test_retrieval(spark):
     vec = RNG.normal(size=(90, 8)).astype("float32")
     rows = [(i, int(i < 30), v.tolist()) for i, v in enumerate(vec)]
