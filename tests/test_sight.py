@@ -165,3 +165,10 @@ def test_first_doors_keeps_every_row_and_matches_the_polygon_test(spark):
     want = pg.door_crossing(steps.join(floors, MAP_KEY, "left"), seg)
     assert order(got) == order(want)
     assert got.filter("door_px IS NOT NULL").count() > 20
+
+
+@pytest.mark.parametrize("size", [0, 1, 900, 1 << 40])
+def test_tally_equals_unique(size):
+    key = np.random.default_rng(3).integers(0, min(size, 1 << 20), 500) if size else np.zeros(0, np.int64)
+    got, want = sight.tally(key, size), np.unique(key, return_counts=True)
+    assert [v.tolist() for v in got] == [v.tolist() for v in want]
