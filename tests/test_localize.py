@@ -38,6 +38,36 @@ def test_hypotheses_follow_the_inliers():
     assert 60_000 < two_view.needed(3, 10, 0.99) < 80_000 and two_view.needed(9, 10, 0.99) < 10
 
 
+def test_a_batch_is_solved_in_arrays(monkeypatch):
+    rng = np.random.default_rng(1)
+    f, m = rng.normal(size=(9, 200)), rng.normal(size=(9, 8, 200))
+    null, volume = two_view.null_vectors(m.copy())
+    assert np.abs(np.einsum("irb,ib->rb", m, null)).max() < 1e-12 and np.allclose((null * null).sum(axis=0), 1)
+    assert np.allclose(volume, np.sqrt(np.abs(np.linalg.det(np.einsum("irb,isb->brs", m, m)))))
+    flat = two_view.rank_two(f.T.reshape(-1, 3, 3))
+    assert np.quantile(np.abs(two_view.nearly_rank_two(f) - flat.reshape(-1, 9).T).max(axis=0), 0.98) < 1e-9
+    p, q = (np.concatenate([rng.uniform(0, 640, (60, 2)), np.ones((60, 1))], axis=1) for _ in range(2))
+    got = two_view.losses(flat.reshape(-1, 9).T, two_view.rows_of(p, q).T, np.concatenate([two_view.quadratic(p), two_view.quadratic(q)]), 2.0)
+    assert np.allclose(got, np.minimum(two_view.sampson(flat, p, q), 2.0).sum(axis=1))
+    for n in (9, 64, 300):
+        x = rng.random((2000, n))
+        assert (np.sort(two_view.smallest_eight(x), axis=1) == np.sort(x.argpartition(7, axis=1)[:, :8], axis=1)).all()
+    assert (np.sort(two_view.smallest_eight(1 - x / 8), axis=1) == np.sort((1 - x).argpartition(7, axis=1)[:, :8], axis=1)).all()
+    # Only the best of a batch is decomposed one by one.
+    matrices, svd = [], np.linalg.svd
+    monkeypatch.setattr(np.linalg, "svd", lambda a, *rest, **more: (matrices.append(a.size // np.prod(a.shape[-2:])), svd(a, *rest, **more))[1])
+    x, y, good = views(rng, 200, 0.3)
+    _, mask, tried = two_view.fit_two_view(x, y, 1.0)
+    assert (mask & good).sum() >= 0.97 * good.sum() and tried > 10_000 and sum(matrices) < tried / 20
+    assert two_view.fit_two_view(np.where(good[:, None], x, np.nan), y, 1.0) is None
+
+
+def test_pairs_are_spread_over_all_tasks(spark):
+    # Few bytes and much work.
+    df = spark.createDataFrame([(i, i + 10, k, k, 1.0, 1.0, 1.0, 1.0) for i in range(3) for k in range(7)], "img1 long, img2 long, kp1 long, kp2 long, x1 double, y1 double, x2 double, y2 double")
+    assert two_view.two_view(df).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_pairs_of_a_table(spark):
     rows = []
     for pair, share in ((1, 0.4), (2, 0.0), (3, 0.9)):
