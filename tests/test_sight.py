@@ -1,6 +1,7 @@
 """Sight lines, snapping and nearest edges over the grid against all edges and against the column expressions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,32 @@ def test_large_floor_tests_near_edges_only():
     assert (plan.nearest(p[:, 0], p[:, 1])[1] <= 5).all()
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_few_edges_are_met_without_the_grid(monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    shapes = rooms(rng, int(rng.integers(1, 14)))
+    few = sight.Plan.of(polys_of(shapes))
+    monkeypatch.setattr(sight, "FEW", -1)
+    grid = sight.Plan.of(polys_of(shapes))
+    assert few.rings is not None and grid.rings is None
+    p, q = points(rng, 400), points(rng, 400)
+    ends = p[:, 0], p[:, 1], q[:, 0], q[:, 1]
+    monkeypatch.setattr(few, "near", None)  # the grid is not asked
+    seen = few.visible(*ends)
+    assert (seen == grid.visible(*ends)).all() and (few.contains(*ends[:2]) == grid.contains(*ends[:2])).all()
+    monkeypatch.setattr(sight, "TABLE", 50)
+    assert (seen == few.visible(*ends)).all()
+
+
+def test_small_floors_are_sent_on_together(spark):
+    rows = spark.createDataFrame([("P", "B", f"F{f}", f * 10 + k) for f in range(300) for k in range(3)], "place string, building string, floor string, id long")
+    sizes = sight.by_floor({"own": rows}, rows, "id", False, lambda held, part: [sight.column(part, "id")], "id long").mapInArrow(
+        lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches if b.num_rows), "n long"
+    )
+    got = [r.n for r in sizes.collect()]
+    assert sum(got) == 900 and len(got) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_one_floor_with_very_many_rows_is_dealt(spark, monkeypatch):
     """A floor with a third of all nodes: its pairs come from several blocks and equal those of all pairs."""
     monkeypatch.setattr(sight, "BLOCK", 8)
